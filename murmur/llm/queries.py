@@ -6,11 +6,16 @@ from importlib import import_module
 
 # Query, module of this subpackage.
 MODULES = {
+    "op1_quality_model": "quality_model",
     "op3_licenses": "licenses",
     "op5_bpe": "bpe",
+    "op7_mixing": "mixing",
+    "op8_topk": "topk",
+    "op9_quality_rules": "quality_rules",
     "op10_secrets": "secrets",
 }
-SQL: dict[str, str] = {}
+# Modules whose query SQL can express hold it as SQL.
+WITH_SQL = ("op8_topk",)
 
 
 def queries() -> dict:
@@ -18,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {name: import_module(f"murmur.llm.{MODULES[name]}").SQL for name in WITH_SQL}

@@ -4,9 +4,10 @@ Every version of a text is addressed by its content (SHA-256). The ledger is a t
 have been scanned, with their findings. A scan reads only those blobs that the ledger does not hold under the rules'
 version, once each, however many paths carry them; appends them to the ledger; and joins the findings back to all paths.
 
-Copies are merged before the shuffle (a partial aggregate keeps one text per blob and task), so a text that a third of
-all rows share costs one row per task. Findings join back on the blob; the side with a hot blob is split by adaptive
-execution, as it is only streamed.
+Each unseen blob is read at one path, its carrier (the smallest id), found by an aggregate over (blob, id) that merges
+copies before its shuffle; texts meet the carriers on the id, evenly however many copies a blob has, and stream past a
+hash table of carriers without being sorted. Findings join back on the blob; the side with a hot blob is split by
+adaptive execution, as it is only streamed.
 
 Cases: null texts are scanned as empty ones; empty texts have no spans; texts are scanned whole; repeated rows give
 repeated rows; extra columns are dropped by the query and kept by redact(). Spans are code points, end exclusive.
@@ -77,7 +78,7 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 LEDGER = "blob binary, rules string, spans array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text") -> None:
+def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Scan the blobs that the ledger at this path lacks under the present rules, and append them.
 
     Each call appends one folder, named anew, so a call that fails leaves the ledger as it was, and a repeated one scans
@@ -86,11 +87,13 @@ def update_ledger(docs: DataFrame, ledger: str, text_col: str = "text") -> None:
     spark = docs.sparkSession
     bounded(spark)
     t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
-    seen = read_ledger(spark, ledger)
-    versions = docs.select(t.alias("t")).select(F.unhex(F.sha2("t", 256)).alias("blob"), "t")
-    if seen is not None:
-        versions = versions.join(seen.where(F.col("rules") == RULES).select("blob").distinct(), "blob", "left_anti")
-    scan_blobs(versions.dropDuplicates(["blob"])).write.parquet(f"{ledger}/batch={uuid.uuid4().hex}")
+    paths = docs.select(F.col(id_col).alias("id"), t.alias("t")).withColumn("blob", F.unhex(F.sha2("t", 256)))
+    carriers = paths.groupBy("blob").agg(F.min("id").alias("carrier"))
+    if (seen := read_ledger(spark, ledger)) is not None:
+        carriers = carriers.join(seen.where(F.col("rules") == RULES).select("blob").distinct(), "blob", "left_anti")
+    carriers = carriers.withColumnRenamed("blob", "b").hint("shuffle_hash")
+    unseen = paths.join(carriers, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("blob") == F.col("b")), "left_semi")
+    scan_blobs(unseen).write.parquet(f"{ledger}/batch={uuid.uuid4().hex}")
 
 
 def read_ledger(spark, ledger: str) -> DataFrame | None:
@@ -101,11 +104,11 @@ def read_ledger(spark, ledger: str) -> DataFrame | None:
     return spark.read.schema(LEDGER).parquet(f"{ledger}/*")
 
 
-def _scanned(docs: DataFrame, ledger: str | None, text_col: str):
+def _scanned(docs: DataFrame, ledger: str | None, id_col: str, text_col: str):
     """The ledger brought up to date (a new one in the shared folder where none is given): its rows, and the blob of a text."""
     spark = docs.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/murmur/ledger-{uuid.uuid4().hex}"
-    update_ledger(docs, ledger, text_col)
+    update_ledger(docs, ledger, id_col, text_col)
     rows = read_ledger(spark, ledger).where(F.col("rules") == RULES).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")), 256))
     return rows, blob
@@ -113,17 +116,17 @@ def _scanned(docs: DataFrame, ledger: str | None, text_col: str):
 
 def findings(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, blob, spans) for every path. Texts stay out of this join."""
-    rows, blob = _scanned(docs, ledger, text_col)
+    rows, blob = _scanned(docs, ledger, id_col, text_col)
     paths = docs.select(F.col(id_col).alias("__id"), blob.alias("__blob"))
     return paths.join(rows, "__blob", "left").select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("spans"))
 
 
-def redact(docs: DataFrame, ledger: str | None = None, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with every span replaced by a mark; overlapping spans as one; other columns as they are, null texts null.
 
     Only rows with findings are rewritten; they go through an Arrow function, the others pass as they are.
     """
-    rows, blob = _scanned(docs, ledger, text_col)
+    rows, blob = _scanned(docs, ledger, id_col, text_col)
 
     @F.pandas_udf("string")
     def cut(texts, found):
