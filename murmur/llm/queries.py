@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_model": "quality_model",
     "op3_licenses": "licenses",
+    "op4_simhash": "simhash",
     "op5_bpe": "bpe",
     "op7_mixing": "mixing",
     "op8_topk": "topk",
