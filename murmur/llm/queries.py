@@ -7,6 +7,7 @@ from importlib import import_module
 # Query, module of this subpackage.
 MODULES = {
     "op1_quality_model": "quality_model",
+    "op2_suffixes": "suffixes",
     "op3_licenses": "licenses",
     "op4_simhash": "simhash",
     "op5_bpe": "bpe",
