@@ -11,6 +11,7 @@ MODULES = {
     "op3_licenses": "licenses",
     "op4_simhash": "simhash",
     "op5_bpe": "bpe",
+    "op6_hmm": "hmm",
     "op7_mixing": "mixing",
     "op8_topk": "topk",
     "op9_quality_rules": "quality_rules",

@@ -173,11 +173,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id (of rows with the same id, one)."""
+    """One row of each group of near-duplicates: that with the smallest id. Of rows with the same id, one stays.
+
+    Texts meet the ids that stay in a hash join, unsorted; rows are only compared among themselves if ids repeat.
+    """
     groups = near_duplicates(docs, id_col, text_col, size, bits, seed)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).distinct().hint("shuffle_hash")
-    kept = docs.join(first, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")), "simhash-first")
+    kept = docs.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col]) if first.where("__n > 1").limit(1).count() else kept
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
