@@ -18,9 +18,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from murmur.plans import fuzzy_queries, table_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
