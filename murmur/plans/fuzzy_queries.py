@@ -1,0 +1,272 @@
+"""Queries over string similarity, evaluation against a reference list, and greedy dedup.
+
+Pairs are neighbouring turns of a conversation (reference, hypothesis); the reference list is the benchmark, and the
+extracted items are the turns of all conversations. Where an LCS makes SQL too slow on whole tables there is no SQL: the
+functions are tested against plain definitions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from murmur.functions import fuzzy
+from murmur.functions.quality import quality_improve, quality_merge, quality_v6
+from murmur.functions.text import normalize, vlm_norm, words
+from murmur.operators import dedup as D
+from murmur.operators import matching as M
+from murmur.operators.segment import improve_pipeline as improve
+from murmur.operators.segment import segment_news as segment
+from murmur.plans.common import ITEMS, items, table, wordlist
+from murmur.plans.registry import query
+
+PLAIN = "regexp_replace(text, '[^ -~]', '?', 'g')"
+PAIRS = f"(SELECT conv_id, turn, {PLAIN} AS a, {PLAIN.replace('text', 'nxt')} AS b FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL)"
+
+
+def pairs(spark, d):
+    """Neighbouring turns; characters outside ASCII count as one and the same."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("nxt")).where("nxt is not null")
+    return x.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("a"), F.regexp_replace("nxt", "[^ -~]", "?").alias("b"))
+
+
+def _score(name: str, of: str):
+    @query(name)
+    def run(spark, d):
+        return pairs(spark, d).select("conv_id", "turn", F.round(fuzzy.score(of, "a", "b"), 6).alias("score"))
+
+
+for _name, _of in (("fuzz_ratio", "ratio"), ("fuzz_token_sort", "token_sort_ratio"), ("fuzz_partial", "partial_ratio"), ("fuzz_token_set", "token_set_ratio"), ("similarity", "similarity")):
+    _score(_name, _of)
+
+
+@query("len_ratio", f"SELECT conv_id, turn, least(length(a), length(b)) / greatest(length(a), length(b)) AS v FROM {PAIRS}")
+def len_ratio(spark, d):
+    return pairs(spark, d).select("conv_id", "turn", (F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))).alias("v"))
+
+
+@query("token_overlap", f"SELECT conv_id, turn, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS v FROM (SELECT conv_id, turn, list_distinct({wordlist('upper(a)')}) AS x, list_distinct({wordlist('upper(b)')}) AS y FROM {PAIRS})")
+def token_overlap(spark, d):
+    x = pairs(spark, d).select("conv_id", "turn", F.array_distinct(words(F.upper("a"))).alias("x"), F.array_distinct(words(F.upper("b"))).alias("y"))
+    return x.select("conv_id", "turn", (F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))).alias("v"))
+
+
+@query("cer", f"SELECT conv_id, turn, levenshtein(a, b) / length(a) AS v FROM {PAIRS}")
+def cer(spark, d):
+    return pairs(spark, d).select("conv_id", "turn", M.cer(F.col("a"), F.col("b")).alias("v"))
+
+
+@query("wer")
+def wer(spark, d):
+    return pairs(spark, d).select("conv_id", "turn", M.wer(words("a"), words("b")).alias("v"))
+
+
+@query("asr_metrics")
+def asr_metrics(spark, d):
+    """Over neighbouring user turns: the character level is quadratic in a text's length."""
+    return pairs(spark, d).where((F.length("a") < 1000) & (F.length("b") < 1000)).select("conv_id", "turn", M.asr_metrics("a", "b").alias("m")).select("conv_id", "turn", "m.*")
+
+
+def _tokens(spark, d):
+    return pairs(spark, d).select("conv_id", "turn", M.rouge_tokens(F.col("a")).alias("x"), M.rouge_tokens(F.col("b")).alias("y"))
+
+
+def _rouge_sql(n: int) -> str:
+    grams = lambda t: f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
+    token = lambda c: f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"""SELECT conv_id, turn, round(CASE WHEN hits > 0 THEN 2 * hits / (nx + ny) ELSE 0.0 END, 6) AS v FROM (
+      SELECT conv_id, turn, len(x) AS nx, len(y) AS ny, coalesce(list_sum(list_transform(list_intersect(list_distinct(x), list_distinct(y)), lambda g: least(len(list_filter(x, lambda h: h = g)), len(list_filter(y, lambda h: h = g))))), 0) AS hits FROM (
+        SELECT conv_id, turn, {grams('x')} AS x, {grams('y')} AS y FROM (SELECT conv_id, turn, {token('a')} AS x, {token('b')} AS y FROM {PAIRS})))"""
+
+
+@query("rouge_1", _rouge_sql(1))
+def rouge_1(spark, d):
+    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 1), 6).alias("v"))
+
+
+@query("rouge_2", _rouge_sql(2))
+def rouge_2(spark, d):
+    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 2), 6).alias("v"))
+
+
+@query("rouge_l")
+def rouge_l(spark, d):
+    """On stemmed tokens."""
+    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_l(M.stems("x"), M.stems("y")), 6).alias("v"))
+
+
+COSINE = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
+EMB = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@query("greedy_cosine_match", f"SELECT label, round(avg(best), 6) AS recall FROM (SELECT a.label, a.vec_id, max({COSINE}) AS best FROM {EMB} a JOIN {EMB} b ON a.label + 1 = b.label GROUP BY 1, 2) GROUP BY label")
+def greedy_cosine_match(spark, d):
+    """Each label's vectors are a reference, the next label's a candidate: mean best cosine of the reference's vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+
+    def run(key, one, two):
+        import numpy as np
+        import pandas as pd
+
+        if not len(one) or not len(two):
+            return pd.DataFrame({"label": [], "recall": []}).astype({"label": "int32", "recall": "float64"})
+        a, b = (np.stack(x["e"].tolist()) for x in (one, two))
+        a, b = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (a, b))
+        best = np.concatenate([(a[i : i + 256] @ b.T).max(1) for i in range(0, len(a), 256)])
+        return pd.DataFrame({"label": [int(key[0])], "recall": [float(best.mean())]})
+
+    other = e.select((F.col("label") - 1).alias("l"), F.col("e"), F.col("vec_id"))
+    return e.groupBy("label").cogroup(other.groupBy("l")).applyInPandas(run, "label int, recall double").select("label", F.round("recall", 6).alias("recall"))
+
+
+def _gt(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), normalize("text").alias("text"))
+
+
+def _ext(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), normalize("text").alias("text"), F.col("role").alias("slice"))
+
+
+def _scored(spark, d):
+    gt, ext = _gt(spark, d), _ext(spark, d)
+    found = M.best_matches(gt, ext)
+    return M.scored(found, "l", gt), M.scored(found, "r", ext)
+
+
+@query("best_match")
+def best_match(spark, d):
+    return _scored(spark, d)[0].select("id", F.col("other").alias("match_id"), F.round("score", 6).alias("score"))
+
+
+@query("semi_recalled")
+def semi_recalled(spark, d):
+    return _scored(spark, d)[0].where(F.col("score") >= M.MATCHED).select("id", "text")
+
+
+@query("anti_missed")
+def anti_missed(spark, d):
+    return _scored(spark, d)[0].where(F.col("score") < M.MATCHED).select("id", "text")
+
+
+@query("anti_false_pos")
+def anti_false_pos(spark, d):
+    return _scored(spark, d)[1].where(F.col("score") < M.MATCHED).select("id", "text")
+
+
+@query("anti_hallucination")
+def anti_hallucination(spark, d):
+    return _scored(spark, d)[1].where(F.col("score") < M.HALLUCINATED).select("id", "text")
+
+
+@query("hallucination_rate")
+def hallucination_rate(spark, d):
+    return _scored(spark, d)[1].agg(F.coalesce(F.avg((F.col("score") < M.HALLUCINATED).cast("double")), F.lit(0.0)).alias("rate"))
+
+
+@query("prf_thresholds")
+def prf_thresholds(spark, d):
+    return M.prf(*_scored(spark, d))
+
+
+@query("prf_exact_coverage")
+def prf_exact_coverage(spark, d):
+    return _scored(spark, d)[0].agg(F.count_if(F.col("score") >= M.EXACT).alias("exact"), F.count_if(F.col("score") >= M.COVERED).alias("covered"))
+
+
+@query("mean_cer_matched")
+def mean_cer_matched(spark, d):
+    gt, _ = _scored(spark, d)
+    both = gt.where(F.col("score") >= M.MATCHED).join(_ext(spark, d).select(F.col("id").alias("other"), F.col("text").alias("hyp")), "other")
+    return both.agg(F.avg(M.cer(F.col("text"), F.col("hyp"))).alias("cer"), F.avg(M.wer(words("text"), words("hyp"))).alias("wer"), F.count("*").alias("n"))
+
+
+@query("evaluate_stage")
+def evaluate_stage(spark, d):
+    """Precision, recall and F1 by slice (role), all slices against the whole reference list."""
+    gt, ext = _gt(spark, d), _ext(spark, d)
+    out = None
+    for role in ("assistant", "system", "user"):
+        own = ext.where(F.col("slice") == role)
+        found = M.best_matches(gt, own)
+        one = M.prf(M.scored(found, "l", gt), M.scored(found, "r", own)).withColumn("slice", F.lit(role))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("anti_uncovered")
+def anti_uncovered(spark, d):
+    """User turns that no system turn of the conversation covers (partial ratio over 80)."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", "role", normalize("text").alias("text"))
+    good = x.where("role = 'system'").select("conv_id", F.col("text").alias("good"))
+    hit = x.where("role = 'user'").join(good, "conv_id").where(fuzzy.score("partial_ratio", "text", "good") > 80).select("conv_id", "turn")
+    return x.where("role = 'user'").join(hit, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "text")
+
+
+def _turns(spark, d):
+    """The sentences of a conversation's turns: one stream of items for each conversation."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.\\n]+")).alias("i", "t")).select("conv_id", (F.col("turn") * 10000 + F.col("i")).cast("long").alias("pos"), F.col("turn").alias("chunk"), F.trim("t").alias("text"))
+    return x.where(F.length("text") >= 20)
+
+
+def _pairs_of(name: str, same):
+    @query(name)
+    def run(spark, d):
+        x = _turns(spark, d).select("conv_id", "pos", "text")
+        y = x.select("conv_id", F.col("pos").alias("pos2"), F.col("text").alias("text2"))
+        check = F.pandas_udf(lambda a, b: a.combine(b, same), "boolean")
+        return x.join(y, "conv_id").where("pos < pos2").where(check("text", "text2")).select("conv_id", "pos", "pos2")
+
+
+for _name, _same in (("dup_pairs_clean", D.dup_clean), ("dup_pairs_v6", D.dup_v6), ("dup_pairs_aggregate", D.dup_aggregate)):
+    _pairs_of(_name, _same)
+
+
+def _dedup(name: str, rule: str, quality=None, norm=None):
+    @query(name)
+    def run(spark, d):
+        x = _turns(spark, d)
+        x = x.withColumn("quality", F.round(quality("text"), 9)) if quality else x
+        x = x.withColumn("text", norm("text")).where(F.length("text") >= 20) if norm else x
+        return D.dedup(x, rule, "conv_id").select("conv_id", "pos", "text", "kept_pos")
+
+
+_dedup("dedup_clean", "clean")
+_dedup("dedup_longest", "longest")
+_dedup("dedup_aggregate", "aggregate", norm=vlm_norm)
+_dedup("dedup_v6", "v6", quality_v6)
+_dedup("dedup_improve", "improve", quality_improve)
+_dedup("merge_chunks", "chunks", quality_merge)
+
+
+@query("dedup_counts")
+def dedup_counts(spark, d):
+    x = D.dedup(_turns(spark, d).withColumn("quality", F.round(quality_merge("text"), 9)), "chunks", "conv_id")
+    return x.groupBy("conv_id").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"), F.max("replaced").alias("replaced"))
+
+
+@query("merge_artifacts")
+def merge_artifacts(spark, d):
+    return D.merge_artifacts(_turns(spark, d), "conv_id")
+
+
+def _streams(spark, d):
+    """A conversation as one recognised stream: its turns' sentences joined by dashes, cycles closed by a marker."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    joined = F.array_join(F.transform(ordered, lambda t: F.regexp_replace(F.upper(t["text"]), "[.\\n]+ *", " - ")), " FOR MORE GO TO SITE.COM ")
+    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("stream")).agg(joined.alias("text"))
+
+
+@query("segment_news")
+def segment_news(spark, d):
+    return segment(_streams(spark, d)).select("stream", "id", "text")
+
+
+@query("segmentation_stats")
+def segmentation_stats(spark, d):
+    x = segment(_streams(spark, d))
+    return x.groupBy("stream").agg(F.count("*").alias("unique_items"), F.max("raw").alias("raw_items"), F.max("kept").alias("kept_items"), F.max("dropped").alias("dropped"), F.max("replaced").alias("replaced"), (F.max("raw") / F.count("*")).alias("cycles"), F.min(F.length("text")).alias("min_chars"), F.max(F.length("text")).alias("max_chars"))
+
+
+@query("improve_pipeline")
+def improve_pipeline(spark, d):
+    return improve(_streams(spark, d)).select("stream", "id", "text")

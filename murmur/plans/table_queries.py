@@ -1,0 +1,191 @@
+"""Queries over windows, geometry, aggregates, runs and set operations.
+
+Frames are events: a stream for each user, in the order of (ts, event_id). Windows are partitioned by the stream, so that
+none runs in a single task. Runs are conversations: conv_id the run, role the model, turn the unit of work.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from murmur.operators import geometry as G
+from murmur.operators import runs as R
+from murmur.plans.common import ITEMS, items, shared, table
+from murmur.plans.registry import query
+
+FRAMES = "(SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS pos FROM events)"
+OPEN = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+shared("sample_every_n", f"SELECT event_id, user_id, pos FROM {FRAMES} AS f WHERE pos % 5 = 0 AND value > 2")
+shared("assign_ids", f"SELECT event_id, user_id, pos + 1 AS id FROM {FRAMES} AS f")
+shared("batch_ids", f"SELECT event_id, user_id, CAST(floor(pos / 15) AS BIGINT) AS batch FROM {FRAMES} AS f")
+shared("confidence_filter", "SELECT event_id, event_type, value FROM events WHERE value / 10 > CASE event_type WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.5 ELSE 0.3 END")
+shared("confidence_stats", "SELECT event_type, round(avg(value) * 100, 6) AS avg_conf, min(value) * 100 AS min_conf, max(value) * 100 AS max_conf, round(percentile(value, 0.5) * 100, 6) AS median_conf FROM events GROUP BY event_type", "SELECT event_type, round(avg(value) * 100, 6) AS avg_conf, min(value) * 100 AS min_conf, max(value) * 100 AS max_conf, round(quantile_cont(value, 0.5) * 100, 6) AS median_conf FROM events GROUP BY event_type")
+shared("bucket_min_max", f"SELECT user_id, CAST(floor(pos / 8) AS BIGINT) AS bucket, min(value) AS low, max(value) AS high FROM {FRAMES} AS f GROUP BY user_id, CAST(floor(pos / 8) AS BIGINT) HAVING count(*) = 8")
+shared("fill_rate", "SELECT event_type, CAST(count(CASE WHEN value > 5 THEN 1 END) AS BIGINT) AS filled, count(*) AS total, count(CASE WHEN value > 5 THEN 1 END) / greatest(count(*), 1) AS rate FROM events GROUP BY event_type")
+shared("first_write_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) AS w WHERE r = 1")
+shared("delta_stats", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(percentile(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(quantile_cont(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id")
+shared("even_sample", f"SELECT DISTINCT user_id, pos FROM (SELECT f.*, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) AS k ON pos = CAST(floor(i * (n - 1) / 11) AS BIGINT)")
+shared("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 3) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
+shared("renumber_segments", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY chunk, ts, event_id) AS BIGINT) - 1 AS segment, secs + chunk * 3600 AS start_sec FROM (SELECT *, CAST(floor(event_id / 1000) AS BIGINT) AS chunk, event_id % 1000 AS secs FROM events) AS c")
+shared("ordered_concat", "SELECT user_id, listagg(event_type, ' ') WITHIN GROUP (ORDER BY ts, event_id) AS text FROM events GROUP BY user_id", "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id")
+shared("chunk_15min", "SELECT window.start AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY window(ts, '15 minutes')", "SELECT time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY 1")
+shared("sliding_windows", "SELECT window.start AS start, count(*) AS segments FROM events GROUP BY window(ts, '30 minutes', '15 minutes')", "SELECT start, count(*) AS segments FROM (SELECT unnest([time_bucket(INTERVAL '15 minutes', ts), time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes']) AS start FROM events) GROUP BY 1")
+shared("chunk_ranges", "SELECT p_partkey, i AS chunk, i * 7 AS start_pos, least((i + 1) * 7, p_size) AS end_pos FROM (SELECT p_partkey, p_size, explode(sequence(0, CAST(greatest(1, ceil(p_size / 7)) AS INT) - 1)) AS i FROM part)", "SELECT p_partkey, i::INT AS chunk, (i * 7)::INT AS start_pos, least((i + 1) * 7, p_size)::INT AS end_pos FROM (SELECT p_partkey, p_size, unnest(range(0, greatest(1, ceil(p_size / 7))::BIGINT)) AS i FROM part)")
+
+
+@query("tile_starts", "SELECT p_partkey, unnest(CASE WHEN w <= 3000 THEN [0] ELSE list_sort(list_distinct(list_concat(list_filter(range(0, w, 2000), lambda s: s + 3000 <= w), [w - 3000]))) END)::INT AS tile FROM (SELECT p_partkey, (p_size * 400)::BIGINT AS w FROM part)")
+def tile_starts(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(G.tile_starts(F.col("p_size") * 400, 3000, 1000)).alias("tile"))
+
+
+@query("overlap_center_band", """SELECT l_orderkey, l_linenumber, x, s AS slice FROM (SELECT l_orderkey, l_linenumber, x, w, unnest(starts) AS s, starts FROM (
+  SELECT *, list_filter(range(0, greatest(w, 1), 1500), lambda v: v = 0 OR w - v >= 500) AS starts FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 37 % 20000)::BIGINT AS x, 20000::BIGINT AS w FROM lineitem)))
+  WHERE x >= s AND x < s + 3000 AND (s = 0 OR x - s >= 750) AND (s = list_max(starts) OR x - s < 2250)""")
+def overlap_center_band(spark, d):
+    """Words at x on a strip 20,000 wide: the slices (3000 wide, every 1500, tail of 500 at least) whose centre band holds them."""
+    words = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 37 % 20000).alias("x"))
+    return G.center_band(words, "x", F.lit(20000).cast("long")).select("l_orderkey", "l_linenumber", "x", "slice")
+
+
+@query("interval_overlap_join", "SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, o_custkey * 100 AS a, o_custkey * 100 + o_orderkey % 300 AS b FROM orders) JOIN (SELECT p_partkey, p_partkey * 90 AS s, p_partkey * 90 + 100 AS e FROM part) ON b > s AND a < e")
+def interval_overlap_join(spark, d):
+    left = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 100).alias("a"), (F.col("o_custkey") * 100 + F.col("o_orderkey") % 300).alias("b"))
+    right = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 90).alias("s"), (F.col("p_partkey") * 90 + 100).alias("e"))
+    return G.interval_join(left, right, ("a", "b"), ("s", "e"), 400).select("o_orderkey", "p_partkey")
+
+
+@query("merge_ordered_tokens", "SELECT l_suppkey, string_agg(token, ' ' ORDER BY x, src, pos) AS text FROM (SELECT l_suppkey, l_partkey AS x, 0 AS src, l_orderkey * 10 + l_linenumber AS pos, l_returnflag AS token FROM lineitem UNION ALL SELECT s_suppkey, s_nationkey * 100, 1, s_suppkey, '-' FROM supplier) GROUP BY 1")
+def merge_ordered_tokens(spark, d):
+    words = table(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("x"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("token"))
+    marks = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_nationkey") * 100).cast("long").alias("x"), F.col("s_suppkey").alias("pos"), F.lit("-").alias("token"))
+    return G.merge_tokens([words, marks], "l_suppkey").select("l_suppkey", "text")
+
+
+SCROLL = f"(SELECT event_id, user_id, ts, CASE WHEN abs(d) < 0.3 THEN 0.0 ELSE coalesce(d, 0.0) END AS shift FROM (SELECT *, value - lag(value) {OPEN} AS d FROM events))"
+
+
+@query("scroll_offsets", f"SELECT event_id, user_id, round(shift, 6) AS shift, round(sum(shift) {OPEN}, 4) AS cumulative FROM {SCROLL}")
+def scroll_offsets(spark, d):
+    return G.offsets(table(spark, d, "events"), "user_id", ("ts", "event_id"), "value", 0.3).select("event_id", "user_id", F.round("shift", 6).alias("shift"), F.round("cumulative", 4).alias("cumulative"))
+
+
+@query("scroll_stats", f"SELECT user_id, round(sum(shift), 4) AS total, round(coalesce(avg(CASE WHEN shift <> 0 THEN shift END), 0), 6) AS mean_moved, count(CASE WHEN shift = 0 THEN 1 END) AS still, count(*) AS n FROM {SCROLL} GROUP BY user_id")
+def scroll_stats(spark, d):
+    x = G.offsets(table(spark, d, "events"), "user_id", ("ts", "event_id"), "value", 0.3)
+    moved = F.when(F.col("shift") != 0, F.col("shift"))
+    return x.groupBy("user_id").agg(F.round(F.sum("shift"), 4).alias("total"), F.round(F.coalesce(F.avg(moved), F.lit(0.0)), 6).alias("mean_moved"), F.count_if(F.col("shift") == 0).alias("still"), F.count("*").alias("n"))
+
+
+shared("dedup_exact", "SELECT min(doc_id) AS doc_id, upper(text) AS text FROM documents GROUP BY upper(text)", "SELECT min(doc_id) AS doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents GROUP BY 2")
+shared("distinct_ordered_union", "SELECT text, min(pos) AS pos FROM (SELECT text, doc_id AS pos FROM documents UNION ALL SELECT text, 1000000 + item_id FROM benchmark) AS u GROUP BY text")
+shared("union_all_tagged", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+shared("sort_longest", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, text, doc_id) AS INT) AS r FROM documents")
+shared("sort_chunk_len", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY size DESC, length(text) DESC, doc_id) AS INT) AS r FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source) AS size FROM documents) AS x")
+shared("sort_quality", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, abs(length(text) - 90), pos) AS INT) AS r FROM (SELECT d.doc_id, d.source, d.text, l.quality, d.doc_id AS pos FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id) AS x")
+shared("chunk_sizes", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY source")
+shared("adaptive_threshold", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS c WHERE n >= (SELECT greatest(10, CAST(floor(percentile(n, 0.5) / 3) AS BIGINT)) FROM (SELECT count(*) AS n FROM documents GROUP BY source) AS m)", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS c WHERE n >= (SELECT greatest(10, CAST(floor(quantile_cont(n, 0.5) / 3) AS BIGINT)) FROM (SELECT count(*) AS n FROM documents GROUP BY source) AS m)")
+
+CYCLES = """(SELECT *, n = 0 OR n = total - 1 AS edge, CASE WHEN k < 10 THEN k / 10 WHEN k > 35 THEN 35 / k ELSE 1.0 END * CASE WHEN n = 0 OR n = total - 1 THEN 0.3 ELSE 1.0 END * CASE WHEN len < 500 THEN 0.2 WHEN len > 4000 THEN 3000 / len ELSE 1.0 END AS score FROM (
+  SELECT doc_id, pos, text, length(text) AS len, (length(text) - length(replace(text, ', ', ''))) // 2 AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM (
+    SELECT doc_id, generate_subscripts(p, 1) AS pos, trim(unnest(p)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE length(text) > 100))"""
+
+
+def _cycles(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t")).select("doc_id", "pos", F.trim("t").alias("text")).where(F.length("text") > 100)
+    return G.scored_cycles(lines, "doc_id", ", ")
+
+
+@query("best_cycle", f"SELECT doc_id, n::BIGINT AS cycle, round(score::DOUBLE, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC) AS r FROM {CYCLES}) WHERE r = 1")
+def best_cycle(spark, d):
+    return _cycles(spark, d).where("rank = 1").select("doc_id", "cycle", F.round("score", 6).alias("score"))
+
+
+@query("topk_cycles", f"SELECT doc_id, r::INT AS rank, n::BIGINT AS cycle FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC) AS r FROM {CYCLES}) WHERE r <= 3")
+def topk_cycles(spark, d):
+    return _cycles(spark, d).where("rank <= 3").select("doc_id", "rank", "cycle")
+
+
+RUN = "(SELECT conv_id, role, turn, CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 7 = 6 THEN CAST('NaN' AS DOUBLE) ELSE length(text) / 10.0 END AS m FROM conversations)"
+CLEAN = "CASE WHEN isnan(m) THEN NULL ELSE m END"
+
+
+def _runs(spark, d):
+    x = table(spark, d, "conversations")
+    return x.select("conv_id", "role", "turn", F.when(F.col("turn") % 5 == 4, None).when(F.col("turn") % 7 == 6, F.lit(float("nan"))).otherwise(F.length("text") / F.lit(10.0)).alias("m"))
+
+
+@query("mean_std_runs", f"SELECT role, round(avg({CLEAN}), 6) AS mean, round(CASE WHEN count({CLEAN}) > 0 THEN coalesce(stddev_samp({CLEAN}), 0) END, 6) AS std, count({CLEAN}) AS n FROM {RUN} GROUP BY role")
+def mean_std_runs(spark, d):
+    """Without values, the mean and deviation are null here (NaN in reports)."""
+    x = _runs(spark, d).groupBy("role").agg(*R.mean_std("m"))
+    return x.select("role", F.round(F.nanvl("mean", F.lit(None)), 6).alias("mean"), F.round(F.nanvl("std", F.lit(None)), 6).alias("std"), "n")
+
+
+@query("variance_report", f"SELECT conv_id, role, round(coalesce(avg({CLEAN}), 0), 6) AS mean, round(coalesce(stddev_samp({CLEAN}), 0), 6) AS std, count({CLEAN}) AS n, CASE WHEN count({CLEAN}) < 3 THEN 'n<3' END AS note FROM {RUN} GROUP BY conv_id, role")
+def variance_report(spark, d):
+    x = R.variance_report(_runs(spark, d), ["conv_id", "role"], "m")
+    return x.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("two_level_rollup", f"SELECT role, round(avg(mean), 6) AS mean, count(*) AS n_runs FROM (SELECT role, conv_id, avg({CLEAN}) AS mean FROM {RUN} GROUP BY role, conv_id) GROUP BY role")
+def two_level_rollup(spark, d):
+    return R.two_level(_runs(spark, d), "role", "conv_id", "m").withColumn("mean", F.round("mean", 6))
+
+
+shared("macro_mean", f"SELECT turn, round(avg({CLEAN}), 6) AS mean FROM {RUN} AS r WHERE role IN ('user', 'assistant') GROUP BY turn")
+
+
+@query("leaderboard", "SELECT conv_id, row_number() OVER (PARTITION BY n_turns ORDER BY chars DESC, conv_id)::INT AS rank, n_turns, chars FROM (SELECT conv_id, count(*) AS n_turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id)")
+def leaderboard(spark, d):
+    x = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return R.leaderboard(x, "chars", ["n_turns"], ["conv_id"]).select("conv_id", "rank", "n_turns", "chars")
+
+
+STATUS = "(SELECT conv_id, role, turn, text, CASE WHEN turn % 4 = 3 THEN 'error' ELSE 'success' END AS status, CASE turn % 3 WHEN 0 THEN 'retry' WHEN 1 THEN 'original' ELSE 'chunked' END AS label FROM conversations)"
+
+
+def _status(spark, d):
+    x = table(spark, d, "conversations")
+    return x.withColumns({"status": F.when(F.col("turn") % 4 == 3, "error").otherwise("success"), "label": F.when(F.col("turn") % 3 == 0, "retry").when(F.col("turn") % 3 == 1, "original").otherwise("chunked")})
+
+
+shared("status_counts", f"SELECT role, count(CASE WHEN status = 'success' THEN 1 END) AS ok, count(CASE WHEN status <> 'success' THEN 1 END) AS failed FROM {STATUS} AS s GROUP BY role")
+shared("filter_success", f"SELECT conv_id, turn, text FROM {STATUS} AS s WHERE status = 'success' AND trim(text) <> ''")
+shared("having_coverage", f"SELECT conv_id, count(*) AS n FROM {STATUS} AS s WHERE status = 'success' GROUP BY conv_id HAVING count(*) >= 4")
+
+
+@query("merge_runs_latest_success", f"SELECT conv_id, role, turn, label, status FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY CASE WHEN status = 'success' THEN 1 ELSE 0 END DESC, label DESC, turn DESC) AS r FROM {STATUS}) WHERE r = 1")
+def merge_runs_latest_success(spark, d):
+    return R.latest_success(_status(spark, d), ["conv_id", "role"], precedence="label", tie="turn").select("conv_id", "role", "turn", "label", "status")
+
+
+@query("anti_resume", f"SELECT conv_id, turn FROM {STATUS} WHERE status <> 'success'")
+def anti_resume(spark, d):
+    """Units of work without a successful record; failed ones are tried again."""
+    units = table(spark, d, "conversations").select("conv_id", "turn")
+    return R.unfinished(units, _status(spark, d).withColumn("error", F.when(F.col("status") == "error", "x")), ["conv_id", "turn"])
+
+
+shared("cost_rollup", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS tokens, round(sum(l_extendedprice), 2) AS usd, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+shared("left_join_default", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id")
+shared("ordered_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+shared("pivot_variants", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'view' THEN 1 END) AS view_, count(CASE WHEN event_type = 'error' THEN 1 END) AS error FROM events GROUP BY user_id")
+shared("sample_first_n", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) AS x WHERE r <= 60")
+shared("cross_fanout", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+shared("semi_selected", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)")
+shared("removal_guard", "SELECT d.doc_id FROM documents AS d CROSS JOIN (SELECT count(CASE WHEN quality = 1 THEN 1 END) AS kept, count(*) AS total FROM labels) AS g LEFT JOIN labels AS l ON d.doc_id = l.doc_id WHERE kept * 2 < total OR coalesce(l.quality, 1) = 1")
+
+
+@query("zip_positional", "SELECT a.conv_id, a.n AS pos, a.text AS question, b.text AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n FROM conversations WHERE role = 'user') AS a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n FROM conversations WHERE role = 'assistant') AS b ON a.conv_id = b.conv_id AND a.n = b.n")
+def zip_positional(spark, d):
+    x = table(spark, d, "conversations")
+    side = lambda role, name: x.where(F.col("role") == role).select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1).cast("long").alias("pos"), F.col("text").alias(name))
+    return side("user", "question").join(side("assistant", "answer"), ["conv_id", "pos"])
+
+
+shared("scan_items", "SELECT doc_id AS id, trim(text) AS text FROM documents WHERE trim(text) <> ''")
+shared("scan_tiles_skip_errors", "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' AND get_json_object(props, '$.k') IS NOT NULL", "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL")
+shared("scan_nested_inline", "SELECT conv_id, x.turn AS turn, x.role AS role FROM (SELECT conv_id, explode(collect_list(named_struct('turn', turn, 'role', role))) AS x FROM conversations GROUP BY conv_id)", "SELECT conv_id, turn, role FROM conversations")
+shared("scan_chunk_docs", "SELECT source, CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) AS chunk, doc_id FROM documents WHERE trim(text) <> ''", "SELECT source, CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) AS chunk, doc_id FROM documents WHERE trim(text) <> ''")
