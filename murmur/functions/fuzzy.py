@@ -40,25 +40,36 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(token_sort(a), token_sort(b))
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with windows of the longer one, windows cut at both ends included."""
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """The best ratio of the shorter string with windows of the longer one, windows cut at both ends included.
+
+    With a floor, scores up to it may be given as the floor. A window moved by one gains one at most, so windows that
+    cannot beat the best so far are skipped; one cut shorter gains nothing.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
-        return 100.0 if not b else 0.0
-    best = _windows(a, b)
-    return max(best, _windows(b, a)) if len(a) == len(b) else best
-
-
-def _windows(a: str, b: str) -> float:
-    n, known, best = len(a), set(a), 0.0
-    spans = [(0, i) for i in range(1, n)] + [(i, i + n) for i in range(len(b) - n + 1)] + [(i, len(b)) for i in range(len(b) - n + 1, len(b))]
-    for i, j in spans:
-        # A best window ends (or, cut at the front, begins) with a character of the shorter string.
-        if (b[j - 1] if i + n >= j and j < len(b) or i == 0 else b[i]) in known or b[i] in known:
-            best = max(best, ratio(a, b[i:j]))
-            if best == 100.0:
+        return 100.0 if not b else floor
+    best = _windows(a, b, floor)
+    return _windows(b, a, best) if len(a) == len(b) else best
+
+
+def _windows(a: str, b: str, best: float) -> float:
+    n, i = len(a), 0
+    while i <= len(b) - n:
+        hits = lcs(a, b[i : i + n])
+        best = max(best, 100.0 * hits / n)
+        if best >= 100.0:
+            return best
+        i += max(1, int(best * n / 100) + 1 - hits)
+    for cut in (lambda k: b[:k], lambda k: b[len(b) - k :]):
+        k = n - 1
+        while k > 0:
+            hits = lcs(a, cut(k))
+            best = max(best, 200.0 * hits / (n + k))
+            if 200.0 * hits <= best * (n + hits):
                 break
+            k = min(k - 1, int(200.0 * hits / best - n))
     return best
 
 
@@ -85,14 +96,20 @@ def similarity(a: str, b: str) -> float:
 
 
 def error_counts(ref, hyp) -> tuple[int, int]:
-    """(edit distance, most hits among its optimal alignments)."""
-    row = [(j, 0) for j in range(len(hyp) + 1)]
-    for i, x in enumerate(ref, 1):
-        before, row = row, [(i, 0)]
-        for j, y in enumerate(hyp, 1):
-            options = [(before[j][0] + 1, before[j][1]), (row[j - 1][0] + 1, row[j - 1][1]), (before[j - 1][0], before[j - 1][1] - 1) if x == y else (before[j - 1][0] + 1, before[j - 1][1])]
-            row.append(min(options))
-    return row[-1][0], -row[-1][1]
+    """(edit distance, most hits among its optimal alignments), a row of the table at a time."""
+    known: dict = {}
+    y = np.array([known.setdefault(v, len(known)) for v in hyp], np.int64)
+    unit = 1 << 32  # a value is distance * unit - hits
+    ramp = np.arange(len(y) + 1, dtype=np.int64) * unit
+    row = ramp.copy()
+    for i, v in enumerate(ref, 1):
+        step = np.where(y == known.get(v, -1), -1, unit)
+        fresh = row + unit
+        fresh[0] = i * unit
+        np.minimum(fresh[1:], row[:-1] + step, out=fresh[1:])
+        row = np.minimum.accumulate(fresh - ramp) + ramp
+    distance = int(-(-row[-1] // unit))
+    return distance, int(distance * unit - row[-1])
 
 
 def stem(word: str) -> str:
@@ -177,10 +194,6 @@ def score(name: str, a: Column | str, b: Column | str) -> Column:
     return _udfs.setdefault(name, _pairwise(f))(a, b)
 
 
-def bag(texts: list[str]) -> np.ndarray:
-    """Character counts in 27 slots (a to z, others), case folded: sum of minima bounds the LCS from above."""
-    out = np.zeros((len(texts), 27), np.int32)
-    for i, t in enumerate(texts):
-        codes = np.frombuffer(t.lower().encode("utf-32-le"), np.uint32).astype(np.int64) - 97
-        out[i] = np.bincount(np.where((codes >= 0) & (codes < 26), codes, 26), minlength=27)
-    return out
+def partial_above(a: Column | str, b: Column | str, limit: float) -> Column:
+    """partial_ratio > limit, stopping at what decides it."""
+    return F.pandas_udf(lambda x, y: pd.Series([p is not None and q is not None and partial_ratio(p, q, limit) > limit for p, q in zip(x, y, strict=True)], dtype=bool), "boolean")(a, b)

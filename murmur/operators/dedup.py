@@ -29,7 +29,7 @@ def partial_over(a: str, b: str, limit: float) -> bool:
     if not short:
         return fuzzy.partial_ratio(a, b) > limit
     n = fuzzy.lcs(a, b)
-    return 200.0 * n / (short + n) > limit and fuzzy.partial_ratio(a, b) > limit
+    return 200.0 * n / (short + n) > limit and fuzzy.partial_ratio(a, b, limit) > limit
 
 
 def numbers(s: str) -> set[int]:
@@ -89,7 +89,7 @@ def dup_vlm(a: str, b: str) -> bool:
 
 def dup_aggregate(a: str, b: str) -> bool:
     """On normalised texts."""
-    return fuzzy.token_set_ratio(a, b) >= 80 or fuzzy.partial_ratio(a, b) >= 88
+    return fuzzy.token_set_ratio(a, b) >= 80 or fuzzy.partial_ratio(a, b, 87.9999999) >= 88
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,8 @@ def merge_artifacts(items: DataFrame, group: str) -> DataFrame:
                         second.add(y.pos)
             if first and second and first - second:
                 gone.append(x)
-        return pd.DataFrame({group: [x[list(d.columns).index(group)] for x in gone], "pos": [x.pos for x in gone], "text": [x.text for x in gone]})
+        at = d["pos"].isin([x.pos for x in gone])
+        return d.loc[at, [group, "pos", "text"]] if at.any() else pd.DataFrame({group: pd.Series([], dtype=d[group].dtype), "pos": pd.Series([], dtype="int64"), "text": pd.Series([], dtype=object)})
 
     kind = items.schema[group].dataType.simpleString()
     return items.select(group, "pos", "text").groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, text string")

@@ -86,10 +86,14 @@ def wer(ref_words: Column, hyp_words: Column) -> Column:
 
     One pair may hold up to 20,000 distinct words (the characters from U+4E00 on).
     """
-    both = F.array_distinct(F.concat(ref_words, hyp_words))
-    code = lambda w: F.array_join(F.transform(w, lambda x: F.decode(F.unhex(F.hex((F.array_position(both, x) + 0x4DFF).cast("long"))), "UTF-16BE")), "")
+    def distance(both: Column) -> Column:
+        code = lambda w: F.array_join(F.transform(w, lambda x: F.decode(F.unhex(F.hex((F.array_position(both, x) + 0x4DFF).cast("long"))), "UTF-16BE")), "")
+        return F.levenshtein(code(ref_words), code(hyp_words))
+
+    # A one-element array binds the dictionary, so that it is built once for each pair.
+    bound = F.transform(F.array(F.array_distinct(F.concat(ref_words, hyp_words))), distance)
     n = F.size(ref_words)
-    return F.when(n == 0, F.when(F.size(hyp_words) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(code(ref_words), code(hyp_words)) / n)
+    return F.when(n == 0, F.when(F.size(hyp_words) == 0, 0.0).otherwise(1.0)).otherwise(F.get(bound, F.lit(0)) / n)
 
 
 @F.pandas_udf("struct<wer double, cer double, mer double, wil double, ref_words int, hyp_words int, ref_chars int, hyp_chars int>")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.functions.fuzzy import partial_above
 from murmur.functions.quality import class_improve, cycle_score, garbage_v6, quality_improve, quality_v6
-from murmur.functions.text import clean_text, count_of, find_delimiter, split_cycles, split_minlen, strip_affixes, strip_affixes_dash
+from murmur.functions.text import clean_text, find_delimiter, split_cycles, split_minlen, strip_affixes, strip_affixes_dash
 from murmur.operators import dedup as D
 
 
@@ -48,9 +49,7 @@ def improve_pipeline(streams: DataFrame) -> DataFrame:
     x = parts.select("stream", (F.col("cycle") * 1_000_000 + F.col("i")).cast("long").alias("pos"), strip_affixes_dash("t").alias("text"))
     x = x.withColumns({"kind": class_improve("text"), "quality": quality_improve("text")})
     good, merged = (D.dedup(x.where(F.col("kind") == k), "improve", "stream").select("stream", "pos", "text") for k in ("good", "merged"))
-    from murmur.functions.fuzzy import score
-
-    covered = merged.join(good.select("stream", F.col("text").alias("g")), "stream").where(score("partial_ratio", F.lower("text"), F.lower("g")) > 80).select("stream", "pos").distinct()
+    covered = merged.join(good.select("stream", F.col("text").alias("g")), "stream").where(partial_above(F.lower("text"), F.lower("g"), 80)).select("stream", "pos").distinct()
     rest = merged.join(covered, ["stream", "pos"], "left_anti")
     last = D.dedup(good.unionByName(rest).withColumn("quality", quality_improve("text")), "improve", "stream")
     return last.withColumn("quality", quality_improve("text")).withColumn("id", F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("quality"), "kept_pos")))

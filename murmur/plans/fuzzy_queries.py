@@ -63,8 +63,7 @@ def wer(spark, d):
 
 @query("asr_metrics")
 def asr_metrics(spark, d):
-    """Over neighbouring user turns: the character level is quadratic in a text's length."""
-    return pairs(spark, d).where((F.length("a") < 1000) & (F.length("b") < 1000)).select("conv_id", "turn", M.asr_metrics("a", "b").alias("m")).select("conv_id", "turn", "m.*")
+    return pairs(spark, d).select("conv_id", "turn", M.asr_metrics("a", "b").alias("m")).select("conv_id", "turn", "m.*")
 
 
 def _tokens(spark, d):
@@ -74,19 +73,19 @@ def _tokens(spark, d):
 def _rouge_sql(n: int) -> str:
     grams = lambda t: f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
     token = lambda c: f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    return f"""SELECT conv_id, turn, round(CASE WHEN hits > 0 THEN 2 * hits / (nx + ny) ELSE 0.0 END, 6) AS v FROM (
+    return f"""SELECT conv_id, turn, round(CASE WHEN hits > 0 THEN 2 * hits / (nx + ny) ELSE 0.0 END, 9) AS v FROM (
       SELECT conv_id, turn, len(x) AS nx, len(y) AS ny, coalesce(list_sum(list_transform(list_intersect(list_distinct(x), list_distinct(y)), lambda g: least(len(list_filter(x, lambda h: h = g)), len(list_filter(y, lambda h: h = g))))), 0) AS hits FROM (
         SELECT conv_id, turn, {grams('x')} AS x, {grams('y')} AS y FROM (SELECT conv_id, turn, {token('a')} AS x, {token('b')} AS y FROM {PAIRS})))"""
 
 
 @query("rouge_1", _rouge_sql(1))
 def rouge_1(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 1), 6).alias("v"))
+    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 1), 9).alias("v"))
 
 
 @query("rouge_2", _rouge_sql(2))
 def rouge_2(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 2), 6).alias("v"))
+    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 2), 9).alias("v"))
 
 
 @query("rouge_l")
@@ -110,12 +109,12 @@ def greedy_cosine_match(spark, d):
 
         if not len(one) or not len(two):
             return pd.DataFrame({"label": [], "recall": []}).astype({"label": "int32", "recall": "float64"})
-        a, b = (np.stack(x["e"].tolist()) for x in (one, two))
+        a, b = np.array([list(v) for v in one["e"]], float), np.array([list(v) for v in two["f"]], float)
         a, b = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (a, b))
         best = np.concatenate([(a[i : i + 256] @ b.T).max(1) for i in range(0, len(a), 256)])
         return pd.DataFrame({"label": [int(key[0])], "recall": [float(best.mean())]})
 
-    other = e.select((F.col("label") - 1).alias("l"), F.col("e"), F.col("vec_id"))
+    other = e.select((F.col("label") - 1).alias("l"), F.col("e").alias("f"))
     return e.groupBy("label").cogroup(other.groupBy("l")).applyInPandas(run, "label int, recall double").select("label", F.round("recall", 6).alias("recall"))
 
 
@@ -198,7 +197,7 @@ def anti_uncovered(spark, d):
     """User turns that no system turn of the conversation covers (partial ratio over 80)."""
     x = table(spark, d, "conversations").select("conv_id", "turn", "role", normalize("text").alias("text"))
     good = x.where("role = 'system'").select("conv_id", F.col("text").alias("good"))
-    hit = x.where("role = 'user'").join(good, "conv_id").where(fuzzy.score("partial_ratio", "text", "good") > 80).select("conv_id", "turn")
+    hit = x.where("role = 'user'").join(good, "conv_id").where(fuzzy.partial_above("text", "good", 80)).select("conv_id", "turn")
     return x.where("role = 'user'").join(hit, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "text")
 
 

@@ -27,7 +27,7 @@ shared("fill_rate", "SELECT event_type, CAST(count(CASE WHEN value > 5 THEN 1 EN
 shared("first_write_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) AS w WHERE r = 1")
 shared("delta_stats", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(percentile(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(quantile_cont(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id")
 shared("even_sample", f"SELECT DISTINCT user_id, pos FROM (SELECT f.*, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) AS k ON pos = CAST(floor(i * (n - 1) / 11) AS BIGINT)")
-shared("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 3) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
+shared("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 9) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
 shared("renumber_segments", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY chunk, ts, event_id) AS BIGINT) - 1 AS segment, secs + chunk * 3600 AS start_sec FROM (SELECT *, CAST(floor(event_id / 1000) AS BIGINT) AS chunk, event_id % 1000 AS secs FROM events) AS c")
 shared("ordered_concat", "SELECT user_id, listagg(event_type, ' ') WITHIN GROUP (ORDER BY ts, event_id) AS text FROM events GROUP BY user_id", "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id")
 shared("chunk_15min", "SELECT window.start AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY window(ts, '15 minutes')", "SELECT time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY 1")
