@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded, read, shared_dir
+from murmur.llm.common import bounded, free, read, shared_dir
 
 # The kinds in their order, and their patterns. The first three are the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -63,16 +63,24 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """(blob, text) to ledger rows."""
+    """(blob, text t, copied) to ledger rows, one for each blob: rows that repeat both id and text meet in one task, which
+    remembers the copied blobs that it has scanned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()
         for batch in batches:
+            new = []
+            for blob, copied in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                new.append(not copied or blob.as_py() not in done)
+                if copied:
+                    done.add(blob.as_py())
+            batch = batch.filter(pa.array(new, pa.bool_()))
             found = [spans(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([RULES] * len(rows), pa.string()), pa.array(rows, kind)], ["blob", "rules", "spans"])
 
-    return blobs.select("blob", "t").mapInArrow(run, LEDGER)
+    return blobs.select("blob", "t", "copied").mapInArrow(run, LEDGER)
 
 
 LEDGER = "blob binary, rules string, spans array<struct<kind:string,start:bigint,end:bigint>>"
@@ -88,11 +96,11 @@ def update_ledger(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col
     bounded(spark)
     t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary"))
     paths = docs.select(F.col(id_col).alias("id"), t.alias("t")).withColumn("blob", F.unhex(F.sha2("t", 256)))
-    carriers = paths.groupBy("blob").agg(F.min("id").alias("carrier"))
+    carriers = paths.groupBy("blob").agg(F.min("id").alias("carrier"), (F.count("*") > 1).alias("copied"))
     if (seen := read_ledger(spark, ledger)) is not None:
         carriers = carriers.join(seen.where(F.col("rules") == RULES).select("blob").distinct(), "blob", "left_anti")
     carriers = carriers.withColumnRenamed("blob", "b").hint("shuffle_hash")
-    unseen = paths.join(carriers, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("blob") == F.col("b")), "left_semi")
+    unseen = paths.join(carriers, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("blob") == F.col("b")))
     scan_blobs(unseen).write.parquet(f"{ledger}/batch={uuid.uuid4().hex}")
 
 
@@ -144,9 +152,10 @@ def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", t
 
         return pd.Series(out, dtype=object)
 
-    hits = rows.where(F.size("__spans") > 0)
-    both = docs.withColumn("__blob", blob).join(hits, "__blob", "left")
-    return both.withColumn(text_col, F.when(F.col("__spans").isNotNull(), cut(text_col, "__spans")).otherwise(F.col(text_col))).select(*docs.columns)
+    x = free(docs)
+    hits = rows.where(F.size("__spans") > 0).select(F.col("__blob").alias(f"{x}blob"), F.col("__spans").alias(f"{x}spans"))
+    both = docs.withColumn(f"{x}own", blob).join(hits, F.col(f"{x}own") == F.col(f"{x}blob"), "left")
+    return both.withColumn(text_col, F.when(F.col(f"{x}spans").isNotNull(), cut(text_col, f"{x}spans")).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
