@@ -47,6 +47,14 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def free(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def remainder(column: str, by: int) -> Column:
     """crc32 of the id written as text, modulo by (null ids count as 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by, F.lit(0)).cast("int")

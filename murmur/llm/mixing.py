@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import read, written
+from murmur.llm.common import free, read, written
 
 # Weights, repeating over the sources in order.
 WEIGHTS = (3, 1, 2)
@@ -130,21 +130,25 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Decisions follow from each row and the per-source table, so that texts are not shuffled.
     """
-    keys = {f"__{k}": v for k, v in _keys(docs, id_col, text_col, source_col, blocks, seed).items()}
-    rows = written(docs.select(*(v.alias(k[2:]) for k, v in keys.items())), "mix-rows")
-    plan = written(quotas(rows, weights, share, most), "mix-quotas").withColumnRenamed("source", "s")
-    plan = _small(plan, BROADCAST_SOURCES).select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
-    both = docs.withColumns(keys).join(plan, F.col("__source").eqNullSafe(F.col("__s")), "left")
-    part = (F.col("__block") < F.col("__cut_block")) | ((F.col("__block") == F.col("__cut_block")) & ((F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (2 * F.col("__cut_words") >= F.col("__size")))))
-    copies = F.when(F.col("__size") > 0, F.col("__passes") + F.coalesce(part, F.lit(False)).cast("int")).otherwise(0)
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    x = free(docs)
+    keys = {f"{x}{k}": v for k, v in _keys(docs, id_col, text_col, source_col, blocks, seed).items()}
+    rows = written(docs.select(*(v.alias(k[len(x) :]) for k, v in keys.items())), "mix-rows")
+    plan = _small(written(quotas(rows, weights, share, most), "mix-quotas"), BROADCAST_SOURCES)
+    plan = plan.select(*(F.col(c).alias(f"{x}p_{c}") for c in plan.columns))
+    of = lambda c: F.col(f"{x}{c}")
+    both = docs.withColumns(keys).join(plan, of("source").eqNullSafe(of("p_source")), "left")
+    half = (of("key") == of("p_cut_key")) & (2 * of("p_cut_words") >= of("size"))
+    part = (of("block") < of("p_cut_block")) | ((of("block") == of("p_cut_block")) & ((of("key") < of("p_cut_key")) | half))
+    copies = F.when(of("size") > 0, of("p_passes") + F.coalesce(part, F.lit(False)).cast("int")).otherwise(0)
+    return both.withColumn(f"{x}copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def sharded(docs: DataFrame, mix_rows: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """Rows of docs, one for each copy drawn, with `shard`, shuffled within their shard by a seeded hash."""
-    copies = mix_rows.select(F.col(id_col).alias("__id"), F.posexplode("shards").alias("copy", "shard"))
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    return out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", "copy", id_col), id_col)
+    x = free(docs)
+    copies = mix_rows.select(F.col(id_col).alias(f"{x}id"), F.posexplode("shards").alias(f"{x}copy", f"{x}shard"))
+    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(f"{x}id"))).drop(f"{x}id")
+    return out.repartition(f"{x}shard").sortWithinPartitions(f"{x}shard", F.xxhash64(F.lit(seed), f"{x}shard", f"{x}copy", id_col), id_col).withColumnRenamed(f"{x}shard", "shard").drop(f"{x}copy")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -15,5 +15,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where: C
     if where is not None:
         some = some.where(where)
     some = some.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col("text"))
-    return texts.join(F.broadcast(some), F.col("__id") == F.col("id")).select("id", "label", "text")
+    texts = docs.select(F.col(id_col).alias("own"), F.col("text"))
+    return texts.join(F.broadcast(some), F.col("own") == F.col("id")).select("id", "label", "text")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded, read, shuffles, utf8, written
+from murmur.llm.common import bounded, free, read, shuffles, utf8, written
 from murmur.llm.graph import components
 
 #: Words in a shingle, seed of the hash, differing bits that still link.
@@ -178,9 +178,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts meet the ids that stay in a hash join, unsorted; rows are only compared among themselves if ids repeat.
     """
     groups = near_duplicates(docs, id_col, text_col, size, bits, seed)
-    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")), "simhash-first")
-    kept = docs.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if first.where("__n > 1").limit(1).count() else kept
+    own, n = f"{free(docs)}id", f"{free(docs)}n"
+    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias(n)), "simhash-first")
+    kept = docs.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
+    return kept.dropDuplicates([id_col]) if first.where(F.col(n) > 1).limit(1).count() else kept
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
