@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions import fuzzy
 
@@ -96,7 +97,7 @@ def wer(ref_words: Column, hyp_words: Column) -> Column:
     return F.when(n == 0, F.when(F.size(hyp_words) == 0, 0.0).otherwise(1.0)).otherwise(F.get(bound, F.lit(0)) / n)
 
 
-@F.pandas_udf("struct<wer double, cer double, mer double, wil double, ref_words int, hyp_words int, ref_chars int, hyp_chars int>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("wer", "cer", "mer", "wil")] + [T.StructField(c, T.IntegerType()) for c in ("ref_words", "hyp_words", "ref_chars", "hyp_chars")]))
 def asr_metrics(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Word and character error rates, match error rate and word information lost."""
     out = []
@@ -118,7 +119,7 @@ def rouge_n(tokens_ref: Column, tokens_hyp: Column, n: int) -> Column:
     return f1(share(shared, F.size(b)), share(shared, F.size(a)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """F of the longest common subsequence of two token arrays."""
     out = []
@@ -130,7 +131,7 @@ def rouge_l(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: None if t is None else [fuzzy.stem(w) for w in t])
 
