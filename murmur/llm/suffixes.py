@@ -13,6 +13,9 @@ so the anchor depends on S(t) alone: equal strings have their anchors at equal o
 4. In a run, the LENGTH-byte strings of all starts are hashed by one rolling sum, sorted, and equal neighbours compared
    byte by byte. Repeated starts give spans, which join back to the documents.
 
+A gram that occurs more than HOT times (boilerplate in a share of all documents) would make one run that no splitter
+cuts. Its starts take another exact way: digests of their LENGTH-byte strings are counted by an aggregate and joined back.
+
 Identical surroundings of an anchor, in one batch, are merged before the shuffle (one row with all its places), so
 copies and periodic texts cost one row per batch. The hash of an anchor decides only what is compared, never a result;
 two different texts of one id with equal 64-bit hashes would share spans, nothing else is left to chance.
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from murmur.llm.common import bounded, pieces, read, shuffles, utf8, written
 
 LENGTH, GRAM, WINDOW, LEAD = 400, 128, 256, 16
+#: Occurrences of a gram from which on its starts are compared by digest.
+HOT = 100_000
 #: Anchors of one in so many grams give their leading bytes to the sample, which holds at most SAMPLE of them.
 SAMPLED, SAMPLE = 256, 20_000
 #: Bytes of text worked on at once.
@@ -210,25 +215,35 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)), *keys.columns, pa.array(np.concatenate(n), pa.int32()), pa.array(lead, pa.binary())], ["f", "id", "h", "n", "lead"])
 
     found = written(rows.mapInArrow(grams, f"f long, id {kind}, h long, n int, lead binary"), "suffix-grams")
-    often = written(found.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f"), "suffix-repeated")
+    often = written(found.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-repeated")
+    hot = often.where(F.col("n") > HOT).select("f")
+    often = often.where(F.col("n") <= HOT).select("f")
     sample = found.where("lead is not null").join(often, "f", "left_semi").select("f", "lead").distinct().orderBy(F.xxhash64("f"), "lead").limit(SAMPLE).collect()
     parts = shuffles(spark)
     leads = sorted(bytes(r.lead) for r in sample)
     splitters = sorted({leads[len(leads) * k // (4 * parts)] for k in range(1, 4 * parts)}) if leads else []
-    wanted = found.join(often, "f", "left_semi").groupBy("id", "h").agg(F.collect_set("f").alias("fs"))
-    wanted = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "fs").hint("shuffle_hash")
-    some = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
+
+    def having(grams: DataFrame) -> DataFrame:
+        """(id, h, t, fs): the texts in which some of these grams occur, with those grams."""
+        wanted = found.join(grams, "f", "left_semi").groupBy("id", "h").agg(F.collect_set("f").alias("fs"))
+        wanted = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "fs").hint("shuffle_hash")
+        return rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).select("id", "h", "t", "fs")
+
+    def places_of(text: bytes, fs: pa.ListScalar) -> Iterator[tuple[int, int, int]]:
+        """(anchor, first start, last start) of the wanted grams in a text."""
+        want = np.sort(fs.values.to_numpy().view(np.uint64))
+        at, hashes, first, last = anchors(np.frombuffer(text, np.uint8))
+        place = np.minimum(np.searchsorted(want, hashes), len(want) - 1)
+        for k in np.flatnonzero(want[place] == hashes).tolist():
+            yield int(at[k]), int(first[k]), int(last[k])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
             for i, (t, fs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                text, want = t.as_py(), np.sort(fs.values.to_numpy().view(np.uint64))
-                at, hashes, first, last = anchors(np.frombuffer(text, np.uint8))
-                place = np.minimum(np.searchsorted(want, hashes), len(want) - 1)
-                for k in np.flatnonzero(want[place] == hashes).tolist():
-                    a = int(first[k])
-                    held.setdefault((text[a : int(last[k]) + LENGTH], int(at[k]) - a), []).append((i, a))
+                text = t.as_py()
+                for anchor, a, b in places_of(text, fs):
+                    held.setdefault((text[a : b + LENGTH], anchor - a), []).append((i, a))
             for group in pieces(iter(held.items()), lambda x: len(x[0][0]) + 24 * len(x[1]), 8 << 20):
                 refs = [r for _, r in group]
                 keys = batch.select(["id", "h"]).take(pa.array([i for r in refs for i, _ in r], pa.int64()))
@@ -237,7 +252,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 bucket = [bisect.bisect_right(splitters, c[k : k + LEAD]) for (c, k), _ in group]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([c for (c, _), _ in group], pa.binary()), pa.array([k for (_, k), _ in group], pa.int32()), places], ["bucket", "context", "left", "places"])
 
-    suffixes = some.select("id", "h", "t", "fs").mapInArrow(cut, f"bucket int, context binary, left int, places array<struct<id:{kind},h:bigint,start:bigint>>")
+    suffixes = having(often).mapInArrow(cut, f"bucket int, context binary, left int, places array<struct<id:{kind},h:bigint,start:bigint>>")
     dealt = suffixes.repartition(max(parts, 1), "bucket")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +282,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keys = pa.concat_arrays(out[0])
                 yield pa.RecordBatch.from_arrays([keys.field("id"), keys.field("h"), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["id", "h", "start", "end"])
 
-    return dealt.mapInArrow(solve, f"id {kind}, h long, start long, end long")
+    spans = dealt.mapInArrow(solve, f"id {kind}, h long, start long, end long")
+    if not hot.limit(1).count():
+        return spans
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (t, fs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                text = t.as_py()
+                starts = [p for _, a, b in places_of(text, fs) for p in range(a, b + 1)]
+                keys = batch.select(["id", "h"]).take(pa.array([i] * len(starts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([hashlib.sha256(text[p : p + LENGTH]).digest() for p in starts], pa.binary()), pa.array(starts, pa.int64())], ["id", "h", "digest", "start"])
+
+    each = written(having(hot).mapInArrow(digests, f"id {kind}, h long, digest binary, start long"), "suffix-digests")
+    twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    return spans.union(each.join(twice, "digest", "left_semi").select("id", "h", "start", F.col("start") + LENGTH))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -72,7 +72,9 @@ def test_bpe_equals_tiktoken(spark, docs, everything):
     assert sorted(map(str, by_id(back).items())) == sorted(map(str, by_id(docs.select("doc_id", F.coalesce("text", F.lit("")))).items()))
 
 
-def test_suffixes_equal_brute_force(docs, everything):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3, 1])
+def test_suffixes_equal_brute_force(docs, everything, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     seen = collections.Counter((t or "").encode()[p : p + 400] for _, t, *_ in everything for p in range(len((t or "").encode()) - 399))
     got = by_id(suffixes.remove_repeats(docs))
     assert sum(map(len, got.values())) == len(everything)
