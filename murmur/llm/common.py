@@ -64,10 +64,6 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def total_bytes(texts: list[bytes | None]) -> int:
-    return sum(len(x) for x in texts if x)
-
-
 def pieces(items: Iterator, weigh, most: int) -> Iterator[list]:
     """Items in lists of at most so much weight (one heavier item is a list of its own)."""
     held, weight = [], 0

@@ -117,22 +117,17 @@ def expression(text: str) -> tuple[set[str], bool, bool]:
 
     The longest run of tokens that parses counts, so that prose after an expression does no harm.
     """
-    tokens = []
-    end = 0
+    tokens, end = [], 0
     for m in TOKEN.finditer(text):
         if text[end : m.start()].strip(" \t"):
             break
         tokens.append(m[0].rstrip(".:") or m[0])
         end = m.end()
-    whole = len(tokens)
     while tokens:
         try:
-            labels, free = evaluate(postfix(tokens))
+            return (found := evaluate(postfix(tokens)))[0], True, found[1]
         except Malformed:
             tokens.pop()
-            continue
-        operand_after = whole > len(tokens) and (whole == len(tokens) + 1)
-        return labels, not operand_after or text[end:].strip() != "", free
     return set(), False, False
 
 
