@@ -41,7 +41,7 @@ LENGTH, GRAM, WINDOW, LEAD = 400, 128, 256, 16
 #: Occurrences of a gram from which on its starts are compared by digest.
 HOT = 100_000
 #: Anchors of one in so many grams give their leading bytes to the sample, which holds at most SAMPLE of them.
-SAMPLED, SAMPLE = 256, 20_000
+SAMPLED, SAMPLE = 16, 20_000
 #: Bytes of text worked on at once.
 BLOCK = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
