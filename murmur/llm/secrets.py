@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded, free, read, shared_dir
+from murmur.llm.common import bounded, free, read, shared_dir, written
 
 # The kinds in their order, and their patterns. The first three are the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -118,6 +118,7 @@ def _scanned(docs: DataFrame, ledger: str | None, id_col: str, text_col: str):
     ledger = ledger or f"{shared_dir(spark)}/murmur/ledger-{uuid.uuid4().hex}"
     update_ledger(docs, ledger, id_col, text_col)
     rows = read_ledger(spark, ledger).where(F.col("rules") == RULES).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
+    rows = written(rows, "ledger-rows")  # a plain table on its side of the join lets adaptive execution split a hot blob
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"").cast("binary")), 256))
     return rows, blob
 
