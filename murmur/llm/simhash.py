@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = components(links(least, bits))
     class_of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = class_of.groupBy("root").agg(F.min("first").alias("component"))
+    class_of = written(class_of.select("fp", "first", "root"), "simhash-classes")
+    ids = written(class_of.groupBy("root").agg(F.min("first").alias("component")), "simhash-roots")
     of_fp = written(class_of.join(ids, "root").select(F.col("fp").alias("f"), "component"), "simhash-components")
     return fps.join(of_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
 
