@@ -17,7 +17,7 @@ from murmur.operators import dedup as D
 from murmur.operators import matching as M
 from murmur.operators.segment import improve_pipeline as improve
 from murmur.operators.segment import segment_news as segment
-from murmur.plans.common import ITEMS, items, table, wordlist
+from murmur.plans.common import table, wordlist
 from murmur.plans.registry import query
 
 PLAIN = "regexp_replace(text, '[^ -~]', '?', 'g')"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators import geometry as G
 from murmur.operators import runs as R
-from murmur.plans.common import ITEMS, items, shared, table
+from murmur.plans.common import shared, table
 from murmur.plans.registry import query
 
 FRAMES = "(SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS pos FROM events)"
