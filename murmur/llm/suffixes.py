@@ -13,8 +13,7 @@ so the anchor depends on S(t) alone: equal strings have their anchors at equal o
 4. In a run, the LENGTH-byte strings of all starts are hashed by one rolling sum, sorted, and equal neighbours compared
    byte by byte. Repeated starts give spans, which join back to the documents.
 
-A gram that occurs more than HOT times (boilerplate in a share of all documents) would make one run that no splitter
-cuts. Its starts take another exact way: digests of their LENGTH-byte strings are counted by an aggregate and joined back.
+A gram in more than HOT documents (boilerplate in a share of all of them) would make one run that no splitter cuts. Its starts take another exact way: digests of their LENGTH-byte strings are counted by an aggregate and joined back.
 
 Identical surroundings of an anchor, in one batch, are merged before the shuffle (one row with all its places), so
 copies and periodic texts cost one row per batch. The hash of an anchor decides only what is compared, never a result;
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 from murmur.llm.common import bounded, pieces, read, shuffles, utf8, written
 
 LENGTH, GRAM, WINDOW, LEAD = 400, 128, 256, 16
-#: Occurrences of a gram from which on its starts are compared by digest.
-HOT = 100_000
+#: Documents with a gram beyond which its starts are compared by digest.
+HOT = 50_000
 #: Anchors of one in so many grams give their leading bytes to the sample, which holds at most SAMPLE of them.
 SAMPLED, SAMPLE = 16, 20_000
 #: Bytes of text worked on at once.
@@ -215,9 +214,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f).view(np.int64)), *keys.columns, pa.array(np.concatenate(n), pa.int32()), pa.array(lead, pa.binary())], ["f", "id", "h", "n", "lead"])
 
     found = written(rows.mapInArrow(grams, f"f long, id {kind}, h long, n int, lead binary"), "suffix-grams")
-    often = written(found.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-repeated")
-    hot = often.where(F.col("n") > HOT).select("f")
-    often = often.where(F.col("n") <= HOT).select("f")
+    often = written(found.groupBy("f").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("n > 1"), "suffix-repeated")
+    hot = often.where(F.col("docs") > HOT).select("f")
+    often = often.where(F.col("docs") <= HOT).select("f")
     sample = found.where("lead is not null").join(often, "f", "left_semi").select("f", "lead").distinct().orderBy(F.xxhash64("f"), "lead").limit(SAMPLE).collect()
     parts = shuffles(spark)
     leads = sorted(bytes(r.lead) for r in sample)
@@ -292,7 +291,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text = t.as_py()
                 starts = [p for _, a, b in places_of(text, fs) for p in range(a, b + 1)]
                 keys = batch.select(["id", "h"]).take(pa.array([i] * len(starts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([hashlib.sha256(text[p : p + LENGTH]).digest() for p in starts], pa.binary()), pa.array(starts, pa.int64())], ["id", "h", "digest", "start"])
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([hashlib.blake2b(text[p : p + LENGTH], digest_size=16).digest() for p in starts], pa.binary()), pa.array(starts, pa.int64())], ["id", "h", "digest", "start"])
 
     each = written(having(hot).mapInArrow(digests, f"id {kind}, h long, digest binary, start long"), "suffix-digests")
     twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
