@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from murmur.functions.text import col, count_class, replace, words
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once (a one-element array holds it), however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _letters(w: Column) -> Column:
     return replace(w, "[^a-zA-Z]", "")
 
 
 def quality_v6(c) -> Column:
     """Capitals (0.4), real words (0.4), length (0.2); 0 under 15 characters or without letters."""
-    w, n, alpha = words(c), F.length(col(c)), count_class(c, "\\p{Alpha}")
-    real = F.size(F.filter(w, lambda x: (F.length(x) >= 3) & (count_class(x, "\\p{Alpha}") / F.length(x) > 0.7)))
+    n, alpha = F.length(col(c)), count_class(c, "\\p{Alpha}")
+    real = lambda w: F.size(F.filter(w, lambda x: (F.length(x) >= 3) & (count_class(x, "\\p{Alpha}") / F.length(x) > 0.7))) / F.size(w)
     length = F.when(n < 30, 0.5).when(n > 200, 0.6).otherwise(1.0)
-    return F.when((n < 15) | (alpha == 0) | (F.size(w) == 0), F.lit(0.0)).otherwise(count_class(c, "\\p{Lu}") / alpha * 0.4 + real / F.size(w) * 0.4 + length * 0.2)
+    score = lambda a: count_class(c, "\\p{Lu}") / a * 0.4 + bind(words(c), real) * 0.4 + length * 0.2
+    return F.when(n < 15, F.lit(0.0)).otherwise(bind(alpha, lambda a: F.when(a == 0, F.lit(0.0)).otherwise(score(a))))
 
 
 def _good(x: Column, vowels_from: int, run_from: int, longest: int | None) -> Column:
@@ -30,28 +36,38 @@ def _good(x: Column, vowels_from: int, run_from: int, longest: int | None) -> Co
     return ~(bad | (n > longest)) if longest else ~bad
 
 
-def _word_share(c, vowels_from: int, run_from: int, longest: int | None) -> tuple[Column, Column, Column]:
-    w = words(c)
-    spelled = F.filter(F.transform(w, _letters), lambda x: x != "")
-    return F.size(F.filter(spelled, lambda x: _good(x, vowels_from, run_from, longest))), F.size(spelled), w
+def _shares(c, vowels_from: int, run_from: int, longest: int | None, f) -> Column:
+    """f(struct of good, scored, n_words, last): words judged good, words with letters, all words, letters of the last one."""
+
+    def of(w: Column) -> Column:
+        spelled = F.filter(F.transform(w, _letters), lambda x: x != "")
+        return bind(spelled, lambda s: F.struct(F.size(F.filter(s, lambda x: _good(x, vowels_from, run_from, longest))).alias("good"), F.size(s).alias("scored"), F.size(w).alias("n_words"), F.length(_letters(F.element_at(w, -1))).alias("last")))
+
+    return bind(bind(words(c), lambda w: F.when(F.size(w) > 0, of(w))), f)
 
 
 def quality_merge(c) -> Column:
     """0.6 good words + 0.4 length - penalty for a clipped end; 0 under 20 characters, 3 words or without letters."""
-    good, scored, w = _word_share(c, 4, 5, None)
-    n, last = F.length(col(c)), F.length(_letters(F.element_at(w, -1)))
-    penalty = F.when(((last <= 2) & (last > 0)) | col(c).endswith("-") | col(c).endswith(","), 0.05).otherwise(0.0)
+    n = F.length(col(c))
     length = F.when(n < 40, 0.3).when(n <= 120, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (n - 120) / 200))
-    return F.when((n < 20) | (F.size(w) < 3) | (scored == 0), F.lit(0.0)).otherwise(good / scored * 0.6 + length * 0.4 - penalty)
+
+    def score(x: Column) -> Column:
+        penalty = F.when(x["last"].between(1, 2) | col(c).endswith("-") | col(c).endswith(","), 0.05).otherwise(0.0)
+        return F.when((x["n_words"] >= 3) & (x["scored"] > 0), x["good"] / x["scored"] * 0.6 + length * 0.4 - penalty).otherwise(F.lit(0.0))
+
+    return F.when(n < 20, F.lit(0.0)).otherwise(_shares(c, 4, 5, None, score))
 
 
 def quality_improve(c) -> Column:
     """0.5 good words + 0.5 length - 0.1 for a scrap at the end; at least 0; 0 under 35 characters or 3 words."""
-    good, scored, w = _word_share(c, 5, 6, 16)
-    n, last = F.length(col(c)), F.length(_letters(F.element_at(w, -1)))
+    n = F.length(col(c))
     length = F.when(n < 40, 0.3).when(n < 50, 0.6).when(n <= 130, 1.0).when(n <= 150, 0.7).when(n <= 180, 0.4).otherwise(0.2)
-    score = good / F.greatest(scored, F.lit(1)) * 0.5 + length * 0.5 - F.when(last <= 2, 0.1).otherwise(0.0)
-    return F.when((n < 35) | (F.size(w) < 3), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score))
+
+    def score(x: Column) -> Column:
+        raw = x["good"] / F.greatest(x["scored"], F.lit(1)) * 0.5 + length * 0.5 - F.when(x["last"] <= 2, 0.1).otherwise(0.0)
+        return F.when(x["n_words"] >= 3, F.greatest(F.lit(0.0), raw)).otherwise(F.lit(0.0))
+
+    return F.when(n < 35, F.lit(0.0)).otherwise(_shares(c, 5, 6, 16, score))
 
 
 def cycle_score(n_delimiters: Column, n_chars: Column, edge: Column) -> Column:

@@ -134,7 +134,7 @@ def json_array_extract(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.json_strings(F.expr(JSON_IN)), "/").alias("v"))
 
 
-@query("json_object_fallback")
+@query("json_object_fallback", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || '/z' ELSE role || ' a line of more than twenty characters' END AS v FROM conversations")
 def json_object_fallback(spark, d):
     x = F.when(F.col("turn") % 2 == 0, F.expr("concat('{\"items\": [\"', role, '\", \"z\"]}')")).otherwise(F.expr("concat('- ', role, ' a line of more than twenty characters,', chr(10), 'short')"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.json_strings_or_object(x), "/").alias("v"))
