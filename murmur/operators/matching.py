@@ -47,7 +47,9 @@ def best_matches(left: DataFrame, right: DataFrame) -> DataFrame:
         yield pd.DataFrame([("l", lid, rid, s) for lid, (s, rid) in best.items()], columns=["side", "id", "other", "score"])
 
     n = right.sparkSession.sparkContext.defaultParallelism
-    found = right.select("id", "text").where("text is not null").repartition(n).mapInPandas(run, "side string, id long, other long, score double")
+    rows = right.select("id", "text").where("text is not null")
+    rows = rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows  # a small table in few files leaves cores idle
+    found = rows.mapInPandas(run, "side string, id long, other long, score double")
     return found.groupBy("side", "id").agg(F.max_by(F.struct("other", "score"), F.struct(F.col("score"), -F.col("other"))).alias("b")).select("side", "id", "b.other", "b.score")
 
 
