@@ -25,12 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="murmur-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        _own[:] = _own or [tempfile.mkdtemp(prefix="murmur-")]
+        at = _own[0]
     return at.rstrip("/")
 
 
