@@ -164,25 +164,39 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """(id, fp, component) for each document: the smallest id reachable over links."""
     fps = written(fingerprints(docs, id_col, text_col, size, seed), "simhash-fps")
+    of_fp = groups(fps, bits).select("f", "component")
+    return fps.join(of_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def groups(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(f, root, component) for each fingerprint of fps (id, fp): the smallest fingerprint and the smallest id reachable over links."""
     least = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = components(links(least, bits))
     class_of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     class_of = written(class_of.select("fp", "first", "root"), "simhash-classes")
     ids = written(class_of.groupBy("root").agg(F.min("first").alias("component")), "simhash-roots")
-    of_fp = written(class_of.join(ids, "root").select(F.col("fp").alias("f"), "component"), "simhash-components")
-    return fps.join(of_fp, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
+    return written(class_of.join(ids, "root").select(F.col("fp").alias("f"), "root", "component"), "simhash-components")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id. Of rows with the same id, one stays.
+    """One row of each group of near-duplicates: that with the smallest id (null only where all are), of several texts with
+    that id the one with the smallest hash, of equal texts any one. Groups are told apart by their root, not by an id.
 
-    Texts meet the ids that stay in a hash join, unsorted; rows are only compared among themselves if ids repeat.
+    Texts meet the (id, hash) pairs that stay in a hash join, unsorted; rows are only compared among themselves if a pair
+    that stays repeats.
     """
-    groups = near_duplicates(docs, id_col, text_col, size, bits, seed)
-    own, n = f"{free(docs)}id", f"{free(docs)}n"
-    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias(n)), "simhash-first")
-    kept = docs.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
-    return kept.dropDuplicates([id_col]) if first.where(F.col(n) > 1).limit(1).count() else kept
+    x = free(docs)
+    digest = F.unhex(F.sha2(utf8(text_col), 256))
+    pairs = docs.select(F.struct(F.col(id_col).alias("id"), digest.alias("h")).alias("id"), F.col(text_col).alias("t"))
+    fps = written(fingerprints(pairs, "id", "t", size, seed).select("id.id", "id.h", "fp"), "simhash-fps")
+    own = fps.join(groups(fps, bits), F.col("fp") == F.col("f")).where(F.col("id").eqNullSafe(F.col("component")))
+    own = own.groupBy("root", "id", "h").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("h", "id", "n")).alias("one"))
+    first = written(own.select(*(F.col(f"one.{c}").alias(f"{x}{c}") for c in ("id", "h", "n"))), "simhash-first")
+    both = docs.withColumn(f"{x}own", digest)
+    kept = both.join(first.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(f"{x}id")) & (F.col(f"{x}own") == F.col(f"{x}h")), "left_semi")
+    if first.where(F.col(f"{x}n") > 1).limit(1).count():
+        kept = kept.dropDuplicates([id_col, f"{x}own"])
+    return kept.select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -359,3 +359,14 @@ def test_representatives(docs, everything):
     found = [r.doc_id for r in kept.select("doc_id").collect()]
     least = {r.component for r in simhash.near_duplicates(docs).collect()}
     assert sorted(map(str, found)) == sorted(map(str, least)) and kept.columns == docs.columns
+
+
+def test_representatives_are_of_groups_not_of_ids(spark):
+    rng = np.random.default_rng(3)
+    prose = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(8)]
+    data = [(None, prose[k]) for k in range(3)] + [(None, prose[3]), (4, prose[3])]  # null ids: three groups of their own, one with an id
+    data += [(1, prose[4]), (1, prose[5]), (0, prose[5]), (2, prose[4])]  # id 1 is smallest in one group and in another is not
+    data += [(6, prose[6]), (6, prose[7]), (6, prose[7])]  # two groups with the same smallest id, one of repeated rows
+    kept = simhash.representatives(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
+    want = [(None, prose[0]), (None, prose[1]), (None, prose[2]), (4, prose[3]), (1, prose[4]), (0, prose[5]), (6, prose[6]), (6, prose[7])]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
