@@ -3,12 +3,12 @@
 Vectors are turned into integers and assigned to the nearest of a few pivots (the vectors with the smallest hashes of
 their ids). Summaries of the cells (count, radius, smallest distances) and of the query groups (radius, largest norm)
 bound every score: for q in a group with pivot p' and radius u, and x at distance d from its pivot p,
-|<q, x> - <p', p>| <= u |p| + |q| d. The k-th best of the lower bounds is a threshold that k candidates reach; a cell is
-joined with a query group, and one of its vectors copied to that group, only if its upper bound reaches the threshold.
+|<q, x> - <p', p>| <= u |p| + |q| d. The best lower bounds of k + 1 distinct ids (a query's own id is one of them at most)
+give a threshold that k candidates reach, however often ids repeat; a cell is joined with a query group, and one of its vectors copied to that group, only if its upper bound reaches the threshold.
 Groups are then solved locally (one matrix product for each piece) and merged.
 
-Cells and query groups are cut into slices of bounded size by a hash of the id, so that a common vector, however often
-it occurs, does not meet in one task. Only summaries come to the driver: at most PIVOTS rows and PIVOTS * (k + 1)
+Cells and query groups are cut into slices of bounded size by a hash of a row number, so that a common vector or id,
+however often it occurs, does not meet in one task. Only summaries come to the driver: at most PIVOTS rows and PIVOTS * (k + 1)
 distances; the plan of pairs has at most PIVOTS ** 2 rows and is broadcast.
 
 In many dimensions the bounds are loose and most cells pass: the join then costs |queries| * |data| products, as any
@@ -106,18 +106,19 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
             d = np.sqrt(((x - centres[cell]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d), pa.array(np.sqrt((x**2).sum(1)))], ["id", "v", "cell", "d", "norm"])
 
-    cells = written(ready.mapInArrow(assign, "id long, v binary, cell int, d double, norm double"), "topk-cells")
+    cells = written(ready.mapInArrow(assign, "id long, v binary, cell int, d double, norm double").withColumn("row", F.monotonically_increasing_id()), "topk-cells")
     query = F.col("id") % every == 0
-    near = cells.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("r")).where(F.col("r") <= k + 1).collect()
+    nearest = cells.groupBy("cell", "id").agg(F.min("d").alias("d"))
+    near = nearest.select("cell", "id", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id")).alias("r")).where(F.col("r") <= k + 1).collect()
     sums = {r.cell: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.count(F.when(query, 1)).alias("nq"), F.max(F.when(query, F.col("d"))).alias("u"), F.max(F.when(query, F.col("norm"))).alias("norm")).collect()}
-    plan = pairs(centres, sums, [(r.cell, r.d) for r in near], k)
+    plan = pairs(centres, sums, [(r.cell, r.id, r.d) for r in near], k)
     if not plan:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
     plan = F.broadcast(spark.createDataFrame(plan, "qcell int, cell int, upper double, norm double, least double, slices int, qslices int"))
-    place = lambda n: F.pmod(F.xxhash64(F.lit(1), "id"), F.col(n)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64(F.lit(1), "row"), F.col(n)).cast("int")
     data = cells.drop("norm").join(plan, "cell").where(F.col("upper") + F.col("norm") * F.col("d") >= F.col("least"))
     data = data.select("qcell", "cell", place("slices").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("qslices") - 1)).alias("qslice"), "id", "v")
-    asked = cells.where(query).select(F.col("cell").alias("qcell"), "id", "v").join(plan, "qcell")
+    asked = cells.where(query).select(F.col("cell").alias("qcell"), "id", "v", "row").join(plan, "qcell")
     asked = asked.select(F.col("qcell").alias("a"), place("qslices").alias("b"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("e"), F.col("id").alias("query"), F.col("v").alias("q"))
 
     def solve(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -130,7 +131,7 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def pairs(centres: np.ndarray, sums: dict, near: list[tuple[int, float]], k: int) -> list[tuple]:
+def pairs(centres: np.ndarray, sums: dict, near: list[tuple[int, int, float]], k: int) -> list[tuple]:
     """(query cell, cell, upper bound without the vector's own distance, largest query norm, threshold, slices) of the pairs to join."""
     out = []
     for a, own in sums.items():
@@ -138,7 +139,11 @@ def pairs(centres: np.ndarray, sums: dict, near: list[tuple[int, float]], k: int
             continue
         dots, norms = centres @ centres[a], np.sqrt((centres**2).sum(1))
         slack = 1e-6 * (1 + np.abs(dots).max() + own.u * norms.max() + own.norm * max(s.radius for s in sums.values()))
-        low = sorted((dots[c] - own.u * norms[c] - own.norm * d for c, d in near), reverse=True)
+        of_id: dict[int, float] = {}
+        for c, i, d in near:
+            bound = float(dots[c] - own.u * norms[c] - own.norm * d)
+            of_id[i] = max(bound, of_id.get(i, bound))
+        low = sorted(of_id.values(), reverse=True)
         least = float(low[k] - slack) if len(low) > k else -np.inf
         for c, s in sums.items():
             upper = float(dots[c] + own.u * norms[c])

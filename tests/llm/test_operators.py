@@ -269,6 +269,16 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_repeated_query_id(spark):
+    data = [(100, [1.0 + i % 3 / 100, 0.0]) for i in range(300)] + [(i, [-1.0, i % 5 / 100]) for i in range(1001, 1700) if i % 100]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    v = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in data]
+    want = sorted((-int(a @ b), j) for i, a in v[:3] for j, b in v if j != i)
+    want = [(100, r + 1, i, -s) for r, (s, i) in enumerate(sorted(want * 100)[:10])]
+    for pivots in (None, len(data)):
+        assert sorted(map(tuple, topk.top_k(df, pivots=pivots).collect())) == want
+
+
 def stats(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
