@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree; DataFrame functions only.
 
-A source's documents are permuted by a hash of their ids and cut into blocks (hash ranges). A source's target gives its
+A source's documents are permuted by a hash of their ids and texts and cut into blocks (hash ranges). A source's target gives its
 quota: whole passes over all its blocks, then the first blocks in permuted order up to a cut, found from block sums and,
 within the one block that the cut falls in, from a running sum; the document at the cut gives as many of its first words
 as are missing. So quotas are met to the word, and no window ever holds more than one block of one source.
@@ -13,8 +13,8 @@ The tree runs over sources x blocks x 2 rows at most, whatever the number of doc
 sums are shuffled, after partial aggregation. Nothing is collected.
 
 Cases: null texts have size 0; sources go by code point, null last, and a null source is a source like any other;
-sources without words have target 0; repeated ids are separate documents with one hash (at the cut they share what is
-missing); no documents give no rows; extra columns are dropped by the query and kept by mixed().
+sources without words have target 0; repeated ids are separate documents, apart by their texts; rows that repeat both have one
+hash, and at the cut they fill what is missing one after the other; no documents give no rows; extra columns are dropped by the query and kept by mixed().
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, blocks: int, seed: int) -> dict[str, Column]:
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     return {"source": F.col(source_col), "size": word_count(text_col), "key": key, "block": F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(blocks - 1)).cast("int")}
 
 
@@ -78,7 +78,7 @@ def quotas(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = M
     inside = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("cut_block"))).groupBy("s", "cut_block", "left", "key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("ties"))
     order = Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     at = inside.withColumn("upto", F.sum("words").over(order)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-    at = at.select("s", "cut_block", F.col("key").alias("cut_key"), F.floor((F.col("left") - F.col("upto") + F.col("words")) / F.col("ties")).cast("long").alias("cut_words"))
+    at = at.select("s", "cut_block", F.col("key").alias("cut_key"), (F.col("left") - F.col("upto") + F.col("words")).alias("cut_words"), "ties")
     return sources.join(at, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
 
 
@@ -98,11 +98,21 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _taken(most: int) -> dict[str, Column]:
-    before = (F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.col("key") < F.col("cut_key")))
-    at = (F.col("block") == F.col("cut_block")) & (F.col("key") == F.col("cut_key"))
-    part = F.when(before, F.col("size")).when(at, F.least("size", "cut_words")).otherwise(F.lit(0)).cast("long")
-    return {"taken": F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.coalesce(part, F.lit(0))).otherwise(0).cast("long")}
+def _cut(rows: DataFrame, tied: bool, x: str = "") -> DataFrame:
+    """Rows joined with their source's quota, with `part`: the words that the pass cut short takes of each (before the cut
+    all, at the cut what is missing). Where rows tie at a cut, these alone are ranked, and fill it one after the other."""
+    of = lambda c: F.col(f"{x}{c}")
+    here = F.coalesce((of("block") == of("cut_block")) & (of("key") == of("cut_key")), F.lit(False))
+    before = (of("block") < of("cut_block")) | ((of("block") == of("cut_block")) & (of("key") < of("cut_key")))
+    left = of("cut_words") - (F.coalesce(F.sum(of("size")).over(Window.partitionBy(of("source")).orderBy(of("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if tied else 0)
+    at = lambda df: df.withColumn(f"{x}part", F.when(here, F.greatest(F.lit(0), F.least(of("size"), left))).when(before, of("size")).otherwise(F.lit(0)).cast("long"))
+    if not tied:
+        return at(rows)
+    return at(rows.where(here)).union(rows.where(~here).withColumn(f"{x}part", F.when(before, of("size")).otherwise(F.lit(0)).cast("long")))
+
+
+def _ties(plan: DataFrame) -> bool:
+    return plan.where(F.col("ties") > 1).limit(1).count() > 0
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
@@ -110,7 +120,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = written(docs.select(F.col(id_col).alias("id"), *(v.alias(k) for k, v in _keys(docs, id_col, text_col, source_col, blocks, seed).items())), "mix-rows")
     plan = written(quotas(rows, weights, share, most), "mix-quotas")
     per_source = _small(plan.withColumnRenamed("source", "s"), BROADCAST_SOURCES)
-    out = rows.join(per_source, F.col("source").eqNullSafe(F.col("s")), "left").withColumns(_taken(most))
+    out = _cut(rows.join(per_source, F.col("source").eqNullSafe(F.col("s")), "left"), _ties(plan))
+    out = out.withColumn("taken", F.when(F.col("size") > 0, F.col("passes") * F.col("size") + F.col("part")).otherwise(0).cast("long"))
     shards = deal(rows, plan, levels, seed).groupBy(F.col("source").alias("s2"), F.col("block").alias("b2")).agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("all"))
     out = out.join(shards, F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")), "left")
     copies = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
@@ -128,18 +139,18 @@ def deal(rows: DataFrame, plan: DataFrame, levels: int = LEVELS, seed: int = SEE
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix itself: whole rows of docs, as often as drawn (the one at a source's cut if half of it or more is drawn).
 
-    Decisions follow from each row and the per-source table, so that texts are not shuffled.
+    Decisions follow from each row and the per-source table, so that texts are not shuffled, but for equal rows at a cut.
     """
     x = free(docs)
     keys = {f"{x}{k}": v for k, v in _keys(docs, id_col, text_col, source_col, blocks, seed).items()}
     rows = written(docs.select(*(v.alias(k[len(x) :]) for k, v in keys.items())), "mix-rows")
-    plan = _small(written(quotas(rows, weights, share, most), "mix-quotas"), BROADCAST_SOURCES)
-    plan = plan.select(*(F.col(c).alias(f"{x}p_{c}") for c in plan.columns))
+    plan = written(quotas(rows, weights, share, most), "mix-quotas")
+    tied = _ties(plan)
+    plan = _small(plan, BROADCAST_SOURCES)
+    plan = plan.select(*(F.col(c).alias(f"{x}of" if c == "source" else f"{x}{c}") for c in plan.columns))
     of = lambda c: F.col(f"{x}{c}")
-    both = docs.withColumns(keys).join(plan, of("source").eqNullSafe(of("p_source")), "left")
-    half = (of("key") == of("p_cut_key")) & (2 * of("p_cut_words") >= of("size"))
-    part = (of("block") < of("p_cut_block")) | ((of("block") == of("p_cut_block")) & ((of("key") < of("p_cut_key")) | half))
-    copies = F.when(of("size") > 0, of("p_passes") + F.coalesce(part, F.lit(False)).cast("int")).otherwise(0)
+    both = _cut(docs.withColumns(keys).join(plan, of("source").eqNullSafe(of("of")), "left"), tied, x)
+    copies = F.when(of("size") > 0, of("passes") + (2 * of("part") >= of("size")).cast("int")).otherwise(0)
     return both.withColumn(f"{x}copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 

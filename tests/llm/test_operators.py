@@ -257,6 +257,20 @@ def test_splitting_tree_is_exact_and_disjoint(spark):
     assert sum(r["count"] for r in got) == 103 and {r["count"] for r in got} <= {12, 13, 14} and len(got) == 8
 
 
+def test_mixing_cuts_repeated_ids_row_by_row(spark):
+    sizes = [1000] + [10] * 99
+    for same in (False, True):  # null ids with texts apart; then rows that repeat everything
+        data = [(None, " ".join([f"w{0 if same else i}"] * (20 if same else n)), "a") for i, n in enumerate(sizes)]
+        docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+        total = sum(len(t.split()) for _, t, _ in data)
+        got = mixing.mix(docs, share=0.7525).collect()
+        assert len(got) == 100 and sum(r.taken for r in got) == round(total * 0.7525)
+        assert all(r.taken <= r["size"] for r in got) and sum(0 < r.taken < r["size"] for r in got) <= 1
+        kept = sum(len(r.text.split()) for r in mixing.mixed(docs, share=0.7525).collect())
+        cut = [r for r in got if 0 < r.taken < r["size"]]
+        assert kept == sum(r.taken if r.taken in (0, r["size"]) else r["size"] * (2 * r.taken >= r["size"]) for r in got), cut
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     data = [(int(i), [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(350)] + [(i, [0.5] * 6) for i in range(400, 460)]
