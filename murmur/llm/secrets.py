@@ -28,11 +28,14 @@ from murmur.llm.common import bounded, free, read, shared_dir, written
 
 # The kinds in their order, and their patterns. The first three are the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: What follows a key's BEGIN line: all up to its END line, or else only base64 (headers may precede it, a short line ends it).
+BODY = r"(?:(?!-----(?:BEGIN|END)).)*-----END [A-Z ]*PRIVATE KEY-----"
+BASE64 = r"(?:(?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info):[^\n]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:(?<=[A-Za-z0-9+/])[\x20\t]*(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}={0,2}(?=\s*(?:\n|\Z)|\\n))?"
 KINDS = {
     "assign": ASSIGN,
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{24,}",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----END).)*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    "pem": rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{BODY}|{BASE64})",
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
