@@ -6,9 +6,12 @@ text finds identifier tags. What follows a tag on its line is an expression of l
 "with" and parentheses ("with" binds closest, then "and", then "or"); Dijkstra's shunting-yard algorithm turns it into
 postfix form, which is evaluated to the set of its labels and to the permissions that any one choice leaves.
 
-score: 0 without findings; 0.5 with notice phrases only; 0.75 with an expression that does not parse; 1 with one that
-does.  labels: those of phrases, and of identifiers in expressions (lower case; "+" kept; an exception after "with" is
-"id with exception").
+An expression is read in one pass, up to its line's end, the next tag or the first word that is no known identifier, so
+time is linear in the text however long a line is.
+
+score: 0 without findings; 0.5 with notice phrases only; 0.75 with a tag that no expression of known identifiers follows;
+1 with one that does.  labels: those of phrases, and of identifiers in expressions (lower case; "+" kept; an exception
+after "with" is "id with exception").
 
 Cases: null and empty texts have no words and no labels (score 0); texts are scanned whole; repeated rows give repeated
 rows; extra columns are dropped.
@@ -54,81 +57,110 @@ NOT_WORD = bytes(32 if not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else c
 TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
+# Licence identifiers (lower case; "-only", "-or-later" and "+" may follow) and exceptions that "with" may add.
+IDS = frozenset(
+    """0bsd aal afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 beerware blueoak-1.0.0
+    bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc0-1.0 cc-by-1.0 cc-by-2.0
+    cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0
+    cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0
+    hpnd icu ijg ipl-1.0 isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libtiff lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa
+    odbl-1.0 ofl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat unicode-3.0 unicode-dfs-2016 unlicense
+    upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1""".split()
+)
+LATER = re.compile(r"(?:\+|-only|-or-later)\Z")
+OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+\Z")
+EXCEPTION = re.compile(r"[a-z0-9.-]*exception(?:-[0-9.]+)?\Z")
+
 
 class Malformed(ValueError):
     pass
 
 
-def postfix(tokens: list[str]) -> list[str]:
-    """Shunting-yard: infix to postfix; Malformed where operands and operators do not alternate or parentheses do not pair."""
+def known(word: str) -> bool:
+    """Whether a word is a licence identifier: one of IDS, a later version of one, or a reference to a text of one's own."""
+    return word in IDS or LATER.sub("", word) in IDS or OWN.match(word) is not None
+
+
+def postfix(tokens: list[str], prefix: bool = False) -> list[str]:
+    """Shunting-yard in one pass: infix to postfix; Malformed where operands and operators do not alternate, parentheses do
+    not pair, or "with" stands elsewhere than between two single operands.
+
+    prefix: of the longest run of leading tokens that is complete, [] if there is none. The pass remembers what its two
+    stacks held where the expression was last complete, so that nothing is parsed twice.
+    """
     out: list[str] = []
     held: list[str] = []
-    operand_next = True
+    complete: tuple[int, list[str]] = (0, [])
+    wants, depth, single = True, 0, False  # an operand next; open parentheses; the last operand may take an exception
     for t in tokens:
+        ok = wants == (t == "(" or t != ")" and t not in BINDS) and not (t == "(" and held and held[-1] == "with") and not (t == ")" and not depth) and not (t == "with" and not single)
+        if not ok:
+            if prefix:
+                break
+            raise Malformed(t)
         if t == "(":
-            if not operand_next:
-                raise Malformed(t)
             held.append(t)
+            depth += 1
         elif t == ")":
-            if operand_next:
-                raise Malformed(t)
-            while held and held[-1] != "(":
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                raise Malformed(t)
             held.pop()
+            depth, single = depth - 1, False
         elif t in BINDS:
-            if operand_next:
-                raise Malformed(t)
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[t]:
                 out.append(held.pop())
             held.append(t)
-            operand_next = True
+            wants = True
         else:
-            if not operand_next:
-                raise Malformed(t)
             out.append(t)
-            operand_next = False
-    if operand_next or "(" in held:
+            wants, single = False, not (held and held[-1] == "with")
+        if not wants and not depth:
+            complete = len(out), held[::-1]
+    if prefix:
+        return out[: complete[0]] + complete[1] if complete[0] else []
+    if wants or depth:
         raise Malformed("end")
     return out + held[::-1]
 
 
 def evaluate(rpn: list[str]) -> tuple[set[str], bool]:
     """The labels of a postfix expression, and whether some choice of its "or" branches is free of copyleft."""
-    stack: list[tuple[set[str], bool]] = []
+    labels: set[str] = set()
+    stack: list[tuple[str | None, bool]] = []  # an identifier on its own, or None for a compound; free of copyleft
     for t in rpn:
         if t not in BINDS:
-            stack.append(({t}, not t.startswith(COPYLEFT)))
+            stack.append((t, not t.startswith(COPYLEFT)))
             continue
         (right, right_free), (left, left_free) = stack.pop(), stack.pop()
         if t == "with":
-            if len(left) != 1 or len(right) != 1 or " with " in f"{[*left][0]}{[*right][0]}":
-                raise Malformed(t)
-            stack.append(({f"{[*left][0]} with {[*right][0]}"}, left_free))
+            stack.append((f"{left} with {right}", left_free))
         else:
-            stack.append((left | right, left_free or right_free if t == "or" else left_free and right_free))
-    (only,) = stack
-    return only
+            labels.update(x for x in (left, right) if x)
+            stack.append((None, left_free or right_free if t == "or" else left_free and right_free))
+    ((last, free),) = stack
+    return labels | {last} if last else labels, free
 
 
 def expression(text: str) -> tuple[set[str], bool, bool]:
     """Of what follows a tag: labels, whether it parses, whether a choice is free of copyleft.
 
-    The longest run of tokens that parses counts, so that prose after an expression does no harm.
+    Tokens end at the first word that is no identifier, exception or operator; the longest run of them that is a complete
+    expression counts, so that prose after an expression does no harm and prose alone is no licence.
     """
-    tokens, end = [], 0
+    tokens, end, before = [], 0, ""
     for m in TOKEN.finditer(text):
         if text[end : m.start()].strip(" \t"):
             break
-        tokens.append(m[0].rstrip(".:") or m[0])
-        end = m.end()
-    while tokens:
-        try:
-            return (found := evaluate(postfix(tokens)))[0], True, found[1]
-        except Malformed:
-            tokens.pop()
-    return set(), False, False
+        t = m[0].rstrip(".:") or m[0]
+        if t not in BINDS and t not in "()" and not (EXCEPTION.match(t) if before == "with" else known(t)):
+            break
+        tokens.append(t)
+        end, before = m.end(), t
+    rpn = postfix(tokens, True)
+    if not rpn:
+        return set(), False, False
+    labels, free = evaluate(rpn)
+    return labels, True, free
 
 
 def _automaton(words) -> ahocorasick.Automaton:
@@ -158,8 +190,9 @@ def scan(text: bytes, phrases: ahocorasick.Automaton, tags: ahocorasick.Automato
             base.add(label)
     parsed = free = None
     found = list(tags.iter(lower.decode("latin-1")))
-    for end, _ in found:
-        stop = min((x for x in (lower.find(b"\n", end), lower.find(b"\r", end)) if x >= 0), default=len(lower))
+    for k, (end, _) in enumerate(found):  # an expression ends with its line, or where the next tag begins
+        stop = found[k + 1][0] - len(found[k + 1][1]) + 1 if k + 1 < len(found) else len(lower)
+        stop = min((x for x in (lower.find(b"\n", end, stop), lower.find(b"\r", end, stop)) if x >= 0), default=stop)
         more, ok, liberal = expression(lower[end + 1 : stop].decode("utf-8", "replace"))
         labels |= more
         parsed = ok if parsed is None else parsed or ok
