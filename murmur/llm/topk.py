@@ -1,8 +1,9 @@
 """Exact top-k by integer inner product: a Voronoi kNN join.
 
 Vectors are turned into integers and assigned to the nearest of a few pivots (the vectors with the smallest hashes of
-their ids). Summaries of the cells (count, radius, smallest distances) and of the query groups (radius, largest norm)
-bound every score: for q in a group with pivot p' and radius u, and x at distance d from its pivot p,
+their ids); queries are grouped by fewer of them, as many as there are query slices, so that a vector is copied once for
+each QUERIES queries at most, however many cells there are. Summaries of the cells (count, radius, smallest distances) and
+of the query groups (radius, largest norm) bound every score: for q in a group with pivot p' and radius u, and x at distance d from its pivot p,
 |<q, x> - <p', p>| <= u |p| + |q| d. The best lower bounds of k + 1 distinct ids (a query's own id is one of them at most)
 give a threshold that k candidates reach, however often ids repeat; a cell is joined with a query group, and one of its vectors copied to that group, only if its upper bound reaches the threshold.
 Groups are then solved locally (one matrix product for each piece) and merged.
@@ -14,8 +15,8 @@ distances; the plan of pairs has at most PIVOTS ** 2 rows and is broadcast.
 In many dimensions the bounds are loose and most cells pass: the join then costs |queries| * |data| products, as any
 exact method does, spread evenly.
 
-Cases: vectors that are null, or hold null or non-finite components, or ones beyond 64 bits, take no part, nor do null
-ids; a shorter vector counts as padded with zeros; ties go to the smaller id; a row is no candidate of queries with its
+Cases: vectors that are null, or hold null or non-finite components, or ones beyond 62 bits, take no part, nor do null
+ids; scores that do not fit into 64 bits are given, and ranked, as the nearest number that does; a shorter vector counts as padded with zeros; ties go to the smaller id; a row is no candidate of queries with its
 own id; rows with a repeated id are candidates each; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from murmur.llm.common import bounded, read, written
 
 #: Most pivots; vectors in a slice of a cell; queries in a slice of a group; queries multiplied at once.
-PIVOTS, SLICE, QUERIES, BLOCK = 256, 20_000, 2_000, 128
+PIVOTS, SLICE, QUERIES, BLOCK = 256, 20_000, 20_000, 128
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def integers(values: list[float | None] | None, scale: float) -> np.ndarray | None:
@@ -53,12 +55,12 @@ def stack(packed: list[bytes], dim: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where every partial sum is below 2 ** 53, else in Python's integers."""
+    """Exact inner products, held within 64 bits: in floating point where every partial sum is below 2 ** 53, else in Python's integers."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)), np.int64)
     if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
         return (q.astype(float) @ x.astype(float).T).astype(np.int64)
-    return (q.astype(object) @ x.astype(object).T).astype(np.int64)
+    return np.clip(q.astype(object) @ x.astype(object).T, _LOW, _HIGH).astype(np.int64)
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,10 +70,10 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         own = slice(at, at + BLOCK)
         s = products(q[own], x)
         allowed = q_ids[own, None] != ids[None, :]
-        s = np.where(allowed, s, np.iinfo(np.int64).min)
-        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), np.iinfo(np.int64).min)
+        s = np.where(allowed, s, _LOW)
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), _LOW)
         rows, cols = np.nonzero((s >= least[:, None]) & allowed)
-        order = np.lexsort((ids[cols], -s[rows, cols], rows))
+        order = np.lexsort((ids[cols], ~s[rows, cols], rows))
         rows, cols = rows[order], cols[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         rows, cols = rows[rank < k], cols[rank < k]
@@ -94,31 +96,38 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     dim = longest // 8
     if not n:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    query = F.col("id") % every == 0
     count = pivots or max(1, min(PIVOTS, round(math.sqrt(n) / 14)))
     centres = np.unique(stack([r.v for r in ready.orderBy(F.xxhash64("id"), "id").limit(count).collect()], dim), axis=0).astype(float)
+    groups = min(len(centres), -(-ready.where(query).count() // QUERIES)) or 1
+    heads = np.linspace(0, len(centres) - 1, groups).round().astype(int)  # the pivots that queries are grouped by
+
+    def nearest_of(x: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = ((some**2).sum(1) - 2 * x @ some.T).argmin(1)
+        return at, np.sqrt(((x - some[at]) ** 2).sum(1))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = stack(batch.column(1).to_pylist(), dim).astype(float)
             if not len(x):
                 continue
-            cell = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-            d = np.sqrt(((x - centres[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d), pa.array(np.sqrt((x**2).sum(1)))], ["id", "v", "cell", "d", "norm"])
+            cell, d = nearest_of(x, centres)
+            head, u = nearest_of(x, centres[heads])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d), pa.array(heads[head], pa.int32()), pa.array(u), pa.array(np.sqrt((x**2).sum(1)))], ["id", "v", "cell", "d", "qcell", "u", "norm"])
 
-    cells = written(ready.mapInArrow(assign, "id long, v binary, cell int, d double, norm double").withColumn("row", F.monotonically_increasing_id()), "topk-cells")
-    query = F.col("id") % every == 0
+    cells = written(ready.mapInArrow(assign, "id long, v binary, cell int, d double, qcell int, u double, norm double").withColumn("row", F.monotonically_increasing_id()), "topk-cells")
     nearest = cells.groupBy("cell", "id").agg(F.min("d").alias("d"))
     near = nearest.select("cell", "id", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id")).alias("r")).where(F.col("r") <= k + 1).collect()
-    sums = {r.cell: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"), F.count(F.when(query, 1)).alias("nq"), F.max(F.when(query, F.col("d"))).alias("u"), F.max(F.when(query, F.col("norm"))).alias("norm")).collect()}
-    plan = pairs(centres, sums, [(r.cell, r.id, r.d) for r in near], k)
+    sums = {r.cell: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius")).collect()}
+    asking = {r.qcell: r for r in cells.where(query).groupBy("qcell").agg(F.count("*").alias("nq"), F.max("u").alias("u"), F.max("norm").alias("norm")).collect()}
+    plan = pairs(centres, sums, asking, [(r.cell, r.id, r.d) for r in near], k)
     if not plan:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
     plan = F.broadcast(spark.createDataFrame(plan, "qcell int, cell int, upper double, norm double, least double, slices int, qslices int"))
     place = lambda n: F.pmod(F.xxhash64(F.lit(1), "row"), F.col(n)).cast("int")
-    data = cells.drop("norm").join(plan, "cell").where(F.col("upper") + F.col("norm") * F.col("d") >= F.col("least"))
+    data = cells.select("row", "id", "v", "cell", "d").join(plan, "cell").where(F.col("upper") + F.col("norm") * F.col("d") >= F.col("least"))
     data = data.select("qcell", "cell", place("slices").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("qslices") - 1)).alias("qslice"), "id", "v")
-    asked = cells.where(query).select(F.col("cell").alias("qcell"), "id", "v", "row").join(plan, "qcell")
+    asked = cells.where(query).select("qcell", "id", "v", "row").join(plan, "qcell")
     asked = asked.select(F.col("qcell").alias("a"), place("qslices").alias("b"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("e"), F.col("id").alias("query"), F.col("v").alias("q"))
 
     def solve(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -131,12 +140,10 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def pairs(centres: np.ndarray, sums: dict, near: list[tuple[int, int, float]], k: int) -> list[tuple]:
-    """(query cell, cell, upper bound without the vector's own distance, largest query norm, threshold, slices) of the pairs to join."""
+def pairs(centres: np.ndarray, sums: dict, asking: dict, near: list[tuple[int, int, float]], k: int) -> list[tuple]:
+    """(query group, cell, upper bound without the vector's own distance, largest query norm, threshold, slices) of the pairs to join."""
     out = []
-    for a, own in sums.items():
-        if not own.nq:
-            continue
+    for a, own in asking.items():
         dots, norms = centres @ centres[a], np.sqrt((centres**2).sum(1))
         slack = 1e-6 * (1 + np.abs(dots).max() + own.u * norms.max() + own.norm * max(s.radius for s in sums.values()))
         of_id: dict[int, float] = {}
@@ -145,6 +152,7 @@ def pairs(centres: np.ndarray, sums: dict, near: list[tuple[int, int, float]], k
             of_id[i] = max(bound, of_id.get(i, bound))
         low = sorted(of_id.values(), reverse=True)
         least = float(low[k] - slack) if len(low) > k else -np.inf
+        least = min(least, 2.0**63 * (1 - 1e-6)) if least > -(2.0**63) else -np.inf  # scores held at 64 bits tie
         for c, s in sums.items():
             upper = float(dots[c] + own.u * norms[c])
             if upper + own.norm * s.radius >= least:
