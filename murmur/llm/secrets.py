@@ -38,7 +38,7 @@ KINDS = {
     "pem": rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{BODY}|{BASE64})",
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "urlauth": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,}@",
 }
 BASE = ("assign", "access", "hex")
