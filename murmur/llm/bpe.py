@@ -4,7 +4,8 @@ Bytes map to Latin-1 characters, so the vocabulary is a pyahocorasick trie of or
 backtracking: take the longest token at a position; if it is not compatible with the token before it (merging the two
 pieces' bytes would have gone another way), fall back to its next shorter prefix token, and so on; ends found
 impossible are marked, so each is tried once and the work is linear in the piece. Compatibility of two adjacent tokens
-is decided by unmerging them step by step, and memoised. The result is exactly that of applying the merges by rank.
+is decided by unmerging them step by step, and memoised; the check is that of the published "rust-gems" BPE crate (MIT
+licence), restated here. The result is exactly that of applying the merges by rank.
 
 Cases: null texts encode as empty ones (no tokens); the empty text has no tokens and the digest of no bytes; very long
 texts are encoded whole, piece by piece; repeated rows give repeated rows; extra columns are dropped.
@@ -31,8 +32,9 @@ from murmur.llm.common import bounded, utf8
 MEMO = 1_000_000
 LONGEST_MEMO = 64
 
-# The public splitting pattern in the form of the standard library's re, equal to it on texts without
-# the characters of UNSURE (letters beyond the Latin blocks, other numbers, unusual spaces), which take the full pattern.
+# A public splitting pattern, and the same in the form of the standard library's re, equal to it on texts without
+# the characters of UNSURE (letters beyond the Latin blocks, other numbers, unusual spaces). Any other pattern is used as it is.
+PUBLIC = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+", re.UNICODE)
 RARE = re.compile(r"[\x1c-\x1f]")
 UNSURE = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ʯ‐-‧]")
@@ -49,6 +51,7 @@ class Vocabulary:
             self.trie.add_word(k, v)
         self.longest = max(map(len, self.ranks), default=0)
         self.full = regex.compile(pattern)
+        self.fast = pattern == PUBLIC
         self.split: dict[int, tuple[int, int]] = {}
         self.shorter: dict[int, int | None] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -156,7 +159,7 @@ class Vocabulary:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        return self.full.findall(text) if (RARE if text.isascii() else UNSURE).search(text) else FAST.findall(text)
+        return self.full.findall(text) if not self.fast or (RARE if text.isascii() else UNSURE).search(text) else FAST.findall(text)
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
