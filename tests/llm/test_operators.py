@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -112,6 +113,8 @@ def test_licenses(docs, everything):
 @pytest.mark.parametrize("text, labels, ok, free", [
     ("mit", {"mit"}, True, True), ("(mit or gpl-2.0) and apache-2.0", {"mit", "gpl-2.0", "apache-2.0"}, True, True), ("gpl-2.0 and mit", {"mit", "gpl-2.0"}, True, False),
     ("gpl-2.0 with classpath-exception-2.0", {"gpl-2.0 with classpath-exception-2.0"}, True, False), (") or", set(), False, False), ("", set(), False, False),
+    ("see the file license", set(), False, False), ("mit or see", {"mit"}, True, True), ("mit and (apache-2.0 or", {"mit"}, True, True), ("gpl-2.0+ with gcc-exception-3.1 with x-exception", {"gpl-2.0+ with gcc-exception-3.1"}, True, False),
+    ("licenseref-own or mit and so on", {"licenseref-own", "mit"}, True, True), ("((gpl-2.0-only or mit)) x", {"gpl-2.0-only", "mit"}, True, True), ("mit with (x-exception)", {"mit"}, True, True),
 ])
 def test_license_expressions(text, labels, ok, free):
     assert licenses.expression(text) == (labels, ok, free)
@@ -119,9 +122,44 @@ def test_license_expressions(text, labels, ok, free):
 
 def test_shunting_yard_order():
     assert licenses.postfix("a or b and c with d".split()) == ["a", "b", "c", "d", "with", "and", "or"]
-    for bad in ("a b", "( a", "a )", "or a", "a and"):
+    for bad in ("a b", "( a", "a )", "or a", "a and", "a with b with c", "( a ) with b"):
         with pytest.raises(licenses.Malformed):
             licenses.postfix(bad.split())
+    for tokens in ("a b", "a or ( b", "( a", "a and b ) c", "a or", "or a", "a with b with c", "a or b and c ( d"):
+        t = tokens.split()
+        longest = max((k for k in range(len(t) + 1) if _parses(t[:k])), default=0)
+        assert licenses.postfix(t, True) == (licenses.postfix(t[:longest]) if longest else [])
+
+
+def _parses(tokens):
+    try:
+        return bool(licenses.postfix(tokens))
+    except licenses.Malformed:
+        return False
+
+
+def test_license_scan_of_long_lines_is_linear():
+    one = licenses._automaton((f" {k} ", (v, len(k) + 2, True)) for k, v in licenses.PHRASES.items())
+    two = licenses._automaton((t, t) for t in licenses.TAGS)
+    n = 20_000
+    for text in (b"SPDX-License-Identifier: MIT " * n, b"SPDX-License-Identifier: " + b"MIT or " * n + b"x " * n, b"SPDX-License-Identifier: " + b"(" * n + b"MIT", b"SPDX-License-Identifier: " + b" or ".join(b"LicenseRef-%d" % i for i in range(n))):
+        began = time.time()
+        got = licenses.scan(text, one, two)
+        assert time.time() - began < 5 and got[6] in (0.75, 1.0)
+    assert licenses.scan(b"SPDX-License-Identifier: see the file LICENSE", one, two)[4:7] == ("", "", 0.75)
+
+
+def test_token_pattern_is_linear():
+    began = time.time()
+    assert secrets.spans("eyJ" * 400_000) == []
+    assert time.time() - began < 5
+    assert [k for k, *_ in secrets.spans("a eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P b")] == ["jwt"]
+
+
+def test_other_splitting_patterns_are_used_as_they_are():
+    v = bpe.Vocabulary.load(P.path("byte_bpe_50k.tiktoken"), r"\S+|\s+")
+    assert v.pieces("can't stop 12") == ["can't", " ", "stop", " ", "12"]
+    assert v.decode(v.encode("can't stop 12")) == b"can't stop 12"
 
 
 def fingerprint(t, size=4):
@@ -198,7 +236,7 @@ def test_hmm_base_and_forward(docs, everything):
 def test_hmm_recursion_is_exact():
     rng = np.random.default_rng(3)
     model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
-    lens = np.array([1, 2, 64, 65, 200, 1])
+    lens = np.array([1, 2, 64, 65, 200, 1, 1500])
     symbols = rng.integers(0, 5, lens.sum())
     at = 0
     for n, got in zip(lens, model.log10(symbols, lens), strict=True):
@@ -221,6 +259,46 @@ def test_hmm_recursion_is_exact():
     assert np.allclose(one.counts(s, np.array([3]))[2], want / total)
 
 
+def plain_counts(model, symbols, lens):
+    """Baum-Welch over whole sequences, one token after the other."""
+    out, at = [np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)], 0
+    for n in lens:
+        own = symbols[at : at + n]
+        at += n
+        alpha = [model.start * model.emit[:, own[0]]]
+        for s in own[1:]:
+            x = (alpha[-1] / alpha[-1].sum()) @ model.move * model.emit[:, s]
+            alpha.append(x)
+        beta = [np.ones(len(model.start))]
+        for s in own[:0:-1]:
+            x = model.move @ (model.emit[:, s] * beta[-1])
+            beta.append(x / x.sum())
+        beta.reverse()
+        for t, s in enumerate(own):
+            g = alpha[t] * beta[t]
+            out[2][:, s] += g / g.sum()
+            if t == 0:
+                out[0] += g / g.sum()
+            else:
+                x = np.outer(alpha[t - 1], model.emit[:, s] * beta[t]) * model.move
+                out[1] += x / x.sum()
+    return out
+
+
+def test_expected_counts_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = hmm.Model(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4) * 0.3, 4), rng.dirichlet(np.ones(7) * 0.3, 4))
+    lens = np.array([200, 1, 3, 333, 17, 128, 129, 200, 64])
+    symbols = rng.integers(0, 7, lens.sum())
+    want, logs = plain_counts(model, symbols, lens), model.log10(symbols, lens)
+    for long, segment, at_once in ((1024, 128, 400_000), (10, 7, 50), (1, 1, 1), (150, 64, 300)):
+        monkeypatch.setattr(hmm, "LONG", long)
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm, "AT_ONCE", at_once)
+        assert all(np.allclose(a, b) for a, b in zip(model.counts(symbols, lens), want, strict=True))
+        assert np.allclose(model.log10(symbols, lens), logs)
+
+
 def test_mixing_meets_targets(spark, docs, everything):
     got = mixing.mix(docs).collect()
     size = lambda t: len((t or "").encode().split())
@@ -257,6 +335,42 @@ def test_splitting_tree_is_exact_and_disjoint(spark):
     assert sum(r["count"] for r in got) == 103 and {r["count"] for r in got} <= {12, 13, 14} and len(got) == 8
 
 
+def test_splitting_tree_draws_hypergeometric_counts(spark):
+    """A source's counts over the 64 shards have the mean and variance of the hypergeometric distribution; no copy is lost."""
+    units = spark.range(6400).selectExpr("if(id < 2000, 'a', if(id < 5000, 'b', null)) AS source", "cast(id AS int) AS block", "1 AS copy")
+    got = mixing.split(units, 6).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "a").alias("a")).collect()
+    assert {r.n for r in got} == {100} and len(got) == 64 and sum(r.a for r in got) == 2000
+    left = np.array([r.a for r in got])
+    var = 100 * (2000 / 6400) * (4400 / 6400) * (6300 / 6399)
+    assert 0.5 < left.var() / var < 1.8
+
+
+def test_mixed_rows_are_those_that_mix_takes(docs, everything):
+    """Words by source and shard are the same in the plan and in the rows that sharded() gives, cut documents included."""
+    size = lambda t: len((t or "").encode().split())
+    plan = mixing.mix(docs, levels=2).collect()
+    rows = mixing.sharded(docs, levels=2).collect()
+    assert sum(r.taken for r in plan) == sum(size(r.text) for r in rows)
+    source = {i: s for i, _, _, s, _ in everything}
+    one, two = collections.Counter(), collections.Counter()
+    for r in plan:
+        one[source[r.doc_id]] += r.taken
+    for r in rows:
+        two[r.source] += size(r.text)
+    assert one == two and {r.shard for r in rows} <= {0, 1, 2, 3}
+    assert collections.Counter(s for r in plan for s in r.shards) == collections.Counter(r.shard for r in rows)
+    text = collections.defaultdict(set)
+    for i, t, *_ in everything:
+        text[i].add(t)
+    assert sum(r.text not in text[r.doc_id] for r in rows) <= len(one)  # one cut document a source at most
+
+
+def test_mixing_beyond_the_broadcast_bound(docs, monkeypatch):
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
 def test_mixing_cuts_repeated_ids_row_by_row(spark):
     sizes = [1000] + [10] * 99
     for same in (False, True):  # null ids with texts apart; then rows that repeat everything
@@ -266,9 +380,7 @@ def test_mixing_cuts_repeated_ids_row_by_row(spark):
         got = mixing.mix(docs, share=0.7525).collect()
         assert len(got) == 100 and sum(r.taken for r in got) == round(total * 0.7525)
         assert all(r.taken <= r["size"] for r in got) and sum(0 < r.taken < r["size"] for r in got) <= 1
-        kept = sum(len(r.text.split()) for r in mixing.mixed(docs, share=0.7525).collect())
-        cut = [r for r in got if 0 < r.taken < r["size"]]
-        assert kept == sum(r.taken if r.taken in (0, r["size"]) else r["size"] * (2 * r.taken >= r["size"]) for r in got), cut
+        assert sum(len(r.text.split()) for r in mixing.mixed(docs, share=0.7525).collect()) == sum(r.taken for r in got)
 
 
 def test_topk(spark):
@@ -283,6 +395,15 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_topk_scores_beyond_64_bits(spark):
+    data = [(i, [2.0 ** (20 + 4 * (i % 8)), -(2.0 ** (i % 40))]) for i in range(0, 40)] + [(100, [2.0**50, 2.0**50]), (200, [-(2.0**50), 0.0])]
+    ok = {i: [int(math.floor(1024 * x)) for x in v] for i, v in data}
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = sorted((q, r + 1, i, -s) for q in ok if q % 100 == 0 for r, (s, i) in enumerate(sorted((-hold(sum(a * b for a, b in zip(ok[q], x, strict=True))), i) for i, x in ok.items() if i != q)[:10]))
+    got = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), pivots=5)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_topk_repeated_query_id(spark):
     data = [(100, [1.0 + i % 3 / 100, 0.0]) for i in range(300)] + [(i, [-1.0, i % 5 / 100]) for i in range(1001, 1700) if i % 100]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
