@@ -6,18 +6,24 @@ so the anchor depends on S(t) alone: equal strings have their anchors at equal o
 
 1. Anchors' gram hashes are counted over the corpus. A string can repeat only where its anchor's gram does.
 2. The suffixes at repeated anchors, with as many bytes to the left as their starts reach back, are range-partitioned by
-   their leading bytes; splitters come from a bounded sample of leading bytes. Equal leading bytes never part, so
-   suffixes on two sides of a splitter differ within LEAD bytes: comparing across a boundary can find no match.
+   their LEAD leading bytes; splitters come from a bounded sample of leading bytes, and there are as many buckets as keep
+   each under about BUCKET bytes. LEAD bytes are what every match has after its anchor, so what splitters part is compared
+   by them: suffixes on two sides differ within LEAD bytes, and no match crosses a boundary.
 3. A bucket sorts its suffixes by multikey quicksort over 8-byte words (all segments at once, a three-way partition of
-   each by its middle word) into runs that share the bytes which any match has after its anchor.
-4. In a run, the LENGTH-byte strings of all starts are hashed by one rolling sum, sorted, and equal neighbours compared
-   byte by byte. Repeated starts give spans, which join back to the documents.
+   each by its middle word). Suffixes that share LEAD bytes form a run.
+4. In a run, two suffixes that share r bytes from the anchor on and l bytes before it have all LENGTH-byte strings in
+   common that start between LENGTH - r and l bytes before the anchor. Suffixes come together from the longest shared left
+   sides to the shortest; each one that joins a group is compared with its neighbours there in suffix order, which share
+   most with it. So every repeated start is found from prefixes shared in sorted order, in k log k comparisons for k
+   suffixes. Repeated starts give spans, which join back to the documents.
 
-A gram in more than HOT documents (boilerplate in a share of all of them) would make one run that no splitter cuts. Its starts take another exact way: digests of their LENGTH-byte strings are counted by an aggregate and joined back.
+A gram in more than HOT documents (boilerplate in a share of all of them) would make one run that no splitter cuts. Each
+of its starts goes by itself then: 128-bit digests of their LENGTH-byte strings are counted by an aggregate and joined back.
 
 Identical surroundings of an anchor, in one batch, are merged before the shuffle (one row with all its places), so
 copies and periodic texts cost one row per batch. The hash of an anchor decides only what is compared, never a result;
-two different texts of one id with equal 64-bit hashes would share spans, nothing else is left to chance.
+two different texts of one id with equal 64-bit hashes would share spans, and two strings at hot grams with equal 128-bit
+digests would count as one; nothing else is left to chance.
 
 Cases: null texts are empty; texts under LENGTH bytes keep everything; matches never cross documents; repeated rows
 (same id, same text) are repetitions of each other; null ids are ids like any other; extra columns are dropped.
@@ -27,6 +33,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +43,11 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import bounded, pieces, read, shuffles, utf8, written
 
-LENGTH, GRAM, WINDOW, LEAD = 400, 128, 256, 16
+LENGTH, GRAM, WINDOW = 400, 128, 256
+#: Bytes after its anchor that any match has, in whole words of 8.
+LEAD = (LENGTH - WINDOW + 1) // 8 * 8
+#: Bytes of suffixes in a bucket, about.
+BUCKET = 64 << 20
 #: Documents with a gram beyond which its starts are compared by digest.
 HOT = 50_000
 #: Anchors of one in so many grams give their leading bytes to the sample, which holds at most SAMPLE of them.
@@ -138,52 +149,50 @@ def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, shared
 
 
-#: Bytes after its anchor that any match has, in whole words.
-COMMON = (LENGTH - WINDOW + 1) // 8
+#: Words of a suffix's sorting key; its length comes last, so that padding sorts as the end of a text does.
+WORDS = LENGTH // 8
 
 
 def runs(contexts: list[bytes], lefts: np.ndarray) -> list[np.ndarray]:
-    """Indices of contexts by runs of equal COMMON words after the anchor, in suffix order."""
+    """Indices of contexts in suffix order (of the bytes from the anchor on), by runs that share LEAD bytes."""
     if not contexts:
         return []
-    raw = b"".join(c[k : k + 8 * COMMON] for c, k in zip(contexts, lefts.tolist(), strict=True))
-    order, shared = multikey_quicksort(np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(contexts), COMMON))
-    return np.split(order, np.flatnonzero(shared[1:] < COMMON) + 1)
-
-
-def repeated(contexts: list[bytes], lefts: np.ndarray, copies: np.ndarray, run_of: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each context, the ranges of offsets (first, last) whose LENGTH-byte strings occur more than once in their run."""
-    counts = np.array([len(c) - LENGTH + 1 for c in contexts])
-    owner = np.repeat(np.arange(len(contexts)), counts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    joined = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
-    h = rolling(joined, LENGTH)[at]
-    h ^= (run_of[owner].astype(np.uint64) * np.uint64(512) + (lefts[owner] - offset).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort(h, kind="stable")
-    hit = copies[owner] > 1
-    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
-    one, two = order[same], order[same + 1]
-    pair = owner[one] * len(contexts) + owner[two]
-    by = np.lexsort((offset[one], pair))
-    one, two, pair = one[by], two[by], pair[by]
-    new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (offset[one[1:]] != offset[one[:-1]] + 1)])) if len(one) else np.zeros(0, int)
-    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(one)] if len(one) else [], strict=True):
-        i, j, k, l, n = owner[one[a]], owner[two[a]], offset[one[a]], offset[two[a]], b - a - 1 + LENGTH
-        if contexts[i][k : k + n] == contexts[j][l : l + n]:
-            hit[one[a:b]] = hit[two[a:b]] = True
-        else:  # a chance collision among them: one by one
-            for x, y in zip(one[a:b].tolist(), two[a:b].tolist(), strict=True):
-                if contexts[i][offset[x] : offset[x] + LENGTH] == contexts[j][offset[y] : offset[y] + LENGTH]:
-                    hit[x] = hit[y] = True
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    at = np.flatnonzero(hit)
-    if len(at):
-        new = np.flatnonzero(np.concatenate([[True], (owner[at[1:]] != owner[at[:-1]]) | (offset[at[1:]] != offset[at[:-1]] + 1)]))
-        for a, b in zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist(), strict=True):
-            out[owner[a]].append((int(offset[a]), int(offset[b])))
-    return out
+    sides = [c[k:] for c, k in zip(contexts, lefts.tolist(), strict=True)]
+    raw = np.frombuffer(b"".join(x.ljust(LENGTH, b"\0") for x in sides), ">u8").astype(np.uint64).reshape(-1, WORDS)
+    order, shared = multikey_quicksort(np.concatenate([raw, np.array([[len(x)] for x in sides], np.uint64)], 1))
+    return np.split(order, np.flatnonzero(shared[1:] < LEAD // 8) + 1)
+
+
+def common(x: bytes, y: bytes) -> int:
+    """The number of leading bytes that two strings share."""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+    return n - (differ.bit_length() + 7) // 8
+
+
+def matches(rights: list[bytes], lefts: list[bytes]) -> list[list[tuple[int, int]]]:
+    """For each suffix of a run (bytes from the anchor on, in suffix order; bytes before it, reversed): ranges (least, most)
+    of distances before the anchor at which LENGTH-byte strings start that another suffix of the run has as well."""
+    found: list[list[tuple[int, int]]] = [[] for _ in rights]
+    by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
+    ties = sorted(((common(lefts[i], lefts[j]), n) for n, (i, j) in enumerate(zip(by_left, by_left[1:], strict=False))), reverse=True)
+    group = [[i] for i in by_left]  # where a group begins and ends in the left order: its members, in suffix order
+    first, last = list(range(len(by_left))), list(range(len(by_left)))
+    for l, n in ties:
+        one, two = group[first[n]], group[n + 1]
+        a, b = first[n], last[n + 1]
+        small, large = (one, two) if len(one) < len(two) else (two, one)
+        for i in small:
+            at = bisect.bisect_left(large, i)
+            for j in large[max(at - 1, 0) : at + 1]:
+                least = LENGTH - common(rights[i], rights[j])
+                if least <= l:
+                    found[i].append((least, l))
+                    found[j].append((least, l))
+            large.insert(at, i)
+        group[a] = large
+        first[b], last[a] = a, b
+    return found
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,9 +225,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(rows.mapInArrow(grams, f"f long, id {kind}, h long, n int, lead binary"), "suffix-grams")
     often = written(found.groupBy("f").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("n > 1"), "suffix-repeated")
     hot = often.where(F.col("docs") > HOT).select("f")
-    often = often.where(F.col("docs") <= HOT).select("f")
+    often = often.where(F.col("docs") <= HOT)
+    volume = often.agg(F.coalesce(F.sum(F.least("n", F.lit(HOT))), F.lit(0))).first()[0] * (LENGTH + WINDOW // 2)
+    often = often.select("f")
     sample = found.where("lead is not null").join(often, "f", "left_semi").select("f", "lead").distinct().orderBy(F.xxhash64("f"), "lead").limit(SAMPLE).collect()
-    parts = shuffles(spark)
+    parts = max(shuffles(spark), math.ceil(volume / BUCKET))
     leads = sorted(bytes(r.lead) for r in sample)
     splitters = sorted({leads[len(leads) * k // (4 * parts)] for k in range(1, 4 * parts)}) if leads else []
 
@@ -252,7 +263,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([c for (c, _), _ in group], pa.binary()), pa.array([k for (_, k), _ in group], pa.int32()), places], ["bucket", "context", "left", "places"])
 
     suffixes = having(often).mapInArrow(cut, f"bucket int, context binary, left int, places array<struct<id:{kind},h:bigint,start:bigint>>")
-    dealt = suffixes.repartition(max(parts, 1), "bucket")
+    dealt = suffixes.repartition(parts, "bucket")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[tuple[bytes, int], int] = {}
@@ -265,18 +276,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 places[i].append(p.values)
         contexts, lefts = [c for c, _ in at], np.array([k for _, k in at], np.int64)
         del at
-        for group in pieces(iter(r for r in runs(contexts, lefts)), lambda r: sum(len(contexts[i]) for i in r.tolist()), 2 << 20):
-            own = np.concatenate(group)
-            copies = np.array([sum(map(len, places[i])) for i in own])
-            spans = repeated([contexts[i] for i in own], lefts[own], copies, np.repeat(np.arange(len(group)), [len(g) for g in group]))
+        for group in pieces(iter(runs(contexts, lefts)), lambda r: sum(len(places[i]) for i in r.tolist()), 20_000):
             out: list[list] = [[], [], []]
-            for i, ranges in zip(own.tolist(), spans, strict=True):
-                for some in places[i] if ranges else []:
-                    for a, b in ranges:
-                        start = some.field("start").to_numpy()
-                        out[0].append(some)
-                        out[1].append(start + a)
-                        out[2].append(start + b + LENGTH)
+            for run in group:
+                own, k = run.tolist(), lefts[run].tolist()
+                near = matches([contexts[i][n:] for i, n in zip(own, k, strict=True)], [contexts[i][:n][::-1] for i, n in zip(own, k, strict=True)]) if len(own) > 1 else [[]]
+                for i, n, ranges in zip(own, k, near, strict=True):
+                    if sum(map(len, places[i])) > 1:
+                        ranges = [(n + LENGTH - len(contexts[i]), n)]
+                    for least, most in joined(ranges):
+                        for some in places[i]:
+                            start = some.field("start").to_numpy()
+                            out[0].append(some)
+                            out[1].append(start + n - most)
+                            out[2].append(start + n - least + LENGTH)
             if out[0]:
                 keys = pa.concat_arrays(out[0])
                 yield pa.RecordBatch.from_arrays([keys.field("id"), keys.field("h"), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["id", "h", "start", "end"])
@@ -289,15 +302,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for i, (t, fs) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 text = t.as_py()
-                starts = [p for _, a, b in places_of(text, fs) for p in range(a, b + 1)]
-                keys = batch.select(["id", "h"]).take(pa.array([i] * len(starts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array([hashlib.blake2b(text[p : p + LENGTH], digest_size=16).digest() for p in starts], pa.binary()), pa.array(starts, pa.int64())], ["id", "h", "digest", "start"])
+                for _, a, b in places_of(text, fs):  # WINDOW starts at most
+                    keys = batch.select(["id", "h"]).take(pa.array(np.full(b + 1 - a, i)))
+                    each = pa.array([hashlib.blake2b(text[p : p + LENGTH], digest_size=16).digest() for p in range(a, b + 1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*keys.columns, each, pa.array(np.arange(a, b + 1))], ["id", "h", "digest", "start"])
 
     each = written(having(hot).mapInArrow(digests, f"id {kind}, h long, digest binary, start long"), "suffix-digests")
     twice = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return spans.union(each.join(twice, "digest", "left_semi").select("id", "h", "start", F.col("start") + LENGTH))
 
 
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of whole numbers (both ends included), those that touch as one."""
+    return [(a, b - 1) for a, b in merged([(a, b + 1) for a, b in ranges])]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
