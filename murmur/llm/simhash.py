@@ -8,9 +8,10 @@ goes to its own grid cell, and to the cells one step up in one coordinate: a pai
 of one of them. What meets is verified by the exact Hamming distance.
 
 Only distinct fingerprints are joined, so copies of a text, however many, cost one point. Inside a cell no list of pairs
-is emitted: links are found there and reduced to a spanning forest (small cells by comparing whole columns of pairs,
-large ones by breadth-first search that compares a fingerprint with those not yet reached), at most n - 1 edges for n
-points. Components of fingerprints then join back to the documents on the fingerprint.
+is emitted: links are found there and reduced to a spanning forest. Small cells compare whole columns of pairs. A cell of
+more than SMALL points is divided again, by the exact bits of each of BITS + 1 parts of the fingerprint (two that differ
+in at most BITS bits agree in one part), and parts that are still large are searched breadth-first, each fingerprint
+against those not yet reached: at most n - 1 edges for n points and part. Components of fingerprints then join back to the documents on the fingerprint.
 
 Cases: null texts count as empty ones; texts without words have fingerprint zero, linked like any other; fewer words
 than a shingle make one shingle; null ids are the smallest of nothing (a component of null ids only has a null id);
@@ -108,27 +109,48 @@ def forest(cell: np.ndarray, fp: np.ndarray, own: np.ndarray, bits: int) -> tupl
         a.append(fp[one[near]])
         b.append(fp[two[near]])
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        f, home = fp[s : s + n], own[s : s + n]
-        open_ = np.ones(n, bool)
-        for first in range(n):
-            if not home[first]:
-                break
-            if not open_[first]:
-                continue
-            open_[first] = False
-            stack = [first]
-            while stack:
-                at = stack.pop()
-                rest = np.flatnonzero(open_ if home[at] else open_ & home)
-                found = rest[np.bitwise_count(f[rest] ^ f[at]) <= bits]
-                open_[found] = False
-                stack += found.tolist()
-                a.append(np.full(len(found), f[at]))
-                b.append(f[found])
+        for some in parts_of(fp[s : s + n], bits):
+            one, two = search(fp[s : s + n][some], own[s : s + n][some], bits)
+            a.append(one)
+            b.append(two)
     one, two = (np.concatenate(z) if z else np.zeros(0, np.uint64) for z in (a, b))
     return one.astype(np.uint64), two.astype(np.uint64)
 
 
+def parts_of(fp: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Groups of two and more positions that agree in one of bits + 1 parts of the fingerprint: those within `bits` meet in one."""
+    edges = np.linspace(0, 64, bits + 2).round().astype(int)
+    out = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        part = fp >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+        order = np.argsort(part, kind="stable")
+        out += [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x) > 1]
+    return out
+
+
+def search(f: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among these points (one of each pair at home), breadth-first."""
+    a, b = [], []
+    rank = np.argsort(~home, kind="stable")
+    f, home = f[rank], home[rank]
+    open_ = np.ones(len(f), bool)
+    for first in range(int(home.sum())):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        stack = [first]
+        while stack:
+            at = stack.pop()
+            rest = np.flatnonzero(open_ if home[at] else open_ & home)
+            found = rest[np.bitwise_count(f[rest] ^ f[at]) <= bits]
+            open_[found] = False
+            stack += found.tolist()
+            a.append(np.full(len(found), f[at]))
+            b.append(f[found])
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp): a spanning set of the links of at most `bits` differing bits."""
 
@@ -155,9 +177,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    dealt = distinct.select("fp").mapInArrow(spread, "cell long, fp long, own boolean").repartition(shuffles(spark), "cell").sortWithinPartitions("cell")
+    dealt = distinct.select("fp").mapInArrow(spread, "cell long, fp long, own boolean").repartition(shuffles(distinct.sparkSession), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(solve, "a long, b long")
 
 
