@@ -4,8 +4,9 @@ A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. L
 wide) slide over every chunk; each filter's maximum over the chunk, through a rectifier, goes through a small dense
 layer; its outputs are pooled over all chunks of the document (mean and maximum) and combined into one probability.
 
-Training runs on the driver over at most SAMPLE labelled documents and CHUNKS chunks of each, spread evenly; scoring
-covers all bytes of all documents, batch by batch, without a shuffle. For scoring, filters are folded into tables over
+Training runs on the driver over at most SAMPLE labelled documents, each with all its chunks; a sampled document that no
+longer fits into SAMPLE_BYTES together with those before it (in the order of hashed ids) is passed over. Scoring covers
+all bytes of all documents, batch by batch, without a shuffle. For scoring, filters are folded into tables over
 byte pairs, so a position costs WIDTH / 2 look-ups per filter.
 
 Cases: null and empty texts are one chunk of zeros and so have a score too; texts shorter than a chunk are padded with
@@ -23,22 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import bounded, pieces, read, remainder, utf8
+from murmur.llm.common import bounded, pieces, read, remainder, utf8, written
 from murmur.llm.sampling import labelled
 
 #: Bytes of a chunk and from one start to the next; width and number of filters; hidden units.
 CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 512, 480, 6, 12, 12
-#: Most labelled rows fitted on, and most chunks of each while fitting.
-SAMPLE, CHUNKS, EPOCHS, SEED = 4000, 6, 14, 7
+#: Most labelled rows fitted on, and most bytes of their texts.
+SAMPLE, SAMPLE_BYTES, EPOCHS, SEED = 4000, 32 << 20, 14, 7
 
 
-def chunks(text: bytes, most: int | None = None) -> np.ndarray:
-    """(n, CHUNK) bytes; `most` chunks spread evenly over the text, or all."""
+def chunks(text: bytes) -> np.ndarray:
+    """(n, CHUNK) bytes: all chunks of a text."""
     n = max(1, -(-(len(text) - (CHUNK - STRIDE)) // STRIDE))
-    which = np.arange(n) if most is None or n <= most else np.unique(np.linspace(0, n - 1, most).round().astype(int))
-    out = np.zeros((len(which), CHUNK), np.uint8)
+    out = np.zeros((n, CHUNK), np.uint8)
     whole = np.frombuffer(text, np.uint8)
-    for row, k in enumerate(which):
+    for row, k in enumerate(range(n)):
         part = whole[k * STRIDE : k * STRIDE + CHUNK]
         out[row, : len(part)] = part
     return out
@@ -129,18 +129,17 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE) -> Net:
-    """A network from at most `sample` labelled rows (those allowed by `where`, over column id) and CHUNKS chunks of each."""
-    bounded(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([chunks(t.as_py(), CHUNKS).tobytes() for t in batch.column(2)], pa.binary())], ["id", "label", "chunks"])
-
-    kind = labels.schema["doc_id"].dataType.simpleString()
-    rows = labelled(docs, labels, "quality", sample, where).select("id", "label", utf8("text").alias("t")).mapInArrow(run, f"id {kind}, label int, chunks binary").limit(2 * sample).toArrow()
-    own = sorted(zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["chunks"].to_pylist(), strict=True))
-    return fit([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, _, c in own], np.array([y for _, y, _ in own]))
+def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Net:
+    """A network from at most `sample` labelled rows (those allowed by `where`, over column id) of at most `size` bytes."""
+    rows = written(labelled(docs, labels, "quality", sample, where).select("id", "label", utf8("text").alias("t"), F.xxhash64("id").alias("h")), "model-sample")
+    fits, held = [], 0
+    for r in rows.select("id", F.length("t").alias("n")).orderBy("h", "id").collect():
+        if held + r.n <= size:
+            fits.append((r.id,))
+            held += r.n
+    few = docs.sparkSession.createDataFrame(fits, f"own {labels.schema['doc_id'].dataType.simpleString()}")
+    own = sorted(map(tuple, rows.join(F.broadcast(few), F.col("id") == F.col("own")).select("id", "label", "t").collect()))
+    return fit([chunks(bytes(t)) for _, _, t in own], np.array([y for _, y, _ in own]))
 
 
 def probabilities(net: Net, pairs: np.ndarray, texts: list[bytes]) -> np.ndarray:

@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             x = [stats(t.as_py())[1] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = labelled(docs, labels, "quality", sample).select("label", "text", "id").mapInArrow(run, "label int, x array<double>").limit(2 * sample).toArrow()
+    rows = labelled(docs, labels, "quality", sample).select("label", "text", "id").mapInArrow(run, "label int, x array<double>").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["label"].to_numpy()))  # the same trees whatever order the rows came in
     return fit(x[order], rows["label"].to_numpy()[order], list(FEATURES.values()))
