@@ -92,11 +92,11 @@ def encode(docs: DataFrame, held: str, id_col: str, text_col: str, classes: int)
 
 
 def vocabulary(blocks: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
-    """(word, class, total, blocks) for each word; and (block, pos, total) of the words whose count in the corpus is not
+    """(word, class, total, blocks) for each word (null where one block has it, which needs no join); and (block, pos, total) of the words whose count in the corpus is not
     that in the block, which only words of several blocks can be."""
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("own"))
     totals = words.groupBy("word").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("blocks"))
-    totals = written(totals.select("word", F.pmod(F.crc32("word"), F.lit(classes)).cast("int").alias("class"), "total", "blocks"), "hmm-words")
+    totals = written(totals.select(F.when(F.col("blocks") > 1, F.col("word")).alias("word"), F.pmod(F.crc32("word"), F.lit(classes)).cast("int").alias("class"), "total", "blocks"), "hmm-words")
     several = totals.where("blocks > 1 and total > 0").select("word", "total")
     return totals, words.join(several.hint("shuffle_hash"), "word").where("total <> own").select("block", "pos", "total")
 
