@@ -14,7 +14,8 @@ BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; smaller settings of the session stay."""
+    """Keep Arrow batches small enough for long texts; smaller settings of the session stay. Plans read these settings when
+    they run, which is after an operator has returned, so they stay set for the session."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
@@ -29,9 +30,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only on a local master without it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own[:] = _own or [tempfile.mkdtemp(prefix="murmur-")]
         at = _own[0]
     return at.rstrip("/")
