@@ -89,6 +89,46 @@ def test_suffixes_equal_brute_force(docs, everything, hot, monkeypatch):
         assert (len(b), len(b) - len(kept), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()) in got[i]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_of_a_run_equal_brute_force(seed, monkeypatch):
+    """All pairs of suffixes around one anchor: which distances before it have a repeated string."""
+    monkeypatch.setattr(suffixes, "LENGTH", 24)
+    rng = np.random.default_rng(seed)
+    core = b"anchored"
+    words = [bytes(rng.integers(97, 99, 12).astype(np.uint8)) for _ in range(4)]
+    texts = {}
+    for _ in range(60):
+        left = b"".join(words[i] for i in rng.integers(0, 4, 2))[int(rng.integers(0, 20)) :]
+        right = core + b"".join(words[i] for i in rng.integers(0, 4, 2))[: int(rng.integers(4, 17))]
+        texts[left + right, len(left)] = None
+    pairs = sorted(((c[k:], c[:k][::-1]) for c, k in texts), key=lambda x: x[0])
+    got = suffixes.matches([r for r, _ in pairs], [x for _, x in pairs])
+    for i, (r, x) in enumerate(pairs):
+        want = {a for a in range(len(x) + 1) if 24 - a <= len(r) and any(j != i and x[:a] == y[:a] and len(y) >= a and s[: 24 - a] == r[: 24 - a] for j, (s, y) in enumerate(pairs))}
+        assert {a for lo, hi in got[i] for a in range(lo, hi + 1)} == want
+
+
+def test_suffixes_with_hot_grams_and_periodic_texts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    prose = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared, other = prose(900), prose(450)
+    data = [prose(int(rng.integers(0, 500))) + shared + prose(int(rng.integers(0, 500))) for _ in range(25)]
+    data += [prose(100) + other + "x", prose(30) + other + "y", other[:399], other[1:] + "z", "ab" * 900, "ab" * 500 + prose(50), prose(300) + "q" * 1000, "\0" * 900, "\0" * 500 + "a", None, ""]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    seen = collections.Counter((t or "").encode()[p : p + 400] for t in data for p in range(len((t or "").encode()) - 399))
+    for hot in (50_000, 4):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        got = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
+        for i, t in enumerate(data):
+            b = (t or "").encode()
+            gone = bytearray(len(b))
+            for p in range(len(b) - 399):
+                if seen[b[p : p + 400]] > 1:
+                    gone[p : p + 400] = b"\1" * 400
+            kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+            assert (got[i].n_removed, got[i].kept_sha256) == (len(b) - len(kept), hashlib.sha256(kept).hexdigest())
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 500):
