@@ -150,17 +150,19 @@ def split_starts(c, starts=STARTS, least: int = 20) -> Column:
     """Items from one headline start to the next: trailing scraps trimmed, promotions and bare prefixes dropped."""
     text = clean_text_raw(c)
     marked = replace(text, "(?i)(" + "|".join(starts) + ")", "\u0001$1")
-    raw = F.slice(F.split(marked, "\u0001"), 2, 1_000_000)
+    parts = F.split(marked, "\u0001")
+    raw = F.slice(parts, F.lit(2), F.size(parts))
     cut = F.transform(raw, lambda x: F.trim(replace(F.trim(x), " +\\S{1,2}$", "")))
     cut = F.filter(cut, lambda x: (F.length(x) >= least) & ~F.regexp_like(x, F.lit("(?i)^for +more")) & ~F.regexp_like(x, F.lit("(?i)^breaking +news *$")))
     return F.filter(F.transform(cut, strip_prefix_upper), lambda x: F.length(x) >= least)
 
 
 def significant_numbers(c) -> Column:
-    """Numbers of three digits and more, commas removed, without years 1900 to 2099; distinct."""
+    """Numbers of three digits and more, commas removed, without years 1900 to 2099; distinct, as decimal strings of any length."""
     found = F.transform(F.regexp_extract_all(col(c), F.lit("[0-9][0-9,]+"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")))
-    big = F.filter(found, lambda x: (F.length(x) >= 3) & (F.length(x) <= 38))
-    return F.array_distinct(F.filter(F.transform(big, lambda x: x.cast("decimal(38,0)")), lambda x: ~x.between(1900, 2099)))
+    big = F.filter(found, lambda x: F.length(x) >= 3)
+    plain = F.transform(big, lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0")))
+    return F.array_distinct(F.filter(plain, lambda x: ~((F.length(x) == 4) & x.between("1900", "2099"))))
 
 
 def strip_think(c) -> Column:
@@ -260,5 +262,12 @@ def parse_headlines(c) -> Column:
     return F.filter(F.transform(items, one), lambda x: F.coalesce(x["text"], F.lit("")) != "")
 
 
+def common_letters(a, b) -> Column:
+    """How many characters two texts have in common, repeats included, whatever their order: no less than their LCS."""
+    letters = lambda c: F.array_sort(F.filter(F.split(col(c), ""), lambda x: x != ""))
+    numbered = lambda g: F.get(F.transform(F.array(g), lambda x: F.transform(x, lambda w, i: F.concat(w, (i - F.array_position(x, w)).cast("string")))), F.lit(0))
+    return F.size(F.array_intersect(numbered(letters(a)), numbered(letters(b))))
+
+
 def ideal_distance(c, ideal: int = 90) -> Column:
     return F.abs(F.length(col(c)) - ideal) / ideal

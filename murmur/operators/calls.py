@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import RETRYABLE
@@ -95,10 +95,82 @@ def guarded(before: list[str], after: list[str], most_removed: float = 0.5) -> l
     return after if len(after) >= len(before) * (1 - most_removed) else before
 
 
+def merged(items: list[str], *chain: Callable[[list[str]], list[str]], least: int = 5, most_removed: float = 0.5) -> list[str]:
+    """A semantic merge of a whole list: the first link of the chain whose answer is neither empty nor removes more than that
+    share; lists of up to `least` items, and those that no link answers for, stay as they are."""
+    if len(items) > least:
+        for f in chain:
+            try:
+                out = f(items)
+            except Exception:  # the next link answers
+                continue
+            if out and guarded(items, out, most_removed) is out:
+                return out
+    return items
+
+
+def clean_run(items: DataFrame, group: str, batch_chain: tuple, merge_chain: tuple, batch: int = 30, lengths: tuple[int, int] = (30, 200)) -> DataFrame:
+    """(group, id, text): the whole cleaning of each group's items (group, pos, text): batches cleaned by a chain of calls (its
+    first list that parses; a batch that none answers for is dropped), fuzzy dedup, a window of lengths, a guarded merge of what
+    is left, and dedup and lengths once more. Batches are cleaned apart, wherever they are; only the cleaned list of a group
+    comes together, as its merge is one call."""
+    from murmur.operators.dedup import dedup
+
+    kind = items.schema[group].dataType.simpleString()
+
+    def cleaned(d: pd.DataFrame) -> pd.DataFrame:
+        rows = d.sort_values("pos")
+        out = next((x for f in batch_chain if (x := _tried(f, rows["text"].tolist()))), [])
+        return pd.DataFrame({group: rows[group].iloc[0], "pos": rows["pos"].iloc[0] + pd.RangeIndex(len(out)) / (len(out) + 1), "text": out})
+
+    def folded(d: pd.DataFrame) -> pd.DataFrame:
+        rows = d.sort_values("kept_pos")
+        out = merged(rows["text"].tolist(), *merge_chain)
+        return pd.DataFrame({group: rows[group].iloc[0], "pos": range(1, len(out) + 1), "text": out})
+
+    def unique(rows: DataFrame) -> DataFrame:
+        numbered = rows.select(group, F.row_number().over(Window.partitionBy(group).orderBy("pos")).cast("long").alias("pos"), "text")
+        return dedup(numbered, "longest", group).where(F.length("text").between(*lengths))
+
+    numbered = items.withColumn("__b", F.floor((F.row_number().over(Window.partitionBy(group).orderBy("pos")) - 1) / batch))
+    first = unique(numbered.groupBy(group, "__b").applyInPandas(lambda d: cleaned(d), f"{group} {kind}, pos double, text string"))
+    last = unique(first.select(group, "kept_pos", "text").groupBy(group).applyInPandas(folded, f"{group} {kind}, pos long, text string"))
+    return last.select(group, F.row_number().over(Window.partitionBy(group).orderBy("kept_pos")).alias("id"), "text")
+
+
+def _tried(f: Callable[[list[str]], list[str] | None], items: list[str]) -> list[str] | None:
+    try:
+        return f(items)
+    except Exception:  # the next link answers
+        return None
+
+
 def summarize(chunks: DataFrame, models: DataFrame, group: str, batch: int = 20, **kw) -> DataFrame:
     """Two levels: each chunk by each model, then the successful summaries of a model, in batches, by the same model."""
     one = run_models(chunks.select(group, "pos", F.col("text").alias("prompt")).crossJoin(F.broadcast(models)), **kw)
     good = one.where((F.col("status") == "success") & (F.trim("summary") != "")).withColumn("batch", F.floor(F.col("pos") / batch))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "summary"))), lambda x: x["summary"]), "\n")
-    two = good.groupBy(group, "provider", "model_id", "batch").agg(text.alias("prompt"))
-    return run_models(two, **kw)
+    return run_models(_prompts(good, "pos", group, "provider", "model_id", "batch"), **kw)
+
+
+def _prompts(summaries: DataFrame, order: str, *by: str) -> DataFrame:
+    """One prompt for each group of summaries: numbered in order."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, "summary")))
+    text = F.array_join(F.transform(ordered, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.trim(x["summary"]))), "\n\n")
+    return summaries.groupBy(*by).agg(text.alias("prompt"), F.count("*").alias("parts"))
+
+
+def summarize_in_three(chunks: DataFrame, models: DataFrame, group: str, batch: int = 20, least: int = 20, **kw) -> DataFrame:
+    """Three levels: chunks, batches of their successful summaries (numbered anew, so that batches are full), and one summary
+    of each model over its batches. Models with fewer than `least` good summaries are left out; where a batch fails the
+    model's record is an error without a last call."""
+    one = run_models(chunks.select(group, "pos", F.col("text").alias("prompt")).crossJoin(F.broadcast(models)), **kw)
+    keys = [group, "provider", "model_id"]
+    w = Window.partitionBy(*keys)
+    good = one.where((F.col("status") == "success") & (F.trim("summary") != ""))
+    good = good.withColumns({"n": F.count("*").over(w), "batch": F.floor((F.row_number().over(w.orderBy("pos")) - 1) / batch)}).where(F.col("n") >= least)
+    two = run_models(_prompts(good, "pos", *keys, "batch"), **kw)
+    whole = two.withColumn("failed", F.max((F.col("status") != "success").cast("int")).over(w))
+    three = run_models(_prompts(whole.where("failed = 0").select(*keys, "batch", "summary"), "batch", *keys), **kw)
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    broken = whole.where("failed = 1").select(*keys).distinct().select(*keys, F.lit("").alias("summary"), F.lit("error").alias("status"), F.lit("a batch is incomplete").alias("error"))
+    return three.select(*keys, *names).unionByName(broken, allowMissingColumns=True)

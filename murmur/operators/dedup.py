@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import fuzzy
+from murmur.functions.text import common_letters
 
 
 def over(a: str, b: str, limit: float) -> bool:
@@ -153,6 +154,36 @@ def dedup(items: DataFrame, rule: str, group: str) -> DataFrame:
     return items.select(group, "pos", "text", "quality", "chunk").groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, text string, kept_pos long, dropped long, replaced long")
 
 
+def duplicate_pairs(items: DataFrame, rule: str, group: str, least: float = 0.0) -> DataFrame:
+    """(group, pos, text, pos2, text2) with pos < pos2: the pairs of a group that a rule's predicate holds for.
+
+    least: the share of the longer text's length that the shorter one must exceed for the predicate to be possible at all;
+    it is tested by built-ins before any pair reaches the predicate.
+    """
+    same = RULES[rule].same
+    x = items.select(group, "pos", "text")
+    y = x.select(F.col(group).alias("__g"), F.col("pos").alias("pos2"), F.col("text").alias("text2"))
+    n, m = F.length("text"), F.length("text2")
+    both = x.join(y, (F.col(group) == F.col("__g")) & (F.col("pos") < F.col("pos2")) & (F.least(n, m) > least * F.greatest(n, m))).drop("__g")
+    check = F.pandas_udf(lambda a, b: pd.Series([same(p, q) for p, q in zip(a, b, strict=True)], dtype=bool), "boolean")
+    return both.where(check("text", "text2"))
+
+
+def uncovered(items: DataFrame, good: DataFrame, group: str, limit: float = 80) -> DataFrame:
+    """The items that no good text (group, good) of their group covers, by partial ratio over limit in lower case.
+
+    Equal texts of a group are compared once, and pairs whose common letters cannot reach the limit are left out by built-ins:
+    a window of the longer text has at most the letters that both texts have, and fits best if it has no others.
+    """
+    one = items.select(group, F.lower("text").alias("__t")).distinct()
+    two = good.select(F.col(group).alias("__g"), F.lower("good").alias("__o")).distinct()
+    both = one.join(two, F.col(group) == F.col("__g"))
+    shared, short = common_letters(F.col("__t"), F.col("__o")), F.least(F.length("__t"), F.length("__o"))
+    both = both.where((short == 0) | (200 * shared > limit * (short + shared)))
+    hit = both.where(fuzzy.partial_above("__t", "__o", limit)).select(F.col(group).alias("__g"), F.col("__t").alias("__h")).distinct()
+    return items.join(hit, F.col(group).eqNullSafe(F.col("__g")) & (F.lower("text") == F.col("__h")), "left_anti")
+
+
 def merge_artifacts(items: DataFrame, group: str) -> DataFrame:
     """The items of a group that glue two others together: the first half matches one item's head, the second another's tail."""
 
@@ -182,6 +213,11 @@ def merge_artifacts(items: DataFrame, group: str) -> DataFrame:
     return items.select(group, "pos", "text").groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, text string")
 
 
+def exact_upper(rows: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, text): each distinct upper-case text with its smallest id."""
+    return rows.groupBy(F.upper(text).alias(text)).agg(F.min(id_col).alias(id_col)).select(id_col, text)
+
+
 def exact(items: DataFrame, *order: str) -> DataFrame:
     """The first item of each upper-case text."""
     first = items.groupBy(F.upper("text").alias("__u")).agg(F.min(F.struct(*order)).alias("__f"))

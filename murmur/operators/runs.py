@@ -44,6 +44,26 @@ def latest_success(runs: DataFrame, by: list[str], precedence: str = "label", ti
     return runs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def status_counts(records: DataFrame, by: str) -> DataFrame:
+    good = F.col("status") == "success"
+    return records.groupBy(by).agg(F.count_if(good).alias("ok"), F.count_if(~F.coalesce(good, F.lit(False))).alias("failed"))
+
+
+def succeeded(records: DataFrame, text: str = "summary") -> DataFrame:
+    """Successful records whose text is not blank."""
+    return records.where((F.col("status") == "success") & (F.trim(text) != ""))
+
+
+def covered(records: DataFrame, by: str, least: int) -> DataFrame:
+    """(by, n): groups with at least so many successful records."""
+    return records.where(F.col("status") == "success").groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def with_defaults(rows: DataFrame, side: DataFrame, on: str, defaults: dict) -> DataFrame:
+    """rows with the columns of an optional side input, defaults where it has no row."""
+    return rows.join(side.select(on, *defaults), on, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def unfinished(units: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Units of work without a record that has no error."""
     return units.join(records.where("error is null").select(*keys).distinct(), keys, "left_anti")

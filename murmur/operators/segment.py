@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.fuzzy import partial_above
 from murmur.functions.quality import class_improve, cycle_score, garbage_v6, quality_improve, quality_v6
 from murmur.functions.text import clean_text, find_delimiter, split_cycles, split_minlen, strip_affixes, strip_affixes_dash
 from murmur.operators import dedup as D
@@ -28,7 +27,13 @@ def raw_items(streams: DataFrame) -> DataFrame:
     whole = x.join(top.select("stream").distinct(), "stream", "left_anti").select("stream", F.when(F.col("n") > 0, F.col("delimiter")).otherwise(" - ").alias("delimiter"), F.col("text").alias("c"), F.lit(1).alias("rank"))
     both = top.select("stream", "delimiter", "c", "rank").unionByName(whole)
     parts = both.select("stream", "rank", F.posexplode(F.expr("split(c, concat('\\\\Q', delimiter, '\\\\E'))")).alias("i", "t"))
-    return parts.select("stream", (F.col("rank") * 1_000_000 + F.col("i")).cast("long").alias("pos"), F.trim("t").alias("text"))
+    return numbered(parts, "rank")
+
+
+def numbered(parts: DataFrame, first: str) -> DataFrame:
+    """(stream, pos, text): parts (stream, first, i, t) numbered in their order in the stream."""
+    pos = F.row_number().over(Window.partitionBy("stream").orderBy(first, "i")).cast("long")
+    return parts.select("stream", pos.alias("pos"), F.trim("t").alias("text"))
 
 
 def segment_news(streams: DataFrame) -> DataFrame:
@@ -46,10 +51,9 @@ def improve_pipeline(streams: DataFrame) -> DataFrame:
     """Items by the other route: all cycles, good and merged ones apart, both deduplicated, merged ones only where no good one covers them."""
     cycles = streams.select("stream", F.posexplode(split_cycles(clean_text("text"), 100)).alias("cycle", "c"))
     parts = cycles.select("stream", "cycle", F.posexplode(split_minlen("c")).alias("i", "t"))
-    x = parts.select("stream", (F.col("cycle") * 1_000_000 + F.col("i")).cast("long").alias("pos"), strip_affixes_dash("t").alias("text"))
+    x = numbered(parts, "cycle").withColumn("text", strip_affixes_dash("text"))
     x = x.withColumns({"kind": class_improve("text"), "quality": quality_improve("text")})
     good, merged = (D.dedup(x.where(F.col("kind") == k), "improve", "stream").select("stream", "pos", "text") for k in ("good", "merged"))
-    covered = merged.join(good.select("stream", F.col("text").alias("g")), "stream").where(partial_above(F.lower("text"), F.lower("g"), 80)).select("stream", "pos").distinct()
-    rest = merged.join(covered, ["stream", "pos"], "left_anti")
+    rest = D.uncovered(merged, good.select("stream", F.col("text").alias("good")), "stream")
     last = D.dedup(good.unionByName(rest).withColumn("quality", quality_improve("text")), "improve", "stream")
     return last.withColumn("quality", quality_improve("text")).withColumn("id", F.row_number().over(Window.partitionBy("stream").orderBy(F.desc("quality"), "kept_pos")))

@@ -1,4 +1,4 @@
-"""What the queries share: the tables, the items of documents, and queries that are one SQL text for both engines."""
+"""What the queries share: the tables, the items of documents, and queries of one function on every row."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from murmur.plans.registry import query
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,15 +43,3 @@ def scalar(name: str, expression, sql: str | None, given: str = "text", base: st
 
     source = "documents" if base == "documents" else ITEMS
     query(name, sql and f"SELECT {', '.join(keys)}, {sql} AS v FROM (SELECT {', '.join(keys)}, {given} AS x FROM {source})")(run)
-
-
-def shared(name: str, sql: str, oracle: str | None = None) -> None:
-    """A query whose SQL runs on both engines (or, with `oracle`, differs in spelling only)."""
-
-    def run(spark, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if t in sql:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    query(name, oracle or sql)(run)

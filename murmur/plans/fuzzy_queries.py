@@ -1,8 +1,12 @@
 """Queries over string similarity, evaluation against a reference list, and greedy dedup.
 
-Pairs are neighbouring turns of a conversation (reference, hypothesis); the reference list is the benchmark, and the
-extracted items are the turns of all conversations. Where an LCS makes SQL too slow on whole tables there is no SQL: the
-functions are tested against plain definitions.
+Pairs are neighbouring sentences of a conversation (reference, hypothesis). Labels are what a recogniser might have read of
+the parts' names: as they are, with digits for letters, words swapped, a prefix before, a letter short, another text, a
+glued one. The reference list is the distinct names (and the nations' names, which no label shows); a slice of labels is a
+part type, a stream of items a part size.
+
+The SQL has its own LCS: a list of thresholds, the shortest prefixes of b that hold a common subsequence of each length,
+renewed for every character of a. Greedy passes are recursive queries over each stream's items in order.
 """
 
 from __future__ import annotations
@@ -17,81 +21,101 @@ from murmur.operators import dedup as D
 from murmur.operators import matching as M
 from murmur.operators.segment import improve_pipeline as improve
 from murmur.operators.segment import segment_news as segment
+from murmur.plans import fuzzy_sql as S
 from murmur.plans.common import table, wordlist
 from murmur.plans.registry import query
 
-PLAIN = "regexp_replace(text, '[^ -~]', '?', 'g')"
-PAIRS = f"(SELECT conv_id, turn, {PLAIN} AS a, {PLAIN.replace('text', 'nxt')} AS b FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL)"
+
+def sentences(spark, d):
+    """(conv_id, turn, i, text): the sentences and lines of all turns."""
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.\\n]+")).alias("i", "t"))
+    return x.select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.trim("t").alias("text")).where("text <> ''")
 
 
 def pairs(spark, d):
-    """Neighbouring turns; characters outside ASCII count as one and the same."""
-    x = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("nxt")).where("nxt is not null")
-    return x.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("a"), F.regexp_replace("nxt", "[^ -~]", "?").alias("b"))
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "i"))
+    return sentences(spark, d).select("conv_id", "turn", "i", F.col("text").alias("a"), nxt.alias("b")).where("b is not null")
+
+
+KEYS = ("conv_id", "turn", "i")
+
 
+def plain(spark, d):
+    """Pairs with every character outside ASCII as "?": the engines' edit distances differ on others."""
+    return pairs(spark, d).select(*KEYS, F.regexp_replace("a", "[^ -~]", "?").alias("a"), F.regexp_replace("b", "[^ -~]", "?").alias("b"))
 
-def _score(name: str, of: str):
-    @query(name)
+
+def _score(name: str, of: str, sql: str):
+    @query(name, f"SELECT conv_id, turn, i, round({sql}, 6) AS score FROM {S.PAIRS}")
     def run(spark, d):
-        return pairs(spark, d).select("conv_id", "turn", F.round(fuzzy.score(of, "a", "b"), 6).alias("score"))
+        return pairs(spark, d).select(*KEYS, F.round(fuzzy.score(of, "a", "b"), 6).alias("score"))
+
+
+_score("fuzz_ratio", "ratio", S.ratio("a", "b"))
+_score("fuzz_token_sort", "token_sort_ratio", S.ratio(S.token_sort("a"), S.token_sort("b")))
+_score("similarity", "similarity", f"greatest({S.ratio('a', 'b')}, {S.ratio(S.token_sort('a'), S.token_sort('b'))})")
+_score("fuzz_token_set", "token_set_ratio", S.token_set("a", "b"))
 
 
-for _name, _of in (("fuzz_ratio", "ratio"), ("fuzz_token_sort", "token_sort_ratio"), ("fuzz_partial", "partial_ratio"), ("fuzz_token_set", "token_set_ratio"), ("similarity", "similarity")):
-    _score(_name, _of)
+@query("fuzz_partial", f"SELECT p_partkey, round({S.partial('a', 'b')}, 6) AS score FROM (SELECT p_partkey, text AS a, lead(text) OVER (PARTITION BY stream ORDER BY p_partkey) AS b FROM {S.LABELS}) WHERE b IS NOT NULL")
+def fuzz_partial(spark, d):
+    """Labels that follow each other in a stream."""
+    x = labels(spark, d).withColumn("b", F.lead("text").over(Window.partitionBy("stream").orderBy("p_partkey"))).where("b is not null")
+    return x.select("p_partkey", F.round(fuzzy.score("partial_ratio", "text", "b"), 6).alias("score"))
 
 
-@query("len_ratio", f"SELECT conv_id, turn, least(length(a), length(b)) / greatest(length(a), length(b)) AS v FROM {PAIRS}")
+@query("len_ratio", f"SELECT conv_id, turn, i, least(length(a), length(b)) / greatest(length(a), length(b)) AS v FROM {S.PAIRS}")
 def len_ratio(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", (F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))).alias("v"))
+    return pairs(spark, d).select(*KEYS, (F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))).alias("v"))
 
 
-@query("token_overlap", f"SELECT conv_id, turn, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS v FROM (SELECT conv_id, turn, list_distinct({wordlist('upper(a)')}) AS x, list_distinct({wordlist('upper(b)')}) AS y FROM {PAIRS})")
+@query("token_overlap", f"SELECT conv_id, turn, i, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS v FROM (SELECT conv_id, turn, i, list_distinct({wordlist('upper(a)')}) AS x, list_distinct({wordlist('upper(b)')}) AS y FROM {S.PLAIN})")
 def token_overlap(spark, d):
-    x = pairs(spark, d).select("conv_id", "turn", F.array_distinct(words(F.upper("a"))).alias("x"), F.array_distinct(words(F.upper("b"))).alias("y"))
-    return x.select("conv_id", "turn", (F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))).alias("v"))
+    x = plain(spark, d).select(*KEYS, F.array_distinct(words(F.upper("a"))).alias("x"), F.array_distinct(words(F.upper("b"))).alias("y"))
+    return x.select(*KEYS, (F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))).alias("v"))
 
 
-@query("cer", f"SELECT conv_id, turn, levenshtein(a, b) / length(a) AS v FROM {PAIRS}")
+@query("cer", f"SELECT conv_id, turn, i, levenshtein(a, b) / length(a) AS v FROM {S.PLAIN}")
 def cer(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", M.cer(F.col("a"), F.col("b")).alias("v"))
+    return plain(spark, d).select(*KEYS, M.cer(F.col("a"), F.col("b")).alias("v"))
 
 
-@query("wer")
+@query("wer", f"SELECT conv_id, turn, i, round((ceil({S.edits('x', 'y')} / {S.UNIT}) + 0.0) / len(x), 9) AS v FROM (SELECT conv_id, turn, i, {wordlist('a')} AS x, {wordlist('b')} AS y FROM {S.PAIRS})")
 def wer(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", M.wer(words("a"), words("b")).alias("v"))
+    return pairs(spark, d).select(*KEYS, F.round(M.wer(words("a"), words("b")), 9).alias("v"))
 
 
-@query("asr_metrics")
+@query("asr_metrics", f"""SELECT conv_id, turn, i, round(d / n, 9) AS wer, round(levenshtein(c, k) / length(c), 9) AS cer, round(d / (n + d - (n - hits)), 9) AS mer, round(1 - hits / n * hits / m, 9) AS wil, n::INT AS ref_words, m::INT AS hyp_words, length(c)::INT AS ref_chars, length(k)::INT AS hyp_chars
+  FROM (SELECT *, len(x) AS n, len(y) AS m, ceil(e / {S.UNIT}) + 0.0 AS d, ceil(e / {S.UNIT}) * {S.UNIT} - e AS hits, array_to_string(x, ' ') AS c, array_to_string(y, ' ') AS k FROM (SELECT *, {S.edits('x', 'y')} AS e FROM (SELECT conv_id, turn, i, {wordlist('a')} AS x, {wordlist('b')} AS y FROM {S.PLAIN})))""")
 def asr_metrics(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", M.asr_metrics("a", "b").alias("m")).select("conv_id", "turn", "m.*")
+    m = plain(spark, d).select(*KEYS, M.asr_metrics("a", "b").alias("m")).select(*KEYS, "m.*")
+    return m.withColumns({c: F.round(c, 9) for c in ("wer", "cer", "mer", "wil")})
 
 
 def _tokens(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", M.rouge_tokens(F.col("a")).alias("x"), M.rouge_tokens(F.col("b")).alias("y"))
-
-
-def _rouge_sql(n: int) -> str:
-    grams = lambda t: f"list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))"
-    token = lambda c: f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    return f"""SELECT conv_id, turn, round(CASE WHEN hits > 0 THEN 2 * hits / (nx + ny) ELSE 0.0 END, 9) AS v FROM (
-      SELECT conv_id, turn, len(x) AS nx, len(y) AS ny, coalesce(list_sum(list_transform(list_intersect(list_distinct(x), list_distinct(y)), lambda g: least(len(list_filter(x, lambda h: h = g)), len(list_filter(y, lambda h: h = g))))), 0) AS hits FROM (
-        SELECT conv_id, turn, {grams('x')} AS x, {grams('y')} AS y FROM (SELECT conv_id, turn, {token('a')} AS x, {token('b')} AS y FROM {PAIRS})))"""
+    return pairs(spark, d).select(*KEYS, M.rouge_tokens(F.col("a")).alias("x"), M.rouge_tokens(F.col("b")).alias("y"))
 
 
-@query("rouge_1", _rouge_sql(1))
+@query("rouge_1", S.rouge(1))
 def rouge_1(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 1), 9).alias("v"))
+    return _tokens(spark, d).select(*KEYS, F.round(M.rouge_n(F.col("x"), F.col("y"), 1), 9).alias("v"))
 
 
-@query("rouge_2", _rouge_sql(2))
+@query("rouge_2", S.rouge(2))
 def rouge_2(spark, d):
-    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_n(F.col("x"), F.col("y"), 2), 9).alias("v"))
+    return _tokens(spark, d).select(*KEYS, F.round(M.rouge_n(F.col("x"), F.col("y"), 2), 9).alias("v"))
 
 
-@query("rouge_l")
+@query("rouge_l", f"SELECT conv_id, turn, i, round(CASE WHEN hits > 0 THEN 2 * hits / (len(x) + len(y)) ELSE 0.0 END, 6) AS v FROM (SELECT *, {S.lcs_list('x', 'y')} AS hits FROM {S.TOKENS})")
 def rouge_l(spark, d):
-    """On stemmed tokens."""
-    return _tokens(spark, d).select("conv_id", "turn", F.round(M.rouge_l(M.stems("x"), M.stems("y")), 6).alias("v"))
+    """On tokens as they are."""
+    return _tokens(spark, d).select(*KEYS, F.round(M.rouge_l("x", "y"), 6).alias("v"))
+
+
+@query("rouge_l_stemmed")
+def rouge_l_stemmed(spark, d):
+    """On stemmed tokens, which SQL has no function for."""
+    return _tokens(spark, d).select(*KEYS, F.round(M.rouge_l(M.stems("x"), M.stems("y")), 6).alias("v"))
 
 
 COSINE = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))"
@@ -102,150 +126,145 @@ EMB = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 def greedy_cosine_match(spark, d):
     """Each label's vectors are a reference, the next label's a candidate: mean best cosine of the reference's vectors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    best = M.best_cosine(e.select("label", F.col("vec_id").alias("id"), "e"), e.select((F.col("label") - 1).alias("label"), "e"), "label")
+    return best.groupBy("label").agg(F.round(F.avg("best"), 6).alias("recall"))
 
-    def run(key, one, two):
-        import numpy as np
-        import pandas as pd
-
-        if not len(one) or not len(two):
-            return pd.DataFrame({"label": [], "recall": []}).astype({"label": "int32", "recall": "float64"})
-        a, b = np.array([list(v) for v in one["e"]], float), np.array([list(v) for v in two["f"]], float)
-        a, b = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (a, b))
-        best = np.concatenate([(a[i : i + 256] @ b.T).max(1) for i in range(0, len(a), 256)])
-        return pd.DataFrame({"label": [int(key[0])], "recall": [float(best.mean())]})
 
-    other = e.select((F.col("label") - 1).alias("l"), F.col("e").alias("f"))
-    return e.groupBy("label").cogroup(other.groupBy("l")).applyInPandas(run, "label int, recall double").select("label", F.round("recall", 6).alias("recall"))
+def labels(spark, d):
+    return table(spark, d, "part").selectExpr(*(f"{v} AS {k}" for k, v in S.LABEL.items()))
 
 
 def _gt(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), normalize("text").alias("text"))
+    names = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").cast("long").alias("id")).select("id", normalize("p_name").alias("text"))
+    return names.union(table(spark, d, "nation").select((F.col("n_nationkey") + 1_000_000_000).cast("long"), normalize("n_name")))
 
 
 def _ext(spark, d):
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), normalize("text").alias("text"), F.col("role").alias("slice"))
+    return labels(spark, d).select(F.col("p_partkey").cast("long").alias("id"), normalize("text").alias("text"), "slice")
 
 
-def _scored(spark, d):
+def _scored(spark, d, *sides):
     gt, ext = _gt(spark, d), _ext(spark, d)
     found = M.best_matches(gt, ext)
-    return M.scored(found, "l", gt), M.scored(found, "r", ext)
+    return [M.scored(found, side, gt if side == "l" else ext) for side in sides]
 
 
-@query("best_match")
+@query("best_match", f"SELECT g.id, coalesce(match_id, -1) AS match_id, round(coalesce(score, 0), 6) AS score FROM {S.GT} g LEFT JOIN {S.BEST_L} USING (id)")
 def best_match(spark, d):
-    return _scored(spark, d)[0].select("id", F.col("other").alias("match_id"), F.round("score", 6).alias("score"))
+    return _scored(spark, d, "l")[0].select("id", F.col("other").alias("match_id"), F.round("score", 6).alias("score"))
+
+
+@query("best_match_texts")
+def best_match_texts(spark, d):
+    """The same on long texts: all benchmark passages against all turns of conversations."""
+    gt = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), normalize("text").alias("text"))
+    ext = table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn").alias("id"), normalize("text").alias("text"))
+    return M.scored(M.best_matches(gt, ext), "l", gt).select("id", F.col("other").alias("match_id"), F.round("score", 6).alias("score"))
 
 
-@query("semi_recalled")
+@query("semi_recalled", f"SELECT id, text FROM {S.GT} JOIN {S.BEST_L} USING (id) WHERE score >= 70")
 def semi_recalled(spark, d):
-    return _scored(spark, d)[0].where(F.col("score") >= M.MATCHED).select("id", "text")
+    return _scored(spark, d, "l")[0].where(F.col("score") >= M.MATCHED).select("id", "text")
 
 
-@query("anti_missed")
+@query("anti_missed", f"SELECT g.id, text FROM {S.GT} g LEFT JOIN {S.BEST_L} USING (id) WHERE coalesce(score, 0) < 70")
 def anti_missed(spark, d):
-    return _scored(spark, d)[0].where(F.col("score") < M.MATCHED).select("id", "text")
+    return _scored(spark, d, "l")[0].where(F.col("score") < M.MATCHED).select("id", "text")
 
 
-@query("anti_false_pos")
+@query("anti_false_pos", f"SELECT e.id, text FROM {S.EXT} e LEFT JOIN {S.BEST_R} USING (id) WHERE coalesce(score, 0) < 70")
 def anti_false_pos(spark, d):
-    return _scored(spark, d)[1].where(F.col("score") < M.MATCHED).select("id", "text")
+    return _scored(spark, d, "r")[0].where(F.col("score") < M.MATCHED).select("id", "text")
 
 
-@query("anti_hallucination")
+@query("anti_hallucination", f"SELECT e.id, text FROM {S.EXT} e LEFT JOIN {S.BEST_R} USING (id) WHERE coalesce(score, 0) < 60")
 def anti_hallucination(spark, d):
-    return _scored(spark, d)[1].where(F.col("score") < M.HALLUCINATED).select("id", "text")
+    return _scored(spark, d, "r")[0].where(F.col("score") < M.HALLUCINATED).select("id", "text")
 
 
-@query("hallucination_rate")
+@query("hallucination_rate", f"SELECT round(avg((coalesce(score, 0) < 60)::INT), 9) AS rate FROM {S.EXT} LEFT JOIN {S.BEST_R} USING (id)")
 def hallucination_rate(spark, d):
-    return _scored(spark, d)[1].agg(F.coalesce(F.avg((F.col("score") < M.HALLUCINATED).cast("double")), F.lit(0.0)).alias("rate"))
+    return _scored(spark, d, "r")[0].agg(F.round(F.coalesce(F.avg((F.col("score") < M.HALLUCINATED).cast("double")), F.lit(0.0)), 9).alias("rate"))
 
 
-@query("prf_thresholds")
+@query("prf_thresholds", S.prf())
 def prf_thresholds(spark, d):
-    return M.prf(*_scored(spark, d))
+    gt, ext = _gt(spark, d), _ext(spark, d)
+    return S.rounded(M.prf(M.best_matches(gt, ext), gt, ext))
 
 
-@query("prf_exact_coverage")
+@query("prf_exact_coverage", f"SELECT count(CASE WHEN score >= 95 THEN 1 END) AS exact, count(CASE WHEN score >= 50 THEN 1 END) AS covered FROM {S.GT} LEFT JOIN {S.BEST_L} USING (id)")
 def prf_exact_coverage(spark, d):
-    return _scored(spark, d)[0].agg(F.count_if(F.col("score") >= M.EXACT).alias("exact"), F.count_if(F.col("score") >= M.COVERED).alias("covered"))
+    return _scored(spark, d, "l")[0].agg(F.count_if(F.col("score") >= M.EXACT).alias("exact"), F.count_if(F.col("score") >= M.COVERED).alias("covered"))
 
 
-@query("mean_cer_matched")
+@query("mean_cer_matched", f"""SELECT round(avg(levenshtein(text, hyp) / length(text)), 9) AS cer, round(avg(levenshtein(array_to_string(list_transform(x, lambda w: chr(64 + list_position(z, w))), ''), array_to_string(list_transform(y, lambda w: chr(64 + list_position(z, w))), '')) / len(x)), 9) AS wer, count(*) AS n
+  FROM (SELECT *, list_distinct(list_concat(x, y)) AS z FROM (SELECT g.text, e.text AS hyp, {wordlist('g.text')} AS x, {wordlist('e.text')} AS y FROM {S.GT} g JOIN {S.BEST_L} b USING (id) JOIN {S.EXT} e ON e.id = b.match_id WHERE score >= 70))""")
 def mean_cer_matched(spark, d):
-    gt, _ = _scored(spark, d)
-    both = gt.where(F.col("score") >= M.MATCHED).join(_ext(spark, d).select(F.col("id").alias("other"), F.col("text").alias("hyp")), "other")
-    return both.agg(F.avg(M.cer(F.col("text"), F.col("hyp"))).alias("cer"), F.avg(M.wer(words("text"), words("hyp"))).alias("wer"), F.count("*").alias("n"))
+    both = _scored(spark, d, "l")[0].where(F.col("score") >= M.MATCHED).join(_ext(spark, d).select(F.col("id").alias("other"), F.col("text").alias("hyp")), "other")
+    return both.agg(F.round(F.avg(M.cer(F.col("text"), F.col("hyp"))), 9).alias("cer"), F.round(F.avg(M.wer(words("text"), words("hyp"))), 9).alias("wer"), F.count("*").alias("n"))
 
 
-@query("evaluate_stage")
+@query("evaluate_stage", S.prf("slice"))
 def evaluate_stage(spark, d):
-    """Precision, recall and F1 by slice (role), all slices against the whole reference list."""
+    """Precision, recall and F1 by slice, every slice against the whole reference list."""
     gt, ext = _gt(spark, d), _ext(spark, d)
-    out = None
-    for role in ("assistant", "system", "user"):
-        own = ext.where(F.col("slice") == role)
-        found = M.best_matches(gt, own)
-        one = M.prf(M.scored(found, "l", gt), M.scored(found, "r", own)).withColumn("slice", F.lit(role))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return S.rounded(M.prf(M.best_matches(gt, ext, ("slice",)), gt, ext, ("slice",)))
 
 
-@query("anti_uncovered")
+@query("anti_uncovered", f"""SELECT p_partkey, text FROM {S.LABELS} WHERE kind IN (3, 6) AND p_partkey NOT IN (
+  SELECT m.p_partkey FROM {S.LABELS} m JOIN {S.LABELS} g ON m.stream = g.stream WHERE m.kind IN (3, 6) AND g.kind = 0 AND {S.partial('m.text', 'g.text')} > 80)""")
 def anti_uncovered(spark, d):
-    """User turns that no system turn of the conversation covers (partial ratio over 80)."""
-    x = table(spark, d, "conversations").select("conv_id", "turn", "role", normalize("text").alias("text"))
-    good = x.where("role = 'system'").select("conv_id", F.col("text").alias("good"))
-    hit = x.where("role = 'user'").join(good, "conv_id").where(fuzzy.partial_above("text", "good", 80)).select("conv_id", "turn")
-    return x.where("role = 'user'").join(hit, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "text")
+    """Glued and prefixed labels that no plain label of their stream covers (partial ratio over 80)."""
+    x = labels(spark, d)
+    merged, good = x.where("kind in (3, 6)"), x.where("kind = 0").select("stream", F.col("text").alias("good"))
+    return D.uncovered(merged, good, "stream").select("p_partkey", "text")
 
 
-def _turns(spark, d):
-    """The sentences of a conversation's turns: one stream of items for each conversation."""
-    x = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.\\n]+")).alias("i", "t")).select("conv_id", (F.col("turn") * 10000 + F.col("i")).cast("long").alias("pos"), F.col("turn").alias("chunk"), F.trim("t").alias("text"))
-    return x.where(F.length("text") >= 20)
+def _items(spark, d):
+    """A stream of labelled items for each part size."""
+    return table(spark, d, "part").selectExpr(*(f"{v} AS {k}" for k, v in S.ITEM.items()))
 
 
-def _pairs_of(name: str, same):
-    @query(name)
+def _pairs_of(name: str, rule: str, least: float):
+    @query(name, S.same_pairs(rule))
     def run(spark, d):
-        x = _turns(spark, d).select("conv_id", "pos", "text")
-        y = x.select("conv_id", F.col("pos").alias("pos2"), F.col("text").alias("text2"))
-        check = F.pandas_udf(lambda a, b: a.combine(b, same), "boolean")
-        return x.join(y, "conv_id").where("pos < pos2").where(check("text", "text2")).select("conv_id", "pos", "pos2")
+        return D.duplicate_pairs(_items(spark, d), rule, "stream", least).select("stream", "pos", "pos2")
+
+
+for _name, _rule, _least in (("dup_pairs_clean", "clean", 0.5), ("dup_pairs_v6", "v6", 0.42), ("dup_pairs_aggregate", "aggregate", 0.0)):
+    _pairs_of(_name, _rule, _least)
+
+
+QUALITY = {"v6": quality_v6, "improve": quality_improve, "chunks": quality_merge}
 
 
-for _name, _same in (("dup_pairs_clean", D.dup_clean), ("dup_pairs_v6", D.dup_v6), ("dup_pairs_aggregate", D.dup_aggregate)):
-    _pairs_of(_name, _same)
+def _deduped(spark, d, rule: str):
+    x = _items(spark, d)
+    x = x.withColumn("quality", F.round(QUALITY[rule]("text"), 9)) if rule in QUALITY else x
+    x = x.withColumn("text", vlm_norm("text")) if rule == "aggregate" else x
+    return D.dedup(x, rule, "stream")
 
 
-def _dedup(name: str, rule: str, quality=None, norm=None):
-    @query(name)
+def _dedup(name: str, rule: str):
+    @query(name, S.greedy(rule))
     def run(spark, d):
-        x = _turns(spark, d)
-        x = x.withColumn("quality", F.round(quality("text"), 9)) if quality else x
-        x = x.withColumn("text", norm("text")).where(F.length("text") >= 20) if norm else x
-        return D.dedup(x, rule, "conv_id").select("conv_id", "pos", "text", "kept_pos")
+        return _deduped(spark, d, rule).select("stream", "pos", "text", "kept_pos")
 
 
-_dedup("dedup_clean", "clean")
-_dedup("dedup_longest", "longest")
-_dedup("dedup_aggregate", "aggregate", norm=vlm_norm)
-_dedup("dedup_v6", "v6", quality_v6)
-_dedup("dedup_improve", "improve", quality_improve)
-_dedup("merge_chunks", "chunks", quality_merge)
+for _name, _rule in (("dedup_clean", "clean"), ("dedup_longest", "longest"), ("dedup_aggregate", "aggregate"), ("dedup_v6", "v6"), ("dedup_improve", "improve"), ("merge_chunks", "chunks")):
+    _dedup(_name, _rule)
 
 
-@query("dedup_counts")
+@query("dedup_counts", S.greedy("chunks", True))
 def dedup_counts(spark, d):
-    x = D.dedup(_turns(spark, d).withColumn("quality", F.round(quality_merge("text"), 9)), "chunks", "conv_id")
-    return x.groupBy("conv_id").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"), F.max("replaced").alias("replaced"))
+    x = _deduped(spark, d, "chunks")
+    return x.groupBy("stream").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"), F.max("replaced").alias("replaced"))
 
 
-@query("merge_artifacts")
+@query("merge_artifacts", S.ARTIFACTS)
 def merge_artifacts(spark, d):
-    return D.merge_artifacts(_turns(spark, d), "conv_id")
+    return D.merge_artifacts(_items(spark, d), "stream").select("stream", "pos", "text")
 
 
 def _streams(spark, d):

@@ -6,33 +6,120 @@ none runs in a single task. Runs are conversations: conv_id the run, role the mo
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from murmur.operators import dedup as D
+from murmur.operators import frames as K
 from murmur.operators import geometry as G
 from murmur.operators import runs as R
-from murmur.plans.common import shared, table
+from murmur.functions import text as T
+from murmur.plans.common import table
 from murmur.plans.registry import query
+from murmur.sources import readers as I
+from murmur.sources import writers as O
+from murmur.streaming import jobs as J
+
+def _frames(spark, d):
+    return K.positions(table(spark, d, "events"), "user_id", ("ts", "event_id"))
+
+
+def _ranked(rows, by, *order):
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("int").alias("r"))
+
 
 FRAMES = "(SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS pos FROM events)"
 OPEN = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
-shared("sample_every_n", f"SELECT event_id, user_id, pos FROM {FRAMES} AS f WHERE pos % 5 = 0 AND value > 2")
-shared("assign_ids", f"SELECT event_id, user_id, pos + 1 AS id FROM {FRAMES} AS f")
-shared("batch_ids", f"SELECT event_id, user_id, CAST(floor(pos / 15) AS BIGINT) AS batch FROM {FRAMES} AS f")
-shared("confidence_filter", "SELECT event_id, event_type, value FROM events WHERE value / 10 > CASE event_type WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.5 ELSE 0.3 END")
-shared("confidence_stats", "SELECT event_type, round(avg(value) * 100, 6) AS avg_conf, min(value) * 100 AS min_conf, max(value) * 100 AS max_conf, round(percentile(value, 0.5) * 100, 6) AS median_conf FROM events GROUP BY event_type", "SELECT event_type, round(avg(value) * 100, 6) AS avg_conf, min(value) * 100 AS min_conf, max(value) * 100 AS max_conf, round(quantile_cont(value, 0.5) * 100, 6) AS median_conf FROM events GROUP BY event_type")
-shared("bucket_min_max", f"SELECT user_id, CAST(floor(pos / 8) AS BIGINT) AS bucket, min(value) AS low, max(value) AS high FROM {FRAMES} AS f GROUP BY user_id, CAST(floor(pos / 8) AS BIGINT) HAVING count(*) = 8")
-shared("fill_rate", "SELECT event_type, CAST(count(CASE WHEN value > 5 THEN 1 END) AS BIGINT) AS filled, count(*) AS total, count(CASE WHEN value > 5 THEN 1 END) / greatest(count(*), 1) AS rate FROM events GROUP BY event_type")
-shared("first_write_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) AS w WHERE r = 1")
-shared("delta_stats", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(percentile(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(quantile_cont(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id")
-shared("even_sample", f"SELECT DISTINCT user_id, pos FROM (SELECT f.*, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) AS k ON pos = CAST(floor(i * (n - 1) / 11) AS BIGINT)")
-shared("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 9) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
-shared("renumber_segments", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY chunk, ts, event_id) AS BIGINT) - 1 AS segment, secs + chunk * 3600 AS start_sec FROM (SELECT *, CAST(floor(event_id / 1000) AS BIGINT) AS chunk, event_id % 1000 AS secs FROM events) AS c")
-shared("ordered_concat", "SELECT user_id, listagg(event_type, ' ') WITHIN GROUP (ORDER BY ts, event_id) AS text FROM events GROUP BY user_id", "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id")
-shared("chunk_15min", "SELECT window.start AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY window(ts, '15 minutes')", "SELECT time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY 1")
-shared("sliding_windows", "SELECT window.start AS start, count(*) AS segments FROM events GROUP BY window(ts, '30 minutes', '15 minutes')", "SELECT start, count(*) AS segments FROM (SELECT unnest([time_bucket(INTERVAL '15 minutes', ts), time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes']) AS start FROM events) GROUP BY 1")
-shared("chunk_ranges", "SELECT p_partkey, i AS chunk, i * 7 AS start_pos, least((i + 1) * 7, p_size) AS end_pos FROM (SELECT p_partkey, p_size, explode(sequence(0, CAST(greatest(1, ceil(p_size / 7)) AS INT) - 1)) AS i FROM part)", "SELECT p_partkey, i::INT AS chunk, (i * 7)::INT AS start_pos, least((i + 1) * 7, p_size)::INT AS end_pos FROM (SELECT p_partkey, p_size, unnest(range(0, greatest(1, ceil(p_size / 7))::BIGINT)) AS i FROM part)")
+@query("sample_every_n", f"SELECT event_id, user_id, pos FROM {FRAMES} AS f WHERE pos % 5 = 0 AND value > 2")
+def sample_every_n(spark, d):
+    return K.every_nth(_frames(spark, d), 5, F.col("value") > 2).select("event_id", "user_id", "pos")
+
+
+@query("assign_ids", f"SELECT event_id, user_id, pos + 1 AS id FROM {FRAMES} AS f")
+def assign_ids(spark, d):
+    return K.positions(table(spark, d, "events"), "user_id", ("ts", "event_id"), "id", 1).select("event_id", "user_id", "id")
+
+
+@query("batch_ids", f"SELECT event_id, user_id, CAST(floor(pos / 15) AS BIGINT) AS batch FROM {FRAMES} AS f")
+def batch_ids(spark, d):
+    return _frames(spark, d).select("event_id", "user_id", K.batch(15).alias("batch"))
+
+
+@query("confidence_filter", "SELECT event_id, event_type, value FROM events WHERE value / 10 > CASE event_type WHEN 'click' THEN 0.2 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.5 ELSE 0.3 END")
+def confidence_filter(spark, d):
+    x = K.over_floor(table(spark, d, "events"), "event_type", F.col("value") / 10, {"click": 0.2, "view": 0.3, "error": 0.5}, 0.3)
+    return x.select("event_id", "event_type", "value")
+
+
+@query("confidence_stats", "SELECT event_type, round(avg(value) * 100, 6) AS avg_conf, min(value) * 100 AS min_conf, max(value) * 100 AS max_conf, round(quantile_cont(value, 0.5) * 100, 6) AS median_conf FROM events GROUP BY event_type")
+def confidence_stats(spark, d):
+    x = K.percentages(table(spark, d, "events"), "event_type", "value")
+    return x.withColumns({"avg_conf": F.round("avg_conf", 6), "median_conf": F.round("median_conf", 6)})
+
+
+@query("bucket_min_max", f"SELECT user_id, CAST(floor(pos / 8) AS BIGINT) AS bucket, min(value) AS low, max(value) AS high FROM {FRAMES} AS f GROUP BY user_id, CAST(floor(pos / 8) AS BIGINT) HAVING count(*) = 8")
+def bucket_min_max(spark, d):
+    return K.bucket_min_max(_frames(spark, d), "user_id", "value", 8)
+
+
+@query("fill_rate", "SELECT event_type, CAST(count(CASE WHEN value > 5 THEN 1 END) AS BIGINT) AS filled, count(*) AS total, count(CASE WHEN value > 5 THEN 1 END) / greatest(count(*), 1) AS rate FROM events GROUP BY event_type")
+def fill_rate(spark, d):
+    return K.fill_rate(table(spark, d, "events"), "event_type", F.col("value") > 5)
+
+
+@query("first_write_wins", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) AS w WHERE r = 1")
+def first_write_wins(spark, d):
+    x = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return K.first_write_wins(x, ["user_id", "event_type"], ("ts", "event_id")).drop("ts")
+
+
+@query("delta_stats", f"SELECT user_id, count(d) AS n, round(avg(d), 6) AS mean, min(d) AS low, max(d) AS high, round(quantile_cont(d, 0.5), 6) AS median FROM (SELECT user_id, value - lag(value) {OPEN} AS d FROM events) AS x GROUP BY user_id")
+def delta_stats(spark, d):
+    x = K.deltas(table(spark, d, "events"), "user_id", ("ts", "event_id"), "value")
+    return x.withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
+
+
+@query("even_sample", f"SELECT DISTINCT user_id, pos FROM (SELECT f.*, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) AS k ON pos = CAST(floor(i * (n - 1) / 11) AS BIGINT)")
+def even_sample(spark, d):
+    return K.even_sample(_frames(spark, d), "user_id").select("user_id", "pos")
+
+
+@query("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 9) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
+def running_eta(spark, d):
+    x = K.progress(_frames(spark, d), "user_id", "value")
+    return x.select("event_id", "user_id", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 9).alias("eta"))
+
+
+@query("renumber_segments", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY chunk, ts, event_id) AS BIGINT) - 1 AS segment, secs + chunk * 3600 AS start_sec FROM (SELECT *, CAST(floor(event_id / 1000) AS BIGINT) AS chunk, event_id % 1000 AS secs FROM events) AS c")
+def renumber_segments(spark, d):
+    x = table(spark, d, "events").withColumns({"chunk": F.floor(F.col("event_id") / 1000), "secs": F.col("event_id") % 1000})
+    return K.renumber(x, "user_id", "chunk", ("ts", "event_id"), "secs", 3600).select("event_id", "user_id", "segment", "start_sec")
+
+
+@query("ordered_concat", "SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM events GROUP BY user_id")
+def ordered_concat(spark, d):
+    return K.ordered_text(table(spark, d, "events"), "user_id", ("ts", "event_id"), "event_type")
+
+
+@query("chunk_15min", "SELECT time_bucket(INTERVAL '15 minutes', ts) AS start, count(*) AS segments, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def chunk_15min(spark, d):
+    return K.windows(table(spark, d, "events"), "ts", "15 minutes", total=F.round(F.sum("value"), 4))
+
+
+@query("sliding_windows", "SELECT start, count(*) AS segments FROM (SELECT unnest([time_bucket(INTERVAL '15 minutes', ts), time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes']) AS start FROM events) GROUP BY 1")
+def sliding_windows(spark, d):
+    return K.windows(table(spark, d, "events"), "ts", "30 minutes", "15 minutes")
+
+
+@query("chunk_ranges", "SELECT p_partkey, i::INT AS chunk, (i * 7)::INT AS start_pos, least((i + 1) * 7, p_size)::INT AS end_pos FROM (SELECT p_partkey, p_size, unnest(range(0, greatest(1, ceil(p_size / 7))::BIGINT)) AS i FROM part)")
+def chunk_ranges(spark, d):
+    return K.chunk_ranges(table(spark, d, "part"), "p_size", 7).select("p_partkey", "chunk", "start_pos", "end_pos")
+
+
 
 
 @query("tile_starts", "SELECT p_partkey, unnest(CASE WHEN w <= 3000 THEN [0] ELSE list_sort(list_distinct(list_concat(list_filter(range(0, w, 2000), lambda s: s + 3000 <= w), [w - 3000]))) END)::INT AS tile FROM (SELECT p_partkey, (p_size * 400)::BIGINT AS w FROM part)")
@@ -78,14 +165,52 @@ def scroll_stats(spark, d):
     return x.groupBy("user_id").agg(F.round(F.sum("shift"), 4).alias("total"), F.round(F.coalesce(F.avg(moved), F.lit(0.0)), 6).alias("mean_moved"), F.count_if(F.col("shift") == 0).alias("still"), F.count("*").alias("n"))
 
 
-shared("dedup_exact", "SELECT min(doc_id) AS doc_id, upper(text) AS text FROM documents GROUP BY upper(text)", "SELECT min(doc_id) AS doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents GROUP BY 2")
-shared("distinct_ordered_union", "SELECT text, min(pos) AS pos FROM (SELECT text, doc_id AS pos FROM documents UNION ALL SELECT text, 1000000 + item_id FROM benchmark) AS u GROUP BY text")
-shared("union_all_tagged", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
-shared("sort_longest", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, text, doc_id) AS INT) AS r FROM documents")
-shared("sort_chunk_len", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY size DESC, length(text) DESC, doc_id) AS INT) AS r FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source) AS size FROM documents) AS x")
-shared("sort_quality", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, abs(length(text) - 90), pos) AS INT) AS r FROM (SELECT d.doc_id, d.source, d.text, l.quality, d.doc_id AS pos FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id) AS x")
-shared("chunk_sizes", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY source")
-shared("adaptive_threshold", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS c WHERE n >= (SELECT greatest(10, CAST(floor(percentile(n, 0.5) / 3) AS BIGINT)) FROM (SELECT count(*) AS n FROM documents GROUP BY source) AS m)", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS c WHERE n >= (SELECT greatest(10, CAST(floor(quantile_cont(n, 0.5) / 3) AS BIGINT)) FROM (SELECT count(*) AS n FROM documents GROUP BY source) AS m)")
+@query("dedup_exact", "SELECT min(doc_id) AS doc_id, upper(replace(text, 'ß', 'ss')) AS text FROM documents GROUP BY 2")
+def dedup_exact(spark, d):
+    return D.exact_upper(table(spark, d, "documents"), "text", "doc_id")
+
+
+@query("distinct_ordered_union", "SELECT text, min(pos) AS pos FROM (SELECT text, doc_id AS pos FROM documents UNION ALL SELECT text, 1000000 + item_id FROM benchmark) AS u GROUP BY text")
+def distinct_ordered_union(spark, d):
+    docs = table(spark, d, "documents").select("text", F.col("doc_id").alias("pos"))
+    more = table(spark, d, "benchmark").select("text", (F.col("item_id") + 1_000_000).alias("pos"))
+    return docs.union(more).groupBy("text").agg(F.min("pos").alias("pos"))
+
+
+@query("union_all_tagged", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
+def union_all_tagged(spark, d):
+    docs = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return docs.union(table(spark, d, "benchmark").select(F.lit("benchmark"), "item_id", "text"))
+
+
+@query("sort_longest", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, text, doc_id) AS INT) AS r FROM documents")
+def sort_longest(spark, d):
+    return _ranked(table(spark, d, "documents"), "source", F.desc(F.length("text")), "text", "doc_id")
+
+
+@query("sort_chunk_len", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY size DESC, length(text) DESC, doc_id) AS INT) AS r FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source) AS size FROM documents) AS x")
+def sort_chunk_len(spark, d):
+    x = table(spark, d, "documents")
+    sizes = x.groupBy("source").agg(F.sum(F.length("text")).alias("size")).withColumnRenamed("source", "s")
+    return _ranked(x.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("s"))), "lang", F.desc("size"), F.desc(F.length("text")), "doc_id")
+
+
+@query("sort_quality", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, abs(length(text) - 90), pos) AS INT) AS r FROM (SELECT d.doc_id, d.source, d.text, l.quality, d.doc_id AS pos FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id) AS x")
+def sort_quality(spark, d):
+    x = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return _ranked(x, "source", F.desc(F.coalesce("quality", F.lit(0))), F.abs(F.length("text") - 90), "doc_id")
+
+
+@query("chunk_sizes", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY source")
+def chunk_sizes(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("size"), F.count("*").alias("n"))
+
+
+@query("adaptive_threshold", "SELECT source, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) AS c WHERE n >= (SELECT greatest(10, CAST(floor(quantile_cont(n, 0.5) / 3) AS BIGINT)) FROM (SELECT count(*) AS n FROM documents GROUP BY source) AS m)")
+def adaptive_threshold(spark, d):
+    return K.above_share_of_median(table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")), "n", 10, 1 / 3)
+
+
 
 CYCLES = """(SELECT *, n = 0 OR n = total - 1 AS edge, CASE WHEN k < 10 THEN k / 10 WHEN k > 35 THEN 35 / k ELSE 1.0 END * CASE WHEN n = 0 OR n = total - 1 THEN 0.3 ELSE 1.0 END * CASE WHEN len < 500 THEN 0.2 WHEN len > 4000 THEN 3000 / len ELSE 1.0 END AS score FROM (
   SELECT doc_id, pos, text, length(text) AS len, (length(text) - length(replace(text, ', ', ''))) // 2 AS k, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM (
@@ -134,7 +259,12 @@ def two_level_rollup(spark, d):
     return R.two_level(_runs(spark, d), "role", "conv_id", "m").withColumn("mean", F.round("mean", 6))
 
 
-shared("macro_mean", f"SELECT turn, round(avg({CLEAN}), 6) AS mean FROM {RUN} AS r WHERE role IN ('user', 'assistant') GROUP BY turn")
+@query("macro_mean", f"SELECT turn, round(avg({CLEAN}), 6) AS mean FROM {RUN} AS r WHERE role IN ('user', 'assistant') GROUP BY turn")
+def macro_mean(spark, d):
+    x = _runs(spark, d).where(F.col("role").isin("user", "assistant"))
+    return x.groupBy("turn").agg(F.round(F.avg(R.present("m")), 6).alias("mean"))
+
+
 
 
 @query("leaderboard", "SELECT conv_id, row_number() OVER (PARTITION BY n_turns ORDER BY chars DESC, conv_id)::INT AS rank, n_turns, chars FROM (SELECT conv_id, count(*) AS n_turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id)")
@@ -151,9 +281,21 @@ def _status(spark, d):
     return x.withColumns({"status": F.when(F.col("turn") % 4 == 3, "error").otherwise("success"), "label": F.when(F.col("turn") % 3 == 0, "retry").when(F.col("turn") % 3 == 1, "original").otherwise("chunked")})
 
 
-shared("status_counts", f"SELECT role, count(CASE WHEN status = 'success' THEN 1 END) AS ok, count(CASE WHEN status <> 'success' THEN 1 END) AS failed FROM {STATUS} AS s GROUP BY role")
-shared("filter_success", f"SELECT conv_id, turn, text FROM {STATUS} AS s WHERE status = 'success' AND trim(text) <> ''")
-shared("having_coverage", f"SELECT conv_id, count(*) AS n FROM {STATUS} AS s WHERE status = 'success' GROUP BY conv_id HAVING count(*) >= 4")
+@query("status_counts", f"SELECT role, count(CASE WHEN status = 'success' THEN 1 END) AS ok, count(CASE WHEN status <> 'success' THEN 1 END) AS failed FROM {STATUS} AS s GROUP BY role")
+def status_counts(spark, d):
+    return R.status_counts(_status(spark, d), "role")
+
+
+@query("filter_success", f"SELECT conv_id, turn, text FROM {STATUS} AS s WHERE status = 'success' AND trim(text) <> ''")
+def filter_success(spark, d):
+    return R.succeeded(_status(spark, d), "text").select("conv_id", "turn", "text")
+
+
+@query("having_coverage", f"SELECT conv_id, count(*) AS n FROM {STATUS} AS s WHERE status = 'success' GROUP BY conv_id HAVING count(*) >= 4")
+def having_coverage(spark, d):
+    return R.covered(_status(spark, d), "conv_id", 4)
+
+
 
 
 @query("merge_runs_latest_success", f"SELECT conv_id, role, turn, label, status FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY CASE WHEN status = 'success' THEN 1 ELSE 0 END DESC, label DESC, turn DESC) AS r FROM {STATUS}) WHERE r = 1")
@@ -168,14 +310,51 @@ def anti_resume(spark, d):
     return R.unfinished(units, _status(spark, d).withColumn("error", F.when(F.col("status") == "error", "x")), ["conv_id", "turn"])
 
 
-shared("cost_rollup", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS tokens, round(sum(l_extendedprice), 2) AS usd, count(*) AS n FROM lineitem GROUP BY l_returnflag")
-shared("left_join_default", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id")
-shared("ordered_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-shared("pivot_variants", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'view' THEN 1 END) AS view_, count(CASE WHEN event_type = 'error' THEN 1 END) AS error FROM events GROUP BY user_id")
-shared("sample_first_n", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) AS x WHERE r <= 60")
-shared("cross_fanout", "SELECT n_name, r_name FROM nation CROSS JOIN region")
-shared("semi_selected", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)")
-shared("removal_guard", "SELECT d.doc_id FROM documents AS d CROSS JOIN (SELECT count(CASE WHEN quality = 1 THEN 1 END) AS kept, count(*) AS total FROM labels) AS g LEFT JOIN labels AS l ON d.doc_id = l.doc_id WHERE kept * 2 < total OR coalesce(l.quality, 1) = 1")
+@query("cost_rollup", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS tokens, round(sum(l_extendedprice), 2) AS usd, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def cost_rollup(spark, d):
+    x = table(spark, d, "lineitem").groupBy("l_returnflag")
+    return x.agg(F.sum("l_quantity").cast("long").alias("tokens"), F.round(F.sum("l_extendedprice"), 2).alias("usd"), F.count("*").alias("n"))
+
+
+@query("left_join_default", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id")
+def left_join_default(spark, d):
+    return R.with_defaults(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", {"quality": -1, "toxic": -1}).select("doc_id", "quality", "toxic")
+
+
+@query("ordered_lookup", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def ordered_lookup(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("pivot_variants", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'view' THEN 1 END) AS view_, count(CASE WHEN event_type = 'error' THEN 1 END) AS error FROM events GROUP BY user_id")
+def pivot_variants(spark, d):
+    return K.counts_by(table(spark, d, "events"), "user_id", "event_type", {"click": "click", "view": "view_", "error": "error"})
+
+
+@query("sample_first_n", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) AS x WHERE r <= 60")
+def sample_first_n(spark, d):
+    return K.first_of_each(table(spark, d, "documents"), "source", ("doc_id",), 60).select("doc_id", "source")
+
+
+@query("cross_fanout", "SELECT n_name, r_name FROM nation CROSS JOIN region")
+def cross_fanout(spark, d):
+    return table(spark, d, "nation").select("n_name").crossJoin(F.broadcast(table(spark, d, "region").select("r_name")))
+
+
+@query("semi_selected", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)")
+def semi_selected(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, d, "customer").join(n, "c_nationkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("removal_guard", "SELECT d.doc_id FROM documents AS d CROSS JOIN (SELECT count(CASE WHEN quality = 1 THEN 1 END) AS kept, count(*) AS total FROM labels) AS g LEFT JOIN labels AS l ON d.doc_id = l.doc_id WHERE kept * 2 < total OR coalesce(l.quality, 1) = 1")
+def removal_guard(spark, d):
+    marks = table(spark, d, "labels")
+    x = table(spark, d, "documents").join(marks.select("doc_id", "quality"), "doc_id", "left")
+    return K.removal_guard(x, F.coalesce("quality", F.lit(1)) == 1, marks.select((F.col("quality") == 1).alias("kept"))).select("doc_id")
+
+
 
 
 @query("zip_positional", "SELECT a.conv_id, a.n AS pos, a.text AS question, b.text AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n FROM conversations WHERE role = 'user') AS a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n FROM conversations WHERE role = 'assistant') AS b ON a.conv_id = b.conv_id AND a.n = b.n")
@@ -185,7 +364,146 @@ def zip_positional(spark, d):
     return side("user", "question").join(side("assistant", "answer"), ["conv_id", "pos"])
 
 
-shared("scan_items", "SELECT doc_id AS id, trim(text) AS text FROM documents WHERE trim(text) <> ''")
-shared("scan_tiles_skip_errors", "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' AND get_json_object(props, '$.k') IS NOT NULL", "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL")
-shared("scan_nested_inline", "SELECT conv_id, x.turn AS turn, x.role AS role FROM (SELECT conv_id, explode(collect_list(named_struct('turn', turn, 'role', role))) AS x FROM conversations GROUP BY conv_id)", "SELECT conv_id, turn, role FROM conversations")
-shared("scan_chunk_docs", "SELECT source, CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) AS chunk, doc_id FROM documents WHERE trim(text) <> ''", "SELECT source, CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) AS chunk, doc_id FROM documents WHERE trim(text) <> ''")
+def _folder(spark, name: str) -> str:
+    """A new folder for files that a scan query writes first and then reads."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="murmur-")
+    return f"{at.rstrip('/')}/scans/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(df, at: str, *by: str) -> str:
+    """A JSON document for each row, in text files (one for each partition, or in folders by column)."""
+    body = [c for c in df.columns if c not in by]
+    out = df.select(*by, F.to_json(F.struct(*body)).alias("value")).write
+    (out.partitionBy(*by) if by else out).text(at)
+    return at
+
+
+@query("scan_items", "SELECT doc_id AS id, trim(text) AS text FROM documents WHERE trim(text) <> ''")
+def scan_items(spark, d):
+    """Items written as JSON lines, then read by the item reader."""
+    at = _lines(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _folder(spark, "items"))
+    return I.read_items(spark, at, lines=True)
+
+
+@query("scan_tiles_skip_errors", "SELECT event_id::VARCHAR AS tile, 'm' AS model_id, event_type AS text, 'high' AS confidence FROM events WHERE event_type <> 'error'")
+def scan_tiles_skip_errors(spark, d):
+    """Tile records of a headline each; those of errors carry an error, and broken lines lie between them."""
+    x = table(spark, d, "events")
+    heads = F.array(F.struct(F.col("event_type").alias("text"), F.lit("high").alias("confidence")))
+    rows = x.select(F.col("event_id").cast("string").alias("tile"), F.lit("m").alias("model_id"), heads.alias("headlines"), F.when(F.col("event_type") == "error", "failed").alias("error"))
+    good = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    at = _folder(spark, "tiles")
+    broken = rows.where("tile like '%7'").select(F.concat(F.lit('{"tile": "'), "tile", F.lit('", "headlines": [')).alias("value"))
+    good.union(broken).write.text(at)
+    return I.read_tiles(spark, at, lines=True)
+
+
+@query("scan_nested_inline", "SELECT conv_id::VARCHAR AS audio_file, turn AS id, text FROM conversations")
+def scan_nested_inline(spark, d):
+    """A transcript for each conversation, its turns as segments."""
+    x = table(spark, d, "conversations")
+    segment = F.struct(F.col("turn").alias("id"), F.col("text"))
+    docs = x.groupBy(F.col("conv_id").cast("string").alias("audio_file")).agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+    return I.read_segments(spark, _lines(docs, _folder(spark, "transcripts")), lines=True).select("audio_file", "id", "text")
+
+
+@query("scan_chunk_docs", "SELECT n_nationkey::INT AS chunk, n_name AS text FROM nation WHERE n_nationkey % 6 <> 5")
+def scan_chunk_docs(spark, d):
+    """Whole texts in folders chunk_<n>, one for each nation, read by their pattern; every sixth file is blank."""
+    at = _folder(spark, "chunks")
+    text = F.when(F.col("n_nationkey") % 6 == 5, " ").otherwise(F.concat(F.lit(" "), "n_name"))
+    table(spark, d, "nation").select(F.concat(F.lit("chunk_"), "n_nationkey").alias("folder"), text.alias("value")).write.partitionBy("folder").text(at)
+    return I.read_chunks(spark, f"{at}/folder=chunk_*").select("chunk", "text")
+
+
+@query("scan_runs_precedence", f"SELECT label, conv_id::VARCHAR AS provider, role AS model_id, text AS summary, status FROM {STATUS} WHERE label <> 'chunked'")
+def scan_runs_precedence(spark, d):
+    """Run files under labelled folders, those of one label missing."""
+    at = _folder(spark, "runs")
+    x = _status(spark, d).where("label <> 'chunked'")
+    result = F.struct(F.col("conv_id").cast("string").alias("provider"), F.col("role").alias("model_id"), F.col("text").alias("summary"), "status")
+    _lines(x.groupBy("label", "conv_id").agg(F.collect_list(result).alias("results")).drop("conv_id"), at, "label")
+    return I.read_runs(spark, [(k, f"{at}/label={k}") for k in ("retry", "chunked", "original")], lines=True).select("label", "provider", "model_id", "summary", "status")
+
+
+@query("scan_words", "SELECT l_partkey::INT AS x, l_returnflag AS text, l_discount::DOUBLE AS confidence, 'ok' AS status FROM lineitem UNION ALL SELECT NULL, NULL, NULL, 'missing'")
+def scan_words(spark, d):
+    """Recognised words of one engine, and the status of a file that is not there."""
+    at = _lines(table(spark, d, "lineitem").select(F.col("l_partkey").cast("int").alias("x"), F.col("l_returnflag").alias("text"), F.col("l_discount").cast("double").alias("confidence")), _folder(spark, "words"))
+    return I.read_words(spark, at, lines=True).union(I.read_words(spark, f"{at}-none", lines=True))
+
+
+@query("discover_runs", "SELECT n_nationkey::INT AS run, n_name AS name FROM nation WHERE n_nationkey % 3 <> 2")
+def discover_runs(spark, d):
+    """Folders run_<n> that a listing finds; those with other names are left out."""
+    at = _folder(spark, "found")
+    x = table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("run_x"), "n_nationkey")).otherwise(F.concat(F.lit("run_"), "n_nationkey")).alias("r"), F.col("n_name").alias("value"))
+    for r in x.collect():  # a folder for each nation, 25 of them
+        spark.createDataFrame([(r.value,)], "value string").coalesce(1).write.text(f"{at}/{r.r}")
+    found = I.discover_runs(spark, at)
+    texts = spark.read.text([p for _, p in found]).select(I.run_number("_metadata.file_path").alias("run"), F.col("value").alias("name"))
+    return texts
+
+
+@query("first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), nullif(source, ''), 'none') AS v FROM documents")
+def first_filled(spark, d):
+    x = table(spark, d, "documents").withColumn("a", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("lang")))
+    return x.select("doc_id", T.first_filled("a", "source", F.lit("none")).alias("v"))
+
+
+@query("box_floor", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 10 AND l_linenumber >= 5")
+def box_floor(spark, d):
+    x = table(spark, d, "lineitem").withColumns({"w": F.col("l_quantity"), "h": F.col("l_linenumber")})
+    return K.large_boxes(x).select("l_orderkey", "l_linenumber")
+
+
+@query("validate_requests", "SELECT o_orderkey, CASE WHEN b <= a THEN 'end_sec must be greater than start_sec' WHEN b - a > 1800 THEN 'segment too long' END AS error FROM (SELECT o_orderkey, o_custkey % 5000 AS a, o_orderkey % 5000 AS b FROM orders)")
+def validate_requests(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5000).alias("start_sec"), (F.col("o_orderkey") % 5000).alias("end_sec"))
+    return K.requests(x).select("o_orderkey", "error")
+
+
+_E = "(SELECT vec_id, e, list_concat(e[vec_id % 5 + 1:], e[:vec_id % 5]) AS f FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"
+
+
+@query("scroll_match", f"""SELECT vec_id, (10 - s)::INT AS shift, round(r, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, s) AS k FROM (
+  SELECT vec_id, s, list_dot_product(t, v) / sqrt(list_dot_product(t, t) * list_dot_product(v, v)) AS r FROM (
+    SELECT vec_id, s, list_transform(e[23:54], lambda z: z - list_avg(e[23:54])) AS t, list_transform(f[13 + s:44 + s], lambda z: z - list_avg(f[13 + s:44 + s])) AS v FROM (SELECT *, unnest(range(0, 11)) AS s FROM {_E})))) WHERE k = 1""")
+def scroll_match(spark, d):
+    """Strips of 64 values, each moved left by up to four places (the values that leave come in again)."""
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    k = (F.col("vec_id") % 5).cast("int")
+    x = x.select("vec_id", "e", F.concat(F.slice("e", k + 1, F.size("e")), F.slice("e", F.lit(1), k)).alias("f"))
+    m = x.select("vec_id", K.scroll_match("e", "f", F.lit(10), F.lit(0.5)).alias("m"))
+    return m.select("vec_id", "m.shift", F.round("m.confidence", 6).alias("confidence"))
+
+
+@query("stats_document", "SELECT user_id, count(*) AS frames, round(avg(value), 6) AS mean, max(value) AS high FROM events GROUP BY user_id")
+def stats_document(spark, d):
+    """Nested statistics of a stream, written as JSON documents and read again."""
+    x = O.stats_documents(table(spark, d, "events"), "user_id", {"frames": F.count("*"), "value": {"mean": F.round(F.avg("value"), 6), "high": F.max("value")}})
+    at = _folder(spark, "stats")
+    x.write.text(at)
+    back = spark.read.schema("user_id bigint, frames bigint, value struct<mean:double,high:double>").json(at)
+    return back.select(F.col("user_id").cast(table(spark, d, "events").schema["user_id"].dataType).alias("user_id"), "frames", "value.mean", "value.high")
+
+
+@query("results_by_variant", "SELECT role AS variant, string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn) AS rows FROM conversations GROUP BY role")
+def results_by_variant(spark, d):
+    x = O.by_variant(table(spark, d, "conversations").select(F.col("role").alias("variant"), "conv_id", "turn"), "variant", ("conv_id", "turn"))
+    return x.select("variant", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["conv_id"], r["turn"])), ",").alias("rows"))
+
+
+@query("latest_job_status", f"SELECT conv_id, turn, status FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {STATUS}) WHERE r = 1")
+def latest_job_status(spark, d):
+    """Statuses appended to a job table, a batch for each parity of the turn, and the latest of each job."""
+    at = _folder(spark, "jobs")
+    x = _status(spark, d).select(F.col("conv_id").cast("string").alias("job"), F.col("turn").cast("long").alias("updated_at"), "status")
+    for k in (0, 1):
+        J.append_status(x.where(F.col("updated_at") % 2 == k), at)
+    kinds = table(spark, d, "conversations").schema
+    return J.latest_status(spark, at).select(F.col("job").cast(kinds["conv_id"].dataType).alias("conv_id"), F.col("updated_at").cast(kinds["turn"].dataType).alias("turn"), "status")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import quality as Q
 from murmur.functions import text as T
-from murmur.plans.common import ITEMS, items, scalar, shared, squeezed, table, wordlist
+from murmur.plans.common import ITEMS, items, scalar, squeezed, table, wordlist
 from murmur.plans.registry import query
 
 SP = "[ \\t\\n\\r\\f]"
@@ -36,7 +36,7 @@ scalar("word_prefix", T.word_prefix, f"CASE WHEN len({wordlist('x')}) >= 4 THEN
 scalar("find_delimiter", lambda c: F.concat_ws("/", T.find_delimiter(c)["delimiter"], T.find_delimiter(c)["n"].cast("string")), """(SELECT d || '/' || n FROM (
   SELECT unnest([' - ', ' | ', ' • ', ' · ']) AS d, unnest([(length(x) - length(replace(x, ' - ', ''))) // 3, (length(x) - length(replace(x, ' | ', ''))) // 3, (length(x) - length(replace(x, ' • ', ''))) // 3, (length(x) - length(replace(x, ' · ', ''))) // 3]) AS n, unnest([0, 1, 2, 3]) AS p
 ) ORDER BY n DESC, p LIMIT 1)""")
-scalar("significant_numbers", lambda c: F.array_join(F.array_sort(F.transform(T.significant_numbers(c), lambda x: x.cast("string"))), ","), "array_to_string(list_sort(list_transform(list_distinct(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(x, '[0-9][0-9,]+'), lambda n: replace(n, ',', '')), lambda n: length(n) BETWEEN 3 AND 38), lambda n: n::HUGEINT), lambda n: n NOT BETWEEN 1900 AND 2099)), lambda n: n::VARCHAR)), ',')", "concat(text, ' 72,292 in 2023 and ', n_chars)")
+scalar("significant_numbers", lambda c: F.array_join(F.array_sort(T.significant_numbers(c)), ","), "array_to_string(list_sort(list_transform(list_distinct(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(x, '[0-9][0-9,]+'), lambda n: replace(n, ',', '')), lambda n: length(n) >= 3), lambda n: n::HUGEINT), lambda n: n NOT BETWEEN 1900 AND 2099)), lambda n: n::VARCHAR)), ',')", "concat(text, ' 72,292 in 2023 and ', n_chars)")
 scalar("ideal_length_dist", T.ideal_distance, "abs(length(x) - 90) / 90", base="items")
 scalar("quality_v6", lambda c: F.round(Q.quality_v6(c), 6), f"""round(CASE WHEN length(x) < 15 OR len({wordlist('x')}) = 0 OR length({r('x', '[^\\p{L}]', '')}) = 0 THEN 0.0 ELSE
   length({r('x', '[^\\p{Lu}]', '')}) / length({r('x', '[^\\p{L}]', '')}) * 0.4 + len(list_filter({wordlist('x')}, lambda w: length(w) >= 3 AND length({r('w', '[^\\p{L}]', '')}) / length(w) > 0.7)) / len({wordlist('x')}) * 0.4 + CASE WHEN length(x) < 30 THEN 0.5 WHEN length(x) > 200 THEN 0.6 ELSE 1.0 END * 0.2 END::DOUBLE, 6)""", base="items")
@@ -49,26 +49,26 @@ def _good_sql(x: str, vowels: int, run: int, longest: int) -> str:
     return f"NOT (length({x}) > {longest} OR (length({x}) >= {vowels} AND length({r(x, '[^aeiouAEIOU]', '')}) = 0) OR (length({x}) >= 4 AND {switches} > 2 AND {switches} >= length({x}) * 0.4) OR (length({x}) >= {run} AND {runs}))"
 
 
-def _scored(vowels: int, run: int, longest: int) -> str:
+def scored_sql(vowels: int, run: int, longest: int, rel: str = ITEMS) -> str:
     return f"""(SELECT *, len(list_filter(s, lambda y: {_good_sql('y', vowels, run, longest)})) AS good, len(s) AS scored, length(regexp_replace(w[len(w)], '[^a-zA-Z]', '', 'g')) AS last, length(text) AS n
-  FROM (SELECT *, list_filter(list_transform(w, lambda y: regexp_replace(y, '[^a-zA-Z]', '', 'g')), lambda y: y <> '') AS s FROM (SELECT *, {wordlist('text')} AS w FROM {ITEMS})))"""
+  FROM (SELECT *, list_filter(list_transform(w, lambda y: regexp_replace(y, '[^a-zA-Z]', '', 'g')), lambda y: y <> '') AS s FROM (SELECT *, {wordlist('text')} AS w FROM {rel})))"""
 
 
 MERGE_Q = "(CASE WHEN n < 20 OR len(w) < 3 OR scored = 0 THEN 0.0 ELSE good / scored * 0.6 + CASE WHEN n < 40 THEN 0.3 WHEN n <= 120 THEN 1.0 ELSE greatest(0.5, 1.0 - (n - 120) / 200) END * 0.4 - CASE WHEN last BETWEEN 1 AND 2 OR text LIKE '%-' OR text LIKE '%,' THEN 0.05 ELSE 0.0 END END)::DOUBLE"
 IMPROVE_Q = "(CASE WHEN n < 35 OR len(w) < 3 THEN 0.0 ELSE greatest(0.0, good / greatest(scored, 1) * 0.5 + CASE WHEN n < 40 THEN 0.3 WHEN n < 50 THEN 0.6 WHEN n <= 130 THEN 1.0 WHEN n <= 150 THEN 0.7 WHEN n <= 180 THEN 0.4 ELSE 0.2 END * 0.5 - CASE WHEN last <= 2 THEN 0.1 ELSE 0.0 END) END)::DOUBLE"
 
 
-@query("quality_merge", f"SELECT doc_id, pos, round({MERGE_Q}, 6) AS v FROM {_scored(4, 5, 1000000)}")
+@query("quality_merge", f"SELECT doc_id, pos, round({MERGE_Q}, 6) AS v FROM {scored_sql(4, 5, 1000000)}")
 def quality_merge(spark, d):
     return items(spark, d).select("doc_id", "pos", F.round(Q.quality_merge("text"), 6).alias("v"))
 
 
-@query("quality_improve", f"SELECT doc_id, pos, round({IMPROVE_Q}, 6) AS v FROM {_scored(5, 6, 16)}")
+@query("quality_improve", f"SELECT doc_id, pos, round({IMPROVE_Q}, 6) AS v FROM {scored_sql(5, 6, 16)}")
 def quality_improve(spark, d):
     return items(spark, d).select("doc_id", "pos", F.round(Q.quality_improve("text"), 6).alias("v"))
 
 
-@query("partition_good_merged", f"SELECT doc_id, CASE WHEN n < 35 OR n > 200 OR round({IMPROVE_Q}, 9) < 0.5 THEN 'garbage' WHEN n BETWEEN 40 AND 140 THEN 'good' ELSE 'merged' END AS kind, count(*) AS n_items FROM {_scored(5, 6, 16)} GROUP BY 1, 2")
+@query("partition_good_merged", f"SELECT doc_id, CASE WHEN n < 35 OR n > 200 OR round({IMPROVE_Q}, 9) < 0.5 THEN 'garbage' WHEN n BETWEEN 40 AND 140 THEN 'good' ELSE 'merged' END AS kind, count(*) AS n_items FROM {scored_sql(5, 6, 16)} GROUP BY 1, 2")
 def partition_good_merged(spark, d):
     """Garbage is what scores under 0.5; scores are rounded to 9 places before, so that no engine's last bit decides."""
     n = F.length("text")
@@ -76,7 +76,7 @@ def partition_good_merged(spark, d):
     return items(spark, d).groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n_items"))
 
 
-@query("filter_post_merge", f"SELECT doc_id, pos, text FROM {_scored(4, 5, 1000000)} WHERE n >= 40 AND round({MERGE_Q}, 9) >= 0.55 AND NOT regexp_matches(text, '(?i)^for more')")
+@query("filter_post_merge", f"SELECT doc_id, pos, text FROM {scored_sql(4, 5, 1000000)} WHERE n >= 40 AND round({MERGE_Q}, 9) >= 0.55 AND NOT regexp_matches(text, '(?i)^for more')")
 def filter_post_merge(spark, d):
     return items(spark, d).where((F.length("text") >= 40) & (F.round(Q.quality_merge("text"), 9) >= 0.55) & ~F.regexp_like("text", F.lit("(?i)^for more"))).select("doc_id", "pos", "text")
 
@@ -146,7 +146,9 @@ def parse_headlines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.inline(T.parse_headlines(x)))
 
 
-shared("json_path_get", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("json_path_get", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path_get(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("build_prompt", "SELECT conv_id, 'Roles:' || chr(10) || string_agg(n || '. ' || role, chr(10) ORDER BY turn) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) GROUP BY conv_id")

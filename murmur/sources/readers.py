@@ -23,11 +23,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON array, trimmed, none empty; a missing file has none."""
+def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Items of a JSON array (or of JSON lines, which split), trimmed, none empty; a missing file has none."""
     if not exists(spark, path):
         return spark.createDataFrame([], ITEM)
-    return spark.read.schema(ITEM).json(path, multiLine=True).withColumn("text", F.trim("text")).where("text <> ''")
+    return spark.read.schema(ITEM).json(path, multiLine=not lines).withColumn("text", F.trim("text")).where("text <> ''")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,28 +38,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, pattern: str) -> DataFrame:
     """(chunk, text) of whole text files whose folder names the chunk; empty ones are left out."""
-    x = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("text"))
+    x = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\s+|\\s+$", "").alias("text"))
     return x.select(F.try_to_number(F.regexp_extract("path", "chunk_([0-9]+)", 1), F.lit("999999")).cast("int").alias("chunk"), "path", "text").where("text <> ''")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRANSCRIPT).json(path, multiLine=True).select("audio_file", F.inline("segments"))
+def read_segments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(TRANSCRIPT).json(path, multiLine=not lines).select("audio_file", F.inline("segments"))
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORD).json(path, multiLine=True)
+def read_words(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(x, text, confidence, status): the words of a file; one row with a status alone where it is missing or has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([(None, None, None, "missing")], f"{WORD}, status string")
+    found = spark.read.schema(WORD).json(path, multiLine=not lines).where("text is not null").withColumn("status", F.lit("ok"))
+    return found if found.limit(1).count() else spark.createDataFrame([(None, None, None, "empty")], found.schema)
 
 
-def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
+def read_tiles(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
     """(tile, model_id, text, confidence): headlines of tile files; corrupt files, errors and combined files are left out."""
-    x = spark.read.schema(TILE).option("mode", "PERMISSIVE").json(folder, multiLine=True, pathGlobFilter="*.json").select("*", F.col("_metadata.file_name").alias("file"))
+    x = spark.read.schema(TILE).option("mode", "PERMISSIVE").json(folder, multiLine=not lines, pathGlobFilter="*" if lines else "*.json").select("*", F.col("_metadata.file_name").alias("file"))
     good = x.where("_corrupt_record is null and error is null").where(~F.col("file").startswith("headlines_combined"))
     return good.select("tile", "model_id", F.explode_outer("headlines").alias("h")).select("tile", "model_id", "h.text", "h.confidence")
 
 
-def read_runs(spark: SparkSession, labelled: list[tuple[str, str]]) -> DataFrame:
+def read_runs(spark: SparkSession, labelled: list[tuple[str, str]], lines: bool = False) -> DataFrame:
     """Results of run files under (label, glob), each with its label; globs without files are left out."""
-    found = [spark.read.schema(RUN).json(g, multiLine=True).select(F.lit(label).alias("label"), F.inline("results")) for label, g in labelled if exists(spark, g)]
+    found = [spark.read.schema(RUN).json(g, multiLine=not lines).select(F.lit(label).alias("label"), F.inline("results")) for label, g in labelled if exists(spark, g)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else spark.createDataFrame([], f"label string, {RESULT[7:-1].replace(':', ' ')}")
 
 
@@ -68,6 +72,25 @@ def run_number(path_col: str):
     return F.nullif(F.regexp_extract(path_col, "run_([0-9]+)(?:/|$)", 1), F.lit("")).cast("int")
 
 
+def listing(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in the order of names, from the file system's own listing: no file is opened."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
 def newest(spark: SparkSession, pattern: str) -> str | None:
     """The last path by name."""
-    return spark.read.format("binaryFile").load(pattern).agg(F.max("path")).first()[0] if exists(spark, pattern) else None
+    return max(listing(spark, pattern), default=None)
+
+
+def discover_runs(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(n, path) of the folders run_<n>, by number; other names are left out."""
+    found = ((p.rsplit("/run_", 1)[-1], p) for p in listing(spark, f"{folder}/run_*"))
+    return sorted((int(n), p) for n, p in found if n.isascii() and n.isdigit())
+
+
+def preferred(spark: SparkSession, pattern: str, *parts: str) -> str | None:
+    """The first path by name that holds one of these parts, else the first of all; None where nothing matches."""
+    found = listing(spark, pattern)
+    return next((p for p in found if any(x in p.rsplit("/", 1)[-1] for x in parts)), found[0] if found else None)

@@ -37,8 +37,53 @@ def write_chunks(segments: DataFrame, path: str, seconds: int = 900) -> None:
     out.select("chunk_idx", F.concat(F.format_string("# chunk %03d\n# segments %d\n", "chunk_idx", "n"), F.col("body")).alias("value")).write.mode("overwrite").partitionBy("chunk_idx").text(path)
 
 
+def write_text(segments: DataFrame, path: str, by: list[str]) -> None:
+    """The transcript of each group as text, a segment a line, in folders by group."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: F.trim(x["text"])), "\n")
+    segments.groupBy(*by).agg(lines.alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def python_round(value: float | None, places: int) -> float | None:
+    """Rounding as reports have it: the double nearest to the decimal, ties of the double itself to even."""
+    return None if value is None else round(value, places)
+
+
+def percent(value: float | None, places: int = 1) -> str:
+    return "n/a" if value is None or value != value else f"{python_round(100 * value, places):.{places}f} %"
+
+
+def _cells(df: DataFrame, most: int) -> list[list[str]]:
+    """Header and rows of a report; a result of more rows than a report may have is an error, never cut."""
+    show = lambda v: "n/a" if v is None or v != v else f"{python_round(v, 4):.4f}" if isinstance(v, float) else str(v)
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds {most} rows at most; write a larger result to a table")
+    return [list(df.columns), *(list(map(show, r)) for r in rows)]
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A report table of a small result; missing values as n/a."""
-    show = lambda v: "n/a" if v is None or v != v else f"{v:.4f}" if isinstance(v, float) else str(v)
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in df.limit(most).collect()])
+    head, *rows = ("| " + " | ".join(r) + " |" for r in _cells(df, most))
+    return "\n".join([head, "|" + "---|" * len(df.columns), *rows])
+
+
+def ascii_table(df: DataFrame, most: int = 1000) -> str:
+    """The same in columns of even width."""
+    cells = _cells(df, most)
+    wide = [max(map(len, c)) for c in zip(*cells, strict=True)]
+    head, *rows = ("  ".join(v.ljust(n) for v, n in zip(r, wide, strict=True)).rstrip() for r in cells)
+    return "\n".join([head, "-" * (sum(wide) + 2 * (len(wide) - 1)), *rows])
+
+
+def stats_documents(rows: DataFrame, by: str, fields: dict) -> DataFrame:
+    """(value): a JSON document of statistics for each group; fields are aggregates, or dicts of them for nested parts."""
+    flat = {k if not isinstance(v, dict) else f"{k}.{n}": x for k, v in fields.items() for n, x in (v.items() if isinstance(v, dict) else [("", v)])}
+    made = rows.groupBy(by).agg(*(x.alias(n) for n, x in flat.items()))
+    part = lambda k, v: F.struct(*(F.col(f"`{k}.{n}`").alias(n) for n in v)).alias(k) if isinstance(v, dict) else F.col(k)
+    return made.select(F.to_json(F.struct(by, *(part(k, v) for k, v in fields.items()))).alias("value"))
+
+
+def by_variant(results: DataFrame, variant: str, order: tuple[str, ...]) -> DataFrame:
+    """(variant, rows): the results of each variant as one list, in order."""
+    others = [c for c in results.columns if c not in (variant, *order)]
+    return results.groupBy(variant).agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("rows"))

@@ -26,6 +26,54 @@ def resume(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
     return len(done)
 
 
+STATUS = "job string, updated_at long, status string"
+
+
+def append_status(rows: DataFrame, table: str) -> None:
+    """Statuses (job, updated_at, status) appended to the job table."""
+    rows.select("job", "updated_at", "status").write.mode("append").parquet(table)
+
+
+def latest_status(spark: SparkSession, table: str) -> DataFrame:
+    """The last status of each job, whichever run of the program wrote it."""
+    rows = spark.read.schema(STATUS).parquet(table)
+    return rows.groupBy("job").agg(F.max_by("status", F.struct("updated_at", "status")).alias("status"), F.max("updated_at").alias("updated_at"))
+
+
+def progress(query) -> dict:
+    """How far a running query is: batches, rows so far, whether it is active, and its error."""
+    seen = query.recentProgress
+    return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "active": query.isActive, "error": None if query.exception() is None else str(query.exception())}
+
+
+def kept_items(stream: DataFrame, group: str, rule: str) -> DataFrame:
+    """Greedy fuzzy dedup of a stream of (group, pos, text): (group, pos, text) of items that no kept one of their group
+    resembles, as they come in.
+
+    The state of a group is its kept texts, which later batches are held against; items of one batch go in the order of pos.
+    A rule that replaces kept items keeps the first one here, since rows that are out cannot be taken back.
+    """
+    from murmur.operators.dedup import RULES
+
+    same = RULES[rule].same
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        kept = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("pos")
+        out = []
+        for pos, text in zip(rows["pos"], rows["text"], strict=True):
+            if text is not None and not any(same(text, k) for k in kept):
+                kept.append(text)
+                out.append((key[0], pos, text))
+        state.update((kept,))
+        yield pd.DataFrame(out, columns=[group, "pos", "text"])
+
+    kind = stream.schema[group].dataType.simpleString()
+    return stream.select(group, "pos", "text").groupBy(group).applyInPandasWithState(run, f"{group} {kind}, pos long, text string", "kept array<string>", "append", "NoTimeout")
+
+
 def first_seen(stream: DataFrame, time: str, key: str, late: str = "1 hour") -> DataFrame:
     """Exact dedup on a stream: the first row of each key within the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -1,3 +1,4 @@
+import collections
 import datetime
 import json
 import random
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from murmur.functions import fuzzy
 from murmur.functions import quality as Q
 from murmur.functions import text as T
-from murmur.operators import calls, geometry, matching, runs
+from murmur.operators import calls, engines, frames, geometry, matching, runs
 from murmur.operators import dedup as D
 from murmur.operators.segment import improve_pipeline, segment_news
 from murmur.sources import readers, writers
@@ -59,6 +60,8 @@ def test_text_functions(spark):
     assert one(spark, T.clean_text, "a|b  — c...d� ") == "ab - c.d'"
     assert one(spark, T.strip_affixes, "BREAKING NEWS Rain for more go to site.com") == "Rain"
     assert one(spark, lambda c: F.array_join(T.significant_numbers(c), ","), "72,292 in 2023 and 716 or 12") == "72292,716"
+    digits = "1" * 50
+    assert one(spark, lambda c: F.array_join(T.significant_numbers(c), ","), f"{digits} 0716 02023 000 1899 2100") == f"{digits},716,0,1899,2100"
     assert tuple(one(spark, T.find_delimiter, "none")) == (" - ", 0) and tuple(one(spark, T.find_delimiter, "a - b | c")) == (" - ", 1)
     assert one(spark, lambda c: T.json_strings(c), '```json\n["a", 1, " b "]\n```') == ["a", "b"]
     assert one(spark, lambda c: T.json_strings(c), '["cut off\n- "a line long enough to count",\nshort') == ["a line long enough to count"]
@@ -94,12 +97,85 @@ def test_best_match_and_f1(spark):
     found = matching.best_matches(gt, ext)
     left = {r.id: (r.other, r.score) for r in matching.scored(found, "l", gt).collect()}
     assert left[0] == (5, 100.0) and left[1] == (7, 100.0) and left[2][1] < 60
-    p = {r.threshold: r for r in matching.prf(matching.scored(found, "l", gt), matching.scored(found, "r", ext)).collect()}
+    p = {r.threshold: r for r in matching.prf(found, gt, ext).collect()}
     assert p[70].tp_gt == 2 and p[70].tp_ext == 3 and p[70].precision == 0.75 and round(p[70].recall, 4) == 0.6667
     none = matching.best_matches(gt, ext.limit(0))
     assert {(r.other, r.score) for r in matching.scored(none, "l", gt).collect()} == {(-1, 0.0)}
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 60])
+def test_best_matches_equal_brute_force(spark, monkeypatch, chars):
+    """One block of references and several; slices, ties, empty and null texts, letters beyond ASCII."""
+    monkeypatch.setattr(matching, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(matching, "PART_CHARS", 300)
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 5)))
+    gt = [(i, text()) for i in range(20)] + [(50, None), (51, "")]
+    ext = [(i, text(), "xy"[i % 2]) for i in range(100, 160)] + [(200, None, "x"), (201, "", "y"), (202, gt[3][1], "x"), (203, gt[3][1], "x")]
+    left, right = spark.createDataFrame(gt, "id long, text string"), spark.createDataFrame(ext, "id long, text string, slice string").repartition(3)
+    got = {(r.slice, r.side, r.id): (r.other, r.score) for r in matching.best_matches(left, right, ("slice",)).collect()}
+    want = {}
+    for j, b, k in ext:
+        for i, a in gt:
+            if a is not None and b is not None:
+                s = fuzzy.similarity(a, b)
+                for key, other in (((k, "r", j), i), ((k, "l", i), j)):
+                    if key not in want or (s, -other) > (want[key][1], -want[key][0]):
+                        want[key] = other, s
+    assert got == want
+    p = {(r.slice, r.threshold): r for r in matching.prf(matching.best_matches(left, right, ("slice",)), left, right, ("slice",)).collect()}
+    for k in "xy":
+        for t in matching.THRESHOLDS:
+            r, n = p[k, t], sum(x == k for *_, x in ext)
+            hits = [sum(s >= t for (x, side, _), (_, s) in want.items() if x == k and side == o) for o in "lr"]
+            assert (r.tp_gt, r.tp_ext, r.fn, r.fp) == (*hits, len(gt) - hits[0], n - hits[1])
+    empty = matching.best_matches(left.limit(0), right)
+    assert empty.count() == 0 and matching.prf(empty, left.limit(0), right).count() == 3
+
+
+def test_uncovered_and_pairs(spark):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abc de") for _ in range(rng.randint(0, 14)))
+    items = [(i % 2, i, text()) for i in range(40)]
+    good = [(i % 2, text()) for i in range(12)]
+    got = D.uncovered(spark.createDataFrame(items, "g int, pos long, text string"), spark.createDataFrame(good, "g int, good string"), "g").collect()
+    assert sorted(r.pos for r in got) == sorted(p for g, p, t in items if not any(h == g and fuzzy.partial_ratio(t, o) > 80 for h, o in good))
+    for rule, least in (("clean", 0.5), ("v6", 0.42), ("aggregate", 0.0)):
+        got = D.duplicate_pairs(spark.createDataFrame(items, "g int, pos long, text string"), rule, "g", least).collect()
+        assert sorted((r.pos, r.pos2) for r in got) == sorted((p, q) for g, p, t in items for h, q, u in items if g == h and p < q and t and u and D.RULES[rule].same(t, u))
+    a, b = text() + "aab", text() + "aba"
+    both = spark.createDataFrame([(a, b), ("", "x"), ("aa", "aaa")], "a string, b string").select(T.common_letters("a", "b").alias("n")).collect()
+    assert [r.n for r in both] == [sum(min(a.count(c), b.count(c)) for c in set(a)), 0, 2]
+
+
+def test_rouge_and_cosine(spark):
+    rng = random.Random(3)
+    data = [([rng.choice("abc") for _ in range(rng.randint(0, 12))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    df = spark.createDataFrame(data, "a array<string>, b array<string>")
+    for n in (1, 2):
+        for r in df.select("a", "b", matching.rouge_n(F.col("a"), F.col("b"), n).alias("v")).collect():
+            x, y = (collections.Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (r.a, r.b))
+            hits = sum((x & y).values())
+            assert abs(r.v - (2 * hits / (x.total() + y.total()) if hits else 0)) < 1e-12
+    long = spark.createDataFrame([(["w%d" % i for i in range(30_000)], ["w%d" % i for i in range(0, 30_000, 3)])], "a array<string>, b array<string>")
+    assert long.select(matching.wer("a", "b").alias("v")).first().v == 20_000 / 30_000
+    e = [(i % 3, i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    one = spark.createDataFrame(e, "g int, id int, e array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for r in matching.best_cosine(one, one.select("g", "e").where("id > 20"), "g", 7).collect():
+        own = next(v for _, i, v in e if i == r.id)
+        assert abs(r.best - max(cos(own, v) for g, i, v in e if g == r.g and i > 20)) < 1e-9
+
+
+def test_scroll_match(spark):
+    rng = random.Random(5)
+    strip = [rng.random() for _ in range(300)]
+    rows = [(strip[:200], strip[k : 200 + k]) for k in (0, 3, 17)] + [(strip[:12], strip[:12]), (None, strip[:200]), ([1.0] * 200, [1.0] * 200)]
+    got = spark.createDataFrame(rows, "a array<double>, b array<double>").select(frames.scroll_match("a", "b", F.lit(80), F.lit(0.5)).alias("m")).collect()
+    assert [r.m["shift"] for r in got[:3]] == [0, 3, 17] and all(r.m.confidence > 0.999 for r in got[:3])
+    assert [tuple(r.m) for r in got[3:5]] == [(0, 0.0)] * 2 and got[5].m.confidence == 0.0
+
+
 def test_greedy_rules(spark):
     near = ("killed 716 people in the city today", "killed 72,292 people in the city today")
     assert fuzzy.ratio(*near) > 60 and not D.dup_v6(*near)
@@ -151,7 +227,26 @@ def test_readers_and_writers(spark, tmp_path):
     assert [r.value for r in writers.srt(seg.withColumn("g", F.lit(1)), ["g"]).orderBy("n").collect()][1] == "2\n00:15:01,000 --> 00:15:02,250\nb\n"
     writers.write_chunks(seg, f"{tmp_path}/chunks")
     assert spark.read.text(f"{tmp_path}/chunks", wholetext=True).where("chunk_idx = 1").first().value.startswith("# chunk 001\n# segments 1\nb")
-    assert writers.markdown(spark.createDataFrame([(1, None)], "a int, b double")).endswith("| 1 | n/a |")
+    small = spark.createDataFrame([(1, None), (22, 0.12345)], "a int, b double")
+    assert "| 1 | n/a |" in writers.markdown(small) and writers.ascii_table(small).splitlines()[0] == "a   b"
+    with pytest.raises(ValueError):
+        writers.markdown(small, 1)
+    assert writers.percent(0.12345) == "12.3 %" and writers.percent(None) == writers.percent(float("nan")) == "n/a" and writers.python_round(0.12345, 4) == round(0.12345, 4)
+    writers.write_text(seg.withColumn("g", F.lit(1)), f"{tmp_path}/texts", ["g"])
+    assert spark.read.text(f"{tmp_path}/texts", wholetext=True).first().value.strip() == "a\nb"
+    for stamp in ("2024-01-01", "2024-01-02"):
+        writers.write_run(seg.withColumn("text", F.lit(stamp)), f"{tmp_path}/runs", stamp)
+    assert {r.text for r in spark.read.json(f"{tmp_path}/runs/latest").collect()} == {"2024-01-02"} and readers.newest(spark, f"{tmp_path}/runs/run_ts=*").endswith("2024-01-02")
+    for name in ("run_2", "run_10", "run_x", "run_"):
+        (tmp_path / "found" / name).mkdir(parents=True)
+    assert [n for n, _ in readers.discover_runs(spark, f"{tmp_path}/found")] == [2, 10] and readers.discover_runs(spark, f"{tmp_path}/none") == []
+    for name in ("b.mp4", "a.mp4", "the channel.mp4"):
+        (tmp_path / name).touch()
+    assert readers.preferred(spark, f"{tmp_path}/*.mp4", "channel").endswith("channel.mp4") and readers.preferred(spark, f"{tmp_path}/*.mp4").endswith("a.mp4") and readers.preferred(spark, f"{tmp_path}/*.avi") is None
+    (tmp_path / "words.json").write_text(json.dumps([{"x": 1, "text": "a", "confidence": 0.5}]))
+    (tmp_path / "empty.json").write_text("[]")
+    assert [[r.status for r in readers.read_words(spark, f"{tmp_path}/{n}.json").collect()] for n in ("words", "empty", "none")] == [["ok"], ["empty"], ["missing"]]
+    assert readers.newest(spark, f"{tmp_path}/nothing*") is None
 
 
 def test_calls(spark):
@@ -175,6 +270,77 @@ def test_calls(spark):
     assert calls.summarize(chunks, models, "g").count() == 6
 
 
+def test_three_levels_and_cleaning(spark):
+    chunks = spark.createDataFrame([("t", i, f"text {i}") for i in range(45)], "g string, pos int, text string")
+    models = spark.createDataFrame([("echo", "m1"), ("flaky", "m2"), ("rare", "m3")], "provider string, model_id string")
+
+    def flaky(model, system, user):
+        if "[20]" in user:
+            raise ValueError("no answer")
+        return "fine"
+
+    def rare(model, system, user):
+        return "good" if user.endswith("7") else ""
+
+    got = {r.model_id: r for r in calls.summarize_in_three(chunks, models, "g", providers={"echo": calls.echo, "flaky": flaky, "rare": rare}).collect()}
+    assert set(got) == {"m1", "m2"} and got["m1"].status == "success" and got["m2"].status == "error" and got["m2"].error == "a batch is incomplete"
+    assert calls.merged(["a"] * 3, lambda x: []) == ["a"] * 3 and calls.merged(list("abcdef"), lambda x: 1 / 0, lambda x: x[:2], lambda x: x[:4]) == list("abcd")
+    heads = ["RIVERS FLOOD THREE VALLEYS AFTER RAIN", "MINISTERS AGREE ON NEW PENSION LAW", "OLD STEAM TRAIN FOUND BENEATH HARBOUR", "STRIKE AT AIRPORT ENTERS SECOND WEEK", "FAMOUS PAINTER DIES AGED NINETY ONE", "CUP FINAL DECIDED ON PENALTY KICKS"]
+    items = spark.createDataFrame([("s", i, t) for i, t in enumerate([*heads, *(h.lower() for h in heads), "short"])], "g string, pos long, text string")
+    upper = lambda x: [t.upper() for t in x]
+    got = calls.clean_run(items, "g", (lambda x: None, upper), (lambda x: x[:1], lambda x: x[:4]), batch=5).collect()
+    assert len(got) == 4 and {r.text for r in got} <= set(heads) and sorted(r.id for r in got) == [1, 2, 3, 4]
+
+
+def test_engines(spark):
+    class Letters:
+        name = "letters"
+
+        def run(self, content):
+            if content == b"!":
+                raise ValueError("unreadable")
+            return [(len(content) - i, chr(c), 0.9) for i, c in enumerate(content)]
+
+    class Teller:
+        name, model_id = "teller", "t1"
+
+        def call(self, content, mime, prompt):
+            if not content:
+                raise TimeoutError("late")
+            return f'{{"headlines": ["{mime} {prompt}"]}}', 1, 2
+
+    files = spark.createDataFrame([("a.png", bytearray(b"abc")), ("b.jpg", bytearray(b"!")), ("c.jpg", bytearray())], "path string, content binary")
+    got = {r.path: r for r in engines.recognise(files, Letters).collect()}
+    assert got["a.png"].full_text == "c b a" and got["b.jpg"].error == "ValueError: unreadable" and got["c.jpg"].words == []
+    got = {r.path: r for r in engines.ask(files, Teller, "p").collect()}
+    assert [h.text for h in got["a.png"].headlines] == ["IMAGE/PNG P"] and got["c.jpg"].error == "TimeoutError: late" and got["c.jpg"].headlines == []
+
+
+def test_streaming_dedup_and_windows(spark, tmp_path):
+    schema = "g string, pos long, text string, ts timestamp, value double"
+    when = datetime.datetime(2024, 1, 1)
+    rows = lambda *x: spark.createDataFrame([(g, p, t, when, 1.0) for g, p, t in x], schema)
+    rows(("a", 0, "alpha beta gamma delta one"), ("a", 1, "alpha beta gamma delta one!"), ("b", 0, "alpha beta gamma delta one")).write.parquet(f"{tmp_path}/in/1")
+
+    def go(make, name):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        out = []
+        q = make(stream).writeStream.outputMode("append").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return out, jobs.progress(q)
+
+    kept = lambda s: jobs.kept_items(s, "g", "clean")
+    out, p = go(kept, "kept")
+    assert sorted((r.g, r.pos) for r in out) == [("a", 0), ("b", 0)] and p["rows"] == 3 and not p["active"] and p["error"] is None
+    rows(("a", 2, "alpha beta gamma delta one?"), ("a", 3, "something else entirely")).write.parquet(f"{tmp_path}/in/2")
+    assert [(r.g, r.pos) for r in go(kept, "kept")[0]] == [("a", 3)]  # the kept list came back from the checkpoint
+    assert len(go(lambda s: jobs.first_seen(s, "ts", "text"), "seen")[0]) == 4
+    out = []
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    jobs.tumbling(stream, "ts").writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/tumbling").trigger(availableNow=True).start().awaitTermination()
+    assert out[-1].segments == 5 and out[-1].total == 5.0
+
+
 def test_streaming_resume(spark, tmp_path):
     schema = "ts timestamp, value double"
     rows = lambda n: spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, i), float(i)) for i in range(n)], schema)
