@@ -18,7 +18,7 @@ MODULES = {
     "op10_secrets": "secrets",
 }
 # Modules whose query SQL can express hold it as SQL.
-WITH_SQL = ("op8_topk",)
+WITH_SQL = ("op2_suffixes", "op8_topk")
 
 
 def queries() -> dict:

@@ -352,3 +352,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op2_suffixes(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
+
+
+# Every start of a LENGTH-byte string by itself, on the hexadecimal form of the bytes; repeated ones merged to runs.
+SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  w AS (SELECT rid, p, md5(substr(x, 2 * p + 1, 800)) AS m FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 399)) AS p FROM d)),
+  r AS (SELECT rid, p FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+  g AS (SELECT rid, p, sum(first) OVER (PARTITION BY rid ORDER BY p) AS run FROM (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 400 THEN 0 ELSE 1 END AS first FROM r)),
+  s AS (SELECT rid, run, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY rid, run),
+  k AS (SELECT rid, a, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s
+    UNION ALL SELECT rid, length(x) // 2, coalesce(b, 0) FROM d LEFT JOIN (SELECT rid, max(b) AS b FROM s GROUP BY rid) USING (rid)),
+  t AS (SELECT rid, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, (length(x) // 2 - length(kept) // 2)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM s GROUP BY rid) USING (rid)
+"""
