@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import bounded, utf8
 
-#: Entries and bytes of pieces that a worker remembers before it starts anew.
-MEMO = 1_000_000
+#: Entries and bytes of pieces, and pairs of tokens, that a worker remembers before it starts anew: some 200 bytes each.
+MEMO, PAIRS = 300_000, 300_000
 LONGEST_MEMO = 64
 
 # A public splitting pattern, and the same in the form of the standard library's re, equal to it on texts without
@@ -113,7 +113,7 @@ class Vocabulary:
                     limit, one = one, self.parts(one)[1]
                     if one == limit:
                         answer = True
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[key] = answer
         return answer
