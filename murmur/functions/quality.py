@@ -26,12 +26,16 @@ def quality_v6(c) -> Column:
     return F.when(n < 15, F.lit(0.0)).otherwise(bind(alpha, lambda a: F.when(a == 0, F.lit(0.0)).otherwise(score(a))))
 
 
+#: Five letters in a row of one or two kinds: the second kind may come second, third, fourth or last.
+TWO_LETTERS = r"(.)(.)(?:\1|\2){3}|(.)\3(.)(?:\3|\4){2}|(.)\5{2}(.)(?:\5|\6)|(.)\7{3}."
+
+
 def _good(x: Column, vowels_from: int, run_from: int, longest: int | None) -> Column:
     n = F.length(x)
     vowels = F.length(replace(x, "[^aeiouAEIOU]", ""))
     # A change of case between neighbours: upper before lower plus lower before upper.
     switches = F.regexp_count(x, F.lit("[a-z](?=[A-Z])")) + F.regexp_count(x, F.lit("[A-Z](?=[a-z])"))
-    run = F.exists(F.when(n >= run_from, F.sequence(F.lit(1), n - 4)).otherwise(F.array().cast("array<int>")), lambda i: F.size(F.array_distinct(F.split(F.lower(F.substring(x, i, F.lit(5))), ""))) <= 2)
+    run = (n >= run_from) & F.regexp_like(F.lower(x), F.lit(TWO_LETTERS))
     bad = ((n >= vowels_from) & (vowels == 0)) | ((n >= 4) & (switches > 2) & (switches >= n * 0.4)) | run
     return ~(bad | (n > longest)) if longest else ~bad
 
