@@ -6,6 +6,7 @@ none runs in a single task. Runs are conversations: conv_id the run, role the mo
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -368,7 +369,7 @@ def _folder(spark, name: str) -> str:
     """A new folder for files that a scan query writes first and then reads."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="murmur-")
     return f"{at.rstrip('/')}/scans/{name}-{uuid.uuid4().hex}"
@@ -442,11 +443,9 @@ def discover_runs(spark, d):
     """Folders run_<n> that a listing finds; those with other names are left out."""
     at = _folder(spark, "found")
     x = table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("run_x"), "n_nationkey")).otherwise(F.concat(F.lit("run_"), "n_nationkey")).alias("r"), F.col("n_name").alias("value"))
-    for r in x.collect():  # a folder for each nation, 25 of them
-        spark.createDataFrame([(r.value,)], "value string").coalesce(1).write.text(f"{at}/{r.r}")
-    found = I.discover_runs(spark, at)
-    texts = spark.read.text([p for _, p in found]).select(I.run_number("_metadata.file_path").alias("run"), F.col("value").alias("name"))
-    return texts
+    x.write.partitionBy("r").text(at)
+    found = I.discover_runs(spark, at, "r=run_")
+    return spark.read.text([p for _, p in found]).select(I.run_number("_metadata.file_path").alias("run"), F.col("value").alias("name"))
 
 
 @query("first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), nullif(source, ''), 'none') AS v FROM documents")

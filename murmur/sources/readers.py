@@ -84,9 +84,9 @@ def newest(spark: SparkSession, pattern: str) -> str | None:
     return max(listing(spark, pattern), default=None)
 
 
-def discover_runs(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+def discover_runs(spark: SparkSession, folder: str, name: str = "run_") -> list[tuple[int, str]]:
     """(n, path) of the folders run_<n>, by number; other names are left out."""
-    found = ((p.rsplit("/run_", 1)[-1], p) for p in listing(spark, f"{folder}/run_*"))
+    found = ((p.rsplit(f"/{name}", 1)[-1], p) for p in listing(spark, f"{folder}/{name}*"))
     return sorted((int(n), p) for n, p in found if n.isascii() and n.isdigit())
 
 
