@@ -30,15 +30,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.representatives(docs, size=SHINGLE)
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column, as the texts now are."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark; n_chars follows."""
-    out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return counted(secrets.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix draws them, shard by shard; the one at a source's cut has its first words, and n_chars follows."""
+    return counted(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
