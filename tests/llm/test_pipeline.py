@@ -1,3 +1,5 @@
+import collections
+
 import public_tokenizers as P
 
 import corpus_pipeline as cp
@@ -20,7 +22,10 @@ def test_stages_follow_their_contract(spark):
     assert len(ids) == len(set(ids)) and len(ids) < seen["quality_rules"].count()
     assert seen["secret_scan"].count() == len(ids)
     v = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    texts = {r.doc_id: r.text for r in seen["mixing"].collect()}
+    texts = collections.defaultdict(set)  # a document drawn twice may have a copy that its source's cut shortens
+    for r in seen["mixing"].collect():
+        texts[r.doc_id].add(r.text)
+        assert r.n_chars == len(r.text)
     assert docs.count() == seen["mixing"].count()
     for r in docs.limit(20).collect():
-        assert v.decode(r.ids).decode() == texts[r.doc_id]
+        assert v.decode(r.ids).decode() in texts[r.doc_id]
