@@ -16,9 +16,12 @@ MODULES = {
     "op8_topk": "topk",
     "op9_quality_rules": "quality_rules",
     "op10_secrets": "secrets",
+    "op11_runs": "periods",
+    "op12_warc": "warc",
+    "op13_infill": "infill",
 }
 # Modules whose query SQL can express hold it as SQL.
-WITH_SQL = ("op2_suffixes", "op8_topk")
+WITH_SQL = ("op2_suffixes", "op8_topk", "op11_runs", "op12_warc", "op13_infill")
 
 
 def queries() -> dict:
