@@ -217,49 +217,87 @@ def duration(seconds) -> Column:
     return F.format_string("%dm %ds", F.floor(s / 60), s % 60)
 
 
-def token_cost(tokens_in, tokens_out, price_in, price_out) -> Column:
-    part = lambda t, p: F.coalesce(col(t), F.lit(0)) * col(p)
-    return (part(tokens_in, price_in) + part(tokens_out, price_out)) / 1_000_000
+def token_cost(tokens_in, tokens_out, price_in, price_out, tokens_thinking=None, price_thinking=None) -> Column:
+    """Cost of a call by prices a million tokens: 0 where either count is unknown; thinking tokens count where both they and
+    their price are known."""
+    part = lambda t, p: col(t) / 1_000_000 * col(p)
+    cost = part(tokens_in, price_in) + part(tokens_out, price_out)
+    if tokens_thinking is not None and price_thinking is not None:
+        cost = cost + F.coalesce(part(tokens_thinking, price_thinking), F.lit(0.0))
+    return F.when(col(tokens_in).isNull() | col(tokens_out).isNull(), F.lit(0.0)).otherwise(cost)
 
 
 def throttle(rpm) -> Column:
     return 60.0 / F.greatest(F.lit(1), col(rpm))
 
 
+BLANKS = " \t\n\r\f\u000b"
+
+
+def _strings(variants: Column) -> Column:
+    """The strings among variants, trimmed, none empty."""
+    found = F.transform(F.filter(variants, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.btrim(F.variant_get(v, "$", "string"), F.lit(BLANKS)))
+    return F.filter(found, lambda x: x != "")
+
+
+def parsed_json(c: Column) -> Column:
+    """A text as JSON, null where it is none. The parser stops after one value; with a second one behind it, text that follows the
+    first is an error or a third."""
+    both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(", 0]"))), "$", "array<variant>")
+    return F.when(F.size(both) == 2, F.get(both, 0))
+
+
+def _listed(c: Column) -> Column:
+    """The strings of the first "[" to the last "]", null where that is no JSON list."""
+    return _strings(F.try_variant_get(parsed_json(F.regexp_extract(c, "(?s)\\[.*\\]", 0)), "$", "array<variant>"))
+
+
+def _long_lines(c: Column) -> Column:
+    """Lines of over 20 characters without bullets, commas and quotes around them."""
+    bare = lambda x: F.btrim(F.btrim(F.btrim(F.btrim(F.ltrim(F.btrim(x, F.lit(BLANKS)), F.lit("-")), F.lit(BLANKS)), F.lit(",")), F.lit('"')), F.lit("'"))
+    return F.filter(F.transform(F.split(c, "\r\n|[\n\r]"), bare), lambda x: F.length(x) > 20)
+
+
+def bare_answer(c) -> Column:
+    """A model's answer without code fences, wherever they stand, and backticks around it."""
+    return F.btrim(F.btrim(replace(col(c), "```(?:json)?", ""), F.lit("`")), F.lit(BLANKS))
+
+
 def json_strings(c) -> Column:
     """The string elements of the first "[" to the last "]", trimmed, none empty; lines over 20 characters where that is no JSON list."""
-    body = F.regexp_extract(col(c), "(?s)\\[.*\\]", 0)
-    parsed = F.try_variant_get(F.try_parse_json(F.nullif(body, F.lit(""))), "$", "array<variant>")
-    strings = F.transform(F.filter(parsed, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.trim(F.variant_get(v, "$", "string")))
-    lines = F.transform(F.split(col(c), "\n"), lambda x: F.btrim(F.btrim(F.trim(x), F.lit("-, ")), F.lit("\"', ")))
-    return F.coalesce(F.filter(strings, lambda x: x != ""), F.filter(lines, lambda x: F.length(x) > 20))
+    return F.coalesce(_listed(col(c)), _long_lines(col(c)))
 
 
 def json_strings_or_object(c) -> Column:
-    """json_strings, but an object comes first where the text is one: its first list of strings."""
-    body = F.regexp_extract(strip_fences(c), "(?s)^\\{.*\\}$", 0)
-    of = F.from_json(F.nullif(body, F.lit("")), "map<string,variant>")
-    lists = F.filter(F.transform(F.map_values(of), lambda v: F.try_variant_get(v, "$", "array<string>")), lambda a: a.isNotNull())
-    return F.coalesce(F.get(lists, 0), json_strings(c))
+    """Of a model's answer: the strings of its list; where it has none, of the first list in the object from the first "{" to the
+    last "}"; else its long lines."""
+    text = bare_answer(c)
+    body = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
+    of = F.when(parsed_json(body).isNotNull(), F.from_json(body, "map<string,variant>"))
+    lists = F.filter(F.transform(F.map_values(of), lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull())
+    return F.coalesce(_listed(text), _strings(F.get(lists, 0)), _long_lines(text))
 
 
 HEADLINES = "struct<headlines:array<struct<text:string,confidence:string>>>"
 
 
 def parse_headlines(c) -> Column:
-    """Items of {"headlines": [...]}, strings or {text, confidence}: upper-case text; confidence high, medium or low,
-    medium by default for strings and high for objects."""
-    body = F.regexp_extract(strip_fences(c), "(?s)\\{.*\\}", 0)
-    items = F.try_variant_get(F.try_parse_json(F.nullif(body, F.lit(""))), "$.headlines", "array<variant>")
+    """Items of {"headlines": [...]}, strings or {text, confidence}: upper-case text; confidence high, medium or low, medium by
+    default for strings and high for objects. The object is the whole answer if that is JSON, and only otherwise what stands
+    from the first "{" to the last "}"; none where either is something else. Items of other kinds and without text are left out."""
+    text = strip_fences(c)
+    inner = parsed_json(F.regexp_extract(text, "(?s)\\{.*\\}", 0))
+    items = F.try_variant_get(F.coalesce(parsed_json(text), inner), "$.headlines", "array<variant>")
 
     def one(v: Column) -> Column:
-        plain = F.schema_of_variant(v) == "STRING"
-        text = F.when(plain, F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.text", "string"))
-        given = F.lower(F.try_variant_get(v, "$.confidence", "string"))
+        plain, thing = F.schema_of_variant(v) == "STRING", F.schema_of_variant(v).startswith("OBJECT")
+        said = F.when(plain, F.try_variant_get(v, "$", "string")).when(thing, F.try_variant_get(v, "$.text", "string"))
+        given = F.lower(F.btrim(F.try_variant_get(v, "$.confidence", "string"), F.lit(BLANKS)))
         confidence = F.when(plain, F.lit("medium")).when(given.isin("high", "medium", "low"), given).otherwise(F.lit("high"))
-        return F.struct(F.upper(F.trim(text)).alias("text"), confidence.alias("confidence"))
+        return F.struct(F.upper(F.btrim(said, F.lit(BLANKS))).alias("text"), confidence.alias("confidence"))
 
-    return F.filter(F.transform(items, one), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    found = F.filter(F.transform(items, one), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    return F.coalesce(found, F.array().cast("array<struct<text:string,confidence:string>>"))
 
 
 def common_letters(a, b) -> Column:

@@ -40,11 +40,6 @@ def pairs(spark, d):
 KEYS = ("conv_id", "turn", "i")
 
 
-def plain(spark, d):
-    """Pairs with every character outside ASCII as "?": the engines' edit distances differ on others."""
-    return pairs(spark, d).select(*KEYS, F.regexp_replace("a", "[^ -~]", "?").alias("a"), F.regexp_replace("b", "[^ -~]", "?").alias("b"))
-
-
 def _score(name: str, of: str, sql: str):
     @query(name, f"SELECT conv_id, turn, i, round({sql}, 6) AS score FROM {S.PAIRS}")
     def run(spark, d):
@@ -69,15 +64,15 @@ def len_ratio(spark, d):
     return pairs(spark, d).select(*KEYS, (F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))).alias("v"))
 
 
-@query("token_overlap", f"SELECT conv_id, turn, i, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS v FROM (SELECT conv_id, turn, i, list_distinct({wordlist('upper(a)')}) AS x, list_distinct({wordlist('upper(b)')}) AS y FROM {S.PLAIN})")
+@query("token_overlap", f"SELECT conv_id, turn, i, len(list_intersect(x, y)) / greatest(len(x), len(y)) AS v FROM (SELECT conv_id, turn, i, list_distinct({wordlist('upper(a)')}) AS x, list_distinct({wordlist('upper(b)')}) AS y FROM {S.PAIRS})")
 def token_overlap(spark, d):
-    x = plain(spark, d).select(*KEYS, F.array_distinct(words(F.upper("a"))).alias("x"), F.array_distinct(words(F.upper("b"))).alias("y"))
+    x = pairs(spark, d).select(*KEYS, F.array_distinct(words(F.upper("a"))).alias("x"), F.array_distinct(words(F.upper("b"))).alias("y"))
     return x.select(*KEYS, (F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))).alias("v"))
 
 
-@query("cer", f"SELECT conv_id, turn, i, levenshtein(a, b) / length(a) AS v FROM {S.PLAIN}")
+@query("cer", f"SELECT conv_id, turn, i, {S.letter_edits('a', 'b')} / length(a) AS v FROM {S.PAIRS}")
 def cer(spark, d):
-    return plain(spark, d).select(*KEYS, M.cer(F.col("a"), F.col("b")).alias("v"))
+    return pairs(spark, d).select(*KEYS, M.cer(F.col("a"), F.col("b")).alias("v"))
 
 
 @query("wer", f"SELECT conv_id, turn, i, round((ceil({S.edits('x', 'y')} / {S.UNIT}) + 0.0) / len(x), 9) AS v FROM (SELECT conv_id, turn, i, {wordlist('a')} AS x, {wordlist('b')} AS y FROM {S.PAIRS})")
@@ -85,10 +80,10 @@ def wer(spark, d):
     return pairs(spark, d).select(*KEYS, F.round(M.wer(words("a"), words("b")), 9).alias("v"))
 
 
-@query("asr_metrics", f"""SELECT conv_id, turn, i, round(d / n, 9) AS wer, round(levenshtein(c, k) / length(c), 9) AS cer, round(d / (n + d - (n - hits)), 9) AS mer, round(1 - hits / n * hits / m, 9) AS wil, n::INT AS ref_words, m::INT AS hyp_words, length(c)::INT AS ref_chars, length(k)::INT AS hyp_chars
-  FROM (SELECT *, len(x) AS n, len(y) AS m, ceil(e / {S.UNIT}) + 0.0 AS d, ceil(e / {S.UNIT}) * {S.UNIT} - e AS hits, array_to_string(x, ' ') AS c, array_to_string(y, ' ') AS k FROM (SELECT *, {S.edits('x', 'y')} AS e FROM (SELECT conv_id, turn, i, {wordlist('a')} AS x, {wordlist('b')} AS y FROM {S.PLAIN})))""")
+@query("asr_metrics", f"""SELECT conv_id, turn, i, round(d / n, 9) AS wer, round({S.letter_edits('c', 'k')} / length(c), 9) AS cer, round(d / (n + d - (n - hits)), 9) AS mer, round(1 - hits / n * hits / m, 9) AS wil, n::INT AS ref_words, m::INT AS hyp_words, length(c)::INT AS ref_chars, length(k)::INT AS hyp_chars
+  FROM (SELECT *, len(x) AS n, len(y) AS m, ceil(e / {S.UNIT}) + 0.0 AS d, ceil(e / {S.UNIT}) * {S.UNIT} - e AS hits, array_to_string(x, ' ') AS c, array_to_string(y, ' ') AS k FROM (SELECT *, {S.edits('x', 'y')} AS e FROM (SELECT conv_id, turn, i, {wordlist('a')} AS x, {wordlist('b')} AS y FROM {S.PAIRS})))""")
 def asr_metrics(spark, d):
-    m = plain(spark, d).select(*KEYS, M.asr_metrics("a", "b").alias("m")).select(*KEYS, "m.*")
+    m = pairs(spark, d).select(*KEYS, M.asr_metrics("a", "b").alias("m")).select(*KEYS, "m.*")
     return m.withColumns({c: F.round(c, 9) for c in ("wer", "cer", "mer", "wil")})
 
 

@@ -13,7 +13,6 @@ SENTENCES = """(SELECT conv_id, turn, i, trim(t) AS text FROM (
   SELECT conv_id, turn, unnest(string_split_regex(text, '[.\\n]+')) AS t, generate_subscripts(string_split_regex(text, '[.\\n]+'), 1) - 1 AS i FROM conversations
 ) WHERE trim(t) <> '')"""
 PAIRS = f"(SELECT * FROM (SELECT conv_id, turn, i, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, i) AS b FROM {SENTENCES}) WHERE b IS NOT NULL)"
-PLAIN = f"(SELECT conv_id, turn, i, regexp_replace(a, '[^ -~]', '?', 'g') AS a, regexp_replace(b, '[^ -~]', '?', 'g') AS b FROM {PAIRS})"
 
 FAR = 1_000_000
 
@@ -91,6 +90,14 @@ def edits(a: str, b: str) -> str:
     return f"list_reduce(list_prepend({start}, list_transform(range(1, len({a}) + 1), lambda j_: [j_])), lambda k_, x_: {row})[-1]"
 
 
+def letter_edits(a: str, b: str) -> str:
+    """Edit distance of two texts by characters: the engine's own counts bytes, so each pair's characters are numbered first (up
+    to 126 of them, which one byte each can hold; more make an error)."""
+    chars = lambda x: f"string_split({x}, '')"
+    named = lambda x: f"array_to_string(list_transform({chars(x)}, lambda c: chr(list_position(v_.z, c)::INT)), '')"
+    return f"list_transform([{{z: list_distinct(list_concat({chars(a)}, {chars(b)}))}}], lambda v_: CASE WHEN len(v_.z) > 126 THEN error('too many characters') ELSE levenshtein({named(a)}, {named(b)}) END)[1]"
+
+
 _TOKEN = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
 TOKENS = f"(SELECT conv_id, turn, i, {_TOKEN.format('a')} AS x, {_TOKEN.format('b')} AS y FROM {PAIRS})"
 

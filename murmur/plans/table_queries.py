@@ -171,11 +171,12 @@ def dedup_exact(spark, d):
     return D.exact_upper(table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("distinct_ordered_union", "SELECT text, min(pos) AS pos FROM (SELECT text, doc_id AS pos FROM documents UNION ALL SELECT text, 1000000 + item_id FROM benchmark) AS u GROUP BY text")
+@query("distinct_ordered_union", "SELECT text, p.part AS part, p.pos AS pos FROM (SELECT text, min({'part': part, 'pos': pos}) AS p FROM (SELECT text, 0 AS part, doc_id AS pos FROM documents UNION ALL SELECT text, 1, item_id FROM benchmark) AS u GROUP BY text)")
 def distinct_ordered_union(spark, d):
-    docs = table(spark, d, "documents").select("text", F.col("doc_id").alias("pos"))
-    more = table(spark, d, "benchmark").select("text", (F.col("item_id") + 1_000_000).alias("pos"))
-    return docs.union(more).groupBy("text").agg(F.min("pos").alias("pos"))
+    """Each text once, at its first place: by table, then by position in it."""
+    docs = table(spark, d, "documents").select("text", F.struct(F.lit(0).alias("part"), F.col("doc_id").alias("pos")).alias("p"))
+    more = table(spark, d, "benchmark").select("text", F.struct(F.lit(1).alias("part"), F.col("item_id").alias("pos")).alias("p"))
+    return docs.union(more).groupBy("text").agg(F.min("p").alias("p")).select("text", "p.part", "p.pos")
 
 
 @query("union_all_tagged", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark")
@@ -193,7 +194,7 @@ def sort_longest(spark, d):
 def sort_chunk_len(spark, d):
     x = table(spark, d, "documents")
     sizes = x.groupBy("source").agg(F.sum(F.length("text")).alias("size")).withColumnRenamed("source", "s")
-    return _ranked(x.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("s"))), "lang", F.desc("size"), F.desc(F.length("text")), "doc_id")
+    return _ranked(x.join(sizes, F.col("source").eqNullSafe(F.col("s"))), "lang", F.desc("size"), F.desc(F.length("text")), "doc_id")
 
 
 @query("sort_quality", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, abs(length(text) - 90), pos) AS INT) AS r FROM (SELECT d.doc_id, d.source, d.text, l.quality, d.doc_id AS pos FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id) AS x")

@@ -126,24 +126,57 @@ _exploded("split_cycles", "replace(text, '. ', ' for more  go to site.com ')", T
 STARTS_SQL = "|".join(T.STARTS).replace("'", "''")
 _exploded("split_pattern_start", "replace(replace(text, '. ', ' Kuwait says '), chr(10), ' BREAKING NEWS ')", T.split_starts, f"list_filter(list_transform(list_filter(list_transform((string_split(regexp_replace({squeezed("translate(x, '|[]{}\\~`^;', '')")}, '(?i)({STARTS_SQL})', chr(1) || '\\1', 'g'), chr(1)))[2:], lambda p: trim(regexp_replace(trim(p), ' +\\S{{1,2}}$', ''))), lambda p: length(p) >= 20 AND NOT regexp_matches(p, '(?i)^for +more') AND NOT regexp_matches(p, '(?i)^breaking +news *$')), lambda p: trim(regexp_replace(p, '^BREAKING{SP}+NEWS{SP}+', ''))), lambda p: length(p) >= 20)")
 
-JSON_IN = "concat('Result: [\"', role, '\", 1, \" b \", \"\"] end')"
+# What models may answer, by row: fenced lists of mixed types, prose around an object, an object whose second list comes first in
+# brackets, lines, raw text, a list cut short, nested lists, an empty list.
 
 
-@query("json_array_extract", f"SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(json_extract(regexp_extract({JSON_IN}, '(?s)\\[.*\\]'), '$[*]'), lambda e: json_type(e) = 'VARCHAR'), lambda e: trim(e->>'$')), lambda e: e <> ''), '/') AS v FROM conversations")
+def _answers(g: str) -> str:
+    """g: the flag with which the engine replaces all matches."""
+    t = f"regexp_replace(text, '[^A-Za-z ]', ''{g})"
+    return f"""CASE (conv_id + turn) % 8 WHEN 0 THEN concat('```json', chr(10), '["', role, '", 1, " b ", "", null, {{"x": "y"}}, "', {t}, '"]', chr(10), '```')
+      WHEN 1 THEN concat('Result: {{"a": [1, " ', role, ' ", ""], "b": ["', {t}, '"]}} done') WHEN 2 THEN concat('{{"n": 3, "items": ["', {t}, '", "z"], "more": ["', role, '"]}}')
+      WHEN 3 THEN concat('- "', {t}, '",', chr(10), '-- short', chr(10), '  ''', {t}, ''',  ') WHEN 4 THEN text WHEN 5 THEN concat('["cut off", "', {t})
+      WHEN 6 THEN concat('Here: {{"a": {{"b": ["', role, '"]}}}}') ELSE concat('[] ', {t}) END"""
+
+
+_STRINGS = "list_filter(list_transform(list_filter({}, lambda e: json_type(e) = 'VARCHAR'), lambda e: trim(e->>'$', ' ' || chr(9) || chr(10) || chr(13))), lambda e: e <> '')"
+_BODY = "regexp_extract(x, '(?s)\\[.*\\]')"
+_LIST = f"CASE WHEN {_BODY} <> '' AND json_valid({_BODY}) THEN {_STRINGS.format(f'''json_extract({_BODY}, '$[*]')''')} END"
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+_LONG = f"""list_filter(list_transform(string_split_regex(x, '\\r\\n|[\\n\\r]'), lambda y: trim(trim(trim(trim(ltrim(trim(y, {_BLANK}), '-'), {_BLANK}), ','), '"'), '''')), lambda y: length(y) > 20)"""
+_OBJECT = "regexp_extract(x, '(?s)\\{.*\\}')"
+_FIRST = f"list_filter(list_transform(json_keys({_OBJECT}), lambda k: json_extract({_OBJECT}, '$.\"' || k || '\"')), lambda v: json_type(v) = 'ARRAY')[1]"
+_IN_OBJECT = f"CASE WHEN {_OBJECT} <> '' AND json_valid({_OBJECT}) AND json_type({_OBJECT}) = 'OBJECT' AND {_FIRST} IS NOT NULL THEN {_STRINGS.format(f'''json_extract({_FIRST}, '$[*]')''')} END"
+
+
+@query("json_array_extract", f"SELECT conv_id, turn, array_to_string(coalesce({_LIST}, {_LONG}), '/') AS v FROM (SELECT conv_id, turn, {_answers(", 'g'")} AS x FROM conversations)")
 def json_array_extract(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.json_strings(F.expr(JSON_IN)), "/").alias("v"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(_answers("")).alias("x")).select("conv_id", "turn", F.array_join(T.json_strings("x"), "/").alias("v"))
 
 
-@query("json_object_fallback", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || '/z' ELSE role || ' a line of more than twenty characters' END AS v FROM conversations")
+@query("json_object_fallback", f"SELECT conv_id, turn, array_to_string(coalesce({_LIST}, {_IN_OBJECT}, {_LONG}), '/') AS v FROM (SELECT conv_id, turn, trim(trim(regexp_replace({_answers(", 'g'")}, '```(?:json)?', '', 'g'), '`'), {_BLANK}) AS x FROM conversations)")
 def json_object_fallback(spark, d):
-    x = F.when(F.col("turn") % 2 == 0, F.expr("concat('{\"items\": [\"', role, '\", \"z\"]}')")).otherwise(F.expr("concat('- ', role, ' a line of more than twenty characters,', chr(10), 'short')"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.json_strings_or_object(x), "/").alias("v"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(_answers("")).alias("x")).select("conv_id", "turn", F.array_join(T.json_strings_or_object("x"), "/").alias("v"))
+
+
+def _heads(g: str) -> str:
+    """Answers with headlines: fenced, in prose, as a bare list, of mixed kinds, cut short, with other confidences."""
+    t = f"regexp_replace(text, '[^A-Za-z ]', ''{g})"
+    return f"""CASE (conv_id + turn) % 6 WHEN 0 THEN concat('```json ', chr(10), '{{"headlines": ["', {t}, '", {{"text": " x ', turn, '", "confidence": " LOW"}}, {{"text": "y", "confidence": "?"}}, {{"confidence": "low"}}, "", 7, ["in"], {{"text": 5}}]}}', chr(10), '```')
+      WHEN 1 THEN concat('[{{"headlines": ["', role, '"]}}]') WHEN 2 THEN concat('I see: {{"headlines": [{{"text": "', {t}, '"}}, "', role, '"]}} and no more') WHEN 3 THEN concat('{{"headlines": ["', role, '"')
+      WHEN 4 THEN '{{"headlines": null}}' ELSE text END"""
 
 
-@query("parse_headlines", "SELECT conv_id, turn, upper(role) AS text, 'medium' AS confidence FROM conversations UNION ALL SELECT conv_id, turn, 'X ' || turn, 'low' FROM conversations UNION ALL SELECT conv_id, turn, 'Y', 'high' FROM conversations")
+_FENCED = "trim(regexp_replace(regexp_replace(trim(x, ' ' || chr(10)), '^```[a-zA-Z]*[ \\t\\n\\r]*', ''), '[ \\t\\n\\r]*```$', ''), ' ')"
+_WHOLE = "CASE WHEN json_valid(x) THEN x WHEN json_valid(regexp_extract(x, '(?s)\\{.*\\}')) THEN regexp_extract(x, '(?s)\\{.*\\}') END"
+
+
+@query("parse_headlines", f"""SELECT conv_id, turn, upper(trim(said)) AS text, CASE WHEN kind = 'VARCHAR' THEN 'medium' WHEN lower(trim(given)) IN ('high', 'medium', 'low') THEN lower(trim(given)) ELSE 'high' END AS confidence FROM (
+    SELECT conv_id, turn, json_type(v) AS kind, CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' WHEN 'OBJECT' THEN v->>'$.text' END AS said, CASE json_type(v) WHEN 'OBJECT' THEN v->>'$.confidence' END AS given FROM (
+      SELECT conv_id, turn, unnest(json_extract(o, '$.headlines[*]')) AS v FROM (SELECT conv_id, turn, {_WHOLE} AS o FROM (SELECT conv_id, turn, {_FENCED} AS x FROM (SELECT conv_id, turn, {_heads(", 'g'")} AS x FROM conversations))) WHERE json_type(o) = 'OBJECT')
+  ) WHERE trim(said) <> ''""")
 def parse_headlines(spark, d):
-    x = F.expr("""concat('```json {"headlines": ["', role, '", {"text": " x ', turn, '", "confidence": "LOW"}, {"text": "y", "confidence": "?"}, ""]} ```')""")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.inline(T.parse_headlines(x)))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(_heads("")).alias("x")).select("conv_id", "turn", F.inline(T.parse_headlines("x")))
 
 
 @query("json_path_get", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -171,10 +204,14 @@ def classify_retryable(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.retryable(x).alias("v"))
 
 
-@query("extract_retry_delay", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN turn::DOUBLE ELSE 0.0 END AS v FROM conversations")
+# Error messages by row: a hint of seconds in several shapes, none, one of another name.
+DELAYS = """CASE (conv_id + turn) % 5 WHEN 0 THEN concat('429 retry_delay { seconds: ', turn * 7 + conv_id, ' }') WHEN 1 THEN concat(role, ' retry_delay', chr(10), '{', chr(10), '  seconds:', turn, chr(10), '} retry_delay { seconds: 9 }')
+  WHEN 2 THEN concat('retry_delay { minutes: ', turn, ' }') WHEN 3 THEN concat('retry_delay{seconds: 0', conv_id, '5', text) ELSE text END"""
+
+
+@query("extract_retry_delay", f"SELECT conv_id, turn, coalesce(try_cast(regexp_extract(x, 'retry_delay\\s*\\{{\\s*seconds:\\s*(\\d+)', 1) AS DOUBLE), 0.0) AS v FROM (SELECT conv_id, turn, {DELAYS} AS x FROM conversations)")
 def extract_retry_delay(spark, d):
-    x = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("429 retry_delay { seconds: "), F.col("turn").cast("string"), F.lit(" }"))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", T.retry_delay(x).alias("v"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.expr(DELAYS).alias("x")).select("conv_id", "turn", T.retry_delay("x").alias("v"))
 
 
 @query("format_ids", "SELECT conv_id, turn, role || '_' || turn AS tile, printf('chunk_%03d', turn) AS chunk FROM conversations")
@@ -192,11 +229,17 @@ def fmt_duration(spark, d):
     return table(spark, d, "events").select("event_id", T.duration(F.col("value") * 100).alias("v"))
 
 
-@query("token_cost", "SELECT l_orderkey, l_linenumber, (coalesce(l_quantity, 0) * p_retailprice + coalesce(l_quantity, 0) * p_size) / 1000000 AS usd FROM lineitem JOIN part ON l_partkey = p_partkey")
+# Token counts and prices by row, some unknown.
+TOKENS = {"tin": "nullif(l_quantity, 7)", "tout": "CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity * 2 END", "think": "CASE WHEN l_orderkey % 3 <> 0 THEN floor(l_extendedprice) END", "dear": "CASE WHEN p_size % 4 <> 0 THEN p_size * 3 END"}
+
+
+@query("token_cost", f"""SELECT l_orderkey, l_linenumber, CASE WHEN tin IS NULL OR tout IS NULL THEN 0.0::DOUBLE WHEN think IS NULL OR dear IS NULL THEN tin / 1000000 * p_retailprice + tout / 1000000 * p_size ELSE tin / 1000000 * p_retailprice + tout / 1000000 * p_size + think / 1000000 * dear END AS usd
+  FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in TOKENS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey)""")
 def token_cost(spark, d):
-    """Quantities as token counts, parts as the price list of models."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select("l_orderkey", "l_linenumber", T.token_cost("l_quantity", "l_quantity", "p_retailprice", "p_size").alias("usd"))
+    """Quantities as token counts, parts as the price list of models; some counts and the price of thinking are unknown."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").join(table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select("*", *(F.expr(v).alias(k) for k, v in TOKENS.items()))
+    return rows.select("l_orderkey", "l_linenumber", T.token_cost("tin", "tout", "p_retailprice", "p_size", "think", "dear").alias("usd"))
 
 
 @query("throttle", "SELECT p_partkey, 60.0 / greatest(1, p_size - 10) AS seconds FROM part")

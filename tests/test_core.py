@@ -66,6 +66,19 @@ def test_text_functions(spark):
     assert one(spark, lambda c: T.json_strings(c), '```json\n["a", 1, " b "]\n```') == ["a", "b"]
     assert one(spark, lambda c: T.json_strings(c), '["cut off\n- "a line long enough to count",\nshort') == ["a line long enough to count"]
     assert one(spark, T.json_strings_or_object, '{"x": ["a", "b"]}') == ["a", "b"]
+    pick = T.json_strings_or_object
+    for said, want in (
+        ('{"a": [1, " x ", ""], "b": ["y"]}', ["x"]), ('{"n": 1, "a": ["p"], "b": ["q"]}', ["p"]), ('Sure: {"a": {"b": ["q"]}} ok', ["q"]), ('```json\n[" a ", 2, null]\n``` done', ["a"]), ("[]", []), ('["a"]]', []),
+        ("``` - 'a line long enough to be counted', ```", ["a line long enough to be counted"]), ('{"a": 1}', []), (None, None), ("", []),
+    ):
+        assert one(spark, pick, said) == want, said
+    heads = lambda x: [tuple(h) for h in one(spark, T.parse_headlines, x)]
+    assert heads('[{"headlines": ["q"]}]') == [] == heads('{"headlines": 3}') == heads("") == heads(None) == heads("no json")
+    assert heads('So: {"headlines": ["q", {"text": " r ", "confidence": "Low"}, 5, {"confidence": "low"}, ["z"]]}. Bye') == [("Q", "medium"), ("R", "low")]
+    assert heads('```json\n{"headlines": [{"text": "x", "confidence": "odd"}]}\n```') == [("X", "high")]
+    costs = spark.createDataFrame([(None, 1e6, 5.0, 1.0), (1e6, None, 5.0, 1.0), (1e6, 1e6, None, 1.0), (1e6, 1e6, 1e6, None), (1e6, 1e6, 1e6, 4.0)], "i double, o double, t double, p double")
+    cost = T.token_cost("i", "o", F.lit(2.0), F.lit(3.0), "t", "p")
+    assert [r.v for r in costs.select(cost.alias("v")).collect()] == [0.0, 0.0, 5.0, 5.0, 9.0]
     assert one(spark, lambda c: T.srt_time(c.cast("double")), "3661.5") == "01:01:01,500"
     assert one(spark, Q.quality_v6, "SHORT") == 0.0
     assert one(spark, T.clean_text, None) is None and one(spark, T.words, "") == []
