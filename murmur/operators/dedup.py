@@ -1,7 +1,17 @@
-"""Order-dependent dedup inside groups. State is the kept list only; a group is one stream of items (a document, a run).
+"""Order-dependent dedup inside groups (a group is one stream of items: a document, a source, a run), for groups of any size.
 
-The predicates differ in thresholds on purpose. Each is decided with cheap bounds first: length, then character counts,
-then the LCS, whose value also bounds the partial ratio, then windows.
+The predicates differ in thresholds on purpose. No pair reaches one that lossless bounds exclude (candidates.py). Groups are cut
+into slices of SLICE items that meet two by two in grouped joins, so that one group is spread over many tasks and none holds
+more than two slices; pairs that only meet are never rows of a table.
+
+A greedy pass depends on its order. Where the first of duplicates stays (clean, longest, aggregate), it goes by rounds: the first
+HEAD undecided items of a group are decided in one task, and the items behind them that resemble one that was kept there are
+dropped, slice by slice, before the next round. Where a better item takes the place of a kept one (v6, improve, chunks), what is
+kept changes with time; but items that no chain of possible pairs connects can never meet, so each component of the graph of
+possible pairs runs its own pass, and kept items are numbered over all by the places that they opened. Equal texts of a group
+are one item in rounds and candidates; groups of at most HEAD items skip both and run their pass in one task.
+
+Null texts take no part. Positions number the items of a group, each once.
 """
 
 from __future__ import annotations
@@ -10,12 +20,17 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import fuzzy
-from murmur.functions.text import common_letters
+from murmur.operators.candidates import Block, Clause, possible
+from murmur.operators.rounds import components, ranked, stored
+
+#: Items of a slice, and items that one round decides in each group.
+SLICE, HEAD = 2000, 2000
 
 
 def over(a: str, b: str, limit: float) -> bool:
@@ -95,122 +110,342 @@ def dup_aggregate(a: str, b: str) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """A greedy dedup: which items are duplicates, and whether a new one takes the place of the kept one."""
+    """A greedy dedup: which items are duplicates, what that needs at least, and whether a new one takes the place of the kept one."""
 
     same: Callable[[str, str], bool]
+    clauses: tuple[Clause, ...]
     better: Callable[[pd.Series, pd.Series], bool] | None = None
 
 
+def _bare(s: str) -> str:
+    return re.sub(r"[0-9,.]", "", s)
+
+
+def _plain_prefix(s: str) -> str | None:
+    return _prefix(_plain(s))
+
+
+def _bare_prefix(s: str) -> str | None:
+    return _prefix(_bare(s))
+
+
+# Limits of the predicates above, as clauses; limits of replacement.
 RULES = {
-    "v6": Rule(dup_v6, lambda new, old: len(new.text) > len(old.text) and len(new.text) < 130 and new.quality > 0.85),
-    "improve": Rule(dup_improve, lambda new, old: new.quality > old.quality + 0.05 or abs(new.quality - old.quality) < 0.05 and abs(len(new.text) - 90) / 90 < abs(len(old.text) - 90) / 90 - 0.1),
-    "chunks": Rule(dup_chunks, lambda new, old: new.quality > old.quality + 0.03 or abs(new.quality - old.quality) <= 0.03 and len(new.text) > 1.15 * len(old.text) and len(new.text) < 200),
-    "clean": Rule(dup_clean),
-    "longest": Rule(dup_vlm),
-    "aggregate": Rule(dup_aggregate),
+    "v6": Rule(dup_v6, (Clause("ratio", 60), Clause("sorted", 60), Clause("partial", 80, least=0.5)), lambda new, old: len(new.text) > len(old.text) and len(new.text) < 130 and new.quality > 0.85),
+    "improve": Rule(
+        dup_improve,
+        (Clause("ratio", 50), Clause("sorted", 55), Clause("partial", 70, least=0.35), Clause("ratio", 55, _plain, chars=15), Clause("sorted", 60, _plain, chars=15), Clause("partial", 75, _plain, 0.4, 15), Clause("ratio", 65, _plain_prefix)),
+        lambda new, old: new.quality > old.quality + 0.05 or abs(new.quality - old.quality) < 0.05 and abs(len(new.text) - 90) / 90 < abs(len(old.text) - 90) / 90 - 0.1,
+    ),
+    "chunks": Rule(
+        dup_chunks,
+        (Clause("ratio", 50), Clause("sorted", 55), Clause("partial", 70, least=0.3), Clause("ratio", 55, _bare), Clause("ratio", 65, _bare_prefix)),
+        lambda new, old: new.quality > old.quality + 0.03 or abs(new.quality - old.quality) <= 0.03 and len(new.text) > 1.15 * len(old.text) and len(new.text) < 200,
+    ),
+    "clean": Rule(dup_clean, (Clause("ratio", 70, str.lower), Clause("partial", 85, str.lower, 0.5))),
+    "longest": Rule(dup_vlm, (Clause("ratio", 70, str.lower), Clause("partial", 85, str.lower, 0.3))),
+    "aggregate": Rule(dup_aggregate, (Clause("token_set", 80, over=False), Clause("partial", 88, over=False))),
 }
+COVERS = (Clause("partial", 80),)
+HALVES = (Clause("ratio", 65),)
+
+
+def _order(rule: str) -> list[Column]:
+    """The order of a rule's pass, of items with quality, size (characters of their chunk), text and pos."""
+    n = F.length("text")
+    return {
+        "v6": [F.desc("quality"), F.asc("pos")],
+        "improve": [F.desc("quality"), F.abs(n - 90) / 90, F.asc("pos")],
+        "chunks": [F.desc("size"), F.desc(n), F.asc("pos")],
+        "clean": [F.asc("pos")],
+        "longest": [F.desc(n), F.asc("text"), F.asc("pos")],
+        "aggregate": [F.desc(n), F.asc("text"), F.asc("pos")],
+    }[rule]
 
 
 def greedy(items: list, rule: Rule) -> tuple[list, int, int]:
-    """Kept items (in order), duplicates dropped and replaced; each new item is held against the present representatives."""
-    kept, dropped, replaced = [], 0, 0
-    for item in items:
-        at = next((i for i, k in enumerate(kept) if rule.same(item.text, k.text)), None)
+    """Kept items (in order of the places that they hold, with the item that opened the place), duplicates dropped and replaced;
+    each new item is held against the present representatives, those that the bounds leave."""
+    block = Block([x.text for x in items], rule.clauses)
+    pairs = [(i.astype(np.int32), j.astype(np.int32)) for i, j in possible(block, block, lambda i, j: i < j)]
+    first, second = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 2
+    by = np.argsort(second, kind="stable")
+    first, ends = first[by], np.searchsorted(second[by], np.arange(len(items) + 1))
+    holds: list[int] = []  # the item in each place
+    place: dict[int, int] = {}
+    opened, dropped, replaced = [], 0, 0
+    for n, item in enumerate(items):
+        held = sorted(p for k in first[ends[n] : ends[n + 1]].tolist() if (p := place.get(k)) is not None)
+        at = next((p for p in held if rule.same(item.text, items[holds[p]].text)), None)
         if at is None:
-            kept.append(item)
-        elif rule.better is not None and rule.better(item, kept[at]):
-            kept[at] = item
+            place[n] = len(holds)
+            holds.append(n)
+            opened.append(n)
+        elif rule.better is not None and rule.better(item, items[holds[at]]):
+            del place[holds[at]]
+            place[n] = at
+            holds[at] = n
             replaced += 1
         else:
             dropped += 1
-    return kept, dropped, replaced
+    return [(items[k], items[o]) for k, o in zip(holds, opened, strict=True)], dropped, replaced
 
 
-ORDERS = {
-    "v6": lambda d: d.sort_values(["quality", "pos"], ascending=[False, True]),
-    "improve": lambda d: d.assign(dist=(d.text.str.len() - 90).abs() / 90).sort_values(["quality", "dist", "pos"], ascending=[False, True, True]),
-    "chunks": lambda d: d.assign(n=d.text.str.len(), size=d.groupby("chunk").text.transform(lambda t: t.str.len().sum())).sort_values(["size", "n", "pos"], ascending=[False, False, True]),
-    "clean": lambda d: d.sort_values("pos"),
-    "longest": lambda d: d.assign(n=d.text.str.len()).sort_values(["n", "text", "pos"], ascending=[False, True, True]),
-    "aggregate": lambda d: d.assign(n=d.text.str.len()).sort_values(["n", "text", "pos"], ascending=[False, True, True]),
-}
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _same_group(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _slices(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """(__g, __k): how many slices of about `most` rows each group needs."""
+    return rows.groupBy(F.col(group).alias("__g")).agg(F.ceil(F.count("*") / most).cast("int").alias("__k"))
+
+
+def _largest(rows: DataFrame, group: str) -> int:
+    return rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _own_slice(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.col("__k")).cast("int")
+
+
+def _every(low: Column, high: Column) -> Column:
+    return F.explode(F.sequence(low, high))
+
+
+def _spread(rows: DataFrame, *by: str):
+    """rows grouped in as many partitions as the session shuffles to: the work grows with the square of a group, so partitions
+    whose rows are few must not be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).groupBy(*by)
+
+
+def _meet(left: DataFrame, right: DataFrame, group: str, key: tuple[str, ...], other: tuple[str, ...], most: int = 0):
+    """The grouped join in which each slice of left meets each slice of right of its group, as (group, __left, __right)."""
+    most = most or SLICE
+    a, b = _slices(left, group, most), _slices(right, group, most).select(F.col("__g").alias("__h"), F.col("__k").alias("__m"))
+    sizes = a.join(b, _same_group("__g", "__h"))
+    one = left.join(sizes.select("__g", "__k", "__m"), _same_group(group, "__g"))
+    one = one.select(*left.columns, _own_slice(*key).alias("__left"), _every(F.lit(0), F.col("__m") - 1).alias("__right"))
+    two = right.join(sizes.select("__g", F.col("__m").alias("__k"), F.col("__k").alias("__n")), _same_group(group, "__g"))
+    two = two.select(*(F.col(c).alias(c) for c in right.columns), _own_slice(*other).alias("__right"), _every(F.lit(0), F.col("__n") - 1).alias("__left"))
+    return _spread(one, group, "__left", "__right").cogroup(_spread(two, group, "__left", "__right"))
+
+
+def _meet_itself(rows: DataFrame, group: str, key: tuple[str, ...], most: int = 0):
+    """The grouped join in which each two slices of a group meet once, as (group, __a, __b) with __a <= __b."""
+    cut = rows.join(_slices(rows, group, most or SLICE), _same_group(group, "__g")).select(*rows.columns, "__k", _own_slice(*key).alias("__s"))
+    one = cut.select(*rows.columns, F.col("__s").alias("__a"), _every(F.col("__s"), F.col("__k") - 1).alias("__b"))
+    two = cut.select(*(F.col(c).alias(c) for c in rows.columns), F.col("__s").alias("__b"), _every(F.lit(0), F.col("__s")).alias("__a"))
+    return _spread(one, group, "__a", "__b").cogroup(_spread(two, group, "__a", "__b"))
 
 
 def dedup(items: DataFrame, rule: str, group: str) -> DataFrame:
-    """(group, pos, text, kept_pos): kept items of each group, numbered from 1 in the order of the greedy pass.
+    """(group, pos, text, kept_pos, dropped, replaced): kept items of each group, numbered from 1 in the order in which the greedy
+    pass opened their places, and how many items of the group it dropped and put in place of others.
 
     items has the group, pos, text, and quality and chunk where the rule asks for them.
     """
     for name, value in (("quality", F.lit(0.0)), ("chunk", F.lit(0))):
         if name not in items.columns:
             items = items.withColumn(name, value)
+    rows = items.select(group, F.col("pos").cast("long").alias("pos"), "text", F.col("quality").cast("double").alias("quality"), "chunk").where("text is not null")
+    if rule == "chunks":
+        sizes = rows.groupBy(F.col(group).alias("__g"), F.col("chunk").alias("__c")).agg(F.sum(F.length("text")).alias("size"))
+        rows = rows.join(sizes, _same_group(group, "__g") & _same_group("chunk", "__c")).drop("__g", "__c")
+    else:
+        rows = rows.withColumn("size", F.lit(0).cast("long"))
+    rows = stored(rows.drop("chunk"), "items")
+    if _largest(rows, group) <= HEAD:
+        return _passes(rows.withColumn("root", F.lit(0).cast("long")), rule, group)
+    return _by_components(rows, rule, group) if RULES[rule].better else _by_rounds(rows, rule, group)
+
+
+def _passes(rows: DataFrame, rule: str, group: str) -> DataFrame:
+    """dedup() by one pass for each (group, root)."""
+    rule_of, order = RULES[rule], _order(rule)
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group, "root").orderBy(*order)))  # a root's items fit its task
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        rows = list(ORDERS[rule](d).itertuples(index=False))
-        kept, dropped, replaced = greedy(rows, RULES[rule])
-        return pd.DataFrame({group: d[group].iloc[0], "pos": [k.pos for k in kept], "text": [k.text for k in kept], "kept_pos": range(1, len(kept) + 1), "dropped": dropped, "replaced": replaced})
-
-    kind = items.schema[group].dataType.simpleString()
-    return items.select(group, "pos", "text", "quality", "chunk").groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, text string, kept_pos long, dropped long, replaced long")
-
-
-def duplicate_pairs(items: DataFrame, rule: str, group: str, least: float = 0.0) -> DataFrame:
-    """(group, pos, text, pos2, text2) with pos < pos2: the pairs of a group that a rule's predicate holds for.
-
-    least: the share of the longer text's length that the shorter one must exceed for the predicate to be possible at all;
-    it is tested by built-ins before any pair reaches the predicate.
-    """
-    same = RULES[rule].same
-    x = items.select(group, "pos", "text")
-    y = x.select(F.col(group).alias("__g"), F.col("pos").alias("pos2"), F.col("text").alias("text2"))
-    n, m = F.length("text"), F.length("text2")
-    both = x.join(y, (F.col(group) == F.col("__g")) & (F.col("pos") < F.col("pos2")) & (F.least(n, m) > least * F.greatest(n, m))).drop("__g")
-    check = F.pandas_udf(lambda a, b: pd.Series([same(p, q) for p, q in zip(a, b, strict=True)], dtype=bool), "boolean")
-    return both.where(check("text", "text2"))
+        kept, dropped, replaced = greedy(list(d.sort_values("__rank").itertuples(index=False)), rule_of)
+        out = pd.DataFrame([(x.pos, x.text, o.pos, o.text, o.quality, o.size, dropped, replaced) for x, o in kept], columns=["kpos", "ktext", "pos", "text", "quality", "size", "dropped", "replaced"])
+        out.insert(0, "root", d["root"].iloc[0])
+        out.insert(0, group, d[group].iloc[0])
+        return out
+
+    names = "kpos long, ktext string, pos long, text string, quality double, size long, dropped long, replaced long"
+    found = rows.select(group, "root", "pos", "text", "quality", "size", "__rank")
+    found = _spread(found, group, "root").applyInPandas(run, f"{group} {_kind(rows, group)}, root long, {names}")
+    found = stored(found, "passes")
+    if _largest(found, group) <= HEAD:
+        numbered = found.withColumn("kept_pos", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    else:
+        numbered = ranked(found, [group], order, "kept_pos")
+    each = found.groupBy(F.col(group).alias("__g"), "root").agg(F.max("dropped").alias("d"), F.max("replaced").alias("r"))
+    totals = each.groupBy("__g").agg(F.sum("d").alias("__d"), F.sum("r").alias("__r"))
+    out = numbered.join(totals, _same_group(group, "__g"))
+    return out.select(group, F.col("kpos").alias("pos"), F.col("ktext").alias("text"), "kept_pos", F.col("__d").alias("dropped"), F.col("__r").alias("replaced"))
+
+
+def _by_components(rows: DataFrame, rule: str, group: str) -> DataFrame:
+    """dedup() with a pass for each component of the possible pairs."""
+    clauses = RULES[rule].clauses
+    texts = stored(rows.groupBy(group, "text").agg(F.min("pos").alias("node")), "texts")
+    kind = _kind(rows, group)
+
+    def tree(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({group: [], "u": [], "v": []})
+        own = a["__a"].iloc[0] == a["__b"].iloc[0]
+        x, y = Block(a["text"].tolist(), clauses), Block(b["text"].tolist(), clauses)
+        u, v = a["node"].to_numpy(), b["node"].to_numpy()
+        up: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while (m := up.get(n, n)) != n:
+                up[n] = up.get(m, m)
+                n = m
+            return n
+
+        out = []
+        for i, j in possible(x, y, (lambda i, j: u[i] < v[j]) if own else None):
+            for p, q in zip(u[i].tolist(), v[j].tolist(), strict=True):
+                r, s = root(p), root(q)
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    out.append((p, q))
+        return pd.DataFrame({group: [a[group].iloc[0]] * len(out), "u": [p for p, _ in out], "v": [q for _, q in out]})
+
+    edges = _meet_itself(texts, group, ("node",)).applyInPandas(tree, f"{group} {kind}, u long, v long")
+    roots = components(edges, group).select(F.col(group).alias("__g"), F.col("node").alias("__n"), "root")
+    nodes = texts.join(roots, _same_group(group, "__g") & (F.col("node") == F.col("__n")), "left").select(F.col(group).alias("__g"), F.col("text").alias("__x"), F.coalesce("root", "node").alias("root"))
+    return _passes(stored(rows.join(nodes, _same_group(group, "__g") & (F.col("text") == F.col("__x"))).drop("__g", "__x"), "parts"), rule, group)
+
+
+def _by_rounds(rows: DataFrame, rule: str, group: str) -> DataFrame:
+    """dedup() of a rule that keeps the first of duplicates, a round for the first HEAD undecided items of each group."""
+    rule_of, order, kind = RULES[rule], _order(rule), _kind(rows, group)
+    left = stored(rows.groupBy(group, "text").agg(F.min("pos").alias("pos")), "texts")
+    kept = []
+
+    def decide(d: pd.DataFrame) -> pd.DataFrame:
+        found, _, _ = greedy(list(d.sort_values("__rank").itertuples(index=False)), rule_of)
+        return pd.DataFrame({group: d[group].iloc[0], "text": [x.text for x, _ in found], "pos": [x.pos for x, _ in found]})
+
+    def free(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(a):
+            return a[[group, "text", "pos"]]
+        hit = np.zeros(len(a), bool)
+        x, y = Block(a["text"].tolist(), rule_of.clauses), Block(b["text"].tolist(), rule_of.clauses)
+        for i, j in possible(x, y):
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                hit[p] = hit[p] or rule_of.same(x.texts[p], y.texts[q])
+        return a.loc[~hit, [group, "text", "pos"]]
+
+    schema = f"{group} {kind}, text string, pos long"
+    while True:
+        place = stored(ranked(left, [group], order, "__rank"), "ranks")
+        kept.append(stored(_spread(place.where(F.col("__rank") <= HEAD), group).applyInPandas(decide, schema), "kept"))
+        rest = place.where(F.col("__rank") > HEAD).drop("__rank")
+        if not rest.limit(1).count():
+            break
+        left = stored(_meet(rest, kept[-1], group, ("pos",), ("pos",), 4 * HEAD).applyInPandas(free, schema), "left")
+        if not left.limit(1).count():
+            break
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.union(more)
+    numbered = ranked(every, [group], order, "kept_pos")
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    stays = every.groupBy(F.col(group).alias("__h")).agg(F.count("*").alias("__m"))
+    lost = sizes.join(stays, _same_group("__g", "__h")).select("__g", (F.col("__n") - F.col("__m")).alias("dropped"))
+    return numbered.join(lost, _same_group(group, "__g")).select(group, "pos", "text", "kept_pos", "dropped", F.lit(0).cast("long").alias("replaced"))
+
+
+def duplicate_pairs(items: DataFrame, rule: str, group: str) -> DataFrame:
+    """(group, pos, text, pos2, text2) with pos < pos2: the pairs of a group that a rule's predicate holds for."""
+    rule_of = RULES[rule]
+    rows = stored(items.select(group, F.col("pos").cast("long").alias("pos"), "text").where("text is not null"), "items")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            own = a["__a"].iloc[0] == a["__b"].iloc[0]
+            x, y = Block(a["text"].tolist(), rule_of.clauses), Block(b["text"].tolist(), rule_of.clauses)
+            p, q = a["pos"].to_numpy(), b["pos"].to_numpy()
+            for i, j in possible(x, y, (lambda i, j: p[i] < q[j]) if own else None):
+                for k, m in zip(i.tolist(), j.tolist(), strict=True):
+                    if rule_of.same(x.texts[k], y.texts[m]):
+                        one, two = (int(p[k]), x.texts[k]), (int(q[m]), y.texts[m])
+                        out.append((a[group].iloc[0], *min(one, two), *max(one, two)))
+        return pd.DataFrame(out, columns=[group, "pos", "text", "pos2", "text2"])
+
+    return _meet_itself(rows, group, ("pos",)).applyInPandas(run, f"{group} {_kind(items, group)}, pos long, text string, pos2 long, text2 string")
 
 
 def uncovered(items: DataFrame, good: DataFrame, group: str, limit: float = 80) -> DataFrame:
-    """The items that no good text (group, good) of their group covers, by partial ratio over limit in lower case.
+    """The items that no good text (group, good) of their group covers, by partial ratio over limit in lower case. Equal texts of
+    a group are compared once."""
+    clauses = tuple(Clause(c.kind, limit) for c in COVERS)
+    one = stored(items.select(group, F.lower("text").alias("__t")).where("__t is not null").distinct(), "items")
+    two = stored(good.select(group, F.lower("good").alias("__o")).where("__o is not null").distinct(), "good")
 
-    Equal texts of a group are compared once, and pairs whose common letters cannot reach the limit are left out by built-ins:
-    a window of the longer text has at most the letters that both texts have, and fits best if it has no others.
-    """
-    one = items.select(group, F.lower("text").alias("__t")).distinct()
-    two = good.select(F.col(group).alias("__g"), F.lower("good").alias("__o")).distinct()
-    both = one.join(two, F.col(group) == F.col("__g"))
-    shared, short = common_letters(F.col("__t"), F.col("__o")), F.least(F.length("__t"), F.length("__o"))
-    both = both.where((short == 0) | (200 * shared > limit * (short + shared)))
-    hit = both.where(fuzzy.partial_above("__t", "__o", limit)).select(F.col(group).alias("__g"), F.col("__t").alias("__h")).distinct()
-    return items.join(hit, F.col(group).eqNullSafe(F.col("__g")) & (F.lower("text") == F.col("__h")), "left_anti")
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(a), bool)
+        if len(a) and len(b):
+            x, y = Block(a["__t"].tolist(), clauses), Block(b["__o"].tolist(), clauses)
+            for i, j in possible(x, y):
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    hit[p] = hit[p] or partial_over(x.texts[p], y.texts[q], limit)
+        return a.loc[hit, [group, "__t"]]
+
+    hit = _meet(one, two, group, ("__t",), ("__o",)).applyInPandas(run, f"{group} {_kind(items, group)}, __t string").select(F.col(group).alias("__g"), F.col("__t").alias("__h")).distinct()
+    return items.join(hit, _same_group(group, "__g") & (F.lower("text") == F.col("__h")), "left_anti")
 
 
 def merge_artifacts(items: DataFrame, group: str) -> DataFrame:
-    """The items of a group that glue two others together: the first half matches one item's head, the second another's tail."""
+    """The items of a group that glue two others together: the first half matches one item's head, the second another's tail.
 
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        rows = list(d.sort_values("pos").itertuples(index=False))
-        gone = []
-        for x in rows:
-            w = x.text.split()
-            if len(x.text) < 30 or len(w) < 4:
-                continue
-            mid = len(w) // 2
-            head, tail = " ".join(w[:mid]), " ".join(w[mid:])
-            first, second = set(), set()
-            for y in rows:
-                if y.pos != x.pos:
-                    v = y.text.split()
-                    if over(head, " ".join(v[:mid]), 65):
-                        first.add(y.pos)
-                    if over(tail, " ".join(v[-mid:]), 65):
-                        second.add(y.pos)
-            if first and second and first - second:
-                gone.append(x)
-        at = d["pos"].isin([x.pos for x in gone])
-        return d.loc[at, [group, "pos", "text"]] if at.any() else pd.DataFrame({group: pd.Series([], dtype=d[group].dtype), "pos": pd.Series([], dtype="int64"), "text": pd.Series([], dtype=object)})
-
-    kind = items.schema[group].dataType.simpleString()
-    return items.select(group, "pos", "text").groupBy(group).applyInPandas(run, f"{group} {kind}, pos long, text string")
+    Slices of items meet slices of items; in each meeting the halves of as many words are matched with heads and tails of that
+    many words (ratio over 65, by bounds and LCS over many pairs at a time). An item needs a head that is not a tail's as well,
+    and any tail; what meetings find of it is merged by an aggregate.
+    """
+    rows = stored(items.select(group, F.col("pos").cast("long").alias("pos"), "text").where("text is not null"), "items")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        words = [t.split() for t in b["text"]]
+        pos = b["pos"].to_numpy()
+        halves: dict[int, list] = {}
+        for p, t in zip(a["pos"], a["text"], strict=True):
+            w = t.split()
+            if len(t) >= 30 and len(w) >= 4:
+                halves.setdefault(len(w) // 2, []).append((p, t, w))
+        for mid, mine in halves.items():
+            own = np.array([p for p, _, _ in mine])
+
+            def matched(half: list[str], others: list[str]) -> np.ndarray:
+                x, kept = Block(half, HALVES), []
+                distinct = sorted(set(others))
+                where = {t: k for k, t in enumerate(distinct)}
+                of = np.array([where[t] for t in others])
+                y = Block(distinct, HALVES)
+                table = np.zeros((len(half), len(distinct)), bool)
+                for i, j in possible(x, y):
+                    table[i, j] = True
+                kept = table[:, of]
+                return kept & (own[:, None] != pos[None, :])
+
+            heads = matched([" ".join(w[:mid]) for _, _, w in mine], [" ".join(v[:mid]) for v in words])
+            tails = matched([" ".join(w[mid:]) for _, _, w in mine], [" ".join(v[-mid:]) for v in words])
+            lone, any_tail = (heads & ~tails).any(1), tails.any(1)
+            out += [(a[group].iloc[0], p, t, bool(u), bool(v)) for (p, t, _), u, v in zip(mine, lone, any_tail, strict=True) if u or v]
+        return pd.DataFrame(out, columns=[group, "pos", "text", "lone", "tail"])
+
+    found = _meet(rows, rows, group, ("pos",), ("pos",)).applyInPandas(run, f"{group} {_kind(items, group)}, pos long, text string, lone boolean, tail boolean")
+    return found.groupBy(group, "pos", "text").agg(F.max("lone").alias("lone"), F.max("tail").alias("tail")).where("lone and tail").select(group, "pos", "text")
 
 
 def exact_upper(rows: DataFrame, text: str, id_col: str) -> DataFrame:

@@ -22,7 +22,7 @@ from murmur.operators import matching as M
 from murmur.operators.segment import improve_pipeline as improve
 from murmur.operators.segment import segment_news as segment
 from murmur.plans import fuzzy_sql as S
-from murmur.plans.common import table, wordlist
+from murmur.plans.common import items, table, wordlist
 from murmur.plans.registry import query
 
 
@@ -221,21 +221,31 @@ def _items(spark, d):
     return table(spark, d, "part").selectExpr(*(f"{v} AS {k}" for k, v in S.ITEM.items()))
 
 
-def _pairs_of(name: str, rule: str, least: float):
+def _turns(spark, d):
+    """A stream of sentences for each conversation."""
+    return sentences(spark, d).select(F.col("conv_id").alias("stream"), (F.col("turn") * 100_000 + F.col("i")).cast("long").alias("pos"), F.col("turn").cast("int").alias("chunk"), "text")
+
+
+def _pairs_of(name: str, rule: str):
     @query(name, S.same_pairs(rule))
     def run(spark, d):
-        return D.duplicate_pairs(_items(spark, d), rule, "stream", least).select("stream", "pos", "pos2")
+        return D.duplicate_pairs(_items(spark, d), rule, "stream").select("stream", "pos", "pos2")
+
 
+for _rule in ("clean", "v6", "aggregate"):
+    _pairs_of(f"dup_pairs_{_rule}", _rule)
 
-for _name, _rule, _least in (("dup_pairs_clean", "clean", 0.5), ("dup_pairs_v6", "v6", 0.42), ("dup_pairs_aggregate", "aggregate", 0.0)):
-    _pairs_of(_name, _rule, _least)
+
+@query("dup_turns_clean")
+def dup_turns_clean(spark, d):
+    """On the sentences of conversations, whose windows are too many for the SQL."""
+    return D.duplicate_pairs(_turns(spark, d), "clean", "stream").select("stream", "pos", "pos2")
 
 
 QUALITY = {"v6": quality_v6, "improve": quality_improve, "chunks": quality_merge}
 
 
-def _deduped(spark, d, rule: str):
-    x = _items(spark, d)
+def _deduped(x, rule: str):
     x = x.withColumn("quality", F.round(QUALITY[rule]("text"), 9)) if rule in QUALITY else x
     x = x.withColumn("text", vlm_norm("text")) if rule == "aggregate" else x
     return D.dedup(x, rule, "stream")
@@ -244,16 +254,23 @@ def _deduped(spark, d, rule: str):
 def _dedup(name: str, rule: str):
     @query(name, S.greedy(rule))
     def run(spark, d):
-        return _deduped(spark, d, rule).select("stream", "pos", "text", "kept_pos")
+        return _deduped(_items(spark, d), rule).select("stream", "pos", "text", "kept_pos")
 
 
 for _name, _rule in (("dedup_clean", "clean"), ("dedup_longest", "longest"), ("dedup_aggregate", "aggregate"), ("dedup_v6", "v6"), ("dedup_improve", "improve"), ("merge_chunks", "chunks")):
     _dedup(_name, _rule)
 
 
+@query("dedup_sentences")
+def dedup_sentences(spark, d):
+    """The sentences of all documents of a source as one stream, longest first: streams that grow with the table."""
+    x = items(spark, d).select(F.col("source").alias("stream"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pos"), "text")
+    return D.dedup(x, "longest", "stream").select("stream", "pos", "text", "kept_pos")
+
+
 @query("dedup_counts", S.greedy("chunks", True))
 def dedup_counts(spark, d):
-    x = _deduped(spark, d, "chunks")
+    x = _deduped(_items(spark, d), "chunks")
     return x.groupBy("stream").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"), F.max("replaced").alias("replaced"))
 
 

@@ -6,10 +6,6 @@ none runs in a single task. Runs are conversations: conv_id the run, role the mo
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from murmur.operators import dedup as D
 from murmur.operators import frames as K
 from murmur.operators import geometry as G
 from murmur.operators import runs as R
+from murmur.operators.rounds import folder
 from murmur.functions import text as T
 from murmur.plans.common import table
 from murmur.plans.registry import query
@@ -368,12 +365,7 @@ def zip_positional(spark, d):
 
 def _folder(spark, name: str) -> str:
     """A new folder for files that a scan query writes first and then reads."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="murmur-")
-    return f"{at.rstrip('/')}/scans/{name}-{uuid.uuid4().hex}"
+    return folder(spark, f"scans/{name}")
 
 
 def _lines(df, at: str, *by: str) -> str:

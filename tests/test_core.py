@@ -3,13 +3,14 @@ import datetime
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from murmur.functions import fuzzy
 from murmur.functions import quality as Q
 from murmur.functions import text as T
-from murmur.operators import calls, engines, frames, geometry, matching, runs
+from murmur.operators import calls, candidates, engines, frames, geometry, matching, rounds, runs
 from murmur.operators import dedup as D
 from murmur.operators.segment import improve_pipeline, segment_news
 from murmur.sources import readers, writers
@@ -153,9 +154,9 @@ def test_uncovered_and_pairs(spark):
     good = [(i % 2, text()) for i in range(12)]
     got = D.uncovered(spark.createDataFrame(items, "g int, pos long, text string"), spark.createDataFrame(good, "g int, good string"), "g").collect()
     assert sorted(r.pos for r in got) == sorted(p for g, p, t in items if not any(h == g and fuzzy.partial_ratio(t, o) > 80 for h, o in good))
-    for rule, least in (("clean", 0.5), ("v6", 0.42), ("aggregate", 0.0)):
-        got = D.duplicate_pairs(spark.createDataFrame(items, "g int, pos long, text string"), rule, "g", least).collect()
-        assert sorted((r.pos, r.pos2) for r in got) == sorted((p, q) for g, p, t in items for h, q, u in items if g == h and p < q and t and u and D.RULES[rule].same(t, u))
+    for rule in ("clean", "v6", "aggregate"):
+        got = D.duplicate_pairs(spark.createDataFrame(items, "g int, pos long, text string"), rule, "g").collect()
+        assert sorted((r.pos, r.pos2) for r in got) == sorted((p, q) for g, p, t in items for h, q, u in items if g == h and p < q and D.RULES[rule].same(t, u))
     a, b = text() + "aab", text() + "aba"
     both = spark.createDataFrame([(a, b), ("", "x"), ("aa", "aaa")], "a string, b string").select(T.common_letters("a", "b").alias("n")).collect()
     assert [r.n for r in both] == [sum(min(a.count(c), b.count(c)) for c in set(a)), 0, 2]
@@ -201,6 +202,113 @@ def test_greedy_rules(spark):
         assert not any(D.RULES[rule].same(a, b) for i, a in enumerate(texts) for b in texts[:i])
 
 
+def noisy(rng, n):
+    words = ["the", "river", "ran", "over", "7,123", "99", "2020", "stone", "hills", "Émile", "x"]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+    out = []
+    for t in base:
+        out.append(t)
+        u = list(t)
+        for _ in range(rng.randint(0, 6)):
+            if u and rng.random() < 0.5:
+                u.pop(rng.randrange(len(u)))
+            else:
+                u.insert(rng.randint(0, len(u)), rng.choice("abé 3"))
+        out.append("".join(u))
+    return out + out[:4] + ["", " ", "  the  river"]
+
+
+def plain_greedy(rows, rule):
+    kept, dropped, replaced = [], 0, 0
+    for x in rows:
+        at = next((k for k, y in enumerate(kept) if rule.same(x.text, y.text)), None)
+        if at is None:
+            kept.append(x)
+        elif rule.better and rule.better(x, kept[at]):
+            kept[at] = x
+            replaced += 1
+        else:
+            dropped += 1
+    return kept, dropped, replaced
+
+
+@pytest.mark.parametrize("rule", D.RULES)
+@pytest.mark.parametrize("most", [2000, 13])
+def test_dedup_equals_one_sequential_pass(spark, monkeypatch, rule, most):
+    """In one task, and with slices and rounds so small that groups go by rounds or components; null texts and groups, ties,
+    equal texts."""
+    monkeypatch.setattr(D, "HEAD", most)
+    monkeypatch.setattr(D, "SLICE", most)
+    rng = random.Random(6)
+    Item = collections.namedtuple("Item", "g pos text quality chunk")
+    rows = [Item([None, 1, 2, 1][i % 4], i, t, rng.choice([0.2, 0.5, 0.52, 0.9, 0.95]), i // 20) for i, t in enumerate(noisy(rng, 40))] + [Item(1, 900, None, 0.5, 0)]
+    got = collections.defaultdict(list)
+    for r in D.dedup(spark.createDataFrame(rows, "g long, pos long, text string, quality double, chunk int"), rule, "g").collect():
+        got[r.g].append((r.kept_pos, r.pos, r.text, r.dropped, r.replaced))
+    for g in (None, 1, 2):
+        own = [x for x in rows if x.g == g and x.text is not None]
+        size = collections.Counter()
+        for x in own:
+            size[x.chunk] += len(x.text)
+        key = {
+            "v6": lambda x: (-x.quality, x.pos), "improve": lambda x: (-x.quality, abs(len(x.text) - 90) / 90, x.pos), "chunks": lambda x: (-size[x.chunk], -len(x.text), x.pos), "clean": lambda x: x.pos,
+        }.get(rule, lambda x: (-len(x.text), x.text, x.pos))
+        kept, dropped, replaced = plain_greedy(sorted(own, key=key), D.RULES[rule])
+        assert sorted(got[g]) == [(k, x.pos, x.text, dropped, replaced) for k, x in enumerate(kept, 1)]
+
+
+def test_pairs_covers_and_artifacts_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(D, "SLICE", 11)
+    rng = random.Random(9)
+    rows = [(i % 2, i, t) for i, t in enumerate(noisy(rng, 30))]
+    heads = ["OLD STEAM TRAIN FOUND NEAR THE HARBOUR", "STRIKE AT AIRPORT ENTERS ITS SECOND WEEK", "CUP FINAL DECIDED ON PENALTY KICKS TODAY"]
+    rows += [(0, 500 + i, t) for i, t in enumerate([*heads, heads[0][:20] + heads[1][20:], f"{heads[0]} {heads[2]}", *heads])]
+    df = spark.createDataFrame(rows + [(1, 999, None)], "g int, pos long, text string").repartition(3)
+    for rule in D.RULES:
+        got = sorted((r.g, r.pos, r.pos2) for r in D.duplicate_pairs(df, rule, "g").collect())
+        assert got == sorted((g, p, q) for g, p, t in rows for h, q, u in rows if g == h and p < q and D.RULES[rule].same(t, u))
+    want = []
+    for g, p, t in rows:
+        w = t.split()
+        mid = len(w) // 2
+        if len(t) >= 30 and len(w) >= 4:
+            others = [(q, u.split()) for h, q, u in rows if h == g and q != p]
+            first = {q for q, v in others if D.over(" ".join(w[:mid]), " ".join(v[:mid]), 65)}
+            second = {q for q, v in others if D.over(" ".join(w[mid:]), " ".join(v[-mid:]), 65)}
+            if second and first - second:
+                want.append((g, p))
+    assert sorted((r.g, r.pos) for r in D.merge_artifacts(df, "g").collect()) == sorted(want) and want
+    good = spark.createDataFrame([(g, t[:9]) for g, _, t in rows[::3]], "g int, good string")
+    got = sorted((r.g, r.pos) for r in D.uncovered(df.where("text is not null"), good, "g").collect())
+    assert got == sorted((g, p) for g, p, t in rows if not any(h == g and fuzzy.partial_ratio(t.lower(), o[:9].lower()) > 80 for h, _, o in rows[::3]))
+
+
+def test_bounds_lose_no_pair():
+    rng = random.Random(11)
+    letters = ["".join(rng.choice("abc de") for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    long = ["".join(rng.choice("abcdefghij klmnop") for _ in range(n)) for n in (60, 63, 64, 65, 127, 128, 129, 600)]
+    for texts in (letters, noisy(rng, 25), long + [t[3:] + "xy" for t in long]):
+        view = candidates.View(texts)
+        i, j = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts)), indexing="ij"))
+        assert candidates.lcs_pairs(view, view, i, j).tolist() == [fuzzy.lcs(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+        for rule in D.RULES.values():
+            block = candidates.Block(texts, rule.clauses)
+            left = {p for a, b in candidates.possible(block, block) for p in zip(a.tolist(), b.tolist(), strict=True)}
+            assert {(a, b) for a in range(len(texts)) for b in range(len(texts)) if rule.same(texts[a], texts[b])} <= left
+
+
+def test_ranks_and_components_of_large_groups(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, "a", "b", "b", "b"]), rng.randrange(40), i) for i in range(500)]
+    got = {r.i: r.rank for r in rounds.ranked(spark.createDataFrame(rows, "g string, v int, i int").repartition(3), ["g"], [F.desc("v"), F.asc("i")]).collect()}
+    for g in (None, "a", "b"):
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1], x[2]))
+        assert [got[i] for _, _, i in own] == list(range(1, len(own) + 1))
+    edges = [("x", i, i + 1) for i in range(1, 60)] + [("x", 100, k) for k in range(101, 140)] + [("y", 7, 7), ("y", 5, 9), (None, 3, 1)]
+    got = {(r.g, r.node): r.root for r in rounds.components(spark.createDataFrame(edges, "g string, u long, v long"), "g").collect()}
+    assert got == {("x", i): 1 for i in range(1, 61)} | {("x", k): 100 for k in range(100, 140)} | {("y", 5): 5, ("y", 9): 5, (None, 1): 1, (None, 3): 1}
+
+
 def test_segmentation(spark):
     heads = [f"HEADLINE NUMBER {w} ABOUT THE {x} OF A FARAWAY LAND" for w, x in zip(("ONE", "TWO", "SIX", "TEN"), ("RIVERS", "MOUNTAINS", "PEOPLE", "WEATHER"), strict=True)]
     text = " FOR MORE GO TO SITE.COM ".join([" - ".join(heads * 2)] * 3)
