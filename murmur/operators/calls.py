@@ -27,12 +27,15 @@ PROVIDERS: dict[str, Provider] = {"echo": echo}
 
 @dataclass(frozen=True)
 class Retry:
-    """Tries with growing waits; a delay named in the error counts instead."""
+    """Tries with growing waits (by a factor, or by a step where one is given); a delay named in the error counts instead, and
+    `more` seconds are added to either."""
 
     base: float = 20.0
     factor: float = 2.0
     tries: int = 3
     sleep: Callable[[float], None] = time.sleep
+    step: float = 0.0
+    more: float = 0.0
 
     def call(self, f: Callable[[], str]) -> str:
         wait = self.base
@@ -44,13 +47,13 @@ class Retry:
                 if not left or not any(s in said for s in RETRYABLE):
                     raise
                 named = re.search(r"retry_delay\s*\{\s*seconds:\s*(\d+)", said)
-                self.sleep(float(named[1]) if named else wait)
-                wait *= self.factor
+                self.sleep((float(named[1]) if named else wait) + self.more)
+                wait = wait + self.step if self.step else wait * self.factor
         raise AssertionError
 
 
-# The retry policies of web jobs, of second-level summaries, and of their chunked form.
-WEB, LEVEL2, CHUNKED = Retry(20, 2.0, 3), Retry(30, 2.0, 3), Retry(20, 1.7, 4)
+# The retry policies of web jobs, of second-level summaries, of their chunked form, and of recognising images.
+WEB, LEVEL2, CHUNKED, IMAGES = Retry(20, 2.0, 3), Retry(30, 2.0, 3), Retry(20, 1.7, 4), Retry(10, tries=4, step=10, more=1)
 RECORD = "summary string, status string, error string, input_tokens int, output_tokens int, latency_seconds double"
 
 

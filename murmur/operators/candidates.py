@@ -215,7 +215,7 @@ def _clause(c: Clause, x: View, y: View, i: np.ndarray, j: np.ndarray, exact: bo
         if exact:
             common = lcs_pairs(x, y, i[k], j[k])
             ok[k] = _beyond(_ratio(common, short[k] + common), c)
-            k = k[ok[k]]
+            k = k[ok[k] & (4 * long > 5 * short)[k]]  # else the window is nearly the whole
             common = _window_letters(x, y, i[k], j[k])
             ok[k] = _beyond(_ratio(common, short[k] + common), c)
     else:

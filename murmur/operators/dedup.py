@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import fuzzy
-from murmur.operators.candidates import Block, Clause, possible
+from murmur.operators.candidates import ROWS, Block, Clause, possible
 from murmur.operators.rounds import components, ranked, stored
 
 #: Items of a slice, and items that one round decides in each group.
@@ -167,27 +167,32 @@ def greedy(items: list, rule: Rule) -> tuple[list, int, int]:
     """Kept items (in order of the places that they hold, with the item that opened the place), duplicates dropped and replaced;
     each new item is held against the present representatives, those that the bounds leave."""
     block = Block([x.text for x in items], rule.clauses)
-    pairs = [(i.astype(np.int32), j.astype(np.int32)) for i, j in possible(block, block, lambda i, j: i < j)]
-    first, second = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 2
-    by = np.argsort(second, kind="stable")
-    first, ends = first[by], np.searchsorted(second[by], np.arange(len(items) + 1))
     holds: list[int] = []  # the item in each place
     place: dict[int, int] = {}
     opened, dropped, replaced = [], 0, 0
-    for n, item in enumerate(items):
-        held = sorted(p for k in first[ends[n] : ends[n + 1]].tolist() if (p := place.get(k)) is not None)
-        at = next((p for p in held if rule.same(item.text, items[holds[p]].text)), None)
-        if at is None:
-            place[n] = len(holds)
-            holds.append(n)
-            opened.append(n)
-        elif rule.better is not None and rule.better(item, items[holds[at]]):
-            del place[holds[at]]
-            place[n] = at
-            holds[at] = n
-            replaced += 1
-        else:
-            dropped += 1
+    for start in range(0, len(items), ROWS):  # some items at a time meet what is kept so far and each other
+        now = np.arange(start, min(start + ROWS, len(items)))
+        pool = np.concatenate([np.array(holds, np.int64), now])
+        i, j = np.repeat(now, len(pool)), np.tile(pool, len(now))
+        i, j = i[j < i], j[j < i]
+        near = block.may(block, i, j)
+        i, j = i[near], j[near]
+        ends = np.searchsorted(i, np.append(now, now[-1] + 1))
+        for n in now.tolist():
+            item = items[n]
+            held = sorted(p for k in j[ends[n - start] : ends[n - start + 1]].tolist() if (p := place.get(k)) is not None)
+            at = next((p for p in held if rule.same(item.text, items[holds[p]].text)), None)
+            if at is None:
+                place[n] = len(holds)
+                holds.append(n)
+                opened.append(n)
+            elif rule.better is not None and rule.better(item, items[holds[at]]):
+                del place[holds[at]]
+                place[n] = at
+                holds[at] = n
+                replaced += 1
+            else:
+                dropped += 1
     return [(items[k], items[o]) for k, o in zip(holds, opened, strict=True)], dropped, replaced
 
 

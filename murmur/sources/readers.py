@@ -84,6 +84,14 @@ def newest(spark: SparkSession, pattern: str) -> str | None:
     return max(listing(spark, pattern), default=None)
 
 
+def read_latest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The run that the newest pointer in the folder names (writers.write_run), None before the first."""
+    pointer = newest(spark, f"{folder}/latest.*")
+    if pointer is None:
+        return None
+    return spark.read.json(f"{folder}/{spark.read.text(pointer).first().value}")
+
+
 def discover_runs(spark: SparkSession, folder: str, name: str = "run_") -> list[tuple[int, str]]:
     """(n, path) of the folders run_<n>, by number; other names are left out."""
     found = ((p.rsplit(f"/{name}", 1)[-1], p) for p in listing(spark, f"{folder}/{name}*"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,31 @@ def write_items(items: DataFrame, path: str, order: list[str], by: list[str]) ->
 
 
 def write_run(df: DataFrame, folder: str, stamp: str) -> None:
-    """A folder of its own for each run, and the latest one beside them; writing a run again replaces it."""
-    df.write.mode("overwrite").json(f"{folder}/run_ts={stamp}")
-    df.sparkSession.read.schema(df.schema).json(f"{folder}/run_ts={stamp}").write.mode("overwrite").json(f"{folder}/latest")
+    """A folder of its own for each run, and a pointer to the latest one.
+
+    The run is written under a hidden name, which listings leave out, and becomes visible by one rename; the pointer is a new file
+    for each commit, itself visible by one rename, and readers (readers.read_latest) follow the newest. A crash at any step
+    leaves the former run the latest; a run that is written again takes the place of its former rows.
+    """
+    spark = df.sparkSession
+    own = uuid.uuid4().hex
+    hidden = f"{folder}/_writing-{own}"
+    df.write.json(hidden)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    files = path(folder).getFileSystem(conf)
+
+    def move(old: str, new: str) -> None:
+        if not files.rename(path(old), path(new)):
+            raise OSError(f"{old} cannot become {new}")
+
+    target = f"{folder}/run_ts={stamp}"
+    if files.exists(path(target)):
+        move(target, f"{folder}/_former-{own}")
+    move(hidden, target)
+    said = max((int(p.getPath().getName().split(".")[1]) for p in files.globStatus(path(f"{folder}/latest.*")) or ()), default=0)
+    spark.createDataFrame([(f"run_ts={stamp}",)], "value string").coalesce(1).write.text(f"{folder}/_pointer-{own}")
+    move(f"{folder}/_pointer-{own}", f"{folder}/latest.{said + 1:012d}")
 
 
 def srt(segments: DataFrame, by: list[str]) -> DataFrame:

@@ -1,10 +1,12 @@
 import collections
+import dataclasses
 import datetime
 import json
 import random
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from murmur.functions import fuzzy
@@ -357,7 +359,14 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/texts", wholetext=True).first().value.strip() == "a\nb"
     for stamp in ("2024-01-01", "2024-01-02"):
         writers.write_run(seg.withColumn("text", F.lit(stamp)), f"{tmp_path}/runs", stamp)
-    assert {r.text for r in spark.read.json(f"{tmp_path}/runs/latest").collect()} == {"2024-01-02"} and readers.newest(spark, f"{tmp_path}/runs/run_ts=*").endswith("2024-01-02")
+    assert {r.text for r in readers.read_latest(spark, f"{tmp_path}/runs").collect()} == {"2024-01-02"} and readers.newest(spark, f"{tmp_path}/runs/run_ts=*").endswith("2024-01-02")
+    with pytest.raises(PySparkException):  # a run that fails midway leaves the former one the latest, and no trace among the runs
+        writers.write_run(seg.withColumn("text", F.raise_error(F.lit("midway")).cast("string")), f"{tmp_path}/runs", "2024-01-03")
+    assert {r.text for r in readers.read_latest(spark, f"{tmp_path}/runs").collect()} == {"2024-01-02"} and readers.newest(spark, f"{tmp_path}/runs/run_ts=*").endswith("2024-01-02")
+    seg.withColumn("text", F.lit("2024-01-04")).write.json(f"{tmp_path}/runs/run_ts=2024-01-04")  # written, but not yet the latest
+    assert {r.text for r in readers.read_latest(spark, f"{tmp_path}/runs").collect()} == {"2024-01-02"}
+    writers.write_run(seg.withColumn("text", F.lit("again")), f"{tmp_path}/runs", "2024-01-04")
+    assert {r.text for r in readers.read_latest(spark, f"{tmp_path}/runs").collect()} == {"again"} and readers.read_latest(spark, f"{tmp_path}/none") is None
     for name in ("run_2", "run_10", "run_x", "run_"):
         (tmp_path / "found" / name).mkdir(parents=True)
     assert [n for n, _ in readers.discover_runs(spark, f"{tmp_path}/found")] == [2, 10] and readers.discover_runs(spark, f"{tmp_path}/none") == []
@@ -385,6 +394,17 @@ def test_calls(spark):
     assert calls.Retry(20, 2, 3, waits.append).call(flaky) == "ok" and waits == [7.0, 40]
     with pytest.raises(ValueError):
         calls.Retry(1, 1, 3, waits.append).call(lambda: int("x"))
+    tries.clear()
+    waits.clear()
+    linear = dataclasses.replace(calls.IMAGES, sleep=waits.append)
+
+    def limited():
+        tries.append(1)
+        raise RuntimeError("429 retry_delay { seconds: 7 }" if len(tries) == 2 else "rate limit")
+
+    with pytest.raises(RuntimeError):
+        linear.call(limited)
+    assert waits == [11, 8, 31] and len(tries) == 4
     assert calls.guarded(["a", "b", "c"], ["a"]) == ["a", "b", "c"] and calls.first_that_parses(lambda x: None, lambda x: x[:1])(["a", "b"]) == ["a"]
     chunks = spark.createDataFrame([("t", i, f"text {i}") for i in range(45)], "g string, pos int, text string")
     models = spark.createDataFrame([("echo", "m1"), ("echo", "m2")], "provider string, model_id string")
