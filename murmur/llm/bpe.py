@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import bounded, utf8
 
-#: Entries and bytes of pieces, and pairs of tokens, that a worker remembers before it starts anew: some 200 bytes each.
-MEMO, PAIRS = 600_000, 600_000
+#: Pieces, and pairs of tokens, that a worker remembers before it starts anew; a piece takes some 200 bytes (LONGEST_MEMO bounds
+#: its text), so both stay under about 120 MB a worker.
+MEMO, PAIRS = 300_000, 600_000
 LONGEST_MEMO = 64
 
 # A public splitting pattern, and the same in the form of the standard library's re, equal to it on texts without

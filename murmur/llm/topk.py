@@ -64,7 +64,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best among x, ties to the smaller id."""
+    """(place of the query, id, score) of each query's k best among x, ties to the smaller id."""
     out = []
     for at in range(0, len(q), BLOCK):
         own = slice(at, at + BLOCK)
@@ -77,12 +77,13 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         rows, cols = rows[order], cols[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         rows, cols = rows[rank < k], cols[rank < k]
-        out.append((q_ids[own][rows], ids[cols], s[rows, cols]))
+        out.append((rows + at, ids[cols], s[rows, cols]))
     return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))
 
 
 def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, every: int = 100, pivots: int | None = None) -> DataFrame:
-    """(query_id, rank, id, score) for the rows whose id is divisible by `every`, against all other rows."""
+    """(query_id, rank, id, score) for the rows whose id is divisible by `every`, against all other rows: a list for each such row,
+    also where several have one id."""
     spark = vectors.sparkSession
     bounded(spark)
 
@@ -128,15 +129,16 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     data = cells.select("row", "id", "v", "cell", "d").join(plan, "cell").where(F.col("upper") + F.col("norm") * F.col("d") >= F.col("least"))
     data = data.select("qcell", "cell", place("slices").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("qslices") - 1)).alias("qslice"), "id", "v")
     asked = cells.where(query).select("qcell", "id", "v", "row").join(plan, "qcell")
-    asked = asked.select(F.col("qcell").alias("a"), place("qslices").alias("b"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("e"), F.col("id").alias("query"), F.col("v").alias("q"))
+    asked = asked.select(F.col("qcell").alias("a"), place("qslices").alias("b"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("e"), F.col("id").alias("query"), F.col("row").alias("asker"), F.col("v").alias("q"))
 
     def solve(one: pa.Table, two: pa.Table) -> pa.Table:
         q, x = stack(one["q"].to_pylist(), dim), stack(two["v"].to_pylist(), dim)
-        found = best(np.array(one["query"], np.int64), q, np.array(two["id"], np.int64), x, k) if len(q) and len(x) else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "id", "score"), (pa.array(c, pa.int64()) for c in found), strict=True)))
+        ids, askers = np.array(one["query"], np.int64), np.array(one["asker"], np.int64)
+        at, other, score = best(ids, q, np.array(two["id"], np.int64), x, k) if len(q) and len(x) else [np.zeros(0, np.int64)] * 3
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in (("asker", askers[at]), ("query_id", ids[at]), ("id", other), ("score", score))})
 
-    local = asked.groupBy("a", "b", "c", "e").cogroup(data.groupBy("qcell", "qslice", "cell", "slice")).applyInArrow(solve, "query_id long, id long, score long")
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")).where(F.col("rank") <= k)
+    local = asked.groupBy("a", "b", "c", "e").cogroup(data.groupBy("qcell", "qslice", "cell", "slice")).applyInArrow(solve, "asker long, query_id long, id long, score long")
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id")).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
@@ -166,13 +168,13 @@ def op8_topk(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  SELECT a.n, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id
   WHERE a.vec_id % 100 = 0
-), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS "rank", vec_id, score FROM s)
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS "rank", vec_id, score FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
 """

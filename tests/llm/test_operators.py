@@ -448,12 +448,19 @@ def test_topk_repeated_query_id(spark):
     data = [(100, [1.0 + i % 3 / 100, 0.0]) for i in range(300)] + [(i, [-1.0, i % 5 / 100]) for i in range(1001, 1700) if i % 100]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     v = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in data]
-    want = sorted((-int(a @ b), j) for i, a in v[:3] for j, b in v if j != i)
-    want = [(100, r + 1, i, -s) for r, (s, i) in enumerate(sorted(want * 100)[:10])]
+    want = sorted((100, r + 1, j, -s) for i, a in v[:300] for r, (s, j) in enumerate(sorted((-int(a @ b), j) for j, b in v if j != i)[:10]))
     for pivots in (None, len(data)):
         assert sorted(map(tuple, topk.top_k(df, pivots=pivots).collect())) == want
 
 
+def test_topk_has_a_list_for_each_query_row(spark):
+    data = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (200, [1.0, 0.0])] + [(i, [i / 50, 1 - i / 50]) for i in range(1, 21)]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)).collect()]
+    v = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in data]
+    want = [(i, r + 1, j, -s) for i, a in v[:3] for r, (s, j) in enumerate(sorted((-int(a @ b), j) for j, b in v if j != i)[:10])]
+    assert sorted(got) == sorted(want) and len(got) == 30
+
+
 def stats(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
