@@ -13,7 +13,7 @@ from murmur.operators import dedup as D
 from murmur.operators import frames as K
 from murmur.operators import geometry as G
 from murmur.operators import runs as R
-from murmur.operators.rounds import folder
+from murmur.operators.rounds import folder, ranked
 from murmur.functions import text as T
 from murmur.plans.common import table
 from murmur.plans.registry import query
@@ -26,7 +26,8 @@ def _frames(spark, d):
 
 
 def _ranked(rows, by, *order):
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("int").alias("r"))
+    """The rank of each document in its group, by range partitions, so that no task holds a whole group."""
+    return ranked(rows, [by], [F.col(c) if isinstance(c, str) else c for c in order], "r").select("doc_id", F.col("r").cast("int").alias("r"))
 
 
 FRAMES = "(SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS pos FROM events)"
@@ -184,20 +185,22 @@ def union_all_tagged(spark, d):
 
 @query("sort_longest", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, text, doc_id) AS INT) AS r FROM documents")
 def sort_longest(spark, d):
-    return _ranked(table(spark, d, "documents"), "source", F.desc(F.length("text")), "text", "doc_id")
+    return _ranked(table(spark, d, "documents").select("doc_id", "source", "text"), "source", F.desc(F.length("text")), "text", "doc_id")
 
 
 @query("sort_chunk_len", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY size DESC, length(text) DESC, doc_id) AS INT) AS r FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source) AS size FROM documents) AS x")
 def sort_chunk_len(spark, d):
     x = table(spark, d, "documents")
     sizes = x.groupBy("source").agg(F.sum(F.length("text")).alias("size")).withColumnRenamed("source", "s")
-    return _ranked(x.join(sizes, F.col("source").eqNullSafe(F.col("s"))), "lang", F.desc("size"), F.desc(F.length("text")), "doc_id")
+    x = x.join(sizes, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "lang", "size", F.length("text").alias("n"))
+    return _ranked(x, "lang", F.desc("size"), F.desc("n"), "doc_id")
 
 
 @query("sort_quality", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(quality, 0) DESC, abs(length(text) - 90), pos) AS INT) AS r FROM (SELECT d.doc_id, d.source, d.text, l.quality, d.doc_id AS pos FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id) AS x")
 def sort_quality(spark, d):
     x = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return _ranked(x, "source", F.desc(F.coalesce("quality", F.lit(0))), F.abs(F.length("text") - 90), "doc_id")
+    x = x.select("doc_id", "source", F.coalesce("quality", F.lit(0)).alias("quality"), F.abs(F.length("text") - 90).alias("off"))
+    return _ranked(x, "source", F.desc("quality"), "off", "doc_id")
 
 
 @query("chunk_sizes", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS size, count(*) AS n FROM documents GROUP BY source")
