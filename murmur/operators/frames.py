@@ -1,4 +1,5 @@
-"""Operators over frames: rows of a stream (a user, a document, a run) in an order. Windows are partitioned by the stream."""
+"""Operators over frames: rows of a stream (a user, a document, a run) in an order. Numbers, running sums and medians go by range
+partitions (rounds.scanned), so that a stream may be of any size; the windows that are left are partitioned by the stream."""
 
 from __future__ import annotations
 
@@ -6,10 +7,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmur.operators.rounds import quantile, scanned
 
 def positions(frames: DataFrame, stream: str, order: tuple[str, ...], name: str = "pos", first: int = 0) -> DataFrame:
     """Frames with their number in the stream, from `first` on."""
-    return frames.withColumn(name, (F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1 + first).cast("long"))
+    return scanned(frames, [stream], [F.col(c) for c in order], {name: F.lit(1)}).withColumn(name, (F.col(name) - 1 + first).cast("long"))
+
+
+def with_median(groups: DataFrame, rows: DataFrame, by: str, value: str, name: str, scale: int = 1) -> DataFrame:
+    """Groups (a row for each) with the exact median of a value of their rows."""
+    middle = quantile(rows, [by], value, 0.5, "__m").withColumnRenamed(by, "__by")
+    return groups.join(middle, F.col(by).eqNullSafe(F.col("__by")), "left").select(*groups.columns, (F.col("__m") * scale).alias(name))
 
 
 def every_nth(frames: DataFrame, n: int, keep: Column | None = None) -> DataFrame:
@@ -38,7 +46,8 @@ def over_floor(rows: DataFrame, kind: str, value: Column, floors: dict[str, floa
 
 def percentages(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, least, largest and median of a share, in percent."""
-    return rows.groupBy(by).agg((F.avg(value) * 100).alias("avg_conf"), (F.min(value) * 100).alias("min_conf"), (F.max(value) * 100).alias("max_conf"), (F.percentile(value, 0.5) * 100).alias("median_conf"))
+    sums = rows.groupBy(by).agg((F.avg(value) * 100).alias("avg_conf"), (F.min(value) * 100).alias("min_conf"), (F.max(value) * 100).alias("max_conf"))
+    return with_median(sums, rows, by, value, "median_conf", 100)
 
 
 def fill_rate(rows: DataFrame, by: str, filled: Column) -> DataFrame:
@@ -54,8 +63,9 @@ def first_write_wins(rows: DataFrame, keys: list[str], order: tuple[str, ...]) -
 
 def deltas(frames: DataFrame, stream: str, order: tuple[str, ...], value: str) -> DataFrame:
     """(stream, n, mean, low, high, median) of the changes from one frame to the next."""
-    d = F.col(value) - F.lag(value).over(Window.partitionBy(stream).orderBy(*order))
-    return frames.withColumn("__d", d).groupBy(stream).agg(F.count("__d").alias("n"), F.avg("__d").alias("mean"), F.min("__d").alias("low"), F.max("__d").alias("high"), F.percentile("__d", 0.5).alias("median"))
+    x = frames.withColumn("__d", F.col(value) - F.lag(value).over(Window.partitionBy(stream).orderBy(*order)))
+    sums = x.groupBy(stream).agg(F.count("__d").alias("n"), F.avg("__d").alias("mean"), F.min("__d").alias("low"), F.max("__d").alias("high"))
+    return with_median(sums, x, stream, "__d", "median")
 
 
 def even_sample(frames: DataFrame, stream: str, n: int = 12) -> DataFrame:
@@ -66,10 +76,13 @@ def even_sample(frames: DataFrame, stream: str, n: int = 12) -> DataFrame:
 
 
 def progress(frames: DataFrame, stream: str, spent: str) -> DataFrame:
-    """Elapsed time up to each frame (by pos), and what is left at the mean pace so far."""
-    w = Window.partitionBy(stream)
-    x = frames.withColumns({"elapsed": F.sum(spent).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "__n": F.count("*").over(w)})
-    return x.withColumn("eta", F.col("elapsed") / (F.col("pos") + 1) * (F.col("__n") - F.col("pos") - 1)).drop("__n")
+    """Elapsed time up to each frame (by pos), and what is left at the mean pace so far.
+
+    Times as decimals add up exactly, whatever partitions a stream spans; doubles differ in their last bits.
+    """
+    x = scanned(frames.withColumn("__one", F.lit(1)), [stream], [F.col("pos")], {"elapsed": F.col(spent), "__k": F.col("__one")}, {"__k": "__n"})
+    x = x.withColumn("elapsed", F.col("elapsed").cast("double"))
+    return x.withColumn("eta", F.col("elapsed") / (F.col("pos") + 1) * (F.col("__n") - F.col("pos") - 1)).drop("__n", "__k", "__one")
 
 
 def renumber(segments: DataFrame, stream: str, chunk: str, order: tuple[str, ...], seconds: str, chunk_seconds: int) -> DataFrame:
@@ -98,7 +111,7 @@ def chunk_ranges(rows: DataFrame, total: str, size: int) -> DataFrame:
 
 def above_share_of_median(groups: DataFrame, value: str, least: int, share: float) -> DataFrame:
     """Groups of a size of at least that share of the median size, and of `least`."""
-    bound = groups.agg(F.greatest(F.lit(least).cast("long"), F.floor(F.percentile(value, 0.5) * share).cast("long")).alias("__b"))
+    bound = quantile(groups, [], value, 0.5, "__m").select(F.greatest(F.lit(least).cast("long"), F.floor(F.col("__m") * share).cast("long")).alias("__b"))
     return groups.crossJoin(F.broadcast(bound)).where(F.col(value) >= F.col("__b")).drop("__b")
 
 

@@ -31,25 +31,58 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """df with the 1-based rank of each row in its group, as row_number() would give it, for groups of any size.
+def scanned(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+    """df with running sums in its groups' order, the row itself included, for groups of any size; totals maps a running sum
+    to the name of a column with the sum over the whole group.
 
-    Rows are range-partitioned by group and order and written with their partition's number; each partition counts its rows
-    by group; sums of the counts before a partition (a row for each group and partition that it spans) are joined back to
-    row numbers within (group, partition). So no task holds more than one partition of a group. Rows that tie on the order
-    may swap places.
+    Rows are range-partitioned by group and order and written with their partition's number; each partition sums its rows
+    by group; sums of the partitions before (a row for each group and partition that it spans) are joined back to the running
+    sums within (group, partition). So no task holds more than one partition of a group. Rows that tie on the order may
+    swap places; null counts as nothing; sums of doubles depend on where partitions end in their last bits, those of
+    decimals and integers do not. Null keys are a group; a column of the name of a sum is replaced.
     """
-    spark = df.sparkSession
+    spark, totals = df.sparkSession, totals or {}
+    df = df.drop(*sums, *totals.values())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [c.asc_nulls_first() if isinstance(c, Column) else c for c in (F.col(b) for b in by)]
-    cut = stored(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranked")
-    sizes = cut.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), before.alias("__before"))
-    here = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    given = {f"__g{i}": c for i, c in enumerate(sums.values())}
+    keys = [F.col(b).asc_nulls_first() for b in by]
+    cut = stored(df.withColumns(given).repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "scanned")
+    sizes = cut.groupBy(*by, "__part").agg(*(F.coalesce(F.sum(g), F.lit(0)).alias(g) for g in given))
+    past = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    before = [F.coalesce(F.sum(g).over(past), F.lit(0)).alias(f"{g}_before") for g in given]
+    of = dict(zip(sums, given, strict=True))
+    sizes = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), *before, *(F.sum(of[k]).over(whole).alias(v) for k, v in totals.items()))
+    here = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("__part") == F.col("__p")]
-    both = cut.withColumn(name, here).join(sizes, on)
-    return both.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).select(*df.columns, name)
+    both = cut.withColumns({k: F.coalesce(F.sum(g).over(here), F.lit(0)) for k, g in of.items()}).join(sizes, on)
+    return both.select(*df.columns, *((F.col(k) + F.col(f"{g}_before")).alias(k) for k, g in of.items()), *totals.values())
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the 1-based rank of each row in its group, as row_number() would give it, for groups of any size (scanned)."""
+    return scanned(df, by, order, {name: F.lit(1)}).withColumn(name, F.col(name).cast("long"))
+
+
+def quantile(df: DataFrame, by: list[str], value: str, share: float = 0.5, name: str = "quantile") -> DataFrame:
+    """(by, name): the exact quantile of each group, interpolated between neighbours as percentile() does, for groups of any size.
+
+    Equal values are counted before anything moves; running counts over them (scanned) tell which ones hold the two ranks that
+    matter, and only these rows are aggregated. Nulls do not count; a group of nulls alone has none (null); NaN is the largest.
+    """
+    x = df.select(*by, F.col(value).cast("double").alias("__v"))
+    counts = x.where("__v is not null").groupBy(*by, "__v").agg(F.count("*").alias("__c"))
+    seen = scanned(counts, by, [F.col("__v")], {"__k": F.col("__c")}, {"__k": "__n"})
+    at = (F.col("__n") - 1) * F.lit(float(share))
+    low, high = F.floor(at), F.ceil(at)
+    holds = lambda r: (F.col("__k") - F.col("__c") <= r) & (r < F.col("__k"))
+    ends = seen.where(holds(low) | holds(high)).groupBy(*by).agg(F.max(F.when(holds(low), F.col("__v"))).alias("__low"), F.max(F.when(holds(high), F.col("__v"))).alias("__high"), F.max(at).alias("__at"))
+    between = F.when(F.floor("__at") == F.ceil("__at"), F.col("__low")).otherwise((F.ceil("__at") - F.col("__at")) * F.col("__low") + (F.col("__at") - F.floor("__at")) * F.col("__high"))
+    if not by:
+        return ends.select(between.alias(name))
+    found = ends.select(*(F.col(c).alias(f"__{c}") for c in by), between.alias(name))
+    groups = x.select(*by).distinct()
+    return groups.join(found, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left").select(*by, name)
 
 
 def components(edges: DataFrame, by: str, most_rounds: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.rounds import ranked
+
 
 def present(c: str) -> Column:
     """NaN counts as missing: avg skips nulls but not NaN."""
@@ -30,7 +32,8 @@ def two_level(runs: DataFrame, outer: str, inner: str, c: str) -> DataFrame:
 
 
 def leaderboard(rows: DataFrame, metric: str, by: list[str], tie: list[str]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(metric), *tie)))
+    """Rows with their rank in the group, best first (nulls last), for groups of any size."""
+    return ranked(rows, by, [F.desc(metric), *map(F.col, tie)])
 
 
 # The documented precedence of result files, best first.

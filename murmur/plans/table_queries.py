@@ -87,9 +87,9 @@ def even_sample(spark, d):
     return K.even_sample(_frames(spark, d), "user_id").select("user_id", "pos")
 
 
-@query("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 9) AS eta FROM (SELECT event_id, user_id, pos, sum(value) OVER (PARTITION BY user_id ORDER BY pos) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
+@query("running_eta", f"SELECT event_id, user_id, round(elapsed, 3) AS elapsed, round(elapsed / (pos + 1) * (n - pos - 1), 9) AS eta FROM (SELECT event_id, user_id, pos, CAST(sum(value::DECIMAL(18, 6)) OVER (PARTITION BY user_id ORDER BY pos) AS DOUBLE) AS elapsed, count(*) OVER (PARTITION BY user_id) AS n FROM {FRAMES} AS f) AS g")
 def running_eta(spark, d):
-    x = K.progress(_frames(spark, d), "user_id", "value")
+    x = K.progress(_frames(spark, d).withColumn("spent", F.col("value").cast("decimal(18,6)")), "user_id", "spent")
     return x.select("event_id", "user_id", F.round("elapsed", 3).alias("elapsed"), F.round("eta", 9).alias("eta"))
 
 

@@ -311,6 +311,32 @@ def test_ranks_and_components_of_large_groups(spark):
     assert got == {("x", i): 1 for i in range(1, 61)} | {("x", k): 100 for k in range(100, 140)} | {("y", 5): 5, ("y", 9): 5, (None, 1): 1, (None, 3): 1}
 
 
+def test_scans_and_quantiles_of_any_group(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), i, rng.choice([None, float("nan"), *map(float, range(12))]), rng.randint(-4, 4)) for i in range(900)]
+    rows += [("none", i, None, None) for i in range(900, 904)] + [("one", 904, 2.5, 7)] * 2
+    df = spark.createDataFrame(rows, "g string, i int, v double, w int").repartition(7)
+    got = rounds.scanned(df, ["g"], [F.col("i"), F.col("w")], {"run": F.col("w"), "k": F.lit(1)}, {"run": "all"})
+    seen, want = collections.Counter(), []
+    totals = collections.Counter()
+    for g, _, _, w in rows:
+        totals[g] += w or 0
+    for g, i, _, w in sorted(rows, key=lambda r: r[1]):
+        seen[g, "run"] += w or 0
+        seen[g, "k"] += 1
+        want.append((str(g), i, seen[g, "run"], seen[g, "k"], totals[g]))
+    assert sorted((str(r.g), r.i, r.run, r.k, r["all"]) for r in got.collect()) == sorted(want)
+    for share in (0.0, 0.5, 0.9):
+        plain = df.groupBy("g").agg(F.percentile("v", share).alias("q"))
+        assert sorted(map(str, plain.collect())) == sorted(str(r).replace("quantile=", "q=") for r in rounds.quantile(df, ["g"], "v", share).collect())
+    whole = df.where("not isnan(v)")
+    assert rounds.quantile(whole, [], "v", 0.9).first()[0] == whole.select(F.percentile("v", 0.9)).first()[0]
+    assert rounds.quantile(df.limit(0), ["g"], "v").count() == 0 and rounds.quantile(df.limit(0), [], "v").first()[0] is None
+    assert frames.positions(df.withColumn("pos", F.lit(5)), "g", ("i",)).columns == ["g", "i", "v", "w", "pos"]
+    board = runs.leaderboard(df.select("g", "i", "w"), "w", ["g"], ["i"]).where("g = 'hot'").orderBy("rank").collect()
+    assert [r.rank for r in board] == list(range(1, len(board) + 1)) and [r.w for r in board] == sorted((r.w for r in board), reverse=True)
+
+
 def test_segmentation(spark):
     heads = [f"HEADLINE NUMBER {w} ABOUT THE {x} OF A FARAWAY LAND" for w, x in zip(("ONE", "TWO", "SIX", "TEN"), ("RIVERS", "MOUNTAINS", "PEOPLE", "WEATHER"), strict=True)]
     text = " FOR MORE GO TO SITE.COM ".join([" - ".join(heads * 2)] * 3)
