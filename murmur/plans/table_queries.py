@@ -17,6 +17,7 @@ from murmur.operators.rounds import folder, ranked
 from murmur.functions import text as T
 from murmur.plans.common import table
 from murmur.plans.registry import query
+from murmur.sources import pcm
 from murmur.sources import readers as I
 from murmur.sources import writers as O
 from murmur.streaming import jobs as J
@@ -444,6 +445,43 @@ def discover_runs(spark, d):
     return spark.read.text([p for _, p in found]).select(I.run_number("_metadata.file_path").alias("run"), F.col("value").alias("name"))
 
 
+_TRACKS = "(SELECT event_type, p // 4000 AS piece, p % 4000 AS spot, CASE WHEN p // 4000 % 2 = 0 THEN (cents - 16384) / 32768 ELSE (cents + event_id % 30000) / 2 / 2147483648 END AS v FROM (SELECT event_type, event_id, CAST(round(value * 100) AS BIGINT) % 32768 AS cents, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS p FROM events))"
+
+
+def _tracks(spark, d, **options):
+    """The values of each kind of event as recordings of 4000 samples (16 bits, or two channels of 32), read in ranges of 256."""
+    x = K.positions(table(spark, d, "events").select("event_type", "event_id", "ts", "value"), "event_type", ("ts", "event_id"))
+    cents = F.round(F.col("value") * 100).cast("long") % 32768
+    x = x.withColumns({"piece": F.floor(F.col("pos") / 4000), "cents": cents, "one": cents - 16384, "other": F.col("event_id") % 30000})
+    x = x.withColumn("file", F.concat_ws("-", "event_type", "piece"))
+    at = _folder(spark, "tracks")
+    pcm.write_wav(x.where("piece % 2 = 0"), "file", "pos", ["one"], at, 2)
+    pcm.write_wav(x.where("piece % 2 = 1"), "file", "pos", ["cents", "other"], at, 4)
+    spark.dataSource.register(pcm.PcmSource)
+    read = spark.read.format("pcm").option("range", 256).option("split", 3000)
+    for k, v in options.items():
+        read = read.option(k, v)
+    name = F.regexp_extract("path", "([^/]*)[.]wav$", 1)
+    x = read.load(at).select(F.regexp_extract(name, "^(.*)-", 1).alias("event_type"), F.regexp_extract(name, "-([0-9]+)$", 1).cast("long").alias("piece"), "start", F.transform("samples", lambda v: v.cast("double")).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return x.select("event_type", "piece", "start", F.size("x").cast("long").alias("n"), total.alias("total"), F.array_min("x").alias("low"), F.array_max("x").alias("high"), F.element_at("x", 1).alias("first"), F.element_at("x", -1).alias("last"))
+
+
+_HEARD = "SELECT event_type, piece, spot // 256 * 256 AS start, count(*) AS n, sum(v) AS total, min(v) AS low, max(v) AS high, arg_min(v, spot) AS first, arg_max(v, spot) AS last"
+
+
+@query("scan_wav_ranges", f"{_HEARD} FROM {_TRACKS} GROUP BY event_type, piece, spot // 256")
+def scan_wav_ranges(spark, d):
+    """Every range of every recording."""
+    return _tracks(spark, d)
+
+
+@query("scan_wav_every_nth", f"{_HEARD} FROM {_TRACKS} WHERE spot // 256 % 5 = 0 GROUP BY event_type, piece, spot // 256")
+def scan_wav_every_nth(spark, d):
+    """Every fifth range; the source seeks past the others."""
+    return _tracks(spark, d, every=5)
+
+
 @query("first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), nullif(source, ''), 'none') AS v FROM documents")
 def first_filled(spark, d):
     x = table(spark, d, "documents").withColumn("a", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("lang")))

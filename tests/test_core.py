@@ -15,7 +15,7 @@ from murmur.functions import text as T
 from murmur.operators import calls, candidates, engines, frames, geometry, matching, rounds, runs
 from murmur.operators import dedup as D
 from murmur.operators.segment import improve_pipeline, segment_news
-from murmur.sources import readers, writers
+from murmur.sources import pcm, readers, writers
 from murmur.streaming import jobs
 
 
@@ -405,6 +405,45 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.newest(spark, f"{tmp_path}/nothing*") is None
 
 
+def test_wav_ranges_at_every_cut(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    made = {}
+    for name, width, channels, n in (("a", 2, 1, 1000), ("b", 4, 2, 777), ("c", 2, 3, 5), ("d", 4, 1, 0)):
+        values = rng.integers(-(1 << (8 * width - 1)), 1 << (8 * width - 1), (n, channels))
+        made[name] = (values.mean(1).astype(np.float32) / np.float32(pcm.SCALE[width]) if channels > 1 else values[:, 0].astype(np.float32) / np.float32(pcm.SCALE[width])) if n else np.empty(0, np.float32)
+        frame = width * channels
+        body = values.astype(f"<i{width}").tobytes()
+        extra = b"LIST" + (3).to_bytes(4, "little") + b"abc\0"  # a chunk of odd length before the samples
+        form = b"fmt " + b"".join(v.to_bytes(k, "little") for v, k in ((16, 4), (1, 2), (channels, 2), (100, 4), (100 * frame, 4), (frame, 2), (8 * width, 2)))
+        claimed = 2**32 - 1 if name == "b" else len(body)  # written as a stream: the length is not known
+        (tmp_path / f"{name}.wav").write_bytes(b"RIFF\0\0\0\0WAVE" + form + extra + b"data" + claimed.to_bytes(4, "little") + body)
+    (tmp_path / "_hidden.wav").write_bytes(b"no")
+    (tmp_path / "notes.txt").write_text("no")
+    spark.dataSource.register(pcm.PcmSource)
+    for size, split, every, begin, end in ((1, 64, 1, 0, None), (7, 50, 1, 0, None), (64, 100, 3, 0.33, None), (1000, 10**9, 1, 1, 5.5), (33, 41, 2, 2.0, 7.01)):
+        read = spark.read.format("pcm").option("range", size).option("split", split).option("every", every).option("begin", begin)
+        rows = (read if end is None else read.option("end", end)).load(str(tmp_path)).collect()
+        got = {(r.path.rsplit("/", 1)[-1][0], r.start): r.samples for r in rows}
+        want = {}
+        for name, x in made.items():
+            last = len(x) if end is None else min(len(x), int(np.ceil(end * 100)))
+            first = int(np.ceil(begin * 100))
+            want |= {(name, s): x[s : min(s + size, last)].tolist() for s in range(first, last, size * every)}
+        assert got == want and len(rows) == len(got)
+    assert spark.read.format("pcm").option("split", 100).load(str(tmp_path)).rdd.getNumPartitions() > 10
+    (tmp_path / "odd").mkdir()
+    assert spark.read.format("pcm").load(str(tmp_path / "odd")).count() == 0
+    (tmp_path / "odd" / "e.wav").write_bytes(b"RIFF\0\0\0\0WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0, 100, 0, 0, 0, 44, 1, 0, 0, 3, 0, 24, 0]) + b"data\3\0\0\0abc")
+    with pytest.raises(PySparkException, match="Unsupported sample width: 3"):
+        spark.read.format("pcm").load(str(tmp_path / "odd")).count()
+    df = spark.createDataFrame([("x", 2, 5, None), ("x", 1, -32768, 3), ("y", 1, 32767, 0)], "f string, o int, a int, b int")
+    assert pcm.write_wav(df, "f", "o", ["a", "b"], str(tmp_path / "new")) == 2
+    back = {r.path[-5]: r.samples for r in spark.read.format("pcm").load(str(tmp_path / "new")).collect()}
+    assert back == {"x": [(-32768 + 3) / 2 / 32768, 2.5 / 32768], "y": [32767 / 2 / 32768]}
+    with pytest.raises(PySparkException, match="does not fit"):
+        pcm.write_wav(df.withColumn("a", F.lit(32768)), "f", "o", ["a"], str(tmp_path / "new"))
+
+
 def test_calls(spark):
     rows = spark.createDataFrame([("echo", "m", "a b"), ("no", "m", "x")], "provider string, model_id string, prompt string")
     got = {r.provider: r for r in calls.run_models(rows).collect()}
