@@ -46,32 +46,26 @@ def progress(query) -> dict:
     return {"batches": len(seen), "rows": sum(p["numInputRows"] for p in seen), "active": query.isActive, "error": None if query.exception() is None else str(query.exception())}
 
 
-def kept_items(stream: DataFrame, group: str, rule: str) -> DataFrame:
+#: The state store that keyed state needs; a query keeps the one that its checkpoint names.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def kept_items(stream: DataFrame, group: str, rule: str, ttl_seconds: int | None = None) -> DataFrame:
     """Greedy fuzzy dedup of a stream of (group, pos, text): (group, pos, text) of items that no kept one of their group
     resembles, as they come in.
 
-    The state of a group is its kept texts, which later batches are held against; items of one batch go in the order of pos.
-    A rule that replaces kept items keeps the first one here, since rows that are out cannot be taken back.
+    Later batches are held against the kept texts of their group (kept.Kept); items of one batch go in the order of pos. A
+    rule that replaces kept items keeps the first one here, since rows that are out cannot be taken back. With a time
+    to live, pages of kept texts that gained nothing for so long are forgotten. Null texts are left out. The session's state
+    store for new queries becomes RocksDB.
     """
-    from murmur.operators.dedup import RULES
-
-    same = RULES[rule].same
-
-    def run(key, batches, state):
-        import pandas as pd
-
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("pos")
-        out = []
-        for pos, text in zip(rows["pos"], rows["text"], strict=True):
-            if text is not None and not any(same(text, k) for k in kept):
-                kept.append(text)
-                out.append((key[0], pos, text))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=[group, "pos", "text"])
+    from murmur.streaming.kept import Kept
 
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = stream.schema[group].dataType.simpleString()
-    return stream.select(group, "pos", "text").groupBy(group).applyInPandasWithState(run, f"{group} {kind}, pos long, text string", "kept array<string>", "append", "NoTimeout")
+    x = stream.select(F.col(group).alias("group"), F.col("pos").cast("long"), "text").groupBy("group")
+    ttl, mode = (None, "none") if ttl_seconds is None else (1000 * ttl_seconds, "processingTime")
+    return x.transformWithStateInPandas(Kept(rule, ttl), f"group {kind}, pos long, text string", "append", mode).withColumnRenamed("group", group)
 
 
 def first_seen(stream: DataFrame, time: str, key: str, late: str = "1 hour") -> DataFrame:

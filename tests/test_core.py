@@ -547,6 +547,40 @@ def test_streaming_dedup_and_windows(spark, tmp_path):
     assert out[-1].segments == 5 and out[-1].total == 5.0
 
 
+@pytest.mark.parametrize("rule", ["clean", "v6", "aggregate"])
+def test_kept_items_equal_one_greedy_pass(spark, tmp_path, monkeypatch, rule):
+    from murmur.streaming import kept
+
+    monkeypatch.setattr(kept, "PAGE", 3)  # the driver's value; workers keep theirs, so the plain class is held against it below
+    rng = random.Random(len(rule))
+    words = "alpha beta gamma delta epsilon zeta".split()
+    text = lambda: rng.choice([None, "", "ab", *(" ".join(rng.choices(words, k=rng.randint(1, 9))).replace("a", rng.choice("aaAe")) for _ in range(12))])
+    rows = [(rng.choice(["a", "a", None]), i, text()) for i in range(240)]
+    want, seen = [], {}
+    for g, i, t in rows:
+        if t is not None and not any(D.RULES[rule].same(t, k) for k in seen.setdefault(g, [])):
+            seen[g].append(t)
+            want.append((str(g), i, t))
+    out = []
+    for part in range(3):  # a new query from the checkpoint for each part
+        spark.createDataFrame(rows[part * 80 : part * 80 + 80], "g string, pos long, text string").repartition(3).write.parquet(f"{tmp_path}/in/{part}")
+        stream = spark.readStream.schema("g string, pos long, text string").parquet(f"{tmp_path}/in/*")
+        jobs.kept_items(stream, "g", rule).writeStream.foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((str(r.g), r.pos, r.text) for r in out) == sorted(want)
+
+    class Map(dict):
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+    import pandas as pd
+
+    for g in ("a", None):
+        p = kept.Kept(rule)
+        p.pages, p.counts = Map(), Map()
+        mine = [r for r in rows if r[0] == g]
+        got = [t for k in range(0, len(mine), 17) for y in p.handleInputRows((g,), iter([pd.DataFrame(mine[k : k + 17], columns=["g", "pos", "text"])]), None) for t in y["pos"]]
+        assert got == [i for k, i, _ in want if k == str(g)] and all(len(v[0]) <= 3 for v in p.pages.values())
+
+
 def test_streaming_resume(spark, tmp_path):
     schema = "ts timestamp, value double"
     rows = lambda n: spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, i), float(i)) for i in range(n)], schema)
