@@ -3,6 +3,7 @@ import dataclasses
 import datetime
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from murmur.operators import calls, candidates, engines, frames, geometry, match
 from murmur.operators import dedup as D
 from murmur.operators.segment import improve_pipeline, segment_news
 from murmur.sources import pcm, readers, writers
-from murmur.streaming import jobs
+from murmur.streaming import board, jobs
 
 
 def one(spark, expression, value):
@@ -581,6 +582,52 @@ def test_kept_items_equal_one_greedy_pass(spark, tmp_path, monkeypatch, rule):
         assert got == [i for k, i, _ in want if k == str(g)] and all(len(v[0]) <= 3 for v in p.pages.values())
 
 
+def test_job_board(spark, tmp_path):
+    at = f"{tmp_path}/jobs"
+    listener = board.JobListener(at)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(10).write.parquet(f"{tmp_path}/in/1")
+
+        def start(name, work):
+            stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in/*")
+            return stream.writeStream.queryName(name).foreachBatch(work).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+
+        def wrong(batch, n):
+            raise ValueError("no such thing")
+
+        def settled(want):
+            for _ in range(100):
+                rows = {r.job: r for r in board.board(spark, at).collect()} if (tmp_path / "jobs").exists() else {}
+                if {k: v.status for k, v in rows.items()} == want:
+                    return rows
+                time.sleep(0.2)
+            raise AssertionError(rows)
+
+        start("good", lambda b, n: b.count()).awaitTermination()
+        with pytest.raises(PySparkException):
+            start("bad", wrong).awaitTermination()
+        rows = settled({"good": "done", "bad": "failed"})
+        assert rows["good"].rows == 10 and rows["good"].batches == 1 and rows["good"].message is None
+        assert "no such thing" in rows["bad"].message and rows["bad"].batches == 0
+        spark.range(5).write.parquet(f"{tmp_path}/in/2")
+        start("bad", lambda b, n: b.count()).awaitTermination()  # the failed batch again, then what is new
+        start("good", lambda b, n: b.count()).awaitTermination()
+        rows = settled({"good": "done", "bad": "done"})
+        assert rows["good"].rows == rows["bad"].rows == 15 and rows["good"].batches == 2
+    finally:
+        spark.streams.removeListener(listener)
+    files = sum(f.suffix == ".parquet" for f in (tmp_path / "jobs").iterdir())
+    last = max(r.updated_at for r in rows.values())
+    for _ in range(2):  # told twice: one row
+        listener._put("batch:0", "lost", last, "running", 0, 7, None)
+    assert sum(f.suffix == ".parquet" for f in (tmp_path / "jobs").iterdir()) == files + 1
+    jobs.append_status(spark.createDataFrame([("old", 5, "done"), ("old", 4, "running")], jobs.STATUS), at)
+    now = {r.job: r.status for r in board.board(spark, at, last + 1001, 1000).collect()}
+    assert now == {"good": "done", "bad": "done", "lost": "interrupted", "old": "done"}
+    assert {r.job: r.status for r in board.board(spark, at, last + 1000, 1000).collect()}["lost"] == "running"
+
+
 def test_streaming_resume(spark, tmp_path):
     schema = "ts timestamp, value double"
     rows = lambda n: spark.createDataFrame([(datetime.datetime(2024, 1, 1, 0, i), float(i)) for i in range(n)], schema)
