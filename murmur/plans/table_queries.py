@@ -409,12 +409,13 @@ def scan_nested_inline(spark, d):
     return I.read_segments(spark, _lines(docs, _folder(spark, "transcripts")), lines=True).select("audio_file", "id", "text")
 
 
-@query("scan_chunk_docs", "SELECT n_nationkey::INT AS chunk, n_name AS text FROM nation WHERE n_nationkey % 6 <> 5")
+@query("scan_chunk_docs", "SELECT (doc_id // 50)::INT AS chunk, regexp_replace(string_agg(text, chr(10) ORDER BY doc_id), '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE doc_id // 50 % 6 <> 5 GROUP BY doc_id // 50")
 def scan_chunk_docs(spark, d):
-    """Whole texts in folders chunk_<n>, one for each nation, read by their pattern; every sixth file is blank."""
+    """Whole texts in folders chunk_<n>, the texts of 50 documents in each, read by their pattern; every sixth file is blank."""
     at = _folder(spark, "chunks")
-    text = F.when(F.col("n_nationkey") % 6 == 5, " ").otherwise(F.concat(F.lit(" "), "n_name"))
-    table(spark, d, "nation").select(F.concat(F.lit("chunk_"), "n_nationkey").alias("folder"), text.alias("value")).write.partitionBy("folder").text(at)
+    x = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("k")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
+    body = F.array_join(F.transform("docs", lambda t: t["text"]), "\n")
+    x.select(F.concat(F.lit("chunk_"), "k").alias("folder"), F.when(F.col("k") % 6 == 5, " \n").otherwise(F.concat(F.lit(" "), body)).alias("value")).write.partitionBy("folder").text(at)
     return I.read_chunks(spark, f"{at}/folder=chunk_*").select("chunk", "text")
 
 
@@ -435,12 +436,13 @@ def scan_words(spark, d):
     return I.read_words(spark, at, lines=True).union(I.read_words(spark, f"{at}-none", lines=True))
 
 
-@query("discover_runs", "SELECT n_nationkey::INT AS run, n_name AS name FROM nation WHERE n_nationkey % 3 <> 2")
+@query("discover_runs", "SELECT (doc_id // 40)::INT AS run, doc_id::VARCHAR AS name FROM documents WHERE doc_id // 40 % 3 <> 2")
 def discover_runs(spark, d):
-    """Folders run_<n> that a listing finds; those with other names are left out."""
+    """Folders run_<n>, each of 40 documents, that a listing finds; those with other names are left out."""
     at = _folder(spark, "found")
-    x = table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 3 == 2, F.concat(F.lit("run_x"), "n_nationkey")).otherwise(F.concat(F.lit("run_"), "n_nationkey")).alias("r"), F.col("n_name").alias("value"))
-    x.write.partitionBy("r").text(at)
+    k = F.floor(F.col("doc_id") / 40)
+    x = table(spark, d, "documents").select(F.concat(F.when(k % 3 == 2, "run_x").otherwise("run_"), k).alias("r"), F.col("doc_id").cast("string").alias("value"))
+    x.repartition("r").write.partitionBy("r").text(at)
     found = I.discover_runs(spark, at, "r=run_")
     return spark.read.text([p for _, p in found]).select(I.run_number("_metadata.file_path").alias("run"), F.col("value").alias("name"))
 
@@ -525,10 +527,13 @@ def stats_document(spark, d):
     return back.select(F.col("user_id").cast(table(spark, d, "events").schema["user_id"].dataType).alias("user_id"), "frames", "value.mean", "value.high")
 
 
-@query("results_by_variant", "SELECT role AS variant, string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn) AS rows FROM conversations GROUP BY role")
+@query("results_by_variant", "SELECT role AS variant, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS n, conv_id, turn, text FROM conversations")
 def results_by_variant(spark, d):
-    x = O.by_variant(table(spark, d, "conversations").select(F.col("role").alias("variant"), "conv_id", "turn"), "variant", ("conv_id", "turn"))
-    return x.select("variant", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["conv_id"], r["turn"])), ",").alias("rows"))
+    """Results in a folder for each variant, numbered in order, and read again."""
+    x = table(spark, d, "conversations").select(F.col("role").alias("variant"), "conv_id", "turn", "text")
+    at = _folder(spark, "variants")
+    O.write_variants(x, "variant", ("conv_id", "turn"), at)
+    return spark.read.schema("n long, conv_id long, turn long, text string, variant string").json(at).select("variant", "n", "conv_id", "turn", "text")
 
 
 @query("latest_job_status", f"SELECT conv_id, turn, status FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {STATUS}) WHERE r = 1")

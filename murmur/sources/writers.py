@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import srt_time
+from murmur.operators.rounds import ranked
 
 
 def with_ids(items: DataFrame, order: list[str], by: list[str]) -> DataFrame:
@@ -107,7 +108,12 @@ def stats_documents(rows: DataFrame, by: str, fields: dict) -> DataFrame:
     return made.select(F.to_json(F.struct(by, *(part(k, v) for k, v in fields.items()))).alias("value"))
 
 
-def by_variant(results: DataFrame, variant: str, order: tuple[str, ...]) -> DataFrame:
-    """(variant, rows): the results of each variant as one list, in order."""
-    others = [c for c in results.columns if c not in (variant, *order)]
-    return results.groupBy(variant).agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("rows"))
+def write_variants(results: DataFrame, variant: str, order: tuple[str, ...], folder: str) -> None:
+    """The results of each variant as JSON lines in a folder of its own, each with its number `n` in the variant (from 1).
+
+    Lines are in order within a file and no task gathers a variant: rows are numbered and cut by ranges, so that a large
+    variant is many files, whose names follow the order. Null variants go to the default folder.
+    """
+    numbered = ranked(results, [variant], [F.col(c) for c in order], "n")
+    keys = [F.col(variant).asc_nulls_first(), F.col("n")]
+    numbered.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy(variant).json(folder)

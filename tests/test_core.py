@@ -445,6 +445,20 @@ def test_wav_ranges_at_every_cut(spark, tmp_path):
         pcm.write_wav(df.withColumn("a", F.lit(32768)), "f", "o", ["a"], str(tmp_path / "new"))
 
 
+def test_variants_in_order(spark, tmp_path):
+    rows = [(v, i % 37, i, "t\n") for i in range(300) for v in (["hot", None] if i % 3 else ["hot", "b"])]
+    df = spark.createDataFrame(rows, "v string, a long, b long, t string").repartition(6)
+    writers.write_variants(df, "v", ("a", "b"), str(tmp_path / "out"))
+    got = [(r.v, r.n, r.a, r.b) for r in spark.read.schema("n long, a long, b long, t string, v string").json(str(tmp_path / "out")).collect()]
+    want = []
+    for v in ("hot", "b", None):
+        want += [(v, n, a, b) for n, (a, b) in enumerate(sorted((r[1], r[2]) for r in rows if r[0] == v), 1)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    for f in sorted((tmp_path / "out" / "v=hot").glob("*.json")):
+        n = [json.loads(line)["n"] for line in f.read_text().splitlines()]
+        assert n == list(range(n[0], n[0] + len(n)))
+
+
 def test_calls(spark):
     rows = spark.createDataFrame([("echo", "m", "a b"), ("no", "m", "x")], "provider string, model_id string, prompt string")
     got = {r.provider: r for r in calls.run_models(rows).collect()}
@@ -519,6 +533,11 @@ def test_engines(spark):
     files = spark.createDataFrame([("a.png", bytearray(b"abc")), ("b.jpg", bytearray(b"!")), ("c.jpg", bytearray())], "path string, content binary")
     got = {r.path: r for r in engines.recognise(files, Letters).collect()}
     assert got["a.png"].full_text == "c b a" and got["b.jpg"].error == "ValueError: unreadable" and got["c.jpg"].words == []
+    assert all(r.wall_seconds >= 0 and r.rss_mb_before > 0 and r.rss_mb_after > 0 for r in got.values())
+    took = {r.path: r for r in engines.timings(engines.recognise(files, Letters)).collect()}
+    assert took["a.png"].text_length_chars == 5 and took["a.png"].word_count == 3 and took["b.jpg"].word_count == 0 and took["b.jpg"].error
+    sums = engines.resources(engines.recognise(files, Letters)).collect()
+    assert [(r.engine, r.calls, r.failed) for r in sums] == [("letters", 3, 1)] and sums[0].rss_mb_peak > 0
     got = {r.path: r for r in engines.ask(files, Teller, "p").collect()}
     assert [h.text for h in got["a.png"].headlines] == ["IMAGE/PNG P"] and got["c.jpg"].error == "TimeoutError: late" and got["c.jpg"].headlines == []
 
