@@ -95,21 +95,65 @@ def similarity(a: str, b: str) -> float:
     return one if one == 100.0 else max(one, token_sort_ratio(a, b))
 
 
+def _middles(ref, hyp) -> tuple[int, list, list]:
+    """Two sequences without their common ends, and the length of these: some best alignment matches them one to one."""
+    n, m = len(ref), len(hyp)
+    start, most = 0, min(n, m)
+    while start < most and ref[start] == hyp[start]:
+        start += 1
+    end, most = 0, most - start
+    while end < most and ref[n - 1 - end] == hyp[m - 1 - end]:
+        end += 1
+    return start + end, ref[start : n - end], hyp[start : m - end]
+
+
+def edit_distance(ref, hyp) -> int:
+    """Edit distance of two sequences: the differences down a column of the table are two bit vectors, one big integer each, and a
+    symbol of the other sequence updates them all at once."""
+    _, x, y = _middles(ref, hyp)
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return len(y)
+    where: dict = {}
+    for i, v in enumerate(x):
+        where[v] = where.get(v, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, len(x) - 1
+    up, down, distance = full, 0, len(x)  # rows where the value rises or falls by one
+    for v in y:
+        same = where.get(v, 0)
+        level = (((same & up) + up) ^ up) | same | down  # rows whose diagonal step costs nothing
+        right, left = (down | ~(level | up)) & full, level & up
+        distance += (right >> top) - (left >> top)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = (left | ~(level | right)) & full, right & level
+    return distance
+
+
 def error_counts(ref, hyp) -> tuple[int, int]:
-    """(edit distance, most hits among its optimal alignments), a row of the table at a time."""
+    """(edit distance, most hits among its optimal alignments).
+
+    Optimal alignments stay on the diagonals that the distance lets them reach, so that only these are filled, a row of
+    the table at a time.
+    """
+    ends, ref, hyp = _middles(ref, hyp)
+    n, m = len(ref), len(hyp)
+    distance = edit_distance(ref, hyp)
+    spare = (distance - abs(m - n)) // 2
+    low, high = min(0, m - n) - spare, max(0, m - n) + spare
     known: dict = {}
     y = np.array([known.setdefault(v, len(known)) for v in hyp], np.int64)
     unit = 1 << 32  # a value is distance * unit - hits
-    ramp = np.arange(len(y) + 1, dtype=np.int64) * unit
-    row = ramp.copy()
+    ramp = np.arange(m + 1, dtype=np.int64) * unit
+    row = np.where(np.arange(m + 1) <= high, ramp, 1 << 61)
     for i, v in enumerate(ref, 1):
-        step = np.where(y == known.get(v, -1), -1, unit)
-        fresh = row + unit
-        fresh[0] = i * unit
-        np.minimum(fresh[1:], row[:-1] + step, out=fresh[1:])
-        row = np.minimum.accumulate(fresh - ramp) + ramp
-    distance = int(-(-row[-1] // unit))
-    return distance, int(distance * unit - row[-1])
+        a, b = max(0, i + low), min(m, i + high) + 1
+        fresh = row[a:b] + unit
+        k = max(a, 1)  # the first column has no diagonal
+        step = np.where(y[k - 1 : b - 1] == known.get(v, -1), -1, unit)
+        np.minimum(fresh[k - a :], row[k - 1 : b - 1] + step, out=fresh[k - a :])
+        row[a:b] = np.minimum.accumulate(fresh - ramp[a:b]) + ramp[a:b]
+    return distance, int(distance * unit - row[-1]) + ends
 
 
 def stem(word: str) -> str:

@@ -181,7 +181,7 @@ def cer(ref: Column, hyp: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def wer(ref_words: pd.Series, hyp_words: pd.Series) -> pd.Series:
     """Word error rate of two arrays of words; an empty reference gives 0 or 1, a null array null."""
-    rate = lambda a, b: None if a is None or b is None else fuzzy.error_counts(a, b)[0] / len(a) if len(a) else float(len(b) > 0)
+    rate = lambda a, b: None if a is None or b is None else fuzzy.edit_distance(a, b) / len(a) if len(a) else float(len(b) > 0)
     return pd.Series([rate(a, b) for a, b in zip(ref_words, hyp_words, strict=True)], dtype="float64")
 
 
@@ -195,7 +195,7 @@ def asr_metrics(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
         n, m = len(x), len(y)
         extra = d - (n - hits)
         c, k = " ".join(x), " ".join(y)
-        out.append((d / n if n else float(m > 0), fuzzy.error_counts(c, k)[0] / len(c) if c else float(bool(k)), d / (n + extra) if n + extra else 0.0, 1 - hits / n * hits / m if n and m else float(bool(n or m)), n, m, len(c), len(k)))
+        out.append((d / n if n else float(m > 0), fuzzy.edit_distance(c, k) / len(c) if c else float(bool(k)), d / (n + extra) if n + extra else 0.0, 1 - hits / n * hits / m if n and m else float(bool(n or m)), n, m, len(c), len(k)))
     return pd.DataFrame(out, columns=["wer", "cer", "mer", "wil", "ref_words", "hyp_words", "ref_chars", "hyp_chars"])
 
 

@@ -108,6 +108,30 @@ def test_error_rates(spark):
     assert round(got[0].m.mer, 4) == 0.5 and round(got[0].m.wil, 4) == round(1 - 2 / 3 * 2 / 4, 4)
 
 
+def test_edits_equal_the_whole_table():
+    rng = random.Random(12)
+
+    def plain(a, b):  # (distance, -hits), least in this order
+        row = [(j, 0) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], (i, 0)
+            for j, y in enumerate(b, 1):
+                step = (before[0], before[1] - 1) if x == y else (before[0] + 1, before[1])
+                before, row[j] = row[j], min(step, (row[j][0] + 1, row[j][1]), (row[j - 1][0] + 1, row[j - 1][1]))
+        return row[-1][0], -row[-1][1]
+
+    for k in range(10_000):
+        symbols = "ab" if k % 3 else "aàb€𝄞xyz"
+        a = [rng.choice(symbols) for _ in range(rng.randint(0, 12))]
+        b = [rng.choice(symbols) for _ in range(rng.randint(0, 12))] if k % 2 else [c for c in a if rng.random() > 0.2] + [rng.choice(symbols)] * rng.randint(0, 2)
+        want = plain(a, b)
+        assert fuzzy.error_counts(a, b) == want and fuzzy.edit_distance(a, b) == want[0] == fuzzy.edit_distance("".join(b), "".join(a))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    for share in (0.02, 0.6):  # over many machine words, near and far
+        other = "".join(rng.choice("abcdefgh ") if rng.random() < share else c for c in long)[20:]
+        assert fuzzy.error_counts(long, other) == plain(long, other) and fuzzy.edit_distance(long, other) == plain(long, other)[0]
+
+
 def test_best_match_and_f1(spark):
     gt = spark.createDataFrame([(0, "RAIN IN SPAIN"), (1, "SNOW ON HILLS"), (2, "NOTHING ALIKE 77")], "id long, text string")
     ext = spark.createDataFrame([(5, "RAIN IN SPAIN"), (6, "RAIN IN SPAIN"), (7, "HILLS ON SNOW"), (8, "qqqq")], "id long, text string")
