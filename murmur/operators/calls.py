@@ -148,9 +148,20 @@ def _tried(f: Callable[[list[str]], list[str] | None], items: list[str]) -> list
         return None
 
 
+#: The most models of a run: their table goes to every task.
+MODELS = 1000
+
+
+def _for_each(prompts: DataFrame, models: DataFrame) -> DataFrame:
+    """Every prompt for every model, which is what a run asks for; a table of more than MODELS models is an error."""
+    if models.limit(MODELS + 1).count() > MODELS:
+        raise ValueError(f"a run has {MODELS} models at most")
+    return prompts.crossJoin(F.broadcast(models))
+
+
 def summarize(chunks: DataFrame, models: DataFrame, group: str, batch: int = 20, **kw) -> DataFrame:
     """Two levels: each chunk by each model, then the successful summaries of a model, in batches, by the same model."""
-    one = run_models(chunks.select(group, "pos", F.col("text").alias("prompt")).crossJoin(F.broadcast(models)), **kw)
+    one = run_models(_for_each(chunks.select(group, "pos", F.col("text").alias("prompt")), models), **kw)
     good = one.where((F.col("status") == "success") & (F.trim("summary") != "")).withColumn("batch", F.floor(F.col("pos") / batch))
     return run_models(_prompts(good, "pos", group, "provider", "model_id", "batch"), **kw)
 
@@ -166,7 +177,7 @@ def summarize_in_three(chunks: DataFrame, models: DataFrame, group: str, batch:
     """Three levels: chunks, batches of their successful summaries (numbered anew, so that batches are full), and one summary
     of each model over its batches. Models with fewer than `least` good summaries are left out; where a batch fails the
     model's record is an error without a last call."""
-    one = run_models(chunks.select(group, "pos", F.col("text").alias("prompt")).crossJoin(F.broadcast(models)), **kw)
+    one = run_models(_for_each(chunks.select(group, "pos", F.col("text").alias("prompt")), models), **kw)
     keys = [group, "provider", "model_id"]
     w = Window.partitionBy(*keys)
     good = one.where((F.col("status") == "success") & (F.trim("summary") != ""))

@@ -460,7 +460,7 @@ def _tracks(spark, d, **options):
     pcm.write_wav(x.where("piece % 2 = 0"), "file", "pos", ["one"], at, 2)
     pcm.write_wav(x.where("piece % 2 = 1"), "file", "pos", ["cents", "other"], at, 4)
     spark.dataSource.register(pcm.PcmSource)
-    read = spark.read.format("pcm").option("range", 256).option("split", 3000)
+    read = spark.read.format("pcm").option("range", 256).option("split", 20_000)
     for k, v in options.items():
         read = read.option(k, v)
     name = F.regexp_extract("path", "([^/]*)[.]wav$", 1)

@@ -513,6 +513,8 @@ def test_calls(spark):
     chunks = spark.createDataFrame([("t", i, f"text {i}") for i in range(45)], "g string, pos int, text string")
     models = spark.createDataFrame([("echo", "m1"), ("echo", "m2")], "provider string, model_id string")
     assert calls.summarize(chunks, models, "g").count() == 6
+    with pytest.raises(ValueError, match="1000 models"):
+        calls.summarize(chunks, spark.range(1001).selectExpr("'echo' provider", "string(id) model_id"), "g")
 
 
 def test_three_levels_and_cleaning(spark):
