@@ -129,8 +129,8 @@ def best_matches(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) ->
     else:
         parts = max(1, math.ceil(chars(rows) / PART_CHARS))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        one = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), every(parts).alias("part"), "id", "text")
-        two = rows.select("*", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).alias("__part"), every(blocks).alias("__block"))
+        one = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), "id", "text")
+        two = rows.select("*", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("__part"), every(blocks).alias("__block"))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
@@ -233,8 +233,8 @@ def best_cosine(refs: DataFrame, others: DataFrame, by: str, slice_rows: int = 4
     most = lambda df: df.groupBy(by).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     n, m = math.ceil(most(refs) / slice_rows), math.ceil(most(others) / slice_rows)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    one = refs.select(by, "id", "e", F.pmod(F.xxhash64("id"), F.lit(n)).alias("s"), every(m).alias("t"))
-    two = others.select(F.col(by).alias("__by"), F.pmod(F.xxhash64("e"), F.lit(m)).alias("__t"), F.col("e").alias("f"), every(n).alias("__s"))
+    one = refs.select(by, "id", "e", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("s"), every(m).alias("t"))
+    two = others.select(F.col(by).alias("__by"), F.pmod(F.xxhash64("e"), F.lit(m)).cast("int").alias("__t"), F.col("e").alias("f"), every(n).alias("__s"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
