@@ -18,6 +18,8 @@ from murmur.functions.quality import bind
 BLOCK_CHARS = 4_000_000
 #: Characters of the other side that meet a block in one task, where there are several blocks.
 PART_CHARS = 32_000_000
+#: Characters of texts times characters of references that one task takes on, about.
+TASK_WORK = 400_000_000_000
 #: Characters of reference texts that are matched at once.
 PACKED_CHARS = 100_000
 # Thresholds of a match, of an exact and of a covered one, and of a hallucination.
@@ -111,7 +113,9 @@ def best_matches(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) ->
     refs = left.select("id", "text").where("text is not null")
     rows = right.select(*by, "id", "text").where("text is not null")
     chars = lambda df: df.agg(F.coalesce(F.sum(F.length("text") + 8), F.lit(0))).first()[0]
-    blocks = math.ceil(chars(refs) / BLOCK_CHARS)
+    held, size = chars(refs), chars(rows)
+    blocks = math.ceil(held / BLOCK_CHARS)
+    shares = math.ceil(size * min(held, BLOCK_CHARS) / TASK_WORK)  # tasks that a block's work is spread over
     schema = T.StructType([*(right.schema[c] for c in by), *(T.StructField(n, t) for n, t in (("side", T.StringType()), ("id", T.LongType()), ("other", T.LongType()), ("score", T.DoubleType())))])
     names = schema.names
 
@@ -123,11 +127,11 @@ def best_matches(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) ->
                 for out in best_of(References(few), (b.itertuples(index=False, name=None) for b in batches)):
                     yield pd.DataFrame(out, columns=names)
 
-        n = right.sparkSession.sparkContext.defaultParallelism
-        rows = rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows  # a small table in few files leaves cores idle
+        n = max(right.sparkSession.sparkContext.defaultParallelism, shares)
+        rows = rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows  # a table in few files leaves cores idle, or tasks long
         found = rows.mapInPandas(run, schema)
     else:
-        parts = max(1, math.ceil(chars(rows) / PART_CHARS))
+        parts = max(1, math.ceil(size / PART_CHARS), shares)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         one = refs.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), "id", "text")
         two = rows.select("*", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int").alias("__part"), every(blocks).alias("__block"))
